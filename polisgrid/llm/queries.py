@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polisgrid.llm import bpe, itq, minhash, records, secrets
+from polisgrid.llm import bpe, itq, minhash, ngram, records, secrets
 from polisgrid.llm.shared import read
 
 
@@ -43,5 +43,9 @@ def op5_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq)}
+def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram)}
 ORACLE_SQL: dict[str, str] = {}
