@@ -111,8 +111,10 @@ def find(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...]) -> dict
     """Spans (start, rule number, end) in bytes of the texts that have any."""
     own = scanner(rules)
     places, masks = own.ends(data, offsets)
+    if not len(places):
+        return {}
     doc = np.searchsorted(offsets, places, "right") - 1
-    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     out = {}
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
         d = int(doc[a])
