@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polisgrid.llm import bpe, itq, minhash, ngram, records, secrets
+from polisgrid.llm import bpe, itq, minhash, ngram, records, secrets, toxicity
 from polisgrid.llm.shared import read
 
 
@@ -47,5 +47,9 @@ def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram, op7_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
