@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polisgrid.llm import bpe, itq, minhash, ngram, records, secrets, toxicity
+from polisgrid.llm import bpe, itq, language, minhash, ngram, records, secrets, toxicity
 from polisgrid.llm.shared import read
 
 
@@ -51,5 +51,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram, op7_toxicity)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram, op7_toxicity, op8_language)}
 ORACLE_SQL: dict[str, str] = {}
