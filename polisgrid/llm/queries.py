@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polisgrid.llm import bpe, itq, language, minhash, ngram, records, secrets, toxicity
+from polisgrid.llm import bpe, decontaminate, itq, language, minhash, ngram, quality, records, secrets, toxicity
 from polisgrid.llm.shared import read
 
 
@@ -55,5 +55,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram, op7_toxicity, op8_language)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram, op7_toxicity, op8_language, op9_decontaminate, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
