@@ -15,7 +15,7 @@ def read_geojson(spark: SparkSession, path: str, places: int = 6) -> DataFrame:
     points, lines and polygons hold the coordinates in one, two or three levels of arrays of (x, y, z); x and y are
     rounded. A feature without type or coordinates, or with another depth than its type has, raises.
     """
-    docs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "type string, features array<string>, geometry string, properties string, coordinates string").alias("d"), "value")
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "type string, features array<string>, geometry string, properties string, coordinates string").alias("d"), "value")
     features = F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).when(F.col("d.type") == "Feature", F.array("value"))
     features = F.coalesce(features, F.array(F.concat(F.lit('{"type":"Feature","geometry":'), "value", F.lit(',"properties":{}}'))))
     one = docs.select(F.explode(features).alias("f")).select(F.from_json("f", "geometry string, properties string").alias("f"))
@@ -80,7 +80,7 @@ def read_network(spark: SparkSession, path: str) -> DataFrame:
     b = nodes.select(F.col("_id").alias("_to"), F.col("_x").alias("bx"), F.col("_y").alias("by"))
     both = links.join(a, "_from", "left").join(b, "_to", "left")
     known = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit("unknown node of link "), "_id")).cast("double")).otherwise(F.col(c)).alias(c)
-    return both.select(F.col("_id").alias("id"), F.transform(F.split("_modes", ","), F.trim).alias("modes"), *map(known, ("ax", "ay", "bx", "by")))
+    return both.select(F.col("_id").alias("id"), F.transform(F.split("_modes", ","), lambda m: F.trim(m)).alias("modes"), *map(known, ("ax", "ay", "bx", "by")))
 
 
 def read_link_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -106,12 +106,12 @@ def link_volumes(stats: DataFrame) -> DataFrame:
 def read_pipe_network(spark: SparkSession, path: str) -> DataFrame:
     """section, n, fields of the rows of sectioned text files: a section begins at [NAME] and ends at the first empty
     line; comments begin with a semicolon. A file is one row, so its lines keep their order."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     sections = F.expr(r"regexp_extract_all(concat(replace(value, '\r', ''), '\n\n'), '(?s)\\[([A-Z]+)\\][^\\n]*\\n(.*?)\\n[ \\t]*\\n', 0)")
     one = text.select(F.explode(sections).alias("s")).select(F.regexp_extract("s", r"\[([A-Z]+)\]", 1).alias("section"), F.posexplode(F.slice(F.split("s", "\n"), F.lit(2), F.greatest(F.size(F.split("s", "\n")) - 1, F.lit(0)))).alias("n", "line"))
     line = F.trim(F.regexp_replace("line", ";.*$", ""))
     kept = one.where((F.length(line) > 0) & ~F.ltrim("line").startswith(";"))
-    return kept.select("section", F.col("n").cast("long").alias("n"), F.transform(F.split(line, r"\t"), F.trim).alias("fields"))
+    return kept.select("section", F.col("n").cast("long").alias("n"), F.transform(F.split(line, r"\t"), lambda x: F.trim(x)).alias("fields"))
 
 
 def junctions(rows: DataFrame) -> DataFrame:

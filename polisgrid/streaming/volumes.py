@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """hour, event_type, n, total by tumbling hours of ts; rows later than the watermark are dropped when streaming."""
-    df = events.withWatermark("ts", late) if events.isStreaming else events
+    df = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return df.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 
