@@ -6,8 +6,12 @@ differing symbols. With e = 1 such chunks share a key in which one symbol is mas
 within T. A pair with a similarity of 0.85 differs in 9.6 of 64 symbols on average; more than T = 19 have a
 probability of 0.001. Links are confirmed on the full sets.
 
+A candidate pair must also be within 57 of all 256 symbols, of which the first 64 make the keys: of pairs at 0.85, one
+in two thousand is not, while pairs at 0.7 seldom are.
+
 Documents with equal sets form a class; only its smallest doc_id takes part in the search. Within a key, members are
-compared with the smallest member first; what components that leaves apart is then compared in full, in blocks.
+compared with three of them first (that of the largest class and two by hash); what components that leaves apart is
+then compared in full, in blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ class Plan:
     symbols: int = 64
     chunks: int = 10
     distance: int = 19
+    checked: int = 256
+    checked_distance: int = 57
     percent: int = 85
     block: int = 2048
 
@@ -116,7 +122,7 @@ def _sketch(docs: DataFrame, plan: Plan) -> DataFrame:
             for rows, data, offsets in text_slices(batch, "text"):
                 sets, counts = shingles(data, offsets)
                 one, two = _prints(sets, counts)
-                sig = signatures(sets, counts, plan.symbols)
+                sig = signatures(sets, counts, plan.checked)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": rows.column(0), "n_shingles": pa.array(counts.astype(np.int64)), "p1": pa.array(one), "p2": pa.array(two), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
                 )
@@ -131,18 +137,19 @@ def _keys(reps: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             ids = batch.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, plan.symbols)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, plan.checked)
             out = np.zeros((len(wanted), n), np.uint64)
             with np.errstate(over="ignore"):
                 for j, (chunk, cols) in enumerate(wanted):
                     block = np.zeros((n, 8), np.uint8)
                     block[:, : len(cols)] = sig[:, cols]  # up to 8 symbols fit without loss
                     out[j] = mix(block.view("<u8")[:, 0] ^ mix(np.array([j * 1000 + chunk + 1], np.uint64))[0])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out.ravel().view(np.int64)), "id": pa.array(np.tile(ids, len(wanted)))})
+            copies = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_pydict({"key": pa.array(out.ravel().view(np.int64)), "id": pa.array(np.tile(ids, len(wanted))), "copies": pa.array(np.tile(copies, len(wanted)))})
 
     if max(len(c) for _, c in wanted) > 8:
         raise ValueError("a key holds eight symbols at most")
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sig", "copies").mapInArrow(run, "key long, id long, copies long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -172,7 +179,8 @@ def _apart(members: DataFrame, plan: Plan) -> DataFrame:
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         for x in left:
             ok = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if same else True)]
-            ok = ok[(sig[ok] != sig[x]).sum(1) <= plan.distance]
+            ok = ok[(sig[ok, : plan.symbols] != sig[x, : plan.symbols]).sum(1) <= plan.distance]
+            ok = ok[(sig[ok] != sig[x]).sum(1) <= plan.checked_distance]
             if len(ok):
                 yield np.full(len(ok), ids[x]), ids[ok]
 
@@ -199,7 +207,7 @@ def _apart(members: DataFrame, plan: Plan) -> DataFrame:
         last = None
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, plan.symbols)
+            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, plan.checked)
             group = np.column_stack([cols[0], cols[3], cols[4]])
             cut = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(group)]
             for s, e in zip(cut, cut[1:], strict=False):
@@ -227,16 +235,18 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = Table(_sketch(rows, plan), "sketch")
     full = sketch.df.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"))
+    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     first = classes.join(full.select("p1", "p2", F.col("doc_id").alias("id"), "sig"), ["p1", "p2", "id"]).dropDuplicates(["p1", "p2", "id"])
-    reps = Table(first.select("id", "p1", "p2", "sig"), "reps")
+    reps = Table(first.select("id", "p1", "p2", "copies", "sig"), "reps")
     keys = _keys(reps.df, plan)
-    shared = Table(keys.join(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "key"), "keys")
-    del keys
+    first, last = F.min("id").alias("x"), F.max("id").alias("y")
+    centres = [F.max_by("id", F.struct("copies", -F.col("id"))).alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2))]
+    least = keys.groupBy("key").agg(first, last, *centres).where("x < y").select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
+    shared = Table(keys.select("key", "id").join(least, "key"), "keys")
     candidates = shared.df.select("id").distinct()
     sets = Table(_sets(rows.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
-    # Each member of a key against its smallest member.
-    stars = shared.df.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # Each member of a key against its centres.
+    stars = shared.df.select("id", F.explode("centres").alias("c")).where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     sigs = reps.df.groupBy("id").agg(F.min("sig").alias("sig"))
     close = _within(stars, sigs, plan)
     found = Table(_linked(close, sets.df, plan.percent), "links")
@@ -265,8 +275,8 @@ def _within(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, plan.symbols) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((one != two).sum(1) <= plan.distance))
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, plan.checked) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((one != two).sum(1) <= plan.checked_distance))
 
     left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga"))
     right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb"))
