@@ -145,11 +145,12 @@ def _keys(reps: DataFrame, plan: Plan) -> DataFrame:
                     block[:, : len(cols)] = sig[:, cols]  # up to 8 symbols fit without loss
                     out[j] = mix(block.view("<u8")[:, 0] ^ mix(np.array([j * 1000 + chunk + 1], np.uint64))[0])
             copies = batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out.ravel().view(np.int64)), "id": pa.array(np.tile(ids, len(wanted))), "copies": pa.array(np.tile(copies, len(wanted)))})
+            number = np.repeat(np.arange(len(wanted), dtype=np.int32), n)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(out.ravel().view(np.int64)), "j": pa.array(number), "id": pa.array(np.tile(ids, len(wanted))), "copies": pa.array(np.tile(copies, len(wanted)))})
 
     if max(len(c) for _, c in wanted) > 8:
         raise ValueError("a key holds eight symbols at most")
-    return reps.select("id", "sig", "copies").mapInArrow(run, "key long, id long, copies long")
+    return reps.select("id", "sig", "copies").mapInArrow(run, "key long, j int, id long, copies long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -173,14 +174,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of different components within the distance, from rows (key, id, comp, sig, i, j) sorted by group."""
-
-    def pairs(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of different components within the distance, each once, from rows (key, id, comp, i, j, side, number,
+    sig) sorted by group."""
+
+    cuts = np.array(plan.cuts())
+    allowed = int(plan.distance >= plan.chunks)
+
+    def first_key(differ: np.ndarray) -> np.ndarray:
+        """The number of the first key that two signatures share: elsewhere the pair is not given again."""
+        wrong = np.add.reduceat(differ, cuts[:-1], axis=1, dtype=np.int64)
+        chunk = (wrong <= allowed).argmax(1)
+        if not allowed:
+            return chunk
+        at = cuts[chunk]
+        inside = (np.arange(plan.symbols) >= at[:, None]) & (np.arange(plan.symbols) < cuts[chunk + 1][:, None])
+        return np.where(wrong[np.arange(len(at)), chunk] == 0, at, (differ & inside).argmax(1))
+
+    def pairs(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, same: bool, number: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         for x in left:
             ok = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if same else True)]
             ok = ok[(sig[ok, : plan.symbols] != sig[x, : plan.symbols]).sum(1) <= plan.distance]
             ok = ok[(sig[ok] != sig[x]).sum(1) <= plan.checked_distance]
+            ok = ok[first_key(sig[ok, : plan.symbols] != sig[x, : plan.symbols]) == number]
             if len(ok):
                 yield np.full(len(ok), ids[x]), ids[ok]
 
@@ -192,10 +208,10 @@ def _apart(members: DataFrame, plan: Plan) -> DataFrame:
         held: list[list[np.ndarray]] = []
 
         def emit(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, ids, comp, i, j, side = (np.concatenate([r[k] for r in rows]) for k in range(6))
-            sig = np.concatenate([r[6] for r in rows])
+            _, ids, comp, i, j, side, number = (np.concatenate([r[k] for r in rows]) for k in range(7))
+            sig = np.concatenate([r[7] for r in rows])
             out, n = [], 0
-            for x in pairs(ids, comp, sig, side, bool(i[0] == j[0])):
+            for x in pairs(ids, comp, sig, side, bool(i[0] == j[0]), int(number[0])):
                 out.append(x)
                 n += len(x[0])
                 if n >= 50_000:
@@ -206,8 +222,8 @@ def _apart(members: DataFrame, plan: Plan) -> DataFrame:
 
         last = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, plan.checked)
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, plan.checked)
             group = np.column_stack([cols[0], cols[3], cols[4]])
             cut = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(group)]
             for s, e in zip(cut, cut[1:], strict=False):
@@ -222,7 +238,7 @@ def _apart(members: DataFrame, plan: Plan) -> DataFrame:
         if held:
             yield from emit(held)
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
@@ -242,7 +258,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     first, last = F.min("id").alias("x"), F.max("id").alias("y")
     centres = [F.max_by("id", F.struct("copies", -F.col("id"))).alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2))]
     least = keys.groupBy("key").agg(first, last, *centres).where("x < y").select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
-    shared = Table(keys.select("key", "id").join(least, "key"), "keys")
+    shared = Table(keys.select("key", "j", "id").join(least, "key"), "keys")
     candidates = shared.df.select("id").distinct()
     sets = Table(_sets(rows.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
     # Each member of a key against its centres.
@@ -252,13 +268,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     found = Table(_linked(close, sets.df, plan.percent), "links")
     roots = components(found.df)
     # Keys whose members are still in several components.
-    comp = shared.df.select("key", "id").join(roots.df, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    comp = shared.df.select("key", "j", "id").join(roots.df, "id", "left").select("key", "j", "id", F.coalesce("root", "id").alias("comp"))
     several = comp.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key", "n")
     members = comp.join(several, "key").join(sigs, "id")
     parts = F.ceil(F.col("n") / plan.block).cast("int")
     members = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "sig")
+    members = members.select("key", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), F.col("j").alias("number"), "sig")
     members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = _apart(members, plan).join(stars, ["a", "b"], "left_anti")
     more = Table(_linked(rest, sets.df, plan.percent), "links")
