@@ -223,7 +223,7 @@ def learn_weights(cells: np.ndarray, mass: np.ndarray, plan: Plan, vocabulary: i
         w = out[cells[:, 0]]
         share = np.column_stack([w[:, 0] * two, w[:, 1] * one, w[:, 2] * floor])
         share *= (mass / share.sum(1))[:, None]
-        new = np.column_stack([np.bincount(cells[:, 0], share[:, k], BUCKETS) for k in range(3)])
+        new = np.column_stack([np.bincount(cells[:, 0], share[:, k], BUCKETS) for k in range(3)]).astype(float)
         new += np.array([0.3, 0.6, 0.1]) * 10  # a bucket without held-out tokens keeps these shares
         out = new / new.sum(1, keepdims=True)
     return out

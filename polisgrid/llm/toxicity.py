@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polisgrid.llm.textcore import LOWER, Memo, hash_runs, ragged, text_slices, words
+from polisgrid.llm.textcore import LOWER, SPACE, Memo, hash_runs, ragged, text_slices, words
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -29,10 +29,10 @@ _WINDOW = 32
 
 @dataclasses.dataclass(frozen=True)
 class Plan:
-    documents: int = 8_000  # labelled documents to learn from, at most: the smallest by hash
+    documents: int = 12_000  # labelled documents to learn from, at most: the smallest by hash
     landmarks: int = 48
-    share: float = 0.02  # of the toxic documents that hold a landmark, at least
-    evidence: float = 3.0  # standard errors of its log odds
+    share: float = 0.015  # of the toxic documents that hold a landmark, at least
+    evidence: float = 3.3  # standard errors of its log odds
     decay: float = 0.6
     near: float = 0.35  # kernels below count as 0
     folds: int = 4
@@ -51,21 +51,21 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def units(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, lens, document) of the words to compare, in order: words without what is no letter at their
-    ends; windows of long words; runs of three or more single letters joined to one more word."""
+def units(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, lens, document, sentence) of the words to compare, in order: words without what is no letter in
+    them; windows of long words; runs of three or more single letters joined to one more word."""
+    stops = np.cumsum(_STOP[low])  # a sentence ends at . ! ? or a line feed
+    keep = _LETTER[low] | SPACE[low]
+    total = np.append(0, np.cumsum(keep))
+    low, offsets, stops = low[keep], total[offsets], stops[keep]
     starts, lens, before = words(low, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-    letters = np.flatnonzero(_LETTER[low])
-    a, b = np.searchsorted(letters, starts), np.searchsorted(letters, starts + lens)
-    some = b > a
-    doc = doc[some]
-    starts, lens = letters[a[some]], letters[b[some] - 1] + 1 - letters[a[some]]
+    sentence = stops[starts] if len(starts) else np.zeros(0, np.int64)
     data = low
     single = lens == 1
     if single.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
-        joined, place, owner, size = [], [], [], []
+        joined, place, owner, size, said = [], [], [], [], []
         at = len(low)
         for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             for d in np.unique(doc[s:e]) if doc[s] != doc[e - 1] else [doc[s]]:
@@ -75,17 +75,18 @@ def units(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                     place.append(at)
                     owner.append(d)
                     size.append(len(own))
+                    said.append(sentence[own[0]])
                     at += len(own)
         if joined:
             data = np.concatenate([low, *joined])
-            starts, lens, doc = np.append(starts, place), np.append(lens, size), np.append(doc, owner)
+            starts, lens, doc, sentence = np.append(starts, place), np.append(lens, size), np.append(doc, owner), np.append(sentence, said)
     long = lens > _WINDOW
     if long.any():
-        pieces = [(s + k, min(_WINDOW, n - k), d) for s, n, d in zip(starts[long].tolist(), lens[long].tolist(), doc[long].tolist(), strict=True) for k in range(0, max(1, n - _WINDOW // 2), _WINDOW // 2)]
-        more = np.array(pieces, np.int64).reshape(-1, 3)
-        starts, lens, doc = np.append(starts[~long], more[:, 0]), np.append(lens[~long], more[:, 1]), np.append(doc[~long], more[:, 2])
+        pieces = [(s + k, min(_WINDOW, n - k), d, x) for s, n, d, x in zip(starts[long].tolist(), lens[long].tolist(), doc[long].tolist(), sentence[long].tolist(), strict=True) for k in range(0, max(1, n - _WINDOW // 2), _WINDOW // 2)]
+        more = np.array(pieces, np.int64).reshape(-1, 4)
+        starts, lens, doc, sentence = (np.append(v[~long], more[:, k]) for k, v in enumerate((starts, lens, doc, sentence)))
     order = np.lexsort((starts, doc))
-    return data, starts[order], lens[order], doc[order]
+    return data, starts[order], lens[order], doc[order], sentence[order]
 
 
 def _table(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, width: int, pad: int) -> np.ndarray:
@@ -162,7 +163,7 @@ class Landmarks:
 
     def sentences(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Features of the sentences that have any, their documents, and the number of words of every document."""
-        data, starts, lens, doc = units(low, offsets)
+        data, starts, lens, doc, sentence = units(low, offsets)
         totals = np.bincount(doc, minlength=len(offsets) - 1)
         if not len(starts):
             return np.zeros((0, len(self.found))), np.zeros(0, np.int64), totals
@@ -170,9 +171,7 @@ class Landmarks:
         counts = self.memo.lens[rows]
         hit = np.flatnonzero(counts)
         values = ragged(self.memo.pool, self.memo.starts[rows[hit]], counts[hit]).astype(np.float64)
-        stops = np.cumsum(_STOP[low])  # a sentence ends at . ! ? or a line feed; joined letters go to the last one
-        sentence = stops[np.minimum(starts[hit], len(low) - 1)] if len(low) else np.zeros(0, np.int64)
-        key, back = np.unique(np.column_stack([doc[hit], sentence]), axis=0, return_inverse=True)
+        key, back = np.unique(np.column_stack([doc[hit], sentence[hit]]), axis=0, return_inverse=True)
         out = np.zeros((len(key), len(self.found)))
         np.add.at(out, (np.repeat(back.reshape(-1), counts[hit]), values.astype(int)), (values % 1) / 0.999)
         return out @ self.root, key[:, 0], totals
@@ -212,24 +211,37 @@ def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return lowered(np.frombuffer(b"".join(raw), np.uint8)), np.append(0, np.cumsum([len(x) for x in raw]))
 
 
+def _parts(texts: list[str | None], n: int = 400) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts some at a time, so that what is held beside them is bounded."""
+    for at in range(0, len(texts), n):
+        yield (at, *_flat(texts[at : at + n]))
+
+
 def choose(texts: list[str | None], labels: np.ndarray, plan: Plan) -> list[bytes]:
     """The words that tell the labels apart best, each unlike those before it."""
-    low, offsets = _flat(texts)
-    data, starts, lens, doc = units(low, offsets)
-    ok = lens >= 4
-    starts, lens, doc = starts[ok], lens[ok], doc[ok]
-    hashes, first, back = np.unique(hash_runs(data, starts, lens), return_index=True, return_inverse=True)
-    pair = np.unique(np.column_stack([back, doc]), axis=0)
-    pos = np.bincount(pair[:, 0], labels[pair[:, 1]] == 1, len(hashes))
-    neg = np.bincount(pair[:, 0], labels[pair[:, 1]] == 0, len(hashes))
+    found, sides, spelled = [], [], {}
+    for at, low, offsets in _parts(texts):
+        data, starts, lens, doc, _ = units(low, offsets)
+        ok = lens >= 4
+        starts, lens, doc = starts[ok], lens[ok], doc[ok]
+        hashes = hash_runs(data, starts, lens)
+        own, first = np.unique(np.column_stack([hashes, doc.astype(np.uint64)]), axis=0, return_index=True)
+        side = labels[at + doc[first]]
+        found.append(own[:, 0])
+        sides.append(side)
+        raw = data.tobytes()
+        for h, k in zip(own[side == 1, 0].tolist(), first[side == 1].tolist(), strict=True):
+            spelled.setdefault(h, raw[starts[k] : starts[k] + lens[k]])
+    hashes, back = np.unique(np.concatenate(found), return_inverse=True)
+    side = np.concatenate(sides)
+    pos, neg = np.bincount(back, side == 1, len(hashes)), np.bincount(back, side == 0, len(hashes))
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     gain = (np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0)) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     order = np.argsort(-gain, kind="stable")[: 40 * plan.landmarks]
-    raw = data.tobytes()
     out: list[bytes] = []
     tables: list[np.ndarray] = []
     for k in order[(pos[order] >= max(3, plan.share * n1)) & (gain[order] >= plan.evidence)]:
-        word = raw[starts[first[k]] : starts[first[k]] + lens[first[k]]]
+        word = spelled[int(hashes[k])]
         own = np.frombuffer(word, np.uint8).astype(np.int16)[None]
         mine = float(kernel(own, own, plan.decay)[0])
         if all(float(kernel(own, t, plan.decay)[0]) / np.sqrt(mine * float(kernel(t, t, plan.decay)[0])) < 0.8 for t in tables):
@@ -265,8 +277,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
 def train(texts: list[str | None], labels: np.ndarray, plan: Plan) -> tuple[Landmarks, np.ndarray, np.ndarray]:
     """Landmarks, sentence weights, document weights."""
     marks = Landmarks(choose(texts, labels, plan), plan)
-    low, offsets = _flat(texts)
-    x, doc, totals = marks.sentences(low, offsets)
+    parts = [(at, *marks.sentences(low, offsets)) for at, low, offsets in _parts(texts)]
+    x, doc, totals = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + p[0] for p in parts]), np.concatenate([p[3] for p in parts])
     weights = np.zeros(x.shape[1] + 1)
     if len(x) and 0 < labels.mean() < 1:
         rows = np.column_stack([x, np.ones(len(x))])

@@ -1,0 +1,214 @@
+"""The kernels against plain versions and the public libraries."""
+
+import base64
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from polisgrid.llm import automaton, bpe, decontaminate, itq, language, minhash, records, secrets, textcore, toxicity
+
+ODD = [None, "", " ", "  a", "\n\n b", "it's  x", "é× a÷b", "a b  c", "日本 語, x", "naïve\n\nté 12 3a", "don't!? \t\n x\n", "a\n", "\nb\n \nc", "<|endoftext|> x", "x" * 3000, "aaaaaaa aaaa", "ab" * 500, " x  y", "A, b.C\r\n;d"]
+
+
+def flat(texts):
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum(np.array([len(x) for x in raw], np.int64)))
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def split(ids, counts):
+    ends = np.cumsum(counts)
+    return [ids[e - c : e].tolist() for c, e in zip(counts, ends, strict=True)]
+
+
+def test_both_encoders_match_the_library(reference):
+    data, offsets = flat(ODD)
+    want = [reference.encode_ordinary(t or "") for t in ODD]
+    assert split(*records.encode(data, offsets, P.path("byte_bpe_50k.json"))) == want
+    ranks = bpe.ranks(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids, counts = ranks.encode(data, offsets)
+    assert split(ids, counts) == want
+    assert ranks.decode(ids)[0].tobytes() == data.tobytes()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab .,'\n\tés日🙂1ſ ÀŒ-")), max_size=30), max_size=4))
+def test_encoders_on_random_texts(reference, texts):
+    data, offsets = flat(texts)
+    want = [reference.encode_ordinary(t) for t in texts]
+    assert split(*records.encode(data, offsets, P.path("byte_bpe_50k.json"))) == want
+    assert split(*bpe.ranks(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(data, offsets)) == want
+
+
+def test_checksum():
+    def plain(b):
+        c = 0xFFFFFFFF
+        for y in b:
+            c ^= y
+            for _ in range(8):
+                c = (c >> 1) ^ (0x82F63B78 * (c & 1))
+        c ^= 0xFFFFFFFF
+        return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+
+    counts = np.array([2, 3, 255, 256, 257, 700])
+    units = np.random.default_rng(1).integers(0, 65536, counts.sum()).astype(np.uint16)
+    ends = np.cumsum(counts)
+    assert records.masked_crc32c(units, counts).tolist() == [plain(units[e - c : e].tobytes()) for c, e in zip(counts, ends, strict=True)]
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_secrets(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def test_secrets_against_regular_expressions():
+    random.seed(3)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMN", "x", "é", "\n", "0" * 16, "a1", "==", "token=", "ſecret"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 30))) for _ in range(3000)] + [None, ""]
+    data, offsets = flat(texts)
+    found = secrets.find(data, offsets, secrets.BASE)
+    got = [secrets._points((t or "").encode(), found.get(k, [])) for k, t in enumerate(texts)]
+    assert got == [plain_secrets(t or "") for t in texts]
+
+
+def test_public_formats_are_found_beside_base_kinds():
+    texts = ["x ghp_" + "a1B2" * 9 + " y", "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK", "ghp_short"]
+    found = secrets.find(*flat(texts), secrets.BASE + secrets.MORE)
+    names = [[(secrets.BASE + secrets.MORE)[k].name for _, k, _ in found.get(d, [])] for d in range(4)]
+    assert names == [["github"], ["pem"], ["jwt"], []]
+    assert secrets.redacted(pa.array([None, "a token=abcdefghijkl z"])).to_pylist() == [None, "a [assign] z"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc", max_size=12))
+def test_automata_agree_with_re(text):
+    for pattern in ("ab*c", "(a|bc)+", "a{2,3}b?", "[^a]c", "(ab|a)(c|bc)"):
+        dfa = automaton.compile_rules([automaton.parse(automaton.Rule("r", pattern))], False)
+        longest = secrets.Scanner.run(dfa, text.encode(), range(len(text)))
+        assert longest == max((n for n in range(1, len(text) + 1) if re.fullmatch(pattern, text[:n])), default=0)
+
+
+def test_shingle_sets():
+    texts = [None, "", "a", "A a", "a b c d e", "x y z a b c d e x y z a b", " \t\n"]
+    sets, counts = minhash.shingles(*flat(texts))
+    plain = []
+    for t in texts:
+        w = (t or "").lower().split()
+        plain.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    assert counts.tolist() == [len(s) for s in plain]
+    for s, h in zip(plain, np.split(sets, np.cumsum(counts)[:-1]), strict=True):
+        assert len(set(h.tolist())) == len(s)
+    a, b = minhash.shingles(*flat(["p q r s t u", "q r s t u v"]))
+    assert len(set(a[: b[0]].tolist()) & set(a[b[0] :].tolist())) == 1
+
+
+def test_keys_find_all_pairs_within_the_distance():
+    plan = minhash.Plan()
+    rng = np.random.default_rng(0)
+    keys = plan.keys()
+    for _ in range(300):
+        a = rng.integers(0, 256, plan.symbols)
+        b = a.copy()
+        at = rng.choice(plan.symbols, plan.distance, replace=False)
+        b[at] = (b[at] + 1) % 256
+        assert any((a[cols] == b[cols]).all() for _, cols in keys)
+
+
+def test_subsequence_kernel():
+    def plain(s, t, decay=0.6):
+        total = 0.0
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, len(s)):
+                    for x in range(len(t)):
+                        for y in range(x + 1, len(t)):
+                            for z in range(y + 1, len(t)):
+                                if (s[i], s[j], s[k]) == (t[x], t[y], t[z]):
+                                    total += decay ** (k - i + 1 + z - x + 1)
+        return total
+
+    for s, t in (("idiot", "i.d.i.ot"), ("stupid", "stuupid"), ("abc", "abd")):
+        a, b = (np.frombuffer(x.encode(), np.uint8).astype(np.int16)[None] for x in (s, t))
+        assert float(toxicity.kernel(a, b, 0.6)[0]) == pytest.approx(plain(s, t), rel=1e-4)
+
+
+def test_forward_backward_in_segments():
+    rng = np.random.default_rng(2)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(1 << 10, 3)).astype(np.float32), rng.normal(size=(3, 3)), 1 << 10)
+    texts = [" ".join(rng.choice(["ab", "cd", "e", "fgh", "12"], n)) for n in (1, 5, 127, 128, 129, 700)] + [""]
+    data, offsets = flat(texts)
+    sums, number = model.sums(data, offsets)
+    move = np.exp(model.moves - model.moves.max())
+    for d, t in enumerate(texts):
+        starts, lens, _ = textcore.words(*flat([t]))
+        if not len(starts):
+            assert number[d] == 0
+            continue
+        e = model.potentials(flat([t])[0], starts, lens)
+        f, v = [], np.ones(3) / 3
+        for x in e:
+            v = v @ move * x
+            v = v / v.sum()
+            f.append(v)
+        total, b = np.zeros(3), np.ones(3)
+        for x, y, w in zip(e[::-1], f[::-1], t.split()[::-1], strict=True):
+            m = y * b
+            total += m / m.sum() * (not w.isdigit())
+            b = move @ (x * b)
+            b = b / b.sum()
+        assert sums[d] == pytest.approx(total)
+
+
+def test_edit_budget():
+    random.seed(5)
+    base = "the quick brown fox jumps over the lazy dog while seventeen small zebras watch it from a hill far away today"
+    index = decontaminate.Index([(7, base), (8, "tiny")], decontaminate.Plan())
+    window = index.windows[0][1].tobytes().decode()
+    k = int(index.edits[0])
+
+    def distance(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, x in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+            row = new
+        return min(row)
+
+    for n in range(60):
+        t = list(base)
+        for _ in range(random.choice([0, 3, k - 2, k, k + 2, 2 * k])):
+            at = random.randrange(len(t))
+            r = random.random()
+            if r < 0.4:
+                t[at] = "%"
+            elif r < 0.7:
+                t.insert(at, "#")
+            else:
+                del t[at]
+        text = "pad " * (n % 7) + "".join(t) + " end" * (n % 5)
+        doc, _ = index.search(*decontaminate.normal(*flat([text])))
+        assert bool(len(doc)) == (distance(window, text) <= k), (n, distance(window, text), k)
+
+
+def test_rotation_is_orthogonal():
+    sample = np.random.default_rng(0).normal(size=(300, 16))
+    mean, turns, tables = itq.learn(sample, itq.Plan(rounds=5))
+    assert len(turns) == 4 and all(np.allclose(t.T @ t, np.eye(16)) for t in turns)
+    assert mean.shape == (16,) and {k for k, _, _ in tables} == {0, 1, 2, 3}
