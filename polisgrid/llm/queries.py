@@ -64,4 +64,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_byte_bpe, op3_minhash, op4_secrets, op5_itq, op6_ngram, op7_toxicity, op8_language, op9_decontaminate, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+ n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s), f AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM s),
+ c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM f p JOIN f q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
+ l AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON n.doc_id = r.a GROUP BY n.doc_id, n.n""",
+    "op5_itq": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ l AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+ SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept FROM v JOIN r ON v.vec_id = r.a LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id""",
+}
