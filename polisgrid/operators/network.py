@@ -114,3 +114,14 @@ def voronoi_shares(ring: list[tuple[float, float]], centres: list[tuple[float, f
                 part = ring_half_plane(part, c, other)
         out.append(area_of(part) if math.isfinite(sum(c)) else 0.0)
     return out
+
+
+def junction_areas(junctions: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """site, tid, area: of each site's ring the part nearest to each of its junctions (site, tid, x, y)."""
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("tid")
+        shares = voronoi_shares(ring, list(zip(pdf["x"], pdf["y"], strict=True)))
+        return pdf.assign(area=shares)[["site", "tid", "area"]]
+
+    return junctions.groupBy("site").applyInPandas(run, "site long, tid long, area double")

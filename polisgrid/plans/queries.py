@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polisgrid.functions import geom
-from polisgrid.operators import design, graph, network, planning, resources, spatial, visibility
+from polisgrid.operators import design, graph, lines, network, planning, resources, spatial, visibility
 from polisgrid.plans import inputs as i
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -697,3 +697,120 @@ def geojson_roundtrip(spark, d):
     return back.select(F.get_json_object("properties", "$.id").cast("long").alias("id"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
 
 
+
+
+# --- lines, parameters and further joins ------------------------------------------------------------------------
+
+_REGION = [(-20.0, -20.0), (300.0, -20.0), (300.0, 400.0), (-20.0, 400.0)]
+
+
+def _clip_sql() -> str:
+    first, last, out = "0::DOUBLE", "1::DOUBLE", []
+    for (px, py), (qx, qy) in zip(_REGION, _REGION[1:] + _REGION[:1], strict=True):
+        ex, ey = qx - px, qy - py
+        start = f"({ex}::DOUBLE * (ay - {py}::DOUBLE) - {ey}::DOUBLE * (ax - {px}::DOUBLE))"
+        slope = f"({ex}::DOUBLE * (by - ay) - {ey}::DOUBLE * (bx - ax))"
+        first = f"CASE WHEN {slope} > 0 THEN greatest({first}, -{start} / {slope}) ELSE {first} END"
+        last = f"CASE WHEN {slope} < 0 THEN least({last}, -{start} / {slope}) ELSE {last} END"
+        out.append(f"({slope} = 0 AND {start} < 0)")
+    return f"CASE WHEN {' OR '.join(out)} THEN 0 ELSE greatest(0, {last} - {first}) END"
+
+
+@query(f"SELECT round_even(sum(sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) * {_clip_sql()}) / {320.0 * 420.0}::DOUBLE, 6) AS density FROM {i.SEGMENTS}")
+def road_density(spark, d):
+    return lines.road_density(i.segments(spark, d), _REGION).select("density")
+
+
+def _track_lines(spark, d):
+    t = i.tracks(spark, d).groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    return t.select("id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("pts"))
+
+
+@query()
+def simplify_lines(spark, d):
+    return lines.simplify_lines(_track_lines(spark, d), 10.0).select("id", F.size("pts").alias("n"))
+
+
+@query(f"SELECT user_id AS id, CAST(1 + sum(greatest(1, ceil(sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) / 25))) AS INTEGER) AS n FROM {i.SEGMENTS} GROUP BY user_id")
+def densify_lines(spark, d):
+    return _track_lines(spark, d).where("size(pts) > 1").select("id", F.size(lines.densify(F.col("pts"), 25.0)).alias("n"))
+
+
+@query("SELECT s_suppkey AS site_id, CASE WHEN s_suppkey % 3 = 0 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS far, CASE WHEN s_suppkey % 2 = 0 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS density FROM supplier")
+def override_parameters(spark, d):
+    s = i.table(spark, d, "supplier")
+    base = s.select(F.col("s_suppkey").alias("site_id"), F.lit(1.0).alias("far"), F.lit(0.2).alias("density"))
+    given = s.select(F.col("s_suppkey").alias("site_id"), F.when(F.col("s_suppkey") % 3 == 0, F.lit(2.5)).alias("far"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(0.3)).alias("density"))
+    return design.override(base, given, "site_id", ["far", "density"])
+
+
+@query("SELECT s_suppkey AS site_id, CAST(greatest(1, round_even(abs(s_acctbal) * 40 / (72000 / (1 - 0.1::DOUBLE * 1.2::DOUBLE)), 0)) AS INTEGER) AS parts FROM supplier")
+def refine_sites(spark, d):
+    s = i.table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("site_id"), design.refine_count(F.abs("s_acctbal") * 40, F.lit(design.MAX_AREA["R"]), F.lit(0.1), F.lit(design.MIX_COEFFICIENT["R"])).alias("parts"))
+
+
+@query("SELECT l_suppkey AS site_id, round_even(sum(l_quantity) / any_value(abs(s_acctbal) + 5000), 3) AS density, round_even(sum(l_quantity * l_linenumber) / any_value(abs(s_acctbal) + 5000), 3) AS far FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey")
+def building_rollup(spark, d):
+    b = i.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("site_id"), F.col("l_quantity").alias("footprint"), (F.col("l_quantity") * F.col("l_linenumber")).alias("area"))
+    s = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), (F.abs("s_acctbal") + 5000).alias("area"))
+    return design.roll_up_buildings(b, s)
+
+
+@query("SELECT vertex, count(*) AS hits FROM (SELECT unnest([l_suppkey, l_suppkey + 1, l_suppkey + 2]) AS vertex FROM lineitem WHERE l_linenumber = 1) GROUP BY vertex")
+def vertex_hits(spark, d):
+    line = i.table(spark, d, "lineitem")
+    hits = line.where("l_linenumber = 1").select(F.col("l_suppkey").alias("tri"))
+    corners = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tri"), F.col("s_suppkey").alias("v0"), (F.col("s_suppkey") + 1).alias("v1"), (F.col("s_suppkey") + 2).alias("v2"))
+    return visibility.vertex_hits(hits, corners)
+
+
+_PROJECT = f"""SELECT t.tid AS pid, g.id AS sid, sqrt(pow(tx / 100 + 5 - (ax + u * (bx - ax)), 2) + pow(ty / 100 + 3 - (ay + u * (by - ay)), 2)) AS dist FROM {i.TARGETS} t, LATERAL (SELECT *, greatest(0, least(1,
+ coalesce(((tx / 100 + 5 - ax) * (bx - ax) + (ty / 100 + 3 - ay) * (by - ay)) / nullif((bx - ax) * (bx - ax) + (by - ay) * (by - ay), 0), 0))) AS u FROM {i.GRID}) g"""
+
+
+@query(f"SELECT pid, round_even(min(dist), 6) AS dist FROM ({_PROJECT}) GROUP BY pid HAVING min(dist) <= 4")
+def connect_to_roads(spark, d):
+    p = i.targets(spark, d).select(F.col("tid").alias("pid"), (F.col("tx") / 100 + 5).alias("px"), (F.col("ty") / 100 + 3).alias("py"))
+    return network.connect(p, i.grid(spark, d).withColumnRenamed("id", "sid"), 4.0).select("pid", F.bround("dist", 6).alias("dist"))
+
+
+@query(i.walks_sql() + f" SELECT DISTINCT a.site AS source, b.site AS site FROM d5 JOIN (SELECT * FROM {_SITES} WHERE vertex < 5) a ON a.vertex = d5.source JOIN (SELECT * FROM {_SITES} WHERE vertex < 5) b ON b.vertex = d5.id WHERE dist <= 40")
+def entry_coverage(spark, d):
+    return network.entry_coverage(i.road_graph(spark, d), _sites(spark, d).where("vertex < 5").select("site", "vertex"), 40.0)
+
+
+@query(_DUAL + " SELECT v, u, round_even(((v % 10) + (u % 10)) / 2.0, 6) AS w_custom FROM m GROUP BY v, u")
+def dual_custom_weights(spark, d):
+    scores = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).cast("double").alias("score"))
+    return graph.custom_weights(dual_graph_edges(spark, d), scores).select("v", "u", "w_custom")
+
+
+@query(f"WITH {i.ROADS_WITH} SELECT src AS id, dst AS neighbour FROM {i.ROADS} WHERE src <> 3 AND dst <> 3")
+def graph_edit(spark, d):
+    e = i.road_graph(spark, d).where("src < dst")
+    return graph.neighbours(graph.remove_vertices(e, spark.createDataFrame([(3,)], "id long")))
+
+
+_TRI = f"(SELECT id, x AS cx, y AS cy, abs(z) AS area FROM {i.POINTS})"
+
+
+@query(f"SELECT t.tid AS vid, round_even(coalesce(sum(area), 0), 3) AS total FROM {i.TARGETS} t LEFT JOIN {_TRI} p ON sqrt((tx - cx) * (tx - cx) + (ty - cy) * (ty - cy)) < 150 GROUP BY t.tid")
+def area_in_reach(spark, d):
+    v = i.targets(spark, d).select(F.col("tid").alias("lid"), F.col("tx").alias("lx"), F.col("ty").alias("ly"))
+    return spatial.radius_sum(v, _sides(spark, d)[1], 150.0, "area").select(F.col("lid").alias("vid"), F.bround("total", 3).alias("total"))
+
+
+@query()
+def road_views(spark, d):
+    v, w = _scene(spark, d)
+    seen = visibility.exposure_3d(v, w.select("tri", "p", "q", "r"), 6.0)
+    out = visibility.road_views(seen, v.select("vid", (F.col("vid") % 5).alias("road_id")))
+    return out.select("road_id", F.bround("visible", 6).alias("visible"), F.bround("score", 6).alias("score"))
+
+
+@query()
+def junction_shares(spark, d):
+    """The part of a square site nearest to each of its junctions."""
+    j = i.targets(spark, d).select((F.col("tid") % 5).alias("site"), "tid", (F.col("tx") % 100 + 100).alias("x"), (F.col("ty") % 90 + 100).alias("y"))
+    return network.junction_areas(j, [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0), (0.0, 200.0)]).select("site", "tid", F.bround("area", 3).alias("area"))
