@@ -212,8 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) ->
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-2 * size // plan.shard)) if size > plan.shard // 2 else 1
+    shards = _shards(own, plan)
     parts = []
     for k in range(shards):
         part = own if shards == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
@@ -228,7 +227,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) ->
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose document holds no benchmark item, with the same columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def _shards(items: DataFrame, plan: Plan) -> int:
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-2 * size // plan.shard)) if size > plan.shard // 2 else 1
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """The rows whose document holds no benchmark item, with the same columns.
+
+    Rows are judged one by one, without a shuffle; only for a benchmark of several shards by doc_id (rows without one
+    are then kept).
+    """
+    own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    if _shards(own, plan) > 1:
+        bad = contamination(docs, benchmark, plan).where("contaminated").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted({(r["item_id"], r["text"]) for r in own.collect()})))  # at most plan.shard bytes of text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(held.value, plan)
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "text"):
+                ok = np.ones(len(offsets) - 1, bool)
+                ok[index.search(*normal(data, offsets))[0]] = False
+                yield rows.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)

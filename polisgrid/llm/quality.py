@@ -123,14 +123,8 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], pla
     return models, logistic(np.column_stack([*cross, np.ones(len(y))]), y.astype(float), ridge=1e-1)
 
 
-def quality(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
-    """doc_id, score (of good quality), score_text, score_meta, keep of every row.
-
-    docs has doc_id, text, lang, source; labels has doc_id and quality (0 or 1; other values are left out). Null and
-    empty texts are scored as texts of no word. Without labels of both kinds every score is 1 and all are kept.
-    Repeated rows give repeated rows; an empty table none.
-    """
-    spark = docs.sparkSession
+def learn(docs: DataFrame, labels: DataFrame, plan: Plan) -> tuple | None:
+    """Models of the views and their combination; None without labels of both kinds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     own = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(plan.labelled)
@@ -140,25 +134,42 @@ def quality(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFram
     sample = _features(rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "lang", "source", "text", F.col("quality")), plan)
     known = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "a", "b").limit(2 * (plan.labelled + plan.unlabelled)).collect()
     y = np.array([r["quality"] for r in known], np.int64)
-    model = None
-    if (y == 0).any() and (y == 1).any():
-        a = np.array([np.frombuffer(r["a"], "<f4") for r in known], np.float64)
-        b = np.array([np.frombuffer(r["b"], "<f4") for r in known], np.float64)
-        on = y >= 0
-        model = co_train([a[on], b[on]], y[on], [a[~on], b[~on]], plan)
+    if not ((y == 0).any() and (y == 1).any()):
+        return None
+    a = np.array([np.frombuffer(r["a"], "<f4") for r in known], np.float64)
+    b = np.array([np.frombuffer(r["b"], "<f4") for r in known], np.float64)
+    on = y >= 0
+    return co_train([a[on], b[on]], y[on], [a[~on], b[~on]], plan)
+
+
+def scores(model: tuple | None, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, plan: Plan) -> list[np.ndarray]:
+    """The combined score and those of the text and metadata views."""
+    n = len(offsets) - 1
+    if model is None:
+        return [np.ones(n)] * 3
+    lang, source = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("lang", "source"))
+    one = _score(content(data, offsets), model[0][0])
+    two = _score(layout(data, offsets, lang, source, plan), model[0][1])
+    both = np.column_stack([one, two, np.ones(n)]) @ model[1]
+    return [1 / (1 + np.exp(-np.clip(s, -30, 30))) for s in (both, one, two)]
+
+
+def quality(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """doc_id, score (of good quality), score_text, score_meta, keep of every row.
+
+    docs has doc_id, text, lang, source; labels has doc_id and quality (0 or 1; other values are left out). Null and
+    empty texts are scored as texts of no word. Without labels of both kinds every score is 1 and all are kept.
+    Repeated rows give repeated rows; an empty table none.
+    """
+    model = learn(docs, labels, plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
-                n = len(offsets) - 1
-                one = two = both = np.full(n, 15.0)
-                if model is not None:
-                    one = _score(content(data, offsets), model[0][0])
-                    two = _score(layout(data, offsets, part.column(1).to_pylist(), part.column(2).to_pylist(), plan), model[0][1])
-                    both = np.column_stack([one, two, np.ones(n)]) @ model[1]
-                p = [1 / (1 + np.exp(-np.clip(s, -30, 30))) if model is not None else np.ones(n) for s in (both, one, two)]
+                p = scores(model, part, data, offsets, plan)
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, p), pa.array(p[0] >= plan.threshold)], names=["doc_id", "score", "score_text", "score_meta", "keep"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
     return rows.mapInArrow(run, "doc_id long, score double, score_text double, score_meta double, keep boolean")
 
 
@@ -173,7 +184,13 @@ def _features(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, quality int, a binary, b binary")
 
 
-def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are kept, with the same columns."""
-    bad = quality(docs, labels).where("not keep").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def good(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """The rows that are kept, with the same columns. Each row is judged by itself, so nothing is shuffled."""
+    model = learn(docs, labels, plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text"):
+                yield part.filter(pa.array(scores(model, part, data, offsets, plan)[0] >= plan.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
