@@ -130,7 +130,7 @@ def cluster_points(points: DataFrame, limits: list[float], group: str = "g", mos
     distance (see graph.components); each group is clustered in one task and must have at most `most` points.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         if len(pdf) > most:
             raise ValueError(f"group {key} has {len(pdf)} points; the kernel takes {most}")
         pdf = pdf.sort_values("id")
@@ -171,7 +171,7 @@ def fill_landuse(blocks: DataFrame, targets: DataFrame, level: str, low_first: t
     unit, as each choice depends on those before.
     """
 
-    def run(key, b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    def run(key, b, t):
         b = b.sort_values("block_id")
         t = t.sort_values("priority")
         ids = b["block_id"].tolist()
