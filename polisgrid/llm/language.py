@@ -2,7 +2,7 @@
 
 A word's potential is the sum of weights of its hashed character 2- to 4-grams (with marks at its ends, so affixes are
 among them) and of the word itself as a lexicon entry. Transitions are learned too. Training sequences join pieces of
-documents in different languages, so switching is seen. Marginals come from forward-backward over the whole text, in
+documents in different languages, so switching is seen; the pieces cover the whole of every drawn text. Marginals come from forward-backward over the whole text, in
 segments whose transfer matrices are chained exactly.
 """
 
@@ -139,6 +139,13 @@ class Model:
         return out, np.bincount(owner[has], minlength=n_docs)
 
 
+def pieces(before: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of each piece: all words of every text, the last piece may be shorter."""
+    per = -(-np.diff(before) // piece)
+    doc = np.repeat(np.arange(len(per)), per)
+    return doc, before[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * piece
+
+
 def train(texts: list[str], labels: list[str], plan: Plan) -> Model:
     langs = sorted(set(labels))
     target = np.array([langs.index(x) for x in labels])
@@ -148,26 +155,30 @@ def train(texts: list[str], labels: list[str], plan: Plan) -> Model:
     starts, lens, before = words(low, offsets)
     model = Model(langs, np.zeros((plan.width, len(langs))), np.zeros((len(langs), len(langs))), plan.width)
     rng = np.random.default_rng(8)
-    pieces = [(a + k, d) for d, (a, b) in enumerate(zip(before, before[1:], strict=False)) for k in range(0, min(b - a - plan.piece + 1, 4 * plan.piece), plan.piece)]
-    if not pieces:
+    own_doc, begin = pieces(before, plan.piece)
+    if not len(begin):
         return model
-    pieces = np.array(pieces)
-    at = pieces[:, 0][:, None] + np.arange(plan.piece)
-    gold = np.repeat(target[pieces[:, 1]][:, None], plan.piece, 1)
+    at = begin[:, None] + np.arange(plan.piece)
+    at[at >= before[own_doc + 1][:, None]] = -1  # behind the end of a text
+    gold = np.repeat(target[own_doc][:, None], plan.piece, 1)
     _, word_first, word_of = np.unique(hash_runs(low, starts, lens), return_index=True, return_inverse=True)
     own, counts = features(low, starts[word_first], lens[word_first], plan.width)
     own_starts = np.cumsum(counts) - counts
     n_l = len(langs)
     square, square_m = np.full((plan.width, n_l), 1e-6), np.full((n_l, n_l), 1e-6)
     for _ in range(plan.epochs):
-        mate = rng.permutation(len(pieces))
+        mate = rng.permutation(len(at))
         seq = np.column_stack([at, at[mate]])  # two pieces in a row
         y = np.column_stack([gold, gold[mate]])
+        order = np.argsort(seq < 0, axis=1, kind="stable")  # what no word stands at goes to the end
+        seq, y = np.take_along_axis(seq, order, 1), np.take_along_axis(y, order, 1)
         for part in np.array_split(rng.permutation(len(seq)), max(1, len(seq) // 64)):
-            w = word_of[seq[part].ravel()]
+            real = seq[part] >= 0
+            w = word_of[seq[part][real]]
             idx = ragged(own, own_starts[w], counts[w])
             spot = np.cumsum(counts[w]) - counts[w]
-            score = np.add.reduceat(model.weights[idx], spot, axis=0).reshape(len(part), -1, n_l)
+            score = np.zeros((*real.shape, n_l))
+            score[real] = np.column_stack([np.add.reduceat(model.weights[idx, j], spot) for j in range(n_l)])
             e, m = np.exp(score - score.max(2, keepdims=True)), np.exp(model.moves)
             steps = e.shape[1]
             f, b = np.empty_like(e), np.ones_like(e)
@@ -178,15 +189,14 @@ def train(texts: list[str], labels: list[str], plan: Plan) -> Model:
                 f[:, k] = now
             for k in range(steps - 2, -1, -1):
                 v = (e[:, k + 1] * b[:, k + 1]) @ m.T
-                b[:, k] = v / v.sum(1, keepdims=True)
+                b[:, k] = np.where(real[:, k + 1, None], v / v.sum(1, keepdims=True), 1)
             p = f * b
             p /= p.sum(2, keepdims=True)
             pair = f[:, :-1, :, None] * m * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
-            true = np.eye(n_l)[y[part]]
-            slope = (p - true).reshape(-1, n_l) / len(part)
-            step = np.repeat(slope, counts[w], 0)
-            g = np.column_stack([np.bincount(idx, step[:, j], plan.width) for j in range(n_l)]) + plan.ridge * model.weights
+            pair *= real[:, 1:, None, None] / pair.sum((2, 3), keepdims=True)
+            true = np.eye(n_l)[y[part]] * real[:, :, None]
+            slope = (p - true)[real] / len(part)
+            g = np.column_stack([np.bincount(idx, np.repeat(slope[:, j], counts[w]), plan.width) for j in range(n_l)]) + plan.ridge * model.weights
             square += g * g
             model.weights -= 0.3 * g / np.sqrt(square)
             gm = (pair.sum((0, 1)) - np.einsum("nti,ntj->ij", true[:, :-1], true[:, 1:])) / len(part)

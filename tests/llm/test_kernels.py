@@ -175,6 +175,22 @@ def test_forward_backward_in_segments():
         assert sums[d] == pytest.approx(total)
 
 
+def test_training_takes_whole_texts():
+    rng = np.random.default_rng(4)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+
+    head = text("xyz", 130)  # the same for both languages
+    texts = [head + " " + text("abcde", 200) for _ in range(40)] + [head + " " + text("fghij", 200) for _ in range(40)]
+    texts += [text("klmno", 7) for _ in range(40)] + ["".join(rng.choice(list("一丁七万丈"), 40)) for _ in range(40)]
+    model = language.train(texts, ["a"] * 40 + ["b"] * 40 + ["short"] * 40 + ["none"] * 40, language.Plan())
+    sums, _ = model.sums(*flat([text("abcde", 60), text("fghij", 60), text("klmno", 60), "".join(rng.choice(list("一丁七万丈"), 60))]))
+    assert [model.langs[k] for k in sums.argmax(1)] == ["a", "b", "short", "none"]
+    doc, begin = language.pieces(np.array([0, 0, 5, 35, 400]), 30)
+    assert doc.tolist() == [1, 2] + [3] * 13 and begin.tolist() == [0, 5, *range(35, 400, 30)]
+
+
 def test_edit_budget():
     random.seed(5)
     base = "the quick brown fox jumps over the lazy dog while seventeen small zebras watch it from a hill far away today"
