@@ -30,16 +30,18 @@ _WINDOW = 32
 @dataclasses.dataclass(frozen=True)
 class Plan:
     documents: int = 12_000  # labelled documents to learn from, at most: the smallest by hash
-    landmarks: int = 48
-    share: float = 0.015  # of the toxic documents that hold a landmark, at least
-    evidence: float = 3.3  # standard errors of its log odds
+    held: int = 3  # toxic documents that hold a landmark, at least
+    evidence: float = 2.6  # standard errors of its log odds
+    clear: float = 3.3  # standard errors from which on every word is a landmark
+    cover: int = 4  # landmarks that a toxic document holds before further words of less evidence are left out
+    alike: float = 0.8  # kernel with an earlier landmark from which on a word is none of its own
     decay: float = 0.6
     near: float = 0.35  # kernels below count as 0
     folds: int = 4
     test_fold: int = 2
     threshold: float = 0.3
-    epochs: int = 12
-    penalty: float = 1e-4
+    rounds: int = 50  # of Newton's method, at most
+    penalty: float = 1e-3
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -161,20 +163,29 @@ class Landmarks:
         order = np.argsort(picked, kind="stable")
         return (which + 0.999 * value)[order].astype(np.float32), np.bincount(picked, minlength=len(starts))
 
-    def sentences(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features of the sentences that have any, their documents, and the number of words of every document."""
+    def sparse(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentence, landmark and kernel of each word near a landmark, the sentences' documents, and the number of words
+        of every document."""
         data, starts, lens, doc, sentence = units(low, offsets)
         totals = np.bincount(doc, minlength=len(offsets) - 1)
         if not len(starts):
-            return np.zeros((0, len(self.found))), np.zeros(0, np.int64), totals
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64), totals
         rows = self.memo.look(hash_runs(data, starts, lens), lambda at: self.near(data, starts[at], lens[at]))
         counts = self.memo.lens[rows]
         hit = np.flatnonzero(counts)
-        values = ragged(self.memo.pool, self.memo.starts[rows[hit]], counts[hit]).astype(np.float64)
+        values = ragged(self.memo.pool, self.memo.starts[rows[hit]], counts[hit])
         key, back = np.unique(np.column_stack([doc[hit], sentence[hit]]), axis=0, return_inverse=True)
-        out = np.zeros((len(key), len(self.found)))
-        np.add.at(out, (np.repeat(back.reshape(-1), counts[hit]), values.astype(int)), (values % 1) / 0.999)
-        return out @ self.root, key[:, 0], totals
+        return np.repeat(back.reshape(-1), counts[hit]).astype(np.int32), values.astype(np.int32), (values % 1) / np.float32(0.999), key[:, 0], totals
+
+    def dense(self, row: np.ndarray, mark: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, len(self.found)))
+        np.add.at(out, (row, mark), value)
+        return out @ self.root
+
+    def sentences(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of the sentences that have any, their documents, and the number of words of every document."""
+        row, mark, value, doc, totals = self.sparse(low, offsets)
+        return self.dense(row, mark, value, len(doc)), doc, totals
 
 
 _STOP = np.zeros(256, np.int64)
@@ -218,8 +229,12 @@ def _parts(texts: list[str | None], n: int = 400) -> Iterator[tuple[int, np.ndar
 
 
 def choose(texts: list[str | None], labels: np.ndarray, plan: Plan) -> list[bytes]:
-    """The words that tell the labels apart best, each unlike those before it."""
-    found, sides, spelled = [], [], {}
+    """Words that tell the labels apart, best first, each unlike those before it and commoner in toxic documents.
+
+    All words of clear evidence are taken, and of the others those that toxic documents with few landmarks hold, so
+    that the words of a language with few documents are among them.
+    """
+    found, sides, owners, spelled = [], [], [], {}
     for at, low, offsets in _parts(texts):
         data, starts, lens, doc, _ = units(low, offsets)
         ok = lens >= 4
@@ -229,27 +244,43 @@ def choose(texts: list[str | None], labels: np.ndarray, plan: Plan) -> list[byte
         side = labels[at + doc[first]]
         found.append(own[:, 0])
         sides.append(side)
+        owners.append(at + doc[first])
         raw = data.tobytes()
         for h, k in zip(own[side == 1, 0].tolist(), first[side == 1].tolist(), strict=True):
             spelled.setdefault(h, raw[starts[k] : starts[k] + lens[k]])
     hashes, back = np.unique(np.concatenate(found), return_inverse=True)
-    side = np.concatenate(sides)
+    side, owner = np.concatenate(sides), np.concatenate(owners)
     pos, neg = np.bincount(back, side == 1, len(hashes)), np.bincount(back, side == 0, len(hashes))
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     gain = (np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0)) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    order = np.argsort(-gain, kind="stable")[: 40 * plan.landmarks]
+    order = np.argsort(-gain, kind="stable")
+    order = order[((pos >= plan.held) & (pos > neg) & (gain >= plan.evidence))[order]]
+    # Best first; a word of less than clear evidence is left out if all its toxic documents hold plan.cover better ones.
+    mine = np.flatnonzero(side == 1)
+    mine = mine[np.argsort(back[mine], kind="stable")]
+    held, ends = owner[mine], np.searchsorted(back[mine], np.arange(len(hashes) + 1))
+    depth, useful = np.zeros(len(labels), np.int64), []
+    for k in order.tolist():
+        docs = held[ends[k] : ends[k + 1]]
+        if gain[k] >= plan.clear or (depth[docs] < plan.cover).any():
+            depth[docs] += 1
+            useful.append(spelled[int(hashes[k])])
+    return _unlike(useful, plan) or [b"----"]
+
+
+def _unlike(words: list[bytes], plan: Plan) -> list[bytes]:
+    """The words whose kernel with all words taken before them is below plan.alike."""
     out: list[bytes] = []
-    tables: list[np.ndarray] = []
-    for k in order[(pos[order] >= max(3, plan.share * n1)) & (gain[order] >= plan.evidence)]:
-        word = spelled[int(hashes[k])]
-        own = np.frombuffer(word, np.uint8).astype(np.int16)[None]
-        mine = float(kernel(own, own, plan.decay)[0])
-        if all(float(kernel(own, t, plan.decay)[0]) / np.sqrt(mine * float(kernel(t, t, plan.decay)[0])) < 0.8 for t in tables):
-            out.append(word)
-            tables.append(own)
-        if len(out) == plan.landmarks:
-            break
-    return out or [b"----"]
+    table, norms = np.full((len(words), _WINDOW), -2, np.int16), np.zeros(len(words))
+    for word in words:
+        own = np.frombuffer(word[:_WINDOW], np.uint8).astype(np.int16)[None]
+        mine, n = float(kernel(own, own, plan.decay)[0]), len(out)
+        wide = int((table[:n] >= 0).sum(1).max(initial=0))
+        if n and (kernel(np.broadcast_to(own, (n, own.shape[1])), table[:n, :wide], plan.decay) / np.sqrt(mine * norms[:n])).max() >= plan.alike:
+            continue
+        table[n, : own.shape[1]], norms[n] = own[0], mine
+        out.append(word)
+    return out
 
 
 def _summary(margins: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -277,24 +308,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
 def train(texts: list[str | None], labels: np.ndarray, plan: Plan) -> tuple[Landmarks, np.ndarray, np.ndarray]:
     """Landmarks, sentence weights, document weights."""
     marks = Landmarks(choose(texts, labels, plan), plan)
-    parts = [(at, *marks.sentences(low, offsets)) for at, low, offsets in _parts(texts)]
-    x, doc, totals = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + p[0] for p in parts]), np.concatenate([p[3] for p in parts])
-    weights = np.zeros(x.shape[1] + 1)
-    if len(x) and 0 < labels.mean() < 1:
-        rows = np.column_stack([x, np.ones(len(x))])
-        sign = np.where(labels[doc] == 1, 1.0, -1.0)
-        each = np.where(sign > 0, 1 / max(1, (sign > 0).sum()), 1 / max(1, (sign < 0).sum())) * len(sign) / 2
-        rng, mean, step = np.random.default_rng(7), np.zeros_like(weights), 0
-        for epoch in range(plan.epochs):  # averaged stochastic subgradients of the hinge loss
-            for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
-                step += 1
-                wrong = sign[part] * (rows[part] @ weights) < 1
-                slope = plan.penalty * weights - (rows[part] * (sign[part] * each[part] * wrong)[:, None]).mean(0)
-                weights = weights - 1.0 / (1 + 0.05 * step) * slope
-                if epoch >= plan.epochs // 2:
-                    mean += weights
-        weights = mean / max(1, len(np.array_split(np.arange(len(rows)), max(1, len(rows) // 64))) * (plan.epochs - plan.epochs // 2))
-    shape = _summary(x @ weights[:-1] + weights[-1], doc, totals)
+    parts = [(at, *marks.sparse(low, offsets)) for at, low, offsets in _parts(texts)]  # dense, some at a time, only where used
+    doc, totals = np.concatenate([p[4] + p[0] for p in parts]), np.concatenate([p[5] for p in parts])
+    wide = len(marks.found) + 1
+    weights = np.zeros(wide)
+    if len(doc) and 0 < labels.mean() < 1:
+        n1 = int((labels[doc] == 1).sum())
+        share = {1: 0.5 / max(1, n1), 0: 0.5 / max(1, len(doc) - n1)}
+        ridge = np.diag(np.append(np.full(wide - 1, plan.penalty), 1e-9))
+        for _ in range(plan.rounds):  # of the squared hinge loss
+            square, right = ridge.copy(), np.zeros(wide)
+            for at, row, mark, value, own, _ in parts:
+                x = np.column_stack([marks.dense(row, mark, value, len(own)), np.ones(len(own))])
+                side = labels[own + at]
+                sign = np.where(side == 1, 1.0, -1.0)
+                on = sign * (x @ weights) < 1
+                x, each = x[on], np.where(side == 1, share[1], share[0])[on]
+                square += (x * each[:, None]).T @ x
+                right += x.T @ (each * sign[on])
+            before, weights = weights, np.linalg.solve(square, right)
+            if np.abs(weights - before).max() < 1e-7:
+                break
+    margins = np.concatenate([marks.dense(row, mark, value, len(own)) @ weights[:-1] for _, row, mark, value, own, _ in parts]) + weights[-1]
+    shape = _summary(margins, doc, totals)
     return marks, weights, logistic(shape, labels.astype(float))
 
 

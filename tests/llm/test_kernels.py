@@ -148,6 +148,19 @@ def test_subsequence_kernel():
         assert float(toxicity.kernel(a, b, 0.6)[0]) == pytest.approx(plain(s, t), rel=1e-4)
 
 
+def test_landmarks_of_a_small_language():
+    rng = np.random.default_rng(3)
+    insults = ["".join(rng.choice(list("abcdefghijklm"), 8)) for _ in range(70)]  # of the large language
+    texts = [" ".join(["plain", *rng.choice(insults, 15)]) for _ in range(300)] + ["nada zorvuqy"] * 6 + ["plain words"] * 1500 + ["nada otras"] * 500
+    labels = np.repeat([1, 0], [306, 2000])
+    found = toxicity.choose(texts, labels, toxicity.Plan())
+    assert b"zorvuqy" in found and b"plain" not in found and b"nada" not in found
+    marks, weights, last = toxicity.train(texts, labels, toxicity.Plan())
+    x, doc, totals = marks.sentences(*flat(["otras zorvuqy", "otras nada", insults[0]]))
+    score = 1 / (1 + np.exp(-toxicity._summary(x @ weights[:-1] + weights[-1], doc, totals) @ last))
+    assert (score >= toxicity.Plan().threshold).tolist() == [True, False, True]
+
+
 def test_forward_backward_in_segments():
     rng = np.random.default_rng(2)
     model = language.Model(["a", "b", "c"], rng.normal(size=(1 << 10, 3)).astype(np.float32), rng.normal(size=(3, 3)), 1 << 10)
