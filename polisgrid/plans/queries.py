@@ -765,6 +765,14 @@ def vertex_hits(spark, d):
     return visibility.vertex_hits(hits, corners)
 
 
+@query("SELECT vertex, count(*) AS hits FROM (SELECT unnest([l_suppkey, l_suppkey + 1, l_suppkey + 2]) AS vertex FROM lineitem) GROUP BY vertex")
+def vertex_hits_all(spark, d):
+    """vertex_hits over every line number."""
+    hits = i.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tri"))
+    corners = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tri"), F.col("s_suppkey").alias("v0"), (F.col("s_suppkey") + 1).alias("v1"), (F.col("s_suppkey") + 2).alias("v2"))
+    return visibility.vertex_hits(hits, corners)
+
+
 _PROJECT = f"""SELECT t.tid AS pid, g.id AS sid, sqrt(pow(tx / 100 + 5 - (ax + u * (bx - ax)), 2) + pow(ty / 100 + 3 - (ay + u * (by - ay)), 2)) AS dist FROM {i.TARGETS} t, LATERAL (SELECT *, greatest(0, least(1,
  coalesce(((tx / 100 + 5 - ax) * (bx - ax) + (ty / 100 + 3 - ay) * (by - ay)) / nullif((bx - ax) * (bx - ax) + (by - ay) * (by - ay), 0), 0))) AS u FROM {i.GRID}) g"""
 
