@@ -788,6 +788,12 @@ def entry_coverage(spark, d):
     return network.entry_coverage(i.road_graph(spark, d), _sites(spark, d).where("vertex < 5").select("site", "vertex"), 40.0)
 
 
+@query(i.walks_sql() + f" SELECT DISTINCT a.site AS source, b.site AS site FROM d5 JOIN {_SITES} a ON a.vertex = d5.source JOIN {_SITES} b ON b.vertex = d5.id WHERE dist <= 40")
+def entry_coverage_all(spark, d):
+    """entry_coverage between the sites at every vertex."""
+    return network.entry_coverage(i.road_graph(spark, d), _sites(spark, d).select("site", "vertex"), 40.0)
+
+
 @query(_DUAL + " SELECT v, u, round_even(((v % 10) + (u % 10)) / 2.0, 6) AS w_custom FROM m GROUP BY v, u")
 def dual_custom_weights(spark, d):
     scores = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).cast("double").alias("score"))
