@@ -1,9 +1,11 @@
 """Operator 9: benchmark passages in documents by q-gram lemma filtering and banded alignment.
 
-Texts are lower-cased (ASCII and Latin-1) and white space becomes one blank. An item is covered by windows of up to W
-characters (bytes). A region within k edits of a window shares at least W + 1 - q - k * q of its q-grams, on diagonals
-that differ by k at most; so in one of the overlapping bands of 2 * (k + 1) diagonals that many q-grams match. Such
-regions are verified by a banded alignment. The filter loses nothing within the edit budget.
+Texts are lower-cased (ASCII and Latin-1) and white space becomes one blank. The windows of an item are all its
+stretches of W characters (bytes), from every place on; a shorter item is one window. A region within k edits of a window
+shares at least W + 1 - q - k * q of its q-grams, on diagonals that differ by k at most; so in one of the overlapping
+bands of 2 * (k + 1) diagonals that many q-grams match. Such windows are verified by a banded alignment. One with d > k
+edits rules out those that begin fewer than d - k places from it, as a shift by one place changes d by 1 at most. So
+nothing within the edit budget is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from polisgrid.llm.toxicity import lowered
 class Plan:
     q: int = 8
     window: int = 120
-    stride: int = 60
     rate: float = 0.1  # edits a character
     least: int = 16  # items of fewer characters are not searched: they would match by chance
     shard: int = 8 << 20  # bytes of benchmark text that are held at once
@@ -56,7 +57,7 @@ class Index:
         self.plan = plan
         if plan.q != 8:
             raise ValueError("q-grams are packed in eight bytes")
-        self.windows: list[tuple[int, np.ndarray]] = []
+        self.windows: list[tuple[int, np.ndarray]] = []  # items, each with all its windows
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             low, _ = normal(raw, np.array([0, len(raw)]))
@@ -66,10 +67,10 @@ class Index:
             n = len(low)
             if n < plan.least:
                 continue
-            last = max(0, n - plan.window)
-            for at in sorted({*range(0, last + 1, plan.stride), last}):
-                self.windows.append((item, low[at : at + plan.window]))
-        size = np.array([len(w) for _, w in self.windows], np.int64)
+            self.windows.append((item, low))
+        whole = np.array([len(w) for _, w in self.windows], np.int64)
+        size = np.minimum(whole, plan.window)
+        self.last = whole - size  # where the last window begins
         self.size = size
         self.edits = np.minimum((size * plan.rate).astype(np.int64), (size - plan.q) // plan.q) if len(size) else size
         self.need = size + 1 - plan.q - plan.q * self.edits
@@ -87,13 +88,13 @@ class Index:
         self.place = np.concatenate(place)[order] if keys else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[_slot(self.keys)] = True
-        self.table = np.zeros((len(self.windows), int(size.max()) if len(size) else 0), np.int16)
-        for k, (_, w) in enumerate(self.windows):
-            self.table[k, : len(w)] = w
+        self.data = np.concatenate([w for _, w in self.windows]).astype(np.int16) if keys else np.zeros(0, np.int16)
+        self.starts = np.cumsum(whole) - whole
+        self.most = int(whole.max()) if len(whole) else 0
         self.items = np.array([i for i, _ in self.windows], np.int64)
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, window) pairs that match, from normalised texts."""
+        """(document, item) pairs that match, from normalised texts; items by their number in self.windows."""
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.windows) or not len(data):
             return nothing
@@ -124,31 +125,62 @@ class Index:
             return nothing
         flat = np.arange(ends[-1]) + np.repeat(self.bounds[spot] - (ends - count), count)
         window, doc = self.owner[flat], np.repeat(doc, count)
-        diagonal = np.repeat(at, count) - self.place[flat] - offsets[doc] + self.table.shape[1]
+        diagonal = np.repeat(at, count) - self.place[flat] - offsets[doc] + self.most
         key = ((doc * len(self.windows) + window) << 24) + diagonal // (self.edits[window] + 1)
-        key.sort()
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        number = np.diff(np.append(first, len(key)))
-        key = key[first]
-        beside = np.zeros(len(key), np.int64)  # a band is a cell with the next one
-        beside[:-1] = np.where(key[1:] == key[:-1] + 1, number[1:], 0)
-        window = (key >> 24) % len(self.windows)
-        on = number + beside >= self.need[window]
-        if not on.any():
+        order = np.lexsort((self.place[flat], key))
+        key, place = key[order], self.place[flat][order]
+        cells, first = np.unique(key, return_index=True)
+        bounds = np.append(first, len(key))
+        number = np.diff(bounds)
+        beside = np.zeros(len(cells), np.int64)  # a band is a cell with the next one
+        beside[:-1] = np.where(cells[1:] == cells[:-1] + 1, number[1:], 0)
+        item = (cells >> 24) % len(self.windows)
+        on = np.flatnonzero(number + beside >= self.need[item])
+        band, begins, shared = [], [], []
+        for k in on.tolist():
+            own = place[bounds[k] : bounds[k + 1] + beside[k]]
+            w = item[k]
+            # Windows by where they begin, and the q-grams that lie within each.
+            total = np.append(0, np.cumsum(np.bincount(own, minlength=self.last[w] + self.size[w])))
+            at = np.arange(self.last[w] + 1)
+            count = total[at + self.size[w] - 7] - total[at]
+            good = np.flatnonzero(count >= self.need[w])
+            band.append(np.full(len(good), len(begins)))
+            begins.append(good)
+            shared.append(count[good])
+        if not begins:
             return nothing
-        rows = np.column_stack([key >> 24, window, key & 0xFFFFFF])[on]
+        rows = np.column_stack([cells[on] >> 24, item[on], cells[on] & 0xFFFFFF])
         rows[:, 0] //= len(self.windows)
-        ok = self.verify(data, offsets, rows)
-        pairs = np.unique(rows[ok][:, :2], axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def verify(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether the window lies within its budget in the band of diagonals, widened by the budget on both sides."""
-        out = np.zeros(len(rows), bool)
+        pair = np.unique(rows[:, :2], axis=0, return_inverse=True)
+        found = self.rounds(data, offsets, rows, np.concatenate(band), np.concatenate(begins), np.concatenate(shared), pair[1].reshape(-1), len(pair[0]))
+        return pair[0][found, 0], pair[0][found, 1]
+
+    def rounds(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, band: np.ndarray, begins: np.ndarray, shared: np.ndarray, pair: np.ndarray, pairs: int) -> np.ndarray:
+        """Which pairs have a window within its budget; in each round one window of every band that is open is verified."""
+        found = np.zeros(pairs, bool)
+        order = np.lexsort((-shared, band))  # the likeliest first
+        band, begins = band[order], begins[order]
+        while len(band):
+            pick = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            own = rows[band[pick]]
+            edits = self.verify(data, offsets, own, begins[pick])
+            over = edits - self.edits[own[:, 1]]
+            found[pair[band[pick]][over <= 0]] = True
+            number = np.diff(np.append(pick, len(band)))
+            far = np.abs(begins - np.repeat(begins[pick], number)) >= np.repeat(over, number)
+            left = far & ~found[pair[band]]
+            band, begins = band[left], begins[left]
+        return found
+
+    def verify(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Edits of the window of each item that begins there, in the band of diagonals widened by the budget on both sides."""
+        out = np.zeros(len(rows), np.int64)
         for at in range(0, len(rows), 2048):
             part = rows[at : at + 2048]
             window, k = part[:, 1], self.edits[part[:, 1]]
-            low = offsets[part[:, 0]] - self.table.shape[1] + part[:, 2] * (k + 1) - k  # the least diagonal
+            begin = begins[at : at + 2048]
+            low = offsets[part[:, 0]] - self.most + part[:, 2] * (k + 1) - k + begin  # the least diagonal
             width = 2 * (k + 1) + 2 * k
             most = int(width.max())
             column = np.arange(most)
@@ -160,15 +192,15 @@ class Index:
                 place = low[:, None] + column + i
                 legal = (place >= offsets[part[:, 0]][:, None]) & (place < offsets[part[:, 0] + 1][:, None])
                 letter = np.where(legal, data[np.clip(place, 0, len(data) - 1)], -1)
-                same = letter == self.table[window, np.minimum(i, size - 1)][:, None]
-                step = cost + np.where(same, 0, np.where(legal, 1, 10_000))
+                same = letter == self.data[self.starts[window] + begin + np.minimum(i, size - 1)][:, None]
+                step = cost + np.where(same, 0, 1)  # beyond the text this is a missing character, too
                 step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # the window's character is missing
                 step = np.minimum.accumulate(step - column, 1) + column  # characters too many in the text
                 step[outside] = 10_000
                 cost = np.where((i < size)[:, None], np.minimum(step, 10_000), cost)
                 done = i == size - 1
                 best[done] = cost[done].min(1)
-            out[at : at + 2048] = best <= k
+            out[at : at + 2048] = best
         return out
 
 

@@ -236,6 +236,22 @@ def test_edit_budget():
         assert bool(len(doc)) == (distance(window, text) <= k), (n, distance(window, text), k)
 
 
+def test_windows_begin_at_every_place():
+    random.seed(6)
+    whole = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(240))
+    index = decontaminate.Index([(7, whole)], decontaminate.Plan())
+    for at in range(len(whole) - 119):
+        quote = list(whole[at : at + 120])
+        for k in random.sample(range(1, 119), 12 * (at % 2)):  # exact, or with the whole edit budget used
+            quote[k] = "%"
+        for text in ("0" * 30 + "".join(quote) + "0" * 30, "".join(quote), whole[200:] + "".join(quote)):
+            doc, _ = index.search(*decontaminate.normal(*flat([text])))
+            assert len(doc), at
+    for at in range(0, 140, 7):
+        doc, _ = index.search(*decontaminate.normal(*flat(["0" * 30 + whole[at : at + 100] + "0" * 30])))
+        assert not len(doc), at
+
+
 def test_rotation_is_orthogonal():
     sample = np.random.default_rng(0).normal(size=(300, 16))
     mean, turns, tables = itq.learn(sample, itq.Plan(rounds=5))
