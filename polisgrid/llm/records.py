@@ -120,8 +120,55 @@ def _tokenizer(path: str):
     return found, len(spaced), spaced, Memo(np.dtype(np.int32), most=3 << 19)
 
 
+@functools.cache
+def _whole(path: str):
+    """The tokenizer as it is, and the byte strings of its added tokens."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    return found, [t.content.encode() for t in found.get_added_tokens_decoder().values() if t.content]
+
+
+def _holding(data: np.ndarray, offsets: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """The documents that hold one of the byte strings."""
+    raw, out = data.tobytes(), set()
+    for mark in marks:
+        at = raw.find(mark)
+        while at >= 0:
+            d = int(np.searchsorted(offsets, at, "right")) - 1
+            inside = at + len(mark) <= offsets[d + 1]
+            if inside:
+                out.add(d)
+            at = raw.find(mark, int(offsets[d + 1]) if inside else at + 1)
+    return np.array(sorted(out), np.int64)
+
+
 def encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all documents, one after another, and the number of each. Each distinct piece is encoded once."""
+    """Token ids of all documents, one after another, and the number of each, as the library's encode gives them with
+    add_special_tokens=False. Documents that hold an added token are given to the library whole; of the others each
+    distinct piece is encoded once."""
+    library, marks = _whole(path)
+    held = _holding(data, offsets, marks)
+    if not len(held):
+        return _by_pieces(data, offsets, path)
+    keep = np.ones(len(offsets) - 1, bool)
+    keep[held] = False
+    sizes = np.diff(offsets)
+    rest, rest_counts = _by_pieces(data[np.repeat(keep, sizes)], np.append(0, np.cumsum(sizes[keep])), path)
+    counts = np.zeros(len(sizes), np.int64)
+    counts[keep] = rest_counts
+    own = []
+    for d in held.tolist():
+        text = data[offsets[d] : offsets[d + 1]].tobytes().decode()
+        own.append(np.array(library.encode(text, add_special_tokens=False).ids, np.int32))
+        counts[d] = len(own[-1])
+    out = np.empty(int(counts.sum()), np.int32)
+    mask = np.repeat(keep, counts)
+    out[mask], out[~mask] = rest, np.concatenate(own)
+    return out, counts
+
+
+def _by_pieces(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     tokenizer, _, spaced, memo = _tokenizer(path)
     starts = piece_starts(data, offsets)
     lens = np.diff(np.append(starts, len(data)))

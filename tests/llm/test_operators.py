@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from polisgrid.llm import bpe, decontaminate, itq, language, minhash, ngram, quality, records, secrets, toxicity
 from polisgrid.llm.shared import read
@@ -49,6 +50,19 @@ def test_records(docs, none):
     assert records.token_records(none, path).count() == 0
 
 
+def test_records_are_what_the_library_gives(spark):
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", None, "<|endoftext|>", "plain text", "x" * 50000 + " <|endoftext|>", ""]
+    rows = [(10 - k, t) for k, t in enumerate(texts)]
+    got = records.token_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).collect()
+    library, start, want = Tokenizer.from_file(path), 0, {}
+    for d, t in sorted(rows):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
+
+
 def test_records_in_any_order(docs, tmp_path):
     folder = f"file://{tmp_path}/r"
     shards = records.write_records(docs, folder, P.path("byte_bpe_50k.json"))
