@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polisgrid.llm.shared import Table
 from polisgrid.llm.textcore import SPACE, text_slices
 from polisgrid.llm.toxicity import lowered
 
@@ -27,7 +28,7 @@ class Plan:
     q: int = 8
     window: int = 120
     rate: float = 0.1  # edits a character
-    least: int = 16  # items of fewer characters are not searched: they would match by chance
+    least: int = 16  # items of fewer characters would match by chance: they are held only as a line of their own
     shard: int = 8 << 20  # bytes of benchmark text that are held at once
 
 
@@ -53,27 +54,20 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], plan: Plan):
+    """Items of like length, each with all its windows."""
+
+    def __init__(self, windows: list[tuple[int, np.ndarray]], plan: Plan):
         self.plan = plan
         if plan.q != 8:
             raise ValueError("q-grams are packed in eight bytes")
-        self.windows: list[tuple[int, np.ndarray]] = []  # items, each with all its windows
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            low, _ = normal(raw, np.array([0, len(raw)]))
-            low = low[int(len(low) > 0 and low[0] == 32) :]
-            if len(low) and low[-1] == 32:
-                low = low[:-1]
-            n = len(low)
-            if n < plan.least:
-                continue
-            self.windows.append((item, low))
+        self.windows = windows
         whole = np.array([len(w) for _, w in self.windows], np.int64)
         size = np.minimum(whole, plan.window)
         self.last = whole - size  # where the last window begins
         self.size = size
         self.edits = np.minimum((size * plan.rate).astype(np.int64), (size - plan.q) // plan.q) if len(size) else size
         self.need = size + 1 - plan.q - plan.q * self.edits
+        self.span = int((size + 2 * self.edits).max(initial=0)) + 1
         keys, owner, place = [], [], []
         for k, (_, w) in enumerate(self.windows):
             g = grams(w)[: len(w) - 7]
@@ -86,22 +80,38 @@ class Index:
         self.bounds = np.append(first, len(every))
         self.owner = np.concatenate(owner)[order] if keys else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if keys else np.zeros(0, np.int64)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[_slot(self.keys)] = True
+        self.shift = np.uint64(64 - min(27, max(16, int(8 * len(self.keys)).bit_length())))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self.slot(_spread(self.keys))] = True
         self.data = np.concatenate([w for _, w in self.windows]).astype(np.int16) if keys else np.zeros(0, np.int16)
         self.starts = np.cumsum(whole) - whole
         self.most = int(whole.max()) if len(whole) else 0
         self.items = np.array([i for i, _ in self.windows], np.int64)
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, item) pairs that match, from normalised texts; items by their number in self.windows."""
+    def slot(self, spread: np.ndarray) -> np.ndarray:
+        return (spread >> self.shift).astype(np.int64)
+
+    def halves(self, data: np.ndarray, offsets: np.ndarray, g: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The search in two parts: of the documents, or of one text, whose parts overlap by the longest match."""
+        n = len(offsets) - 1
+        if n > 1:
+            m, at = n // 2, int(offsets[n // 2])
+            cuts = ((0, at, offsets[: m + 1], 0), (at, len(data), offsets[m:] - at, m))
+        else:
+            at = len(data) // 2
+            cuts = ((0, at + self.span, np.array([0, at + self.span]), 0), (at, len(data), np.array([0, len(data) - at]), 0))
+        found = [(doc + shift, item) for a, b, own, shift in cuts for doc, item in [self.search(data[a:b], own, g[a:b], spread[a:b])]]
+        return tuple(np.concatenate([x[k] for x in found]) for k in (0, 1))
+
+    def search(self, data: np.ndarray, offsets: np.ndarray, g: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) pairs that match, from normalised texts, their q-grams and the hashes of these; items by their
+        number in self.windows. Pairs may repeat."""
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.windows) or not len(data):
             return nothing
-        g = grams(data)
-        hit = self.seen[_slot(g)]
+        hit = self.seen[self.slot(spread)]
         # A matching region holds at least the least need of q-grams within the longest span: elsewhere hits are stray.
-        span = int((self.size + 2 * self.edits).max()) + 1
+        span = self.span
         total = np.append(0, np.cumsum(hit, dtype=np.int32))
         n = len(data)
         ahead = total[np.minimum(np.arange(n) + span, n)] - total[:-1]
@@ -123,9 +133,13 @@ class Index:
         ends = np.cumsum(count)
         if not len(ends):
             return nothing
+        if ends[-1] > _EXPANDED and (len(offsets) > 2 or len(data) > 8 * span):
+            return self.halves(data, offsets, g, spread)
+        own, doc = np.unique(doc, return_inverse=True)  # documents with a hit, numbered anew
+        offsets = np.column_stack([offsets[own], offsets[own + 1]])
         flat = np.arange(ends[-1]) + np.repeat(self.bounds[spot] - (ends - count), count)
         window, doc = self.owner[flat], np.repeat(doc, count)
-        diagonal = np.repeat(at, count) - self.place[flat] - offsets[doc] + self.most
+        diagonal = np.repeat(at, count) - self.place[flat] - offsets[doc, 0] + self.most
         key = ((doc * len(self.windows) + window) << 24) + diagonal // (self.edits[window] + 1)
         order = np.lexsort((self.place[flat], key))
         key, place = key[order], self.place[flat][order]
@@ -138,10 +152,10 @@ class Index:
         on = np.flatnonzero(number + beside >= self.need[item])
         band, begins, shared = [], [], []
         for k in on.tolist():
-            own = place[bounds[k] : bounds[k + 1] + beside[k]]
+            inside = place[bounds[k] : bounds[k + 1] + beside[k]]
             w = item[k]
             # Windows by where they begin, and the q-grams that lie within each.
-            total = np.append(0, np.cumsum(np.bincount(own, minlength=self.last[w] + self.size[w])))
+            total = np.append(0, np.cumsum(np.bincount(inside, minlength=self.last[w] + self.size[w])))
             at = np.arange(self.last[w] + 1)
             count = total[at + self.size[w] - 7] - total[at]
             good = np.flatnonzero(count >= self.need[w])
@@ -154,7 +168,7 @@ class Index:
         rows[:, 0] //= len(self.windows)
         pair = np.unique(rows[:, :2], axis=0, return_inverse=True)
         found = self.rounds(data, offsets, rows, np.concatenate(band), np.concatenate(begins), np.concatenate(shared), pair[1].reshape(-1), len(pair[0]))
-        return pair[0][found, 0], pair[0][found, 1]
+        return own[pair[0][found, 0]], pair[0][found, 1]
 
     def rounds(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, band: np.ndarray, begins: np.ndarray, shared: np.ndarray, pair: np.ndarray, pairs: int) -> np.ndarray:
         """Which pairs have a window within its budget; in each round one window of every band that is open is verified."""
@@ -180,7 +194,7 @@ class Index:
             part = rows[at : at + 2048]
             window, k = part[:, 1], self.edits[part[:, 1]]
             begin = begins[at : at + 2048]
-            low = offsets[part[:, 0]] - self.most + part[:, 2] * (k + 1) - k + begin  # the least diagonal
+            low = offsets[part[:, 0], 0] - self.most + part[:, 2] * (k + 1) - k + begin  # the least diagonal
             width = 2 * (k + 1) + 2 * k
             most = int(width.max())
             column = np.arange(most)
@@ -190,7 +204,7 @@ class Index:
             best = np.full(len(part), 10_000)
             for i in range(int(size.max())):
                 place = low[:, None] + column + i
-                legal = (place >= offsets[part[:, 0]][:, None]) & (place < offsets[part[:, 0] + 1][:, None])
+                legal = (place >= offsets[part[:, 0], :1]) & (place < offsets[part[:, 0], 1:])
                 letter = np.where(legal, data[np.clip(place, 0, len(data) - 1)], -1)
                 same = letter == self.data[self.starts[window] + begin + np.minimum(i, size - 1)][:, None]
                 step = cost + np.where(same, 0, 1)  # beyond the text this is a missing character, too
@@ -204,84 +218,147 @@ class Index:
         return out
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
+def _spread(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        return keys * np.uint64(0x9E3779B97F4A7C15)
+
+
+_EXPANDED = 4 << 20  # q-gram matches that are held at once
+_PIECE = 2 << 20  # bytes of a text that are searched at once
+
+
+def trimmed(text: bytes) -> np.ndarray:
+    """A normalised text without blanks at its ends."""
+    raw = np.frombuffer(text, np.uint8)
+    low, _ = normal(raw, np.array([0, len(raw)]))
+    return np.frombuffer(low.tobytes().strip(b" "), np.uint8)
+
+
+class Searcher:
+    """Indexes of the items by length, so that a short item's few q-grams don't weaken the filter for the others."""
+
+    def __init__(self, items: list[tuple[int, str]], plan: Plan):
+        self.plan = plan
+        groups: dict[int, list] = {}
+        self.short: dict[bytes, list[int]] = {}  # by what a line must be
+        for item, text in items:
+            low = trimmed((text or "").encode())
+            if len(low) >= plan.least:
+                groups.setdefault(plan.window if len(low) >= plan.window else len(low).bit_length(), []).append((item, low))
+            elif len(low):
+                self.short.setdefault(low.tobytes(), []).append(item)
+        self.indexes = [Index(own, plan) for own in groups.values()]
+
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item id) pairs that match, each once, from texts as they are."""
+        found = [self.lines(data, offsets)] if self.short else []
+        low, at = normal(data, offsets)
+        overlap = max((x.span for x in self.indexes), default=0)
+        if len(offsets) == 2 and len(low) > _PIECE + overlap:
+            for a in range(0, len(low), _PIECE):
+                part = low[a : a + _PIECE + overlap]
+                found += self.near(part, np.array([0, len(part)]))
+        else:
+            found += self.near(low, at)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs = np.unique(np.column_stack([np.concatenate([x[k] for x in found]) for k in (0, 1)]), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def near(self, low: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        g = grams(low)
+        spread = _spread(g)
+        out = []
+        for index in self.indexes:
+            doc, item = index.search(low, offsets, g, spread)
+            out.append((doc, index.items[item]))
+        return out
+
+    def lines(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of too few characters for the search: held by documents that have them as a line of their own."""
+        cut = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
+        cut = cut[cut <= len(data)]
+        dark = np.append(0, np.cumsum(~SPACE[data]))
+        few = np.flatnonzero((dark[cut[1:]] > dark[cut[:-1]]) & (dark[cut[1:]] - dark[cut[:-1]] < self.plan.least))
+        doc, item = [], []
+        for k in few.tolist():
+            for i in self.short.get(trimmed(data[cut[k] : cut[k + 1]].tobytes()).tobytes(), ()):
+                doc.append(int(np.searchsorted(offsets, cut[k], "right")) - 1)
+                item.append(i)
+        return np.array(doc, np.int64), np.array(item, np.int64)
 
 
 _MADE: dict = {}
 
 
-def _index(items: tuple[tuple[int, str], ...], plan: Plan) -> Index:
+def _searcher(items: tuple[tuple[int, str], ...], plan: Plan) -> Searcher:
     if (items, plan) not in _MADE:
         _MADE.clear()
-        _MADE[items, plan] = Index(list(items), plan)
+        _MADE[items, plan] = Searcher(list(items), plan)
     return _MADE[items, plan]
 
 
-def _found(docs: DataFrame, items: list[tuple[int, str]], plan: Plan) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(tuple(items))  # at most plan.shard bytes of text
+def _passes(docs: DataFrame, benchmark: DataFrame, plan: Plan, judge) -> DataFrame:
+    """docs after judge(searcher, rows, data, offsets) of every part of the benchmark in turn; judge gives rows anew.
+
+    A part has at most about plan.shard bytes of text; only then is it broadcast. With several parts the rows are stored
+    between the passes, so one searcher is held at a time.
+    """
+    own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-2 * size // plan.shard)) if size > plan.shard // 2 else 1
+    before = None
+    for k in range(shards):
+        part = own if shards == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        held = docs.sparkSession.sparkContext.broadcast(tuple(sorted({(r["item_id"], r["text"]) for r in part.collect()})))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _index(held.value, plan)
-        for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text"):
-                doc, window = own.search(*normal(data, offsets))
-                lists: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
-                for d, w in zip(doc.tolist(), window.tolist(), strict=True):
-                    lists[d].append(int(own.items[w]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.int64()))], names=["doc_id", "item_ids"])
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            searcher = _searcher(held.value, plan)
+            for batch in batches:
+                for rows, data, offsets in text_slices(batch, "text"):
+                    yield judge(searcher, rows, data, offsets)
 
-    return docs.mapInArrow(run, "doc_id long, item_ids array<long>")
+        docs = docs.mapInArrow(run, docs.schema)
+        if k < shards - 1:
+            now = Table(docs, "pass")
+            if before is not None:
+                before.drop()
+            docs, before = now.df, now
+    return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """doc_id, contaminated, n_items, item_ids (ascending) of every row of doc_id, text.
 
     benchmark has item_id and text; rows without one of them are left out. A document holds an item if some window of
-    the item occurs in it within the edit budget. Null and empty texts hold none. Repeated rows give repeated rows;
-    an empty benchmark finds nothing. A benchmark over plan.shard bytes is searched in as many passes as needed.
+    the item occurs in it within the edit budget, or, for items of fewer than plan.least characters, if one of its lines
+    is the item. Null and empty texts hold none. Rows are judged one by one, at any size of the benchmark: repeated rows
+    give repeated rows, and a null doc_id is as good as any. Texts of any length are searched whole, in overlapping
+    pieces. Other columns are ignored. An empty benchmark finds nothing; an empty table gives no row. A benchmark over
+    plan.shard / 2 bytes is searched in as many passes as needed.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    shards = _shards(own, plan)
-    parts = []
-    for k in range(shards):
-        part = own if shards == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        parts.append(_found(rows, sorted({(r["item_id"], r["text"]) for r in part.collect()}), plan))
-    found = parts[0]
-    if shards > 1:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-        lists = every.where("size(item_ids) > 0 and doc_id is not null").select("doc_id", F.explode("item_ids").alias("i")).groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("item_ids"))
-        found = rows.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<long>").alias("item_ids"))
+
+    def judge(searcher: Searcher, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        doc, item = searcher.search(data, offsets)
+        if not len(doc):
+            return rows
+        lists = rows.column(2).to_pylist()
+        for d in np.unique(doc).tolist():
+            lists[d] = sorted({*lists[d], *item[doc == d].tolist()})
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lists, rows.column(2).type)], names=rows.schema.names)
+
+    found = _passes(rows, benchmark, plan, judge)
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
-def _shards(items: DataFrame, plan: Plan) -> int:
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-2 * size // plan.shard)) if size > plan.shard // 2 else 1
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
-    """The rows whose document holds no benchmark item, with the same columns.
+    """The rows whose text holds no benchmark item, with the same columns. Each row is judged by its own text, as in
+    contamination, without a shuffle."""
 
-    Rows are judged one by one, without a shuffle; only for a benchmark of several shards by doc_id (rows without one
-    are then kept).
-    """
-    own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    if _shards(own, plan) > 1:
-        bad = contamination(docs, benchmark, plan).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted({(r["item_id"], r["text"]) for r in own.collect()})))  # at most plan.shard bytes of text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(held.value, plan)
-        for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text"):
-                ok = np.ones(len(offsets) - 1, bool)
-                ok[index.search(*normal(data, offsets))[0]] = False
-                yield rows.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+    def judge(searcher: Searcher, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        ok = np.ones(len(offsets) - 1, bool)
+        ok[searcher.search(data, offsets)[0]] = False
+        return rows.filter(pa.array(ok))
+
+    return _passes(docs, benchmark, plan, judge)

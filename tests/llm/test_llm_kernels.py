@@ -209,9 +209,9 @@ def test_training_takes_whole_texts():
 def test_edit_budget():
     random.seed(5)
     base = "the quick brown fox jumps over the lazy dog while seventeen small zebras watch it from a hill far away today"
-    index = decontaminate.Index([(7, base), (8, "tiny")], decontaminate.Plan())
-    window = index.windows[0][1].tobytes().decode()
-    k = int(index.edits[0])
+    index = decontaminate.Searcher([(7, base), (8, "tiny")], decontaminate.Plan())
+    window = index.indexes[0].windows[0][1].tobytes().decode()
+    k = int(index.indexes[0].edits[0])
 
     def distance(p, t):
         row = [0] * (len(t) + 1)
@@ -234,23 +234,23 @@ def test_edit_budget():
             else:
                 del t[at]
         text = "pad " * (n % 7) + "".join(t) + " end" * (n % 5)
-        doc, _ = index.search(*decontaminate.normal(*flat([text])))
+        doc, _ = index.search(*flat([text]))
         assert bool(len(doc)) == (distance(window, text) <= k), (n, distance(window, text), k)
 
 
 def test_windows_begin_at_every_place():
     random.seed(6)
     whole = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(240))
-    index = decontaminate.Index([(7, whole)], decontaminate.Plan())
+    index = decontaminate.Searcher([(7, whole)], decontaminate.Plan())
     for at in range(len(whole) - 119):
         quote = list(whole[at : at + 120])
         for k in random.sample(range(1, 119), 12 * (at % 2)):  # exact, or with the whole edit budget used
             quote[k] = "%"
         for text in ("0" * 30 + "".join(quote) + "0" * 30, "".join(quote), whole[200:] + "".join(quote)):
-            doc, _ = index.search(*decontaminate.normal(*flat([text])))
+            doc, _ = index.search(*flat([text]))
             assert len(doc), at
     for at in range(0, 140, 7):
-        doc, _ = index.search(*decontaminate.normal(*flat(["0" * 30 + whole[at : at + 100] + "0" * 30])))
+        doc, _ = index.search(*flat(["0" * 30 + whole[at : at + 100] + "0" * 30]))
         assert not len(doc), at
 
 
@@ -259,3 +259,29 @@ def test_rotation_is_orthogonal():
     mean, turns, tables = itq.learn(sample, itq.Plan(rounds=5))
     assert len(turns) == 4 and all(np.allclose(t.T @ t, np.eye(16)) for t in turns)
     assert mean.shape == (16,) and {k for k, _, _ in tables} == {0, 1, 2, 3}
+
+
+def test_items_of_all_lengths_in_one_benchmark():
+    items = [(1, "sixteen letters."), (2, "tiny"), (3, "a middling item of some forty characters"), (4, "long item " * 30 + "end"), (5, "Tiny"), (6, " ")]
+    search = decontaminate.Searcher(items, decontaminate.Plan())
+    texts = ["x Sixteen  letters. y", "it is tiny", "first\n  TINY \nlast", None, "", "so a middling item of some forty charakters", "long item " * 12, "tiny", "sixteen"]
+    doc, item = search.search(*flat(texts))
+    assert list(zip(doc.tolist(), item.tolist(), strict=True)) == [(0, 1), (2, 2), (2, 5), (5, 3), (6, 4), (7, 2), (7, 5)]
+
+
+def test_frequent_grams_are_expanded_some_at_a_time(monkeypatch):
+    rng = random.Random(5)
+    items = [(k, "the same beginning of every item, and then " + "".join(rng.choice("abcdef ") for _ in range(100))) for k in range(40)]
+    texts = ["the same beginning of every item " * 20 + items[7][1] + " zz" * 50, "z" * 700, items[3][1], None]
+    want = [x.tolist() for x in decontaminate.Searcher(items, decontaminate.Plan()).search(*flat(texts))]
+    monkeypatch.setattr(decontaminate, "_EXPANDED", 50)
+    assert [x.tolist() for x in decontaminate.Searcher(items, decontaminate.Plan()).search(*flat(texts))] == want == [[0, 2], [7, 3]]
+
+
+def test_a_very_long_text_is_searched_whole():
+    item = "what stands in the benchmark must be found wherever it stands in a text, at its very end as well, and across the cuts"
+    search = decontaminate.Searcher([(1, item)], decontaminate.Plan())
+    for at in (0, (2 << 20) - 50, (4 << 20) + 5, 6_000_000):
+        text = "y" * at + item.upper() + "y" * (6_000_000 - at)
+        assert [x.tolist() for x in search.search(*flat([text]))] == [[0], [1]]
+    assert not len(search.search(*flat(["y" * 6_000_000]))[0])

@@ -207,6 +207,17 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(none, items).count() == 0 and decontaminate.clean(docs, items).columns == docs.columns
 
 
+def test_a_benchmark_of_several_parts_gives_the_same_rows(spark):
+    items = spark.createDataFrame([(k, f"{BASE} item number {k} " + "abc def " * k) for k in range(20)] + [(50, "only a short one")], "item_id long, text string")
+    rows = spark.createDataFrame([(None, BASE + " item number 4 abc def"), (1, f"x {BASE} item number 7 "), (1, "clean"), (None, "clean as well"), (2, "Only a short one")], "doc_id long, text string")
+    key = lambda r: str(r)
+    one = sorted(decontaminate.contamination(rows, items).collect(), key=key)
+    many = sorted(decontaminate.contamination(rows, items, decontaminate.Plan(shard=600)).collect(), key=key)
+    assert one == many and sum(r.contaminated for r in one) == 3
+    for plan in (decontaminate.Plan(), decontaminate.Plan(shard=600)):
+        assert sorted(r.text for r in decontaminate.clean(rows, items, plan).collect()) == ["clean", "clean as well"]
+
+
 def test_quality(spark, docs, none):
     good, bad = "A calm sentence about the sea. ", "BUY!! NOW!! $$$ ### BUY!! "
     own = spark.createDataFrame([(k, (good if k % 2 else bad) * (k % 5 + 1), "en", "s") for k in range(400)], "doc_id long, text string, lang string, source string")
