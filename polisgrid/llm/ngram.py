@@ -1,13 +1,15 @@
-"""Operator 6: a bigram model with deleted interpolation.
-
-P(w | v) = l2 * c(v w) / c(v) + l1 * c(w) / N + l0 / (V + 1), with weights by bucket of the context's count. The weights
-are learned by expectation-maximisation on counts of a part of the training documents that is held out from the counts
-used there; the final counts take all training documents.
-
-Counting: each task of the scan reduces its rows to the distinct hashes of their words and bigrams, sorted and packed
-in ranges of hashes. Ranges meet in one task each, which answers every asking task with the corpus counts in the order
-asked. The scoring scan makes the same hashes anew and reads the counts beside them. So what is shuffled are distinct
-hashes a task, and no key gathers more than one row a task.
+"""Operator 6: a trigram model with deleted interpolation.
+
+P(w | u v) = l3 * c(u v w) / c(u v) + l2 * c(v w) / c(v) + l1 * c(w) / N + l0 / (V + 1), with weights by bucket of the
+two contexts' counts. The weights are learned by expectation-maximisation over the tokens of a part of the training
+documents that is held out from the counts used there; the final counts take all training documents. Each round is a
+pass over the stored estimates of those tokens, and only sums by bucket come to the driver.
+
+Counting: each task of the scan reduces its rows to the distinct hashes of their words, bigrams and trigrams, sorted and
+packed in ranges of hashes. Ranges, whose number grows with the text, meet in one task each, which answers every asking
+task with the corpus counts in the order asked. The scoring scan makes the same hashes anew and reads the counts beside
+them. So what is shuffled are distinct hashes of a few megabytes of text; a row holds at least one of them, and no key
+gathers more than one row for each such group.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polisgrid.llm.shared import Table
+from polisgrid.llm.shared import Table, new_path, remove
 from polisgrid.llm.textcore import distinct_of, mix, text_slices, word_hashes
 
 _END = np.uint64(0xE4D0F7E4D0F7E4D1)
 _BEGIN = np.uint64(0xBE617BE617BE6171)
-_GROUP_BYTES = 8 << 20
+_GROUP_BYTES = 6 << 20
+_RANGE_BYTES = 4 << 20  # of text, for each range of hashes
+_NAMES = ("l3", "l2", "l1", "l0")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -34,8 +38,9 @@ class Plan:
     folds: int = 5
     test_fold: int = 1
     tuning: int = 10  # one training document in so many is held out to learn the weights
-    grid: int = 48  # cells a side of the histogram that the weights are learned from
-    rounds: int = 40
+    rounds: int = 12  # of expectation-maximisation, at most
+    settled: float = 1e-3  # change of a weight from which on it goes on
+    prior: float = 10.0  # tokens that a bucket takes from those around it
     smoothing: float = 0.5
 
 
@@ -44,22 +49,26 @@ def crc(doc_ids: list) -> np.ndarray:
     return np.array([0 if x is None else zlib.crc32(str(x).encode()) for x in doc_ids], np.int64)
 
 
-def _stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all documents with an end each, the hash of each with its left neighbour, and token counts."""
+def _stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all documents with an end each, of each with its left neighbour, and with its two left
+    neighbours, and token counts. The lowest two bits tell words (0), bigrams (1) and trigrams (2) apart."""
     words, before = word_hashes(data, offsets)
     counts = np.diff(before)
     tokens = np.insert(words, before[1:], _END)
-    ends = np.cumsum(counts + 1)
-    left = np.empty_like(tokens)
-    left[1:] = tokens[:-1]
-    left[ends - counts - 1] = _BEGIN
+    starts = np.cumsum(counts + 1) - counts - 1
+    left, pair_left = np.empty_like(tokens), np.empty_like(tokens)
     with np.errstate(over="ignore"):
-        return tokens, mix(left * np.uint64(0x9FB21C651E98DF25) + tokens) | np.uint64(1), counts + 1
+        left[1:] = tokens[:-1]
+        left[starts] = _BEGIN
+        pairs = mix(left * np.uint64(0x9FB21C651E98DF25) + tokens)
+        pair_left[1:] = pairs[:-1]
+        pair_left[starts] = _BEGIN
+        triples = mix(pair_left * np.uint64(0xD6E8FEB86659FD93) + tokens)
+    return _kind(tokens, 0), _kind(pairs, 1), _kind(triples, 2), counts + 1
 
 
-def _unigram(hashes: np.ndarray) -> np.ndarray:
-    """Words and bigrams share a table: words have even hashes, bigrams odd ones."""
-    return hashes & ~np.uint64(1)
+def _kind(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return hashes & ~np.uint64(3) | np.uint64(kind)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -84,15 +93,15 @@ def _asked(group: list[tuple], plan: Plan, tune: bool) -> tuple[np.ndarray, np.n
         code = crc(rows.column(0).to_pylist())
         train = code % plan.folds != plan.test_fold
         held = train & (code // plan.folds % plan.tuning == 0)
-        tokens, pairs, counts = _stream(data, offsets)
-        kind = np.repeat(np.where(held, 2, np.where(train, 1, 0)), counts)
+        *hashes, counts = _stream(data, offsets)
+        kind = np.repeat(np.where(held, 2, np.where(train, 1, 0)).astype(np.uint8), counts)
         if tune:
             on = kind == 2
-            tokens, pairs, kind = tokens[on], pairs[on], kind[on]
+            hashes, kind = [h[on] for h in hashes], kind[on]
             counts = np.where(held, counts, 0)
-        keys += [_unigram(tokens), pairs]
-        kinds += [kind, kind]
-        parts.append((rows, code, tokens, counts))
+        keys += hashes
+        kinds += [kind] * 3
+        parts.append((rows, code, len(kind), counts))
     every, kind = np.concatenate(keys), np.concatenate(kinds)
     distinct, _, back = distinct_of(every)
     main = np.bincount(back, kind == 1, len(distinct)).astype(np.uint32)
@@ -179,7 +188,7 @@ def _answer(asked: DataFrame) -> DataFrame:
         for k, h in enumerate(hashes):
             at = np.searchsorted(own, h)
             counts.append(_small((total[0] if tune[k] else both)[at]))
-        word = own & np.uint64(1) == 0
+        word = own & np.uint64(3) == 0
         sums = np.array([both[word].sum(), (both[word] > 0).sum(), total[0][word].sum(), (total[0][word] > 0).sum()], "<i8").tobytes()
         cols = [table[c].to_pylist() for c in ("range", "task", "part", "tune", "sign")]
         return pa.table(
@@ -196,79 +205,105 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("range").applyInArrow(answer, "range int, task int, part int, tune boolean, sign long, counts binary")
 
 
-def _bucket(context: np.ndarray) -> np.ndarray:
-    """By the binary logarithm of the context's count; 0 for unseen ones."""
-    return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
+def _level(context: np.ndarray) -> np.ndarray:
+    """0 for unseen contexts, counts up to 8 each, then by the binary logarithm, up to 2 ** 31."""
+    more = 5 + np.log2(np.maximum(context, 1)).astype(np.int64)
+    return np.where(context <= 8, context, np.minimum(more, LEVELS - 1)).astype(np.int64)
 
 
-BUCKETS = 64
+LEVELS = 36
+BUCKETS = LEVELS * LEVELS
 
 
-def _estimates(counts: np.ndarray, tokens: np.ndarray, back: np.ndarray, sizes: np.ndarray, sums: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Context bucket, c(v w) / c(v), c(w) / N and c(w) of each token of a part. back: of words, then of bigrams."""
-    n = len(tokens)
-    word, pair = counts[back[:n]], counts[back[n:]]
-    context = np.empty(n, np.int64)
-    context[1:] = word[:-1]
-    context[starts] = sizes  # every training document has a begin
-    return _bucket(context), pair / np.maximum(context, 1), word / max(1, int(sums[0])), word
+def _estimates(counts: np.ndarray, n: int, back: np.ndarray, sizes: int, total: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, maximum-likelihood estimates (trigram, bigram, word) and c(w) of each of the n tokens of a part. back: of
+    its words, then bigrams, then trigrams."""
+    word, pair, triple = (counts[back[k * n : (k + 1) * n]] for k in range(3))
+    one, two = np.empty(n, np.int64), np.empty(n, np.int64)
+    one[1:], two[1:] = word[:-1], pair[:-1]
+    one[starts] = two[starts] = sizes  # every training document has a begin
+    found = np.column_stack([triple / np.maximum(two, 1), pair / np.maximum(one, 1), word / max(1, total)])
+    return _level(two) * LEVELS + _level(one), found, word
 
 
-def learn_weights(cells: np.ndarray, mass: np.ndarray, plan: Plan, vocabulary: int) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each bucket by expectation-maximisation over (bucket, cell, cell) counts."""
-    out = np.tile(np.array([0.3, 0.6, 0.1]), (BUCKETS, 1))
-    floor = 1.0 / (vocabulary + 1)
-    two, one = _value(cells[:, 1], plan), _value(cells[:, 2], plan)
-    for _ in range(plan.rounds):
-        w = out[cells[:, 0]]
-        share = np.column_stack([w[:, 0] * two, w[:, 1] * one, w[:, 2] * floor])
-        share *= (mass / share.sum(1))[:, None]
-        new = np.column_stack([np.bincount(cells[:, 0], share[:, k], BUCKETS) for k in range(3)]).astype(float)
-        new += np.array([0.3, 0.6, 0.1]) * 10  # a bucket without held-out tokens keeps these shares
-        out = new / new.sum(1, keepdims=True)
-    return out
+def shares(weights: np.ndarray, bucket: np.ndarray, found: np.ndarray, vocabulary: int) -> np.ndarray:
+    """What each estimate gives of each token's probability; they sum up to it."""
+    return weights[bucket] * np.column_stack([found, np.full(len(found), 1.0 / (vocabulary + 1))])
 
 
-_LOW = 26.0  # logarithms (base 2) from -26 to 0 are told apart
+def start_weights(plan: Plan) -> np.ndarray:
+    return np.tile(np.array([0.3, 0.3, 0.3, 0.1]), (BUCKETS, 1))
 
 
-def _cell(p: np.ndarray, plan: Plan) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        at = np.ceil((np.log2(np.maximum(p, 1e-300)) / _LOW + 1) * (plan.grid - 1))
-    return np.where(p > 0, np.clip(at, 1, plan.grid - 1), 0).astype(np.int64)
+def next_weights(sums: np.ndarray, plan: Plan) -> np.ndarray:
+    """Weights from the expected counts by bucket. A bucket with few held-out tokens leans on all buckets of its trigram
+    context's level, and a level with few on the level below it."""
+    table = sums.reshape(LEVELS, LEVELS, 4)
+    level = start_weights(plan)[0]
+    out = np.empty_like(table)
+    for k in range(LEVELS):
+        own = table[k].sum(0) + plan.prior * level
+        level = own / own.sum()
+        out[k] = table[k] + plan.prior * level
+    return (out / out.sum(2, keepdims=True)).reshape(BUCKETS, 4)
 
 
-def _value(cell: np.ndarray, plan: Plan) -> np.ndarray:
-    return np.where(cell > 0, 2.0 ** ((cell / (plan.grid - 1) - 1) * _LOW), 0.0)
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, picks rows and computes columns, so that each scan gives the same partitions."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        name = plan.nodeName()
+        if name == "LogicalRelation":
+            return True
+        if name not in ("Project", "Filter") or plan.children().size() != 1:
+            return False
+        plan = plan.children().head()
 
 
 def score(docs: DataFrame, plan: Plan = Plan(), ranges: int | None = None) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null and empty texts are one end token. A null doc_id counts as crc 0. Repeated rows are counted and scored each.
-    Empty table: no row. The DataFrame is scanned three times and must give the same rows in the same partitions and
-    order each time, as a table's scan does; a difference is noticed and raises an error.
+    Texts of any length are taken whole. Other columns are ignored; an empty table gives no row. The rows are scanned
+    several times, which must give the same rows in the same partitions and order, as a table's scan does: what is no
+    such scan is stored first. A difference is noticed and raises an error. The result is a table in the shared folder;
+    all others made on the way are removed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tasks = rows.rdd.getNumPartitions()
-    ranges = ranges or max(16, tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answers = Table(_answer(_ask(rows, plan, ranges)), "answers")
-    sums = np.zeros(4, np.int64)
-    for r in answers.df.where("task < 0").select("counts").collect():  # one row of four numbers a range
-        sums += np.frombuffer(bytes(r[0]), "<i8")
-    return _finish(rows, answers, tasks, sums, plan)
-
-
-def _finish(rows: DataFrame, answers: Table, tasks: int, sums: np.ndarray, plan: Plan) -> DataFrame:
+    copy = None if _plain_scan(rows) else Table(rows, "documents")
+    rows = rows if copy is None else copy.df
     code = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     train = code % plan.folds != plan.test_fold
     held = train & (F.floor(code / plan.folds) % plan.tuning == 0)
-    sizes = rows.select(train.alias("t"), (train & ~held).alias("m")).agg(F.count_if("t"), F.count_if("m")).first()
-    folder = f"{answers.path}-by-task"
+    sizes = rows.select(train.alias("t"), (train & ~held).alias("m"), F.octet_length("text").alias("n")).agg(F.count_if("t"), F.count_if("m"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ranges = ranges or max(8, -(-int(sizes[2]) // _RANGE_BYTES))
+    tasks = max(1, rows.rdd.getNumPartitions())
+    folder = new_path(spark, "answers")
+    _answer(_ask(rows, plan, ranges).repartition(ranges, "range")).repartition(tasks, "task").write.partitionBy("task").parquet(folder)
+    sums = np.zeros(4, np.int64)
+    answers = spark.read.schema("range int, part int, tune boolean, sign long, counts binary, task int").parquet(folder)
+    # One row of four numbers a range, added up in the tasks.
+    for r in answers.where("task = -1").select("counts").mapInArrow(_added, "v array<long>").collect():
+        sums += np.array(r[0], np.int64)
+    out = _scored(rows, folder, sizes, sums, plan)
+    remove(spark, folder)
+    if copy is not None:
+        copy.drop()
+    return out.df
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(4, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            total += np.frombuffer(raw, "<i8")
+    yield pa.RecordBatch.from_pydict({"v": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
+
+def _scored(rows: DataFrame, folder: str, sizes, sums: np.ndarray, plan: Plan) -> Table:
     def answered(task: int, tune: bool):
-        """The counts of each group of one task, read from its own folder of the shared table."""
+        """The counts of each group of one task, read from its own folder."""
         import pyarrow.dataset as ds
         from pyarrow import fs
 
@@ -282,9 +317,6 @@ def _finish(rows: DataFrame, answers: Table, tasks: int, sums: np.ndarray, plan:
             signs[part] = sign
         return parts, signs
 
-    answers.df.where("task >= 0").repartition(max(1, tasks), "task").write.partitionBy("task").parquet(folder)
-    answers.drop()
-
     def counted(batches: Iterator[pa.RecordBatch], tune: bool):
         from pyspark import TaskContext
 
@@ -296,57 +328,73 @@ def _finish(rows: DataFrame, answers: Table, tasks: int, sums: np.ndarray, plan:
             if len(distinct):
                 if found[1].get(k) != _sign(group):
                     raise ValueError("the input's rows or their order changed between scans")
-                counts = _joined(found[0][k], len(distinct))
+                counts = _joined(found[0].pop(k), len(distinct))
             else:
                 counts = np.zeros(0, np.int64)
+            del distinct
             at = 0
-            for rows_, code_, tokens, per in parts:
-                n = len(tokens)
-                yield rows_, code_, tokens, per, back[at : at + 2 * n], counts
-                at += 2 * n
+            for rows_, code_, n, per in parts:
+                yield rows_, code_, n, per, back[at : at + 3 * n], counts
+                at += 3 * n
 
     def tuned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for _, _, tokens, per, back, counts in counted(batches, True):
-            if not len(tokens):
+        for _, _, n, per, back, counts in counted(batches, True):
+            if not n:
                 continue
             per = per[per > 0]
-            b, two, one, _ = _estimates(counts, tokens, back, int(sizes[1]), sums[2:], np.cumsum(per) - per)
-            cell = (b * plan.grid + _cell(two, plan)) * plan.grid + _cell(one, plan)
-            values, n = np.unique(cell, return_counts=True)
-            for v, m in zip(values.tolist(), n.tolist(), strict=True):
-                total[v] = total.get(v, 0) + m
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
-
-    # At most 64 * grid * grid rows.
-    cells = rows.mapInArrow(tuned, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    flat = np.array([(r[0], r[1]) for r in cells], np.int64).reshape(-1, 2)
-    split = np.column_stack([flat[:, 0] // plan.grid**2, flat[:, 0] // plan.grid % plan.grid, flat[:, 0] % plan.grid])
-    weights = learn_weights(split, flat[:, 1].astype(float), plan, int(sums[1]))
+            bucket, found, _ = _estimates(counts, n, back, int(sizes[1]), int(sums[2]), np.cumsum(per) - per)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *(pa.array(found[:, k].astype(np.float32)) for k in range(3))], names=["bucket", "p3", "p2", "p1"])
+
+    weights = start_weights(plan)
+    tokens = Table(rows.mapInArrow(tuned, "bucket int, p3 float, p2 float, p1 float"), "held-out")
+    for _ in range(plan.rounds):
+        before = weights
+        weights = next_weights(_expected(tokens.df, weights, int(sums[3])), plan)
+        if np.abs(weights - before).max() < plan.settled:
+            break
+    tokens.drop()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_all, v_all = int(sums[0]), int(sums[1])
-        for rows_, code_, tokens, per, back, counts in counted(batches, False):
+        for rows_, code_, n, per, back, counts in counted(batches, False):
             starts = np.cumsum(per) - per
-            b, two, one, word = _estimates(counts, tokens, back, int(sizes[0]), sums[:2], starts)
-            w = weights[b]
-            p = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v_all + 1)
+            bucket, found, word = _estimates(counts, n, back, int(sizes[0]), n_all, starts)
+            p = shares(weights, bucket, found, v_all).sum(1)
             base = np.log10((word + plan.smoothing) / (n_all + plan.smoothing * (v_all + 1)))
-            n = len(per)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows_.column(0),
                     pa.array(code_ % plan.folds == plan.test_fold),
                     pa.array(per.astype(np.int64)),
                     pa.array(np.add.reduceat((word > 0).astype(np.int64), starts)),
-                    pa.array(np.full(n, n_all, np.int64)),
+                    pa.array(np.full(len(per), n_all, np.int64)),
                     pa.array(np.add.reduceat(base, starts)),
                     pa.array(np.add.reduceat(np.log10(p), starts)),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return Table(rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+
+
+def _expected(tokens: DataFrame, weights: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Expected counts of the estimates by bucket: at most four numbers a bucket come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, 4))
+        for batch in batches:
+            bucket, *found = (batch.column(k).to_numpy() for k in range(4))
+            part = shares(weights, bucket, np.column_stack(found).astype(np.float64), vocabulary)
+            part /= part.sum(1, keepdims=True)
+            for k in range(4):
+                total[:, k] += np.bincount(bucket, part[:, k], BUCKETS)
+        on = np.flatnonzero(total.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(total[on, k]) for k in range(4))], names=["bucket", *_NAMES])
+
+    out = np.zeros((BUCKETS, 4))
+    for r in tokens.mapInArrow(run, "bucket int, l3 double, l2 double, l1 double, l0 double").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _NAMES)).collect():
+        out[r[0]] = r[1:]
+    return out
 
 
 def _joined(raws: list[bytes], n: int) -> np.ndarray:
