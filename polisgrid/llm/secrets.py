@@ -35,6 +35,8 @@ MORE = (
     Rule("google", "AIza[A-Za-z0-9_\\-]+", least=39),
 )
 MIN_VALUE = 12
+_LANE = 4096
+
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
@@ -47,16 +49,47 @@ class Scanner:
         self.mask = np.repeat(self.all.accept, self.all.n_classes)
 
     def ends(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a match of any rule ends (index of its last byte), and the rules as a bit mask. Texts are advanced
-        together, longest first, one byte a step."""
-        lens = np.diff(offsets)
-        order = np.argsort(-lens, kind="stable")
-        begin, lens = offsets[:-1][order], lens[order]
-        longest = int(lens[0]) if len(lens) else 0
-        on = np.searchsorted(-lens, -np.arange(1, longest + 1), "right")  # texts with over k bytes
+        """Where a match of any rule ends (index of its last byte), and the rules as a bit mask.
+
+        Texts are cut into lanes that are advanced together, one byte a step. A lane that does not begin a text is
+        first run from the automaton's start; where the lane before it ends in another state it is run anew from that
+        state, until all agree. So the states are those of one pass over each whole text.
+        """
+        per = -(-np.diff(offsets) // _LANE)
+        doc = np.repeat(np.arange(len(per)), per)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        begin = offsets[:-1][doc] + number * _LANE
+        lens = np.minimum(offsets[1:][doc] - begin, _LANE)
         kind = self.all.classes.astype(np.int32)[data]
-        state = np.zeros(len(lens), np.int32)
+        came, went = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
         places, masks = [], []
+        due = np.arange(len(doc))
+        while len(due):
+            where, mask, lane, went[due] = self.advance(kind, begin[due], lens[due], came[due])
+            again = np.zeros(len(doc), bool)
+            again[due] = True
+            for k in range(len(places)):  # what an earlier run of these lanes gave
+                keep = ~again[places[k][1]]
+                places[k], masks[k] = places[k][:, keep], masks[k][keep]
+            places.append(np.stack([where, due[lane]]))
+            masks.append(mask)
+            wrong = np.zeros(len(doc), bool)
+            wrong[1:] = (number[1:] > 0) & (went[:-1] != came[1:])
+            due = np.flatnonzero(wrong)
+            came[due] = went[due - 1]
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        where, mask = np.concatenate(places, 1)[0], np.concatenate(masks)
+        order = np.argsort(where)
+        return where[order], mask[order]
+
+    def advance(self, kind: np.ndarray, begin: np.ndarray, lens: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, rules, lane) of each match's end in lanes begun in the given states, and the states they end in."""
+        order = np.argsort(-lens, kind="stable")  # longest first, so that those still on stand in front
+        begin, lens, state = begin[order], lens[order], state[order]
+        longest = int(lens[0]) if len(lens) else 0
+        on = np.searchsorted(-lens, -np.arange(1, longest + 1), "right")  # lanes with over k bytes
+        places, lanes, masks = [], [], []
         step, hit = self.all.step, self.hit
         for k in range(longest):
             n = on[k]
@@ -66,12 +99,13 @@ class Scanner:
             seen = hit.take(now)
             if seen.any():
                 places.append(at[seen])
+                lanes.append(np.flatnonzero(seen))
                 masks.append(self.mask[now[seen]])
+        out = np.empty_like(state)
+        out[order] = state
         if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        where = np.concatenate(places)
-        order = np.argsort(where)
-        return where[order], np.concatenate(masks)[order]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), out
+        return np.concatenate(places), np.concatenate(masks), order[np.concatenate(lanes)], out
 
     @staticmethod
     def run(dfa: Dfa, data: bytes, places: range) -> int:
@@ -149,8 +183,9 @@ def _points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """doc_id, the count of each base kind, base_sha256 and spans (kind:start:end, code points, end exclusive).
 
-    Null and empty texts have no span (base_sha256 is that of the empty string). Repeated rows give repeated rows; other
-    columns are ignored.
+    Null and empty texts have no span (base_sha256 is that of the empty string). Texts of any length are scanned whole,
+    in one pass. Repeated rows give repeated rows, a null doc_id stays null; other columns are ignored; an empty table
+    gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
