@@ -1,9 +1,13 @@
 """Operator 10: a quality classifier by co-training two views.
 
 One view sees the text's content (kinds of characters, repetition, shapes of words), the other its metadata (language,
-source, length and layout of lines). Both start from the labelled documents; in each round each view labels the
-unlabelled documents it is surest of for the other. Each view is calibrated on the labelled documents and a logistic
-combination of the calibrated views scores all documents.
+source, length and layout of lines). Both start from the labelled documents. In each round each view scores all other
+documents and gives those it is surest of, a share that grows with the rounds, its labels for the other view. Each view
+is calibrated on the labelled documents and a logistic combination of the calibrated views scores all documents.
+
+The features of all documents are stored once, so a round is a few distributed passes over them; only a histogram of
+scores and the sums of a Newton step, both of fixed size, come to the driver. All pseudo-labels of a round weigh as much
+as the same share of the labelled documents would, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polisgrid.llm.shared import Table
 from polisgrid.llm.textcore import hash_runs, text_slices, words
 from polisgrid.llm.toxicity import logistic
 
@@ -25,10 +30,12 @@ _PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
 
 @dataclasses.dataclass(frozen=True)
 class Plan:
-    labelled: int = 6_000  # labelled documents to learn from, at most: the smallest by hash
-    unlabelled: int = 4_000  # others that pseudo-labels are given to, at most
-    rounds: int = 5
-    share: float = 0.05  # of the unlabelled documents that a view labels in a round
+    labelled: int = 6_000  # labelled documents to learn from, at most: the smallest by hash; all others get pseudo-labels
+    rounds: int = 4
+    steps: int = 2  # of Newton's method a round, from the weights of the round before
+    share: float = 0.06  # of the other documents, by which those that a view labels grow in a round
+    sure: float = 1.5  # log odds from which on a view may label
+    ridge: float = 1.0
     threshold: float = 0.5
     slots: int = 24  # hashed values of lang and of source
 
@@ -88,58 +95,156 @@ def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(((x - w[0]) / w[1]) @ w[2], -15, 15)
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, plan: Plan) -> np.ndarray:
+    """Mean, scale and weights of a view."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     mean[-1], scale[-1] = 0, 1
-    return np.stack([mean, scale, logistic((x - mean) / scale, y.astype(float), ridge=1.0)])
+    return np.stack([mean, scale, logistic((x - mean) / scale, y.astype(float), ridge=plan.ridge)])
+
+
+def _sums(x: np.ndarray, y: np.ndarray, model: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient of the logistic loss at the model's weights."""
+    x = (x - model[0]) / model[1]
+    p = 1 / (1 + np.exp(-np.clip(x @ model[2], -30, 30)))
+    return weight * ((x * (p * (1 - p) + 1e-6)[:, None]).T @ x), weight * (x.T @ (p - y))
+
+
+_BINS = 480  # of scores from -15 to 15
+
+
+def _bin(score: np.ndarray) -> np.ndarray:
+    return np.clip(((score + 15) * (_BINS / 30)).astype(np.int64), 0, _BINS - 1)
+
+
+def cut(histogram: np.ndarray, wanted: float, plan: Plan) -> tuple[int, float]:
+    """The bin from which on rows are surest, and the share of the rows in that bin itself, so that about as many as
+    wanted are taken, but none below plan.sure."""
+    least = int(_bin(np.array([plan.sure]))[0])
+    above = 0.0
+    for k in range(_BINS - 1, least - 1, -1):
+        if above + histogram[k] >= wanted:
+            return k, (wanted - above) / histogram[k] if histogram[k] else 0.0
+        above += histogram[k]
+    return least, 1.0
+
+
+def chosen(score: np.ndarray, tie: np.ndarray, cuts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a view labels 1, and those it labels 0. tie: a number in [0, 1) of each row."""
+    (pos, part), (neg, other) = cuts
+    at, back = _bin(score), _bin(-score)
+    return (at > pos) | ((at == pos) & (tie < part)), (back > neg) | ((back == neg) & (tie < other))
+
 
+def newton_sums(a: np.ndarray, b: np.ndarray, tie: np.ndarray, labellers: list[np.ndarray], models: list[np.ndarray], cuts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per view the sums over the rows that the other view labels."""
+    views, out = [a, b], []
+    for k in (0, 1):
+        pos, neg = chosen(_score(views[1 - k], labellers[1 - k]), tie, cuts[1 - k])
+        on = pos | neg
+        out.append(_sums(views[k][on], pos[on].astype(float), models[k]))
+    return out
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], plan: Plan) -> tuple[list[np.ndarray], np.ndarray]:
-    """Weights of both views, and of (view one, view two, both's constant) in the end."""
-    x = [v.copy() for v in views]
-    labels = [y.copy(), y.copy()]
-    left = np.ones(len(pool[0]), bool)
+
+def co_train(known: list[np.ndarray], y: np.ndarray, histogram, sums, plan: Plan) -> list[np.ndarray]:
+    """Models of both views. histogram(models) counts the pool's scores by view and bin; sums(labellers, models, cuts)
+    gives newton_sums over the pool."""
+    models = [_fit(v, y, plan) for v in known]
     prior = y.mean()
-    for _ in range(plan.rounds):
-        models = [_fit(x[k], labels[k]) for k in (0, 1)]
-        take = max(1, int(plan.share * len(left)))
-        for k in (0, 1):
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            s = _score(pool[k][rest], models[k])
-            n1 = min(len(rest), max(1, round(take * prior)))
-            n0 = min(len(rest) - n1, max(1, round(take * (1 - prior))))
-            order = np.argsort(-s, kind="stable")
-            pos, neg = rest[order[:n1]], rest[order[len(order) - n0 :]]
-            pos, neg = pos[s[order[:n1]] > 1.5], neg[s[order[len(order) - n0 :]] < -1.5]  # confident ones only
-            other = 1 - k
-            x[other] = np.concatenate([x[other], pool[other][pos], pool[other][neg]])
-            labels[other] = np.concatenate([labels[other], np.ones(len(pos), int), np.zeros(len(neg), int)])
-            left[pos] = left[neg] = False
-    models = [_fit(x[k], labels[k]) for k in (0, 1)]
-    half = np.arange(len(y)) % 2 == 0  # calibration on labels that a view of the other half did not see
-    cross = [np.where(half, _score(v, _fit(v[~half], y[~half])), _score(v, _fit(v[half], y[half]))) for v in views]
-    return models, logistic(np.column_stack([*cross, np.ones(len(y))]), y.astype(float), ridge=1e-1)
+    for r in range(1, plan.rounds + 1):
+        counts = histogram(models)
+        n = counts[0].sum()
+        if not n:
+            break
+        wanted = plan.share * r * n
+        cuts = [(cut(c, wanted * prior, plan), cut(c[::-1], wanted * (1 - prior), plan)) for c in counts]
+        weight, labellers = len(y) / n, models
+        for _ in range(plan.steps):
+            pool = sums(labellers, models, cuts)
+            fresh = []
+            for k in (0, 1):
+                h, g = _sums(known[k], y, models[k])
+                h = h + weight * pool[k][0] + plan.ridge * np.eye(len(g))
+                g = g + weight * pool[k][1] + plan.ridge * models[k][2]
+                fresh.append(np.stack([*models[k][:2], models[k][2] - np.linalg.solve(h, g)]))
+            models = fresh
+    return models
+
+
+def combine(known: list[np.ndarray], y: np.ndarray, plan: Plan) -> np.ndarray:
+    """Weights of the views' scores and a constant, on labels that the scoring view did not see."""
+    half = np.arange(len(y)) % 2 == 0
+    cross = [np.where(half, _score(v, _fit(v[~half], y[~half], plan)), _score(v, _fit(v[half], y[half], plan))) for v in known]
+    return logistic(np.column_stack([*cross, np.ones(len(y))]), y.astype(float), ridge=1e-1)
+
+
+def _tie(a: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) of each row, by its content."""
+    return np.array([zlib.crc32(x.tobytes()) for x in a.astype("<f4")]) / 2.0**32
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(n, -1).astype(np.float64)
+
+
+def _summed(pool: DataFrame, size: int, add) -> np.ndarray:
+    """The sums over all rows of size numbers; add(a, b, total) adds those of a batch to total. The numbers of the tasks
+    are added by Spark, so the driver gets size rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                add(_matrix(batch.column(0), batch.num_rows), _matrix(batch.column(1), batch.num_rows), total)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(on.astype(np.int32)), "v": pa.array(total[on])})
+
+    out = np.zeros(size)
+    for k, v in pool.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v")).collect():
+        out[k] = v
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, plan: Plan) -> tuple | None:
     """Models of the views and their combination; None without labels of both kinds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     own = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(plan.labelled)
-    free = rows.where("doc_id is not null").select("doc_id").join(own.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(plan.unlabelled)
-    # Both draws are bounded by the plan; only their features, of fixed size, come to the driver.
-    wanted = drawn.union(free.distinct().select("doc_id", F.lit(-1)))
-    sample = _features(rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "lang", "source", "text", F.col("quality")), plan)
-    known = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "a", "b").limit(2 * (plan.labelled + plan.unlabelled)).collect()
-    y = np.array([r["quality"] for r in known], np.int64)
-    if not ((y == 0).any() and (y == 1).any()):
+    drawn: dict[int, list[int]] = {}  # bounded by plan.labelled
+    for r in own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(plan.labelled).collect():
+        drawn.setdefault(r[0], []).append(r[1])
+    if len({q for v in drawn.values() for q in v}) < 2:
         return None
-    a = np.array([np.frombuffer(r["a"], "<f4") for r in known], np.float64)
-    b = np.array([np.frombuffer(r["b"], "<f4") for r in known], np.float64)
-    on = y >= 0
-    return co_train([a[on], b[on]], y[on], [a[~on], b[~on]], plan)
+    stored = Table(_features(rows, drawn, plan), "features")
+    try:
+        known = stored.df.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "a", "b").limit(plan.labelled).collect()
+        y = np.array([r["quality"] for r in known], np.int64)
+        if not ((y == 0).any() and (y == 1).any()):
+            return None
+        views = [np.array([np.frombuffer(r[c], "<f4") for r in known], np.float64) for c in ("a", "b")]
+        pool = stored.df.where("quality is null").select("a", "b")
+        wide = [v.shape[1] for v in views]
+
+        def histogram(models: list[np.ndarray]) -> np.ndarray:
+            def add(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> None:
+                for k, v in enumerate((a, b)):
+                    np.add.at(total, k * _BINS + _bin(_score(v, models[k])), 1)
+
+            return _summed(pool, 2 * _BINS, add).reshape(2, _BINS)
+
+        def sums(labellers: list[np.ndarray], models: list[np.ndarray], cuts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+            places = np.cumsum([0, wide[0] ** 2, wide[0], wide[1] ** 2, wide[1]])
+
+            def add(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> None:
+                for k, (h, g) in enumerate(newton_sums(a, b, _tie(a), labellers, models, cuts)):
+                    total[places[2 * k] : places[2 * k + 1]] += h.ravel()
+                    total[places[2 * k + 1] : places[2 * k + 2]] += g
+
+            flat = _summed(pool, int(places[-1]), add)
+            part = [flat[x:y] for x, y in zip(places, places[1:], strict=False)]
+            return [(part[0].reshape(wide[0], -1), part[1]), (part[2].reshape(wide[1], -1), part[3])]
+
+        return co_train(views, y, histogram, sums, plan), combine(views, y, plan)
+    finally:
+        stored.drop()
 
 
 def scores(model: tuple | None, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, plan: Plan) -> list[np.ndarray]:
@@ -159,7 +264,8 @@ def quality(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFram
 
     docs has doc_id, text, lang, source; labels has doc_id and quality (0 or 1; other values are left out). Null and
     empty texts are scored as texts of no word. Without labels of both kinds every score is 1 and all are kept.
-    Repeated rows give repeated rows; an empty table none.
+    Repeated rows give repeated rows, also in learning; a null doc_id is never labelled. Texts of any length are taken
+    whole. Other columns are ignored; an empty table gives no row.
     """
     model = learn(docs, labels, plan)
 
@@ -173,13 +279,20 @@ def quality(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFram
     return rows.mapInArrow(run, "doc_id long, score double, score_text double, score_meta double, keep boolean")
 
 
-def _features(rows: DataFrame, plan: Plan) -> DataFrame:
+def _features(rows: DataFrame, drawn: dict[int, list[int]], plan: Plan) -> DataFrame:
+    """The features of both views of every row; a row drawn for its label comes once a label, the others with null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 a = content(data, offsets).astype("<f4")
                 b = layout(data, offsets, part.column(1).to_pylist(), part.column(2).to_pylist(), plan).astype("<f4")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], names=["doc_id", "quality", "a", "b"])
+                ids = part.column(0).to_pylist()
+                out = [(i, q, k) for k, i in enumerate(ids) for q in drawn.get(i, (None,))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), *(pa.array([v[x[2]].tobytes() for x in out], pa.binary()) for v in (a, b))],
+                    names=["doc_id", "quality", "a", "b"],
+                )
 
     return rows.mapInArrow(run, "doc_id long, quality int, a binary, b binary")
 
