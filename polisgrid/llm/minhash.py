@@ -158,19 +158,31 @@ def _sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 sets, counts = shingles(data, offsets)
+                one, two = _prints(sets, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(one), pa.array(two), lists], names=["id", "p1", "p2", "set"])
+
+    return docs.mapInArrow(run, "id long, p1 long, p2 long, set array<long>")
+
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+def _met(pairs: DataFrame, held: DataFrame, hubs: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b, hub, parts) with the value of both ends from held (id, value), as va and vb.
+
+    An end that many pairs share is their hub: what is held of it is copied to as many parts as hubs (id, parts) says,
+    and its pairs are dealt over them by their other end. The other ends have few pairs each.
+    """
+    spoke = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    dealt = pairs.select("a", "b", "hub", spoke.alias("spoke"), F.pmod(F.xxhash64(spoke), F.col("parts")).alias("part"))
+    copies = held.join(hubs, "id", "left").select(F.col("id").alias("hub"), F.col(value).alias("vh"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+    both = dealt.join(held.select(F.col("id").alias("spoke"), F.col(value).alias("vs")), "spoke").join(copies, ["hub", "part"])
+    first = F.col("hub") == F.col("a")
+    return both.select("a", "b", "hub", "part", F.when(first, F.col("vh")).otherwise(F.col("vs")).alias("va"), F.when(first, F.col("vs")).otherwise(F.col("vh")).alias("vb"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets meet the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    both = _met(pairs, sets, hubs, "set").withColumn("common", F.size(F.array_intersect("va", "vb")))
+    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("va") + F.size("vb") - F.col("common"))).select("a", "b")
 
 
 def _apart(members: DataFrame, plan: Plan) -> DataFrame:
@@ -244,49 +256,56 @@ def _apart(members: DataFrame, plan: Plan) -> DataFrame:
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id, kept of every row.
 
-    doc_id is taken as unique; rows that repeat it with another text share their links. A null or empty text has no
-    shingle, no link, and is its own component; a row without doc_id is likewise alone (component_id null, kept true).
-    Other columns are ignored; an empty table gives no row.
+    doc_id is taken as unique; rows that repeat it with another text share their links, which are those of the text with
+    the least fingerprints. A null or empty text has no shingle, no link, and is its own component; a row without doc_id
+    is likewise alone (component_id null, kept true). Texts of any length are taken whole. Other columns are ignored; an
+    empty table gives no row. The result is a table in the shared folder; all others made on the way are removed.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = Table(_sketch(rows, plan), "sketch")
     full = sketch.df.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    first = classes.join(full.select("p1", "p2", F.col("doc_id").alias("id"), "sig"), ["p1", "p2", "id"]).dropDuplicates(["p1", "p2", "id"])
-    reps = Table(first.select("id", "p1", "p2", "copies", "sig"), "reps")
-    keys = _keys(reps.df, plan)
-    first, last = F.min("id").alias("x"), F.max("id").alias("y")
+    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("sig", "doc_id").alias("sig"))
+    # One set for each id: the first by its prints, should several texts share a doc_id.
+    reps = Table(classes, "reps")
+    one = Table(reps.df.groupBy("id").agg(F.min_by(F.struct("sig", "copies"), F.struct("p1", "p2")).alias("v")).select("id", "v.sig", "v.copies"), "signatures")
+    keys = _keys(one.df, plan)
     centres = [F.max_by("id", F.struct("copies", -F.col("id"))).alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2))]
-    least = keys.groupBy("key").agg(first, last, *centres).where("x < y").select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
-    shared = Table(keys.select("key", "j", "id").join(least, "key"), "keys")
+    least = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n"), *centres).where("x < y")
+    parts = F.ceil(F.col("n") / plan.block).cast("long").alias("parts")
+    shared = Table(keys.select("key", "j", "id").join(least.select("key", parts, F.array_distinct(F.array("c0", "c1", "c2")).alias("centres")), "key"), "keys")
     candidates = shared.df.select("id").distinct()
-    sets = Table(_sets(rows.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
-    # Each member of a key against its centres.
-    stars = shared.df.select("id", F.explode("centres").alias("c")).where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    sigs = reps.df.groupBy("id").agg(F.min("sig").alias("sig"))
-    close = _within(stars, sigs, plan)
-    found = Table(_linked(close, sets.df, plan.percent), "links")
+    texts = _sets(rows.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+    sets = Table(texts.groupBy("id").agg(F.min_by("set", F.struct("p1", "p2")).alias("set")), "sets")
+    # Each member of a key against its centres; a centre with many members is copied to several parts.
+    to = shared.df.select("id", "parts", F.explode("centres").alias("c"))
+    hubs = Table(to.where("parts > 1").groupBy(F.col("c").alias("id")).agg(F.max("parts").alias("parts")), "hubs")
+    ends = to.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.struct("parts", F.col("c").alias("hub")).alias("at"))
+    stars = Table(ends.groupBy("a", "b").agg(F.max("at").alias("at")).select("a", "b", "at.hub", "at.parts"), "stars")
+    close = Table(_within(_met(stars.df, one.df, hubs.df, "sig"), plan), "close")
+    found = Table(_linked(close.df.join(stars.df, ["a", "b"]), sets.df, hubs.df, plan.percent), "links")
     roots = components(found.df)
     # Keys whose members are still in several components.
     comp = shared.df.select("key", "j", "id").join(roots.df, "id", "left").select("key", "j", "id", F.coalesce("root", "id").alias("comp"))
     several = comp.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key", "n")
-    members = comp.join(several, "key").join(sigs, "id")
-    parts = F.ceil(F.col("n") / plan.block).cast("int")
-    members = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = comp.join(several, "key").join(one.df.select("id", "sig"), "id")
+    members = members.withColumn("parts", F.ceil(F.col("n") / plan.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("key", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), F.col("j").alias("number"), "sig")
     members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = _apart(members, plan).join(stars, ["a", "b"], "left_anti")
-    more = Table(_linked(rest, sets.df, plan.percent), "links")
-    roots = components(found.df.union(more.df))
-    groups = reps.df.join(roots.df, "id", "left").select("p1", "p2", F.coalesce("root", "id").alias("component_id"))
+    rest = _apart(members, plan).join(stars.df, ["a", "b"], "left_anti").select("a", "b", F.col("b").alias("hub"), F.lit(1).alias("parts"))
+    more = Table(_linked(rest, sets.df, hubs.df.limit(0), plan.percent), "links")
+    last = components(found.df.union(more.df))
+    groups = reps.df.join(last.df, "id", "left").select("p1", "p2", F.coalesce("root", "id").alias("component_id"))
     own = sketch.df.select("doc_id", "n_shingles", "p1", "p2")
     searched = own.where("n_shingles > 0 and doc_id is not null").join(groups, ["p1", "p2"]).select("doc_id", "n_shingles", "component_id")
     alone = own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return searched.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = Table(searched.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    for table in (sketch, reps, one, shared, sets, hubs, stars, close, found, roots, more, last):
+        table.drop()
+    return out.df
 
 
-def _within(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
+def _within(both: DataFrame, plan: Plan) -> DataFrame:
     """Pairs whose signatures differ in at most so many symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +313,4 @@ def _within(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, plan.checked) for k in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((one != two).sum(1) <= plan.checked_distance))
 
-    left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga"))
-    right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
