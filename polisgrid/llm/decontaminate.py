@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polisgrid.llm.shared import Table
 from polisgrid.llm.textcore import SPACE, text_slices
@@ -298,11 +299,11 @@ def _searcher(items: tuple[tuple[int, str], ...], plan: Plan) -> Searcher:
     return _MADE[items, plan]
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, plan: Plan, judge) -> DataFrame:
+def _passes(docs: DataFrame, benchmark: DataFrame, plan: Plan, judge, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs after judge(searcher, rows, data, offsets) of every part of the benchmark in turn; judge gives rows anew.
 
     A part has at most about plan.shard bytes of text; only then is it broadcast. With several parts the rows are stored
-    between the passes, so one searcher is held at a time.
+    between the passes, so one searcher is held at a time. The last pass leaves out the columns in drop.
     """
     own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -312,13 +313,15 @@ def _passes(docs: DataFrame, benchmark: DataFrame, plan: Plan, judge) -> DataFra
         part = own if shards == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         held = docs.sparkSession.sparkContext.broadcast(tuple(sorted({(r["item_id"], r["text"]) for r in part.collect()})))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        gone = drop if k == shards - 1 else ()
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, gone=gone) -> Iterator[pa.RecordBatch]:
             searcher = _searcher(held.value, plan)
             for batch in batches:
                 for rows, data, offsets in text_slices(batch, "text"):
-                    yield judge(searcher, rows, data, offsets)
+                    yield judge(searcher, rows, data, offsets).drop_columns(list(gone))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, T.StructType([f for f in docs.schema if f.name not in gone]))
         if k < shards - 1:
             now = Table(docs, "pass")
             if before is not None:
@@ -346,9 +349,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) ->
         lists = rows.column(2).to_pylist()
         for d in np.unique(doc).tolist():
             lists[d] = sorted({*lists[d], *item[doc == d].tolist()})
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lists, rows.column(2).type)], names=rows.schema.names)
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lists, rows.column(2).type)], schema=rows.schema)
 
-    found = _passes(rows, benchmark, plan, judge)
+    found = _passes(rows, benchmark, plan, judge, ("text",))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
