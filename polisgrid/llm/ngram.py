@@ -38,8 +38,8 @@ class Plan:
     folds: int = 5
     test_fold: int = 1
     tuning: int = 10  # one training document in so many is held out to learn the weights
-    rounds: int = 12  # of expectation-maximisation, at most
-    settled: float = 1e-3  # change of a weight from which on it goes on
+    rounds: int = 10  # of expectation-maximisation, at most
+    settled: float = 3e-3  # change of a weight from which on it goes on
     prior: float = 10.0  # tokens that a bucket takes from those around it
     smoothing: float = 0.5
 
@@ -68,7 +68,29 @@ def _stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _kind(hashes: np.ndarray, kind: int) -> np.ndarray:
-    return hashes & ~np.uint64(3) | np.uint64(kind)
+    """56 bits: enough to tell 10**9 distinct n-grams apart but for about seven of them."""
+    return (hashes >> np.uint64(8)) & ~np.uint64(3) | np.uint64(kind)
+
+
+_FAR = (1 << 40) - 1
+
+
+def packed(hashes: np.ndarray, low: int) -> bytes:
+    """Sorted hashes from low on as their number and the distances between them, of five bytes each; where that is too
+    few they are _FAR, and follow in full."""
+    step = np.diff(hashes, prepend=np.uint64(low))
+    far = step >= _FAR
+    short = np.where(far, np.uint64(_FAR), step).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return len(hashes).to_bytes(4, "little") + short.tobytes() + step[far].astype("<u8").tobytes()
+
+
+def unpacked(raw: bytes, low: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(n, 5)
+    step = step.view("<u8")[:, 0]
+    step[step == _FAR] = np.frombuffer(raw, "<u8", offset=4 + 5 * n)
+    return np.cumsum(step, dtype=np.uint64) + np.uint64(low)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -122,8 +144,11 @@ def _large(raw: bytes, n: int) -> np.ndarray:
 
 
 def _cut(distinct: np.ndarray, ranges: int) -> np.ndarray:
-    step = (1 << 64) // ranges
-    return np.append(np.searchsorted(distinct, np.arange(ranges, dtype=np.uint64) * np.uint64(step)), len(distinct))
+    return np.append(np.searchsorted(distinct, np.arange(ranges, dtype=np.uint64) * np.uint64(_step(ranges))), len(distinct))
+
+
+def _step(ranges: int) -> int:
+    return (1 << 56) // ranges
 
 
 def _ask(docs: DataFrame, plan: Plan, ranges: int) -> DataFrame:
@@ -143,7 +168,7 @@ def _ask(docs: DataFrame, plan: Plan, ranges: int) -> DataFrame:
                     a, b = at[r], at[r + 1]
                     if a < b:
                         out[0].append(r)
-                        out[1].append(distinct[a:b].astype("<u8").tobytes())
+                        out[1].append(packed(distinct[a:b], r * _step(ranges)))
                         out[2].append(b"" if tune else _small(main[a:b]))
                         out[3].append(b"" if tune else _small(dev[a:b]))
                 n = len(out[0])
@@ -164,12 +189,12 @@ def _sign(group: list[tuple]) -> int:
     return code
 
 
-def _answer(asked: DataFrame) -> DataFrame:
+def _answer(asked: DataFrame, ranges: int) -> DataFrame:
     """Per asking group and range the counts of its hashes: all training counts, or without the tuning part. A row
     with task -1 carries the range's sums: tokens and distinct words, of both kinds of counts."""
 
     def answer(key, table):
-        hashes = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+        hashes = [unpacked(x, key[0].as_py() * _step(ranges)) for x in table["hashes"].to_pylist()]
         tune = table["tune"].to_pylist()
         main, dev = table["main"].to_pylist(), table["dev"].to_pylist()
         plain = [k for k, t in enumerate(tune) if not t]
@@ -280,7 +305,7 @@ def score(docs: DataFrame, plan: Plan = Plan(), ranges: int | None = None) -> Da
     ranges = ranges or max(8, -(-int(sizes[2]) // _RANGE_BYTES))
     tasks = max(1, rows.rdd.getNumPartitions())
     folder = new_path(spark, "answers")
-    _answer(_ask(rows, plan, ranges).repartition(ranges, "range")).repartition(tasks, "task").write.partitionBy("task").parquet(folder)
+    _answer(_ask(rows, plan, ranges).repartition(ranges, "range"), ranges).repartition(tasks, "task").write.partitionBy("task").parquet(folder)
     sums = np.zeros(4, np.int64)
     answers = spark.read.schema("range int, part int, tune boolean, sign long, counts binary, task int").parquet(folder)
     # One row of four numbers a range, added up in the tasks.
@@ -343,10 +368,13 @@ def _scored(rows: DataFrame, folder: str, sizes, sums: np.ndarray, plan: Plan) -
                 continue
             per = per[per > 0]
             bucket, found, _ = _estimates(counts, n, back, int(sizes[1]), int(sums[2]), np.cumsum(per) - per)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *(pa.array(found[:, k].astype(np.float32)) for k in range(3))], names=["bucket", "p3", "p2", "p1"])
+            # Tokens of a part with the same estimates are one row with their number.
+            every = np.rec.fromarrays([bucket.astype(np.int32), *found.astype(np.float32).T], names="bucket,p3,p2,p1")
+            one, times = np.unique(every, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(one[c])) for c in ("bucket", "p3", "p2", "p1")), pa.array(times.astype(np.int32))], names=["bucket", "p3", "p2", "p1", "times"])
 
     weights = start_weights(plan)
-    tokens = Table(rows.mapInArrow(tuned, "bucket int, p3 float, p2 float, p1 float"), "held-out")
+    tokens = Table(rows.mapInArrow(tuned, "bucket int, p3 float, p2 float, p1 float, times int"), "held-out")
     for _ in range(plan.rounds):
         before = weights
         weights = next_weights(_expected(tokens.df, weights, int(sums[3])), plan)
@@ -383,9 +411,9 @@ def _expected(tokens: DataFrame, weights: np.ndarray, vocabulary: int) -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, 4))
         for batch in batches:
-            bucket, *found = (batch.column(k).to_numpy() for k in range(4))
+            bucket, *found, times = (batch.column(k).to_numpy() for k in range(5))
             part = shares(weights, bucket, np.column_stack(found).astype(np.float64), vocabulary)
-            part /= part.sum(1, keepdims=True)
+            part *= (times / part.sum(1))[:, None]
             for k in range(4):
                 total[:, k] += np.bincount(bucket, part[:, k], BUCKETS)
         on = np.flatnonzero(total.sum(1))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from polisgrid.llm import automaton, bpe, decontaminate, itq, language, minhash, records, secrets, textcore, toxicity
+from polisgrid.llm import automaton, bpe, decontaminate, itq, language, minhash, ngram, records, secrets, textcore, toxicity
 
 ODD = [None, "", " ", "  a", "\n\n b", "it's  x", "é× a÷b", "a b  c", "日本 語, x", "naïve\n\nté 12 3a", "don't!? \t\n x\n", "a\n", "\nb\n \nc", "<|endoftext|> x", "a <|endoftext|> b", "<|endof", "text|>", "a<|endoftext|><|endoftext|>", "x" * 3000, "aaaaaaa aaaa", "ab" * 500, " x  y", "A, b.C\r\n;d"]
 
@@ -89,6 +89,22 @@ def test_secrets_against_regular_expressions():
     assert got == [plain_secrets(t or "") for t in texts]
 
 
+def test_secrets_in_long_texts_are_those_of_regular_expressions(monkeypatch):
+    random.seed(4)
+    bits = ["password", "token", "=", ":", " ", "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMN", "a1", "\n", "f" * 5000, "Z" * 3000, "é"]
+    texts = ["".join(random.choice(bits) for _ in range(n)) for n in (40, 100, 300)] + ["token=" + "a" * 20_000, "AKIA" + "Q" * 9000]
+    for lane in (7, 64, 4096):
+        monkeypatch.setattr(secrets, "_LANE", lane)
+        found = secrets.find(*flat(texts), secrets.BASE)
+        assert [secrets._points(t.encode(), found.get(k, [])) for k, t in enumerate(texts)] == [plain_secrets(t) for t in texts]
+
+
+def test_secrets_in_a_text_of_five_megabytes():
+    text = "some words and more\n" * 250_000 + "token=abcdefghijklmnop"
+    found = secrets.find(*flat([text, "x"]), secrets.BASE)
+    assert found == {0: [(5_000_000, 0, 5_000_022)]}
+
+
 def test_public_formats_are_found_beside_base_kinds():
     texts = ["x ghp_" + "a1B2" * 9 + " y", "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK", "ghp_short"]
     found = secrets.find(*flat(texts), secrets.BASE + secrets.MORE)
@@ -155,12 +171,18 @@ def test_landmarks_of_a_small_language():
     insults = ["".join(rng.choice(list("abcdefghijklm"), 8)) for _ in range(70)]  # of the large language
     texts = [" ".join(["plain", *rng.choice(insults, 15)]) for _ in range(300)] + ["nada zorvuqy"] * 6 + ["plain words"] * 1500 + ["nada otras"] * 500
     labels = np.repeat([1, 0], [306, 2000])
-    found = toxicity.choose(texts, labels, toxicity.Plan())
+    _, counts, word, doc, spelled = toxicity.tally(*flat(texts), labels)
+    assert {w: tuple(c) for w, c in zip(spelled, counts.tolist(), strict=True)} == {w.encode(): tuple(sum(w in t.split() for t, y in zip(texts, labels, strict=True) if y == k) for k in (1, 0)) for w in {w for t in texts for w in t.split()}}
+    plan = toxicity.Plan()
+    held = [(w, *c, doc[word == k].tolist()) for k, (w, c) in enumerate(zip(spelled, counts.tolist(), strict=True))]
+    found = toxicity.pick(held, 306, 2000, plan)
     assert b"zorvuqy" in found and b"plain" not in found and b"nada" not in found
-    marks, weights, last = toxicity.train(texts, labels, toxicity.Plan())
+    marks = toxicity.Landmarks(found, plan)
+    row, mark, value, own, totals = marks.sparse(*flat(texts))
+    weights, last = toxicity.fit(marks, [(row, mark, value, own)], labels, totals, plan)
     x, doc, totals = marks.sentences(*flat(["otras zorvuqy", "otras nada", insults[0]]))
     score = 1 / (1 + np.exp(-toxicity._summary(x @ weights[:-1] + weights[-1], doc, totals) @ last))
-    assert (score >= toxicity.Plan().threshold).tolist() == [True, False, True]
+    assert (score >= plan.threshold).tolist() == [True, False, True]
 
 
 def test_forward_backward_in_segments():
@@ -254,11 +276,22 @@ def test_windows_begin_at_every_place():
         assert not len(doc), at
 
 
-def test_rotation_is_orthogonal():
+def test_rotations_are_orthogonal_and_find_made_pairs():
     sample = np.random.default_rng(0).normal(size=(300, 16))
-    mean, turns, tables = itq.learn(sample, itq.Plan(rounds=5))
-    assert len(turns) == 4 and all(np.allclose(t.T @ t, np.eye(16)) for t in turns)
-    assert mean.shape == (16,) and {k for k, _, _ in tables} == {0, 1, 2, 3}
+    model = itq.learn(sample, 100_000, itq.Plan(rounds=5))
+    assert model.chunk == 9 and model.turns.shape == (16, 9 * model.tables)
+    assert np.allclose(model.turns[:, :16].T @ model.turns[:, :16], np.eye(16))
+    rng = np.random.default_rng(1)
+    one = itq.unit(rng.normal(size=(3000, 16)))
+    two = rng.normal(size=one.shape)
+    two = itq.unit(two - (two * one).sum(1, keepdims=True) * one)
+    two = 0.9 * one + np.sqrt(0.19) * two
+    assert (model.bits(one) == model.bits(two)).all(2).any(1).mean() > 0.93
+
+
+def test_labels_of_links():
+    label = itq.joined(np.arange(8), np.array([0, 2, 5, 3]), np.array([1, 1, 6, 2]))
+    assert label.tolist() == [0, 0, 0, 0, 4, 5, 5, 7]
 
 
 def test_items_of_all_lengths_in_one_benchmark():
@@ -285,3 +318,12 @@ def test_a_very_long_text_is_searched_whole():
         text = "y" * at + item.upper() + "y" * (6_000_000 - at)
         assert [x.tolist() for x in search.search(*flat([text]))] == [[0], [1]]
     assert not len(search.search(*flat(["y" * 6_000_000]))[0])
+
+
+def test_packed_hashes():
+    rng = np.random.default_rng(2)
+    for low in (0, 12345, 7 << 50):
+        x = np.unique(np.concatenate([np.uint64(low) + rng.integers(0, 1 << 52, 200, dtype=np.uint64), np.uint64(low) + np.arange(5, dtype=np.uint64)]))
+        raw = ngram.packed(x, low)
+        assert (ngram.unpacked(raw, low) == x).all() and len(raw) < 4 + 13 * len(x)
+    assert not len(ngram.unpacked(ngram.packed(x[:0], 0), 0))

@@ -137,21 +137,44 @@ def test_secrets(docs, none):
     assert by_id(secrets.redact(docs))[9][0].text == "[assign]' idiot"
 
 
-def test_itq(spark):
+@pytest.mark.parametrize("plan", [itq.Plan(cell=16, block=16), itq.Plan(cell=64, block=32, dense=1)])
+def test_itq(spark, plan):
     rng = np.random.default_rng(1)
-    base = rng.normal(size=(80, 8))
-    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, base[:40] + rng.normal(scale=0.05, size=(40, 8)), base[:3]]))]
+    rows, want = [], {}
+    for d in (1, 8, 16, 32):  # each dimension by itself
+        base = rng.normal(size=(80, d))
+        near = base[:40] + rng.normal(scale=0.2, size=(40, d)) * np.linalg.norm(base[:40], axis=1, keepdims=True) / d**0.5
+        group = base[50] + rng.normal(scale=0.02, size=(60, d))  # more links than a block gives as pairs
+        x = np.concatenate([base, near, base[:3], 7 * base[5:6], group])
+        ids = 1000 * d + np.arange(len(x))
+        rows += [(int(k), v.tolist(), "other") for k, v in zip(ids, x, strict=True)]
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        linked = x @ x.T >= 0.9
+        root = ids.copy()
+        for _ in range(len(x)):
+            root = np.array([root[row].min() for row in linked])
+        want |= {int(k): (int(n) - 1, int(r), d) for k, n, r in zip(ids, linked.sum(1), root, strict=True)}
     odd = [(900, None), (901, [0.0] * 8), (902, [None] * 8), (903, [float("nan")] + [1.0] * 7), (904, []), (905, [float("inf")] * 8), (None, [1.0] * 8)]
-    got = {r.vec_id: r for r in itq.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), itq.Plan(block=16)).collect()}
-    x = np.array([v for _, v in rows])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = ((x @ x.T) >= 0.9).sum(1) - 1
-    links = np.array([got[k].n_links for k, _ in rows])
-    assert (links <= want).all() and links.sum() >= 0.9 * want.sum() and got[120].component_id == 0 and not got[120].kept
-    assert all(got[k].n_links == 0 and got[k].kept for k, _ in odd)
+    frame = spark.createDataFrame(rows + [(*x, "other") for x in odd], "vec_id long, embedding array<double>, code string")
+    got = {r.vec_id: r for r in itq.near_vectors(frame, plan).collect()}
+    assert len(got) == len(rows) + len(odd) and all(got[k].n_links == 0 and got[k].kept for k, _ in odd)
+    for d in (1, 8, 16, 32):
+        own = [k for k in want if want[k][2] == d]
+        assert all(got[k].n_links <= want[k][0] for k in own)
+        assert sum(got[k].n_links for k in own) >= 0.95 * sum(want[k][0] for k in own), d
+        assert np.mean([got[k].component_id == want[k][1] for k in own]) > 0.9
     assert itq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_itq_finds_the_links_of_the_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in read(spark, "/root/testdata/sf0.01", "embeddings").collect()]
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in itq.near_vectors(read(spark, "/root/testdata/sf0.01", "embeddings")).collect()}
+    assert all(got[k] <= n for (k, _), n in zip(rows, want.tolist(), strict=True)) and sum(got.values()) >= 0.97 * want.sum()
+
+
 def test_ngram(spark, docs, none):
     got = {r.doc_id: r for r in ngram.score(read(spark, SF, "documents")).collect()}
     tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")), None] for r in read(spark, SF, "documents").collect()}
@@ -170,8 +193,82 @@ def test_ngram(spark, docs, none):
     assert ngram.score(docs).count() == 12 and ngram.score(none).count() == 0
 
 
-def test_ngram_probabilities_sum_to_at_most_one():
-    w = ngram.learn_weights(np.array([[3, 40, 20], [3, 0, 25]]), np.array([5.0, 7.0]), ngram.Plan(), 100)
+def plain_trigram_scores(texts, plan):
+    """log10 probabilities by dictionaries, with weights from plain expectation-maximisation."""
+    words = {d: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t in texts.items()}
+    code = {d: zlib.crc32(str(d).encode()) for d in texts}
+    train = [d for d in texts if code[d] % 5 != 1]
+    tune = [d for d in train if code[d] // 5 % plan.tuning == 0]
+
+    def count(ids):
+        c = {"docs": len(ids), "n": 0, "v": set()}
+        for d in ids:
+            w = ["<", "<", *words[d]]
+            c["n"] += len(words[d])
+            c["v"] |= set(words[d])
+            for k in range(2, len(w)):
+                for size in (1, 2, 3):
+                    key = tuple(w[k + 1 - size : k + 1])
+                    c[key] = c.get(key, 0) + 1
+        return c
+
+    def tokens(d, c):
+        w = ["<", "<", *words[d]]
+        for k in range(2, len(w)):
+            two = c["docs"] if k == 2 else c.get((w[k - 2], w[k - 1]), 0)
+            one = c["docs"] if k == 2 else c.get((w[k - 1],), 0)
+            at = tuple(n if n <= 8 else min(5 + int(math.log2(n)), 35) for n in (two, one))
+            yield at, (c.get((w[k - 2], w[k - 1], w[k]), 0) / max(1, two), c.get((w[k - 1], w[k]), 0) / max(1, one), c.get((w[k],), 0) / max(1, c["n"]), 1 / (len(c["v"]) + 1))
+
+    part = count([d for d in train if d not in set(tune)])
+    held = [x for d in tune for x in tokens(d, part)]
+    start = (0.3, 0.3, 0.3, 0.1)
+    weights: dict = {}
+    for _ in range(plan.rounds):
+        sums: dict = {}
+        for at, p in held:
+            w = weights.get(at, start)
+            mass = [x * y for x, y in zip(w, p, strict=True)]
+            own = sums.setdefault(at, [0.0] * 4)
+            for k in range(4):
+                own[k] += mass[k] / sum(mass)
+        new, level = {}, start
+        for a in range(36):
+            own = [sum(s[k] for at, s in sums.items() if at[0] == a) + plan.prior * level[k] for k in range(4)]
+            level = [x / sum(own) for x in own]
+            for b in range(36):
+                own = [x + plan.prior * y for x, y in zip(sums.get((a, b), [0.0] * 4), level, strict=True)]
+                new[a, b] = [x / sum(own) for x in own]
+        moved = max(abs(x - y) for at, w in new.items() for x, y in zip(w, weights.get(at, start), strict=True))
+        weights = new
+        if moved < plan.settled:
+            break
+    whole = count(train)
+    return {d: sum(math.log10(sum(x * y for x, y in zip(weights.get(at, start), p, strict=True))) for at, p in tokens(d, whole)) for d in texts}
+
+
+def test_ngram_scores_are_those_of_a_plain_model(spark):
+    docs = read(spark, SF, "documents")
+    want = plain_trigram_scores({r.doc_id: r.text for r in docs.collect()}, ngram.Plan())
+    got = {r.doc_id: r.score for r in ngram.score(docs).collect()}
+    assert got == {d: pytest.approx(s, rel=1e-4) for d, s in want.items()}
+    dealt = {r.doc_id: r.score for r in ngram.score(docs.repartition(5)).collect()}  # no plain scan: stored first
+    assert dealt == {d: pytest.approx(s, rel=1e-6) for d, s in got.items()}
+
+
+def test_ngram_tells_documents_that_occur_twice_apart(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(400)]
+    rows = [(k, texts[k % 400]) for k in range(500)]  # the first hundred occur twice
+    got = {r.doc_id: r.score for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.held_out}
+    both = [(got[k] + got[k + 400]) / 2 for k in range(100) if k in got and k + 400 in got]
+    once = [got[k] for k in range(100, 400) if k in got]
+    assert np.mean(np.array(both)[:, None] > np.array(once)) > 0.95
+
+
+def test_ngram_weights_sum_to_one():
+    w = ngram.next_weights(np.random.default_rng(1).random((ngram.BUCKETS, 4)), ngram.Plan())
     assert np.allclose(w.sum(1), 1) and (w > 0).all()
 
 
