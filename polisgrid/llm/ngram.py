@@ -28,7 +28,7 @@ from polisgrid.llm.textcore import distinct_of, mix, text_slices, word_hashes
 
 _END = np.uint64(0xE4D0F7E4D0F7E4D1)
 _BEGIN = np.uint64(0xBE617BE617BE6171)
-_GROUP_BYTES = 6 << 20
+_GROUP_BYTES = 5 << 20
 _RANGE_BYTES = 4 << 20  # of text, for each range of hashes
 _NAMES = ("l3", "l2", "l1", "l0")
 
@@ -72,24 +72,24 @@ def _kind(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (hashes >> np.uint64(8)) & ~np.uint64(3) | np.uint64(kind)
 
 
-_FAR = (1 << 40) - 1
+_FAR = 255
 
 
 def packed(hashes: np.ndarray, low: int) -> bytes:
-    """Sorted hashes from low on as their number and the distances between them, of five bytes each; where that is too
-    few they are _FAR, and follow in full."""
+    """Sorted hashes from low on as their number and the distances between them: four bytes of each as they are, the byte
+    above, which is small, by a Huffman code. Where that byte is _FAR, the distance follows in full."""
     step = np.diff(hashes, prepend=np.uint64(low))
-    far = step >= _FAR
-    short = np.where(far, np.uint64(_FAR), step).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return len(hashes).to_bytes(4, "little") + short.tobytes() + step[far].astype("<u8").tobytes()
+    high = np.minimum(step >> np.uint64(32), np.uint64(_FAR)).astype(np.uint8)
+    coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    head = coder.compress(high.tobytes()) + coder.flush()
+    return len(hashes).to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + step.astype("<u4").tobytes() + step[high == _FAR].astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes, low: int) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    step = np.zeros((n, 8), np.uint8)
-    step[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(n, 5)
-    step = step.view("<u8")[:, 0]
-    step[step == _FAR] = np.frombuffer(raw, "<u8", offset=4 + 5 * n)
+    n, size = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+    high = np.frombuffer(zlib.decompress(raw[8 : 8 + size]), np.uint8)
+    step = np.frombuffer(raw, "<u4", n, 8 + size).astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
+    step[high == _FAR] = np.frombuffer(raw, "<u8", offset=8 + size + 4 * n)
     return np.cumsum(step, dtype=np.uint64) + np.uint64(low)
 
 
@@ -132,12 +132,13 @@ def _asked(group: list[tuple], plan: Plan, tune: bool) -> tuple[np.ndarray, np.n
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts as bytes, 255 standing for what follows in full."""
+    """Counts as bytes, 255 standing for what follows in full, compressed."""
     big = counts >= 255
-    return np.where(big, 255, counts).astype(np.uint8).tobytes() + counts[big].astype("<u8").tobytes()
+    return zlib.compress(np.where(big, 255, counts).astype(np.uint8).tobytes() + counts[big].astype("<u8").tobytes(), 1)
 
 
 def _large(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
     out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
     return out
@@ -371,10 +372,11 @@ def _scored(rows: DataFrame, folder: str, sizes, sums: np.ndarray, plan: Plan) -
             # Tokens of a part with the same estimates are one row with their number.
             every = np.rec.fromarrays([bucket.astype(np.int32), *found.astype(np.float32).T], names="bucket,p3,p2,p1")
             one, times = np.unique(every, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(one[c])) for c in ("bucket", "p3", "p2", "p1")), pa.array(times.astype(np.int32))], names=["bucket", "p3", "p2", "p1", "times"])
+            columns = [np.ascontiguousarray(one[c]) for c in ("bucket", "p3", "p2", "p1")] + [times.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(b"".join(c.tobytes() for c in columns), 1)], pa.binary())], names=["tokens"])
 
     weights = start_weights(plan)
-    tokens = Table(rows.mapInArrow(tuned, "bucket int, p3 float, p2 float, p1 float, times int"), "held-out")
+    tokens = Table(rows.mapInArrow(tuned, "tokens binary"), "held-out")
     for _ in range(plan.rounds):
         before = weights
         weights = next_weights(_expected(tokens.df, weights, int(sums[3])), plan)
@@ -411,11 +413,12 @@ def _expected(tokens: DataFrame, weights: np.ndarray, vocabulary: int) -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, 4))
         for batch in batches:
-            bucket, *found, times = (batch.column(k).to_numpy() for k in range(5))
-            part = shares(weights, bucket, np.column_stack(found).astype(np.float64), vocabulary)
-            part *= (times / part.sum(1))[:, None]
-            for k in range(4):
-                total[:, k] += np.bincount(bucket, part[:, k], BUCKETS)
+            for raw in batch.column(0).to_pylist():
+                bucket, *found, times = np.frombuffer(zlib.decompress(raw), "<i4").reshape(5, -1)
+                part = shares(weights, bucket, np.column_stack([x.view("<f4") for x in found]).astype(np.float64), vocabulary)
+                part *= (times / part.sum(1))[:, None]
+                for k in range(4):
+                    total[:, k] += np.bincount(bucket, part[:, k], BUCKETS)
         on = np.flatnonzero(total.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(total[on, k]) for k in range(4))], names=["bucket", *_NAMES])
 
@@ -428,17 +431,19 @@ def _expected(tokens: DataFrame, weights: np.ndarray, vocabulary: int) -> np.nda
 def _joined(raws: list[bytes], n: int) -> np.ndarray:
     """Counts of all ranges in order. A range's bytes hold one byte a hash, then eight for each 255."""
     out, at = np.zeros(n, np.int64), 0
-    for raw in raws:
-        one = np.frombuffer(raw, np.uint8)
-        size = len(one)  # n1 bytes and 8 for each 255 among them
+    for packed_ in raws:
+        raw = np.frombuffer(zlib.decompress(packed_), np.uint8)
+        size = len(raw)  # n1 bytes and 8 for each 255 among them
         low, high = -(-size // 9), size
         while low < high:
             mid = (low + high) // 2
-            if mid + 8 * int((one[:mid] == 255).sum()) >= size:
+            if mid + 8 * int((raw[:mid] == 255).sum()) >= size:
                 high = mid
             else:
                 low = mid + 1
-        out[at : at + low] = _large(raw, low)
+        own = raw[:low].astype(np.int64)
+        own[own == 255] = np.frombuffer(raw[low:].tobytes(), "<u8").astype(np.int64)
+        out[at : at + low] = own
         at += low
     assert at == n
     return out
