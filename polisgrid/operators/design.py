@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ MAX_AREA = {"R": 72000.0, "C": 21000.0, "GIC": 30000.0, "M": 35000.0, "W": 42000
 MIX_COEFFICIENT = {"R": 1.2, "C": 0.8, "GIC": 1.5, "M": 0.6, "W": 0.6}
 FAR_INTERVAL = {"R": (0.9, 6.0), "C": (1.8, 15.0), "GIC": (1.8, 6.0), "M": (1.2, 4.0), "W": (1.2, 4.0)}
 DENSITY_INTERVAL = {"R": (0.1, 0.35), "C": (0.2, 0.6), "GIC": (0.2, 0.35), "M": (0.4, 0.65), "W": (0.4, 0.65)}
-TREE_SIZES = (3, 3, 3, 2, 2, 1)
+#: Canopies of trees in metres across, in the order in which they are planted.
+TREE_CANOPIES = (3.0, 3.0, 3.0, 6.0, 6.0, 9.0)
 
 
 def band(value: Column, bands: tuple[tuple[float, float, float], ...]) -> Column:
@@ -50,8 +52,10 @@ def _solar(latitude: Column, longitude: Column, zone: float, year: int, month: i
     return height, azimuth
 
 
-def sun_distance(height: Column, latitude: Column, longitude: Column, zone: float = 8.0, year: int = 2018, month: int = 12, day: int = 23, hour: float = 12.0) -> Column:
-    """Length to the north of the shadow of a height; null when the sun is down."""
+def sun_distance(height: Column, latitude: Column, longitude: Column | None = None, zone: float = 0.0, year: int = 2018, month: int = 12, day: int = 23, hour: float = 12.0) -> Column:
+    """Length to the north of the shadow of a height; null when the sun is down. Without a longitude the hour is that of
+    longitude 0, as for the distances between buildings: noon by the sun, but for the equation of time."""
+    longitude = F.lit(0.0) if longitude is None else longitude
     up, around = _solar(latitude, longitude, zone, year, month, day, hour)
     return F.when(up > 0, height * F.abs(F.cos(around)) / F.tan(up))
 
@@ -61,18 +65,29 @@ def sun_hours(blocked: Column) -> Column:
     return F.lit(6.0) * (F.lit(37) - blocked) / F.lit(37.0)
 
 
+#: Fixed values of homes in rows: depth of a building, most floors, part of a row that is built, and how much of the
+#: sunlight distance a site loses at its ends.
+ROW_DEPTH, MOST_FLOORS, BUILT, END_LOSS = 26.0, 45.0, 0.9, 1 - 2 / 3.0
+
+
 def density_cap(far: Column, density: Column, edge: Column, per_floor: Column) -> tuple[Column, Column, Column]:
     """Floor-area ratio, density and least floors of a residential site. edge: the box's second edge; per_floor: the
-    sunlight distance of one floor. Depth 26, 45 floors at most, a tenth lost, a third of the end rows free of shade."""
-    t, delta, beta, most = 26.0, 0.9, 1 - 2 / 3.0, 45.0
-    cap = F.lit(delta) * (F.lit(beta * t * most * most) * per_floor + edge * (t * most)) / (edge * per_floor * most + edge * t)
-    f = F.least(far, cap)
-    b = edge / (per_floor * beta) - edge * f / (t * delta * beta)
-    c = -edge * f / (per_floor * (delta * beta))
-    root = (-b + F.sqrt(b * b - c * 4)) / 2
-    floors = F.least(F.ceil(F.greatest(root, F.lit(t) / per_floor)), F.lit(int(most))).cast("long")
-    d = F.least(density, f / floors)
-    return f, d, F.greatest(floors, F.bround(f / d, 0).cast("long"))
+    sunlight distance of one floor.
+
+    Rows of n floors stand n * per_floor + ROW_DEPTH apart, so a site holds (edge + END_LOSS * n * per_floor) / that many,
+    and its floor area ratio is BUILT * ROW_DEPTH * n * rows / edge. The cap is that of MOST_FLOORS; the least n that
+    reaches a ratio solves n^2 + b n + c = 0.
+    """
+    shade = per_floor * MOST_FLOORS
+    highest = F.lit(BUILT * ROW_DEPTH * MOST_FLOORS) * (edge + F.lit(END_LOSS) * shade) / (edge * (shade + F.lit(ROW_DEPTH)))
+    ratio = F.least(far, highest)
+    free = per_floor * END_LOSS
+    b = edge / free - edge * ratio / (ROW_DEPTH * BUILT * END_LOSS)
+    c = -edge * ratio / (free * BUILT)
+    needed = F.greatest((F.sqrt(b * b - c * 4) - b) / 2, F.lit(ROW_DEPTH) / per_floor)
+    floors = F.least(F.ceil(needed), F.lit(int(MOST_FLOORS))).cast("long")
+    part = F.least(density, ratio / floors)
+    return ratio, part, F.greatest(floors, F.bround(ratio / part, 0).cast("long"))
 
 
 def refine_count(area: Column, largest: Column, mix: Column, coefficient: Column) -> Column:
@@ -80,15 +95,26 @@ def refine_count(area: Column, largest: Column, mix: Column, coefficient: Column
     return F.greatest(F.lit(1), F.bround(area / (largest / (F.lit(1.0) - mix * coefficient)), 0).cast("int"))
 
 
-def override(base: DataFrame, given: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """base with the columns of given where these aren't null."""
+def override(base: DataFrame, given: DataFrame, key: str, columns: list[str], whole: bool = False) -> DataFrame:
+    """base with the columns of given where these aren't null. whole: a column that is given must be given for every row."""
+    if whole:
+        both = base.select(key).join(given, key, "left").agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in columns)).first()
+        short = [c for c in columns if 0 < both[c] < both["n"]]
+        if short:
+            raise ValueError(f"not given for every row: {', '.join(short)}")
     g = given.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
     return base.join(g, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
 def draw(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that depends on seed and keys only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number in [0, 1) that depends on seed and keys only, by a hash that other engines have, too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Rows in an order that depends on seed and key only."""
+    return rows.orderBy(draw(seed, F.col(key)), key)
 
 
 def choose_types(sites: DataFrame, types: DataFrame, seed: int = 0, most: int = 3) -> DataFrame:
@@ -97,7 +123,7 @@ def choose_types(sites: DataFrame, types: DataFrame, seed: int = 0, most: int =
     both = sites.select("site_id", "kind", (F.col("far") / F.col("density")).alias("avg")).join(F.broadcast(types), "kind")
     fits = both.withColumn("fits", F.col("avg").between(F.col("floor_lo"), F.col("floor_hi")))
     some = fits.withColumn("any", F.max("fits").over(Window.partitionBy("site_id"))).where("fits or not any")
-    w = Window.partitionBy("site_id").orderBy(F.xxhash64(F.lit(seed), "site_id", "type"), "type")
+    w = Window.partitionBy("site_id").orderBy(draw(seed, F.col("site_id"), F.col("type")), "type")
     return some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("site_id", "type")
 
 
@@ -135,63 +161,62 @@ def offset_distance(length: Column, k: Column, area: Column, target: Column) ->
 
 
 def count_program(areas: list[float], capacity: float) -> list[int]:
-    """Counts n of buildings with the largest sum n * area not over capacity (at most three kinds; ties: fewest
-    buildings, then the earlier kinds). All zero becomes one of the first."""
-    best: tuple = (-1.0, 0, ())
-    areas = areas[:3]
-
-    def go(k: int, left: float, counts: tuple[int, ...]) -> None:
-        nonlocal best
-        if k == len(areas) - 1:
-            counts = (*counts, int(left // areas[k]))
-            total = sum(n * a for n, a in zip(counts, areas, strict=True))
-            found = (total, -sum(counts), counts)
-            if found > best:
-                best = found
-            return
-        for n in range(int(left // areas[k]) + 1):
-            go(k + 1, left - n * areas[k], (*counts, n))
-
-    if areas:
-        go(0, capacity, ())
-    out = list(best[2]) or [0] * len(areas)
-    return out if any(out) or not out else [1, *out[1:]]
+    """Counts n of buildings with the largest sum n * area not over capacity (ties: fewest buildings, then more of the
+    earlier kinds). All zero becomes one of the first."""
+    if not areas:
+        return []
+    total, counts = _sums(areas, [(0, max(0, int(capacity // a))) for a in areas], capacity)
+    best = _best(total, counts)
+    return best if any(best) else [1] + [0] * (len(areas) - 1)
 
 
 def floor_program(footprints: list[float], ranges: list[tuple[int, int]], capacity: float) -> list[int]:
-    """Floors within ranges with the largest sum floors * footprint not over capacity (ties: fewest floors); where even
-    the least floors are over it, these. 0 becomes 1."""
-    best: tuple | None = None
-
-    def go(k: int, left: float, floors: tuple[int, ...]) -> None:
-        nonlocal best
-        low, high = ranges[k]
-        if k == len(footprints) - 1:
-            n = min(high, int(left // footprints[k])) if left >= 0 else -1
-            if n >= low:
-                floors = (*floors, n)
-                found = (sum(f * a for f, a in zip(floors, footprints, strict=True)), -sum(floors), floors)
-                best = found if best is None or found > best else best
-            return
-        for n in range(low, high + 1):
-            if left - n * footprints[k] < 0:
-                break
-            go(k + 1, left - n * footprints[k], (*floors, n))
-
-    go(0, capacity, ())
-    return [max(1, f) for f in (best[2] if best else [r[0] for r in ranges])]
+    """Floors within ranges with the largest sum floors * footprint not over capacity (ties: fewest floors, then more of
+    the earlier kinds); where even the least floors are over it, these. 0 becomes 1."""
+    total, counts = _sums(footprints, ranges, capacity)
+    best = _best(total, counts) if len(total) else [r[0] for r in ranges]
+    return [max(1, f) for f in best]
+
+
+PROGRAM_HELD = 20_000_000  # combinations of a program that are weighed at once
+
+
+def _sums(sizes: list[float], ranges: list[tuple[int, int]], capacity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums not over capacity, and their counts, of all combinations within ranges; of the last kind only the largest count
+    that fits."""
+    total, counts = np.zeros(1), np.zeros((1, 0), np.int64)
+    for k, (size, (low, high)) in enumerate(zip(sizes, ranges, strict=True)):
+        if k < len(sizes) - 1:
+            steps = np.arange(low, high + 1)
+            if len(total) * len(steps) > PROGRAM_HELD:
+                raise ValueError("too many combinations; use fewer kinds of buildings")
+            counts = np.column_stack([np.repeat(counts, len(steps), axis=0), np.tile(steps, len(total))])
+            total = (total[:, None] + steps * size).ravel()
+            on = total <= capacity
+        else:
+            most = np.minimum(high, np.floor((capacity - total) / size).astype(np.int64))
+            counts, total = np.column_stack([counts, most]), total + most * size
+            on = most >= low
+        total, counts = total[on], counts[on]
+    return total, counts
+
+
+def _best(total: np.ndarray, counts: np.ndarray) -> list[int]:
+    near = counts[total >= total.max() - 1e-9]
+    near = near[near.sum(1) == near.sum(1).min()]
+    return list(max(map(tuple, near.tolist())))
 
 
 def programs(sites: DataFrame) -> DataFrame:
     """site_id, k, count, floors from sites (site_id, capacity, floor_area, areas, floor_lo, floor_hi): building counts,
-    then floors, of up to three types. Rows are independent, so they are solved batch by batch."""
+    then floors, of a few types. Rows are independent, so they are solved batch by batch."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 n = count_program(list(r.areas), r.capacity)
-                f = floor_program([a * max(1, c) for a, c in zip(r.areas, n, strict=False)], list(zip(r.floor_lo, r.floor_hi, strict=True)), r.floor_area)
+                f = floor_program([a * max(1, c) for a, c in zip(r.areas, n, strict=True)], list(zip(r.floor_lo, r.floor_hi, strict=True)), r.floor_area)
                 out += [(r.site_id, k, c, x) for k, (c, x) in enumerate(zip(n, f, strict=True))]
             yield pd.DataFrame(out, columns=["site_id", "k", "count", "floors"])
 
@@ -277,7 +302,7 @@ def split_sites(sites: DataFrame) -> DataFrame:
 def trees(sites: DataFrame, share: Column) -> DataFrame:
     """site_id, n, radius: canopies of cycling sizes until they cover the share of a site's area. The sizes of a whole
     cycle have a fixed area, so the number follows without a loop."""
-    circle = [math.pi * s * s for s in TREE_SIZES]
+    circle = [math.pi * (s / 2) ** 2 for s in TREE_CANOPIES]
     cycle = sum(circle)
     want = F.col("area") * share
     full = F.floor(want / cycle).cast("long")
@@ -288,7 +313,7 @@ def trees(sites: DataFrame, share: Column) -> DataFrame:
         total += a
     n = full * len(circle) + partial
     one = sites.withColumn("count", n).where("count > 0").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-    return one.select("site_id", "n", F.element_at(F.array(*[F.lit(float(s)) for s in TREE_SIZES]), (F.col("n") % len(TREE_SIZES) + 1).cast("int")).alias("radius"))
+    return one.select("site_id", "n", F.element_at(F.array(*[F.lit(s / 2) for s in TREE_CANOPIES]), (F.col("n") % len(TREE_CANOPIES) + 1).cast("int")).alias("radius"))
 
 
 def courtyard_strips(sites: DataFrame, seed: int = 0) -> DataFrame:
@@ -300,3 +325,193 @@ def courtyard_strips(sites: DataFrame, seed: int = 0) -> DataFrame:
     s = s.withColumn("x1", F.sum("w").over(w)).withColumn("x0", F.col("x1") - F.col("w")).where(F.col("x0") < F.col("width"))
     s = s.withColumn("last", F.max("k").over(Window.partitionBy("site_id"))).where("k > 0 and k < last")
     return s.select("site_id", F.col("k").cast("long").alias("k"), "x0", "x1")
+
+
+# --- sites and whole designs -------------------------------------------------------------------------------------
+
+
+def orientation(ring: Column) -> Column:
+    """Direction of the longest edge of a closed ring (the first of equal ones), folded to -pi/4..pi/4."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    edges = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    sized = F.transform(edges, lambda e, i: F.struct(F.bround(F.sqrt(e["x"] * e["x"] + e["y"] * e["y"]), 6).alias("l"), (-i).alias("i"), e.alias("e")))
+    longest = F.array_max(sized)["e"]
+    turn = F.atan2(longest["y"], longest["x"])
+    return turn - F.lit(math.pi / 2) * F.ceil(turn / F.lit(math.pi / 2) - F.lit(0.5) - F.lit(1e-9))
+
+
+def box_edges(ring: Column, turn: Column) -> Column:
+    """The middles of the four edges of the box of a ring in that direction: below, right, above, left."""
+    c, s = F.cos(turn), F.sin(turn)
+    u = F.transform(ring, lambda p: p["x"] * c + p["y"] * s)
+    v = F.transform(ring, lambda p: p["y"] * c - p["x"] * s)
+    u0, u1, v0, v1 = F.array_min(u), F.array_max(u), F.array_min(v), F.array_max(v)
+    at = lambda a, b: F.struct((a * c - b * s).alias("x"), (a * s + b * c).alias("y"))
+    mu, mv = (u0 + u1) / 2, (v0 + v1) / 2
+    return F.array(at(mu, v0), at(u1, mv), at(mu, v1), at(u0, mv))
+
+
+def _by_kind(kind: Column, table: dict[str, tuple[float, float]], k: int) -> Column:
+    out = F.lit(None).cast("double")
+    for name, pair in table.items():
+        out = F.when(kind == name, F.lit(pair[k])).otherwise(out)
+    return out
+
+
+def site_parameters(sites: DataFrame, seed: int = 0, most_mix: float = 0.3) -> DataFrame:
+    """site_id, turn, needles (middles of the box's edges), kind, density, far, mix of sites (site_id, shell: a closed ring).
+
+    Kind, density and floor-area ratio are drawn within the intervals of their kind, each from its own draw."""
+    kinds = list(FAR_INTERVAL)
+    s = sites.select("site_id", orientation(F.col("shell")).alias("turn"), "shell")
+    s = s.withColumn("needles", box_edges(F.col("shell"), F.col("turn")))
+    own = lambda k: draw(seed, F.col("site_id"), F.lit(k))
+    s = s.withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), F.floor(own(0) * len(kinds)).cast("int") + 1))
+    within = lambda table, k: _by_kind(F.col("kind"), table, 0) + own(k) * (_by_kind(F.col("kind"), table, 1) - _by_kind(F.col("kind"), table, 0))
+    return s.select("site_id", "turn", "needles", "kind", within(DENSITY_INTERVAL, 1).alias("density"), within(FAR_INTERVAL, 2).alias("far"), (own(3) * most_mix).alias("mix"))
+
+
+def mix_class(mix: Column) -> Column:
+    """How uses mix: none up to 0.05, in one building up to 0.12, side by side beyond."""
+    return F.when(mix <= 0.05, "none").when(mix <= 0.12, "vertical").otherwise("horizontal")
+
+
+def row_layout(sites: DataFrame, ends: float = 1 / 3.0) -> DataFrame:
+    """Rows of homes on sites (site_id, along, across, turn, far_area, type, area, storey, depth_lo, depth_hi, latitude,
+    floor_lo): for each type the least floors, up to MOST_FLOORS, with which the rows hold enough buildings; of these the
+    type whose floors are closest to the site's average (avg_floors; ties: first name).
+
+    along and across are the setback's box edges. Rows stand a sunlight distance apart; their depth fills the site within
+    the type's range, and a building's width is its area over that depth.
+    """
+    most = int(MOST_FLOORS)
+    s = sites.withColumn("floors", F.explode(F.sequence(F.greatest(F.col("floor_lo"), F.lit(1)), F.lit(most))))
+    c = F.col
+    sun = sun_distance(c("storey") * c("floors"), c("latitude")) * F.cos("turn")
+    s = s.withColumn("sun", sun)
+    lost = F.lit(2 * ends - 1) * c("sun")
+    rows = lambda depth: F.floor((c("across") - lost) / (c("sun") + depth)).cast("long")
+    s = s.withColumn("n", rows((c("depth_lo") + c("depth_hi")) / 2)).where("n > 0")
+    depth = F.bround((c("across") - lost * F.cos("turn")) / c("n") - c("sun") * F.cos("turn"), 3)
+    s = s.withColumn("free", depth).withColumn("depth", F.greatest("depth_lo", F.least("depth_hi", "free")))
+    s = s.withColumn("rows", F.when(c("free") == c("depth"), c("n")).otherwise(rows(c("depth")))).where("rows > 0")
+    s = s.withColumn("width", F.bround(c("area") / c("depth"), 2))
+    gap = band(c("floors"), SETBACK_HOMES) * 2
+    s = s.withColumn("per_row", F.floor((c("along") + gap) / (c("width") + gap)).cast("long")).where("per_row > 0")
+    need = F.ceil(c("far_area") / (c("area") * c("floors"))).cast("long")
+    s = s.withColumn("count", F.greatest(need, F.lit(1))).where(c("rows") * c("per_row") >= c("count"))
+    first = s.groupBy("site_id", "type").agg(F.min(F.struct("floors", "rows", "per_row", "depth", "width", "count", "avg_floors")).alias("m"))
+    away = F.abs(c("m.floors") - c("m.avg_floors"))
+    best = first.groupBy("site_id").agg(F.min(F.struct(away.alias("away"), c("type"), c("m"))).alias("b"))
+    return best.select("site_id", "b.type", "b.m.floors", "b.m.rows", "b.m.per_row", "b.m.depth", "b.m.width", "b.m.count")
+
+
+def non_residential(sites: DataFrame) -> DataFrame:
+    """site_id, part, k, count, bottom, top of the buildings of sites (site_id, kind, area, density, far, mix, main and other:
+    areas of the kinds' building types, main_lo, main_hi, other_lo, other_hi: their floors).
+
+    By the class of the mix: none, one program; vertical, counts of the whole site and floors of both parts; horizontal,
+    the site is shared and each share has its own program. A site whose program fails gets a row with its error instead.
+    """
+
+    def one(areas, low, high, land, built):
+        n = count_program(list(areas), land)
+        sizes = [a * max(1, c) for a, c in zip(areas, n, strict=True)]
+        return n, floor_program(sizes, list(zip(low, high, strict=True)), built)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    mixed = "none" if r.mix <= 0.05 else "vertical" if r.mix <= 0.12 else "horizontal"
+                    built, land = r.far * r.area, r.density * r.area
+                    part = r.mix * MIX_COEFFICIENT[r.kind]
+                    if mixed == "horizontal":
+                        n, f = one(r.main, r.main_lo, r.main_hi, land * (1 - part), built * (1 - r.mix))
+                        rows = [("main", k, c, 0, x) for k, (c, x) in enumerate(zip(n, f, strict=True))]
+                        n, f = one(r.other, r.other_lo, r.other_hi, land * part, built * r.mix)
+                        rows += [("other", k, c, 0, x) for k, (c, x) in enumerate(zip(n, f, strict=True))]
+                    else:
+                        n, f = one(r.main, r.main_lo, r.main_hi, land, built * (1 - r.mix if mixed == "vertical" else 1))
+                        low = [0] * len(n)
+                        if mixed == "vertical":
+                            low = one(r.main, [0] * len(n), r.main_hi, land, built * r.mix)[1]
+                        rows = [("main", k, c, b, x) for k, (c, b, x) in enumerate(zip(n, low, f, strict=True))]
+                    out += [(r.site_id, *row, None) for row in rows]
+                except (KeyError, ValueError, TypeError) as error:
+                    out.append((r.site_id, None, None, None, None, None, str(error)))
+            yield pd.DataFrame(out, columns=["site_id", "part", "k", "count", "bottom", "top", "error"]).astype({c: "Int64" for c in ("k", "count", "bottom", "top")})
+
+    return sites.mapInPandas(run, "site_id long, part string, k long, count long, bottom long, top long, error string")
+
+
+def place_boxes(setbacks: DataFrame) -> DataFrame:
+    """site_id, k, shell: count rectangles (width by depth) in rows on the box of a site (site_id, x0, y0, turn, along, across,
+    rows, per_row, width, depth, count), the rows from below, evenly apart, and a row's buildings from the left."""
+    s = setbacks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)))
+    c = F.col
+    row, place = F.floor(c("k") / c("per_row")), c("k") % c("per_row")
+    gap = lambda whole, size, n: F.when(n > 1, (whole - n * size) / (n - 1)).otherwise(F.lit(0.0))
+    u = place * (c("width") + gap(c("along"), c("width"), c("per_row")))
+    v = row * (c("depth") + gap(c("across"), c("depth"), c("rows")))
+    co, si = F.cos("turn"), F.sin("turn")
+    at = lambda a, b: F.struct((c("x0") + a * co - b * si).alias("x"), (c("y0") + a * si + b * co).alias("y"))
+    ring = F.array(at(u, v), at(u + c("width"), v), at(u + c("width"), v + c("depth")), at(u, v + c("depth")), at(u, v))
+    return s.select("site_id", "k", ring.alias("shell"))
+
+
+def fillet(ring: Column, radius: float, steps: int = 4) -> Column:
+    """A closed convex ring whose corners are arcs of so many pieces; an arc takes at most half of either edge."""
+    n = F.size(ring) - 1
+    open_ = F.slice(ring, F.lit(1), n)
+    at = lambda k: F.element_at(open_, (F.pmod(k, n) + 1).cast("int"))
+
+    def corner(p: Column, i: Column) -> Column:
+        a, b = at(i + n - 1), at(i + 1)
+        ux, uy, vx, vy = a["x"] - p["x"], a["y"] - p["y"], b["x"] - p["x"], b["y"] - p["y"]
+        lu, lv = F.sqrt(ux * ux + uy * uy), F.sqrt(vx * vx + vy * vy)
+        half = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / (lu * lv)))) / 2
+        cut = F.least(F.lit(float(radius)) / F.tan(half), lu / 2, lv / 2)
+        r = cut * F.tan(half)
+        bx, by = ux / lu + vx / lv, uy / lu + vy / lv
+        far = F.sqrt(bx * bx + by * by)
+        cx, cy = p["x"] + bx / far * r / F.sin(half), p["y"] + by / far * r / F.sin(half)
+        first = F.atan2(p["y"] + uy / lu * cut - cy, p["x"] + ux / lu * cut - cx)
+        last = F.atan2(p["y"] + vy / lv * cut - cy, p["x"] + vx / lv * cut - cx)
+        turn = last - first
+        turn = turn - F.lit(2 * math.pi) * F.round(turn / F.lit(2 * math.pi))
+        return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.struct((cx + r * F.cos(first + turn * k / steps)).alias("x"), (cy + r * F.sin(first + turn * k / steps)).alias("y")))
+
+    flat = F.flatten(F.transform(open_, corner))
+    return F.concat(flat, F.slice(flat, 1, 1))
+
+
+def whole_design(sites: DataFrame, homes: DataFrame, others: DataFrame) -> DataFrame:
+    """site_id, building_id, kind, footprint, bottom, top, floor_height, error of the buildings of sites.
+
+    sites: the columns that row_layout and non_residential need of a site; homes: type, area, storey, depth_lo, depth_hi,
+    floor_lo; others: kind, areas, lo, hi, storey. Homes stand in rows, other uses by their programs; a site that cannot
+    be designed has one row with an error and no building.
+    """
+    c = F.col
+    rows = sites.where("kind = 'R'").join(F.broadcast(homes)).withColumns({"far_area": c("far") * c("site_area"), "avg_floors": c("far") / c("density")})
+    laid = row_layout(rows).join(F.broadcast(homes.select("type", "area", "storey")), "type")
+    numbered = laid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("count") - 1)))
+    none = F.lit(None).cast("string").alias("error")
+    first = numbered.select("site_id", "k", F.lit("R").alias("kind"), c("area").alias("footprint"), F.lit(0).cast("long").alias("bottom"), c("floors").cast("long").alias("top"), c("storey").alias("floor_height"), none)
+    left = sites.where("kind = 'R'").select("site_id").join(laid.select("site_id"), "site_id", "left_anti")
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (("k", "long"), ("kind", "string"), ("footprint", "double"), ("bottom", "long"), ("top", "long"), ("floor_height", "double"))]
+    failed = left.select("site_id", *blank, F.lit("no row of homes fits").alias("error"))
+    shops = others.where("kind = 'C'").select(c("areas").alias("other"), c("lo").alias("other_lo"), c("hi").alias("other_hi"))
+    own = others.select("kind", c("areas").alias("main"), c("lo").alias("main_lo"), c("hi").alias("main_hi"), "storey")
+    rest = sites.where("kind != 'R'").join(F.broadcast(own), "kind").join(F.broadcast(shops))
+    program = non_residential(rest.select("site_id", "kind", c("site_area").alias("area"), "density", "far", "mix", "main", "main_lo", "main_hi", "other", "other_lo", "other_hi"))
+    both = program.join(rest.select("site_id", "kind", "main", "other", "storey"), "site_id")
+    size = F.element_at(F.when(c("part") == "main", c("main")).otherwise(c("other")), (c("k") + 1).cast("int"))
+    copies = both.where("error is null and count > 0").withColumn("footprint", size).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), c("count") - 1)))
+    use = F.when(c("part") == "main", c("kind")).otherwise("C")
+    number = F.when(c("part") == "main", F.lit(0)).otherwise(F.lit(1)) * 1_000_000 + c("k") * 100_000 + c("copy")
+    second = copies.select("site_id", number.cast("long").alias("k"), use.alias("kind"), "footprint", "bottom", "top", c("storey").alias("floor_height"), none)
+    wrong = program.where("error is not null").select("site_id", *blank, "error")
+    return first.unionByName(failed).unionByName(second).unionByName(wrong).withColumnRenamed("k", "building_id")

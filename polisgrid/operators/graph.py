@@ -61,24 +61,36 @@ def custom_weights(dual: DataFrame, scores: DataFrame) -> DataFrame:
     return dual.join(a, "v").join(b, "u").withColumn("w_custom", F.bround((F.col("sv") + F.col("su")) / 2, 6)).drop("sv", "su")
 
 
-def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, root (smallest id of the component) of every vertex. Neighbours' least labels and pointer jumps, until no
-    label changes; each round is stored, so no plan grows."""
-    both = Stored(undirected(edges.select("src", "dst")).where("src != dst").distinct())
-    state = Stored(vertices.select("id", F.col("id").alias("root")))
-    for _ in range(most_rounds):
-        near = both.df.join(state.df, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("root").alias("near"))
-        stepped = state.df.join(near, F.col("id") == F.col("src"), "left").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = state.df.select(F.col("id").alias("root"), F.col("root").alias("higher"))
-        fresh = Stored(stepped.join(jump, "root", "left").select("id", "old", F.least("root", "higher").alias("root")))
-        changed = fresh.df.where("old != root").limit(1).count()
-        state.drop()
-        state = Stored(fresh.df.select("id", "root"))
-        fresh.drop()
-        if not changed:
-            both.drop()
-            return state.df
-    raise RuntimeError("components did not settle")
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a vertex is linked to the smallest of the vertex and its neighbours."""
+    both = undirected(edges)
+    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+    return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src > dst").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A vertex and its smaller neighbours are linked to the smallest of these. Edges come with src > dst."""
+    least = edges.groupBy("src").agg(F.min("dst").alias("m"))
+    moved = edges.join(least, "src").where("dst > m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return least.select("src", F.col("m").alias("dst")).union(moved).where("src > dst").distinct()
+
+
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, root (smallest id of the component) of every vertex. Alternating large and small stars: one write a round, in
+    about as many rounds as the logarithm of the longest path, until the edges stay as they are."""
+    own = edges.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    held, before = Stored(own), None
+    while True:
+        now = Stored(_small_star(_large_star(held.df)))
+        held.drop()
+        held = now
+        state = tuple(held.df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    out = Stored(vertices.select("id").distinct().join(held.df, F.col("id") == F.col("src"), "left").select("id", F.coalesce("dst", "id").alias("root")))
+    held.drop()
+    return out.df
 
 
 def giant(components_: DataFrame) -> DataFrame:
@@ -87,25 +99,41 @@ def giant(components_: DataFrame) -> DataFrame:
     return sizes.orderBy(F.desc("size"), "root").limit(1)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), most_rounds: int = 1000) -> DataFrame:
+_MERGED = 8  # rounds of shortest_paths after which what was written is put together
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("inf")) -> DataFrame:
     """source, id, dist, prev, hops of all vertices reached within limit from the sources (id), by relaxing the frontier in
-    rounds: a graph of any size and any number of sources. Ties: fewer hops, then the smaller prev. Weights (w) must not be negative."""
-    if edges.where("w < 0").limit(1).count():
+    rounds: a graph of any size and any number of sources. Ties: fewer hops, then the smaller prev. Weights (w) must not
+    be negative. A round writes only what it improved; the rounds end when nothing does."""
+    held = Stored(edges.select("src", "dst", "w"))  # read each round: what it took to make them is done once
+    edges = held.df
+    if not edges.where("w < 0").isEmpty():
         raise ValueError("negative weight")
+    columns = ["source", "id", "dist", "hops", "prev"]
     best = lambda df: df.groupBy("source", "id").agg(F.min(F.struct("dist", "hops", "prev")).alias("m")).select("source", "id", "m.dist", "m.hops", "m.prev")
-    state = Stored(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev")))
-    frontier = state.df
-    for _ in range(most_rounds):
-        step = frontier.join(edges.select("src", "dst", "w"), F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev")).where(F.col("dist") <= limit)
-        fresh = Stored(best(state.df.union(step)))
-        old = state.df.select("source", "id", F.col("dist").alias("d0"), F.col("hops").alias("h0"), F.col("prev").alias("p0"))
-        moved = fresh.df.join(old, ["source", "id"], "left").where("d0 is null or dist < d0 or (dist = d0 and (hops < h0 or (hops = h0 and not (prev <=> p0))))").select("source", "id", "dist", "hops", "prev")
-        front = Stored(moved)
-        if not front.df.limit(1).count():
-            return fresh.df.select("source", "id", "dist", "prev", "hops")
-        frontier = front.df
-        state = fresh
-    raise RuntimeError("paths did not settle")
+    began = sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev")).distinct()
+    written = [Stored(began)]
+    while True:
+        known = written[0].df
+        for w in written[1:]:
+            known = known.unionByName(w.df)
+        step = written[-1].df.join(edges.select("src", "dst", "w"), F.col("id") == F.col("src"))
+        step = best(step.select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev")).where(F.col("dist") <= limit))
+        old = best(known).select("source", "id", F.struct("dist", "hops", "prev").alias("old"))
+        front = Stored(step.join(old, ["source", "id"], "left").where(F.col("old").isNull() | (F.struct("dist", "hops", "prev") < F.col("old"))).select(columns))
+        if front.df.isEmpty():
+            front.drop()
+            out = Stored(best(known).select("source", "id", "dist", "prev", "hops"))
+            for w in [*written, held]:
+                w.drop()
+            return out.df
+        if len(written) >= _MERGED:
+            whole = Stored(best(known).select(columns))
+            for w in written:
+                w.drop()
+            written = [whole]
+        written.append(front)
 
 
 def levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -113,28 +141,88 @@ def levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return shortest_paths(edges.select("src", "dst", F.lit(1.0).alias("w")), sources).select("source", "id", F.col("dist").cast("long").alias("depth"))
 
 
-def path_to(paths: DataFrame, targets: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """source, target, step (0 at the target), id along the found paths; no row where a target is not reached."""
-    prev = paths.select("source", F.col("id").alias("at"), "prev")
-    now = paths.join(targets.select(F.col("id").alias("id")), "id", "left_semi").select("source", F.col("id").alias("target"), F.lit(0).alias("step"), "id")
-    out = Stored(now)
-    front = out.df
-    parts = [out.df]
-    for k in range(1, most_rounds):
-        nxt = Stored(front.join(prev, (front["source"] == prev["source"]) & (front["id"] == prev["at"])).where(prev["prev"].isNotNull()).select(front["source"], "target", F.lit(k).alias("step"), prev["prev"].alias("id")))
-        if not nxt.df.limit(1).count():
+def path_to(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, target, step (0 at the target), id along the found paths; no row where a target is not reached. The rounds
+    end when all paths are back at their sources, as each step has a hop less to go."""
+    prev = paths.select("source", F.col("id").alias("at"), F.col("prev").alias("next"))
+    parts = [Stored(paths.join(targets.select("id"), "id", "left_semi").select("source", F.col("id").alias("target"), F.lit(0).alias("step"), "id"))]
+    while True:
+        on = parts[-1].df.withColumnRenamed("id", "at").join(prev, ["source", "at"]).where("next is not null")
+        nxt = Stored(on.select("source", "target", (F.col("step") + 1).alias("step"), F.col("next").alias("id")))
+        if nxt.df.isEmpty():
+            nxt.drop()
             break
-        parts.append(nxt.df)
-        front = nxt.df
-    whole = parts[0]
+        parts.append(nxt)
+    whole = parts[0].df
     for p in parts[1:]:
-        whole = whole.union(p)
-    return whole
+        whole = whole.union(p.df)
+    out = Stored(whole)
+    for p in parts:
+        p.drop()
+    return out.df
+
+
+def depths(edges: DataFrame, sources: DataFrame, limit: float = float("inf")) -> DataFrame:
+    """id, total_depth, reached (itself included) of each source, without any bound on the graph's size."""
+    reach = shortest_paths(edges, sources, limit)
+    return reach.groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("total_depth"), F.count("*").alias("reached"))
+
+
+def update_weights(edges: DataFrame, given: DataFrame) -> DataFrame:
+    """Edges with the weights of given (src, dst, w) where it has any; edges that are not there are not added."""
+    g = given.select("src", "dst", F.col("w").alias("_w"))
+    return edges.join(g, ["src", "dst"], "left").withColumn("w", F.coalesce("_w", "w")).drop("_w").select(edges.columns)
+
+
+def common_edges(edges: DataFrame, others: DataFrame) -> DataFrame:
+    """The edges that are in both."""
+    return edges.select("src", "dst").intersect(others.select("src", "dst"))
+
+
+# --- graphs of segments ------------------------------------------------------------------------------------------
+
+
+def nodes(segments: DataFrame) -> DataFrame:
+    """id, start, stop: the places of segments (id, a, b) as node numbers, which are 2 * id (+ 1 for the second end) of the
+    first end there."""
+    side = F.explode(F.array(*[F.struct((F.col("id") * 2 + k).cast("long").alias("end"), F.col(c).alias("p")) for k, c in enumerate("ab")])).alias("e")
+    ends = segments.select(side).select("e.end", "e.p")
+    first = ends.groupBy("p").agg(F.min("end").alias("node"))
+    at = ends.join(first, "p").select(F.floor(F.col("end") / 2).cast("long").alias("id"), (F.col("end") % 2).alias("side"), "node")
+    return at.groupBy("id").agg(F.max(F.when(F.col("side") == 0, F.col("node"))).alias("start"), F.max(F.when(F.col("side") == 1, F.col("node"))).alias("stop"))
+
+
+def primal_graph(segments: DataFrame) -> DataFrame:
+    """id, src, dst, w: an edge for each segment (id, a, b, length) between the nodes at its ends."""
+    return segments.select("id", "length").join(nodes(segments), "id").select("id", F.col("start").alias("src"), F.col("stop").alias("dst"), F.col("length").alias("w"))
+
+
+def directed_dual(segments: DataFrame) -> DataFrame:
+    """src, dst: segments (id, a, b) of which one ends where the other begins."""
+    l = segments.select(F.col("id").alias("src"), F.col("b").alias("p"))
+    r = segments.select(F.col("id").alias("dst"), F.col("a").alias("p"))
+    return l.join(r, "p").where("src != dst").select("src", "dst").distinct()
+
+
+def roads_of(graph_: DataFrame, places: DataFrame) -> DataFrame:
+    """src, dst, a, b: the edges of a graph as segments between the places (id, p) of its vertices."""
+    a = places.select(F.col("id").alias("src"), F.col("p").alias("a"))
+    b = places.select(F.col("id").alias("dst"), F.col("p").alias("b"))
+    return graph_.select("src", "dst").join(a, "src").join(b, "dst")
+
+
+def visual_weights(dual: DataFrame, scores: DataFrame, by_score: float = 1.0, by_angle: float = 0.0, by_length: float = 0.0) -> DataFrame:
+    """v, u, w_metric, w_visual of a dual graph: the mean of both segments' scores (id, score), the turn as a part of a half
+    circle, and the mean length, each times its weight."""
+    a = scores.select(F.col("id").alias("v"), F.col("score").alias("sv"))
+    b = scores.select(F.col("id").alias("u"), F.col("score").alias("su"))
+    w = (F.col("sv") + F.col("su")) / 2 * by_score + F.col("w_angular") / 2 * by_angle + F.col("w_metric") * by_length
+    return dual.join(a, "v").join(b, "u").select("v", "u", "w_metric", F.bround(w, 6).alias("w_visual"))
 
 
 # --- kernels over a graph that fits a task --------------------------------------------------------------------
 
-EDGES_HELD = 20_000_000
+BYTES_HELD = 512 << 20  # of the arrays of a graph in a task
 
 
 class Csr:
@@ -144,34 +232,33 @@ class Csr:
         self.at = np.append(0, np.cumsum(np.bincount(src, minlength=n)))
 
 
-def single_source(g: Csr, s: int, limit: float, no_triangles: bool) -> tuple[np.ndarray, list[int], list[list[int]], np.ndarray]:
-    """Distances, order settled, predecessors and numbers of shortest paths. Ties settle by vertex number.
+def single_source(g: Csr, s: int, limit: float, no_triangles: bool, within: np.ndarray | None = None) -> tuple[dict, list[int], dict, dict]:
+    """Distances, order settled, predecessors and numbers of shortest paths, by vertex that is reached. Ties settle by
+    vertex number.
 
-    no_triangles: from a vertex one does not go on to a neighbour of one of its predecessors.
+    no_triangles: from a vertex one does not go on to a neighbour of one of its predecessors. within: the vertices that
+    paths may use.
     """
-    dist = np.full(g.n, np.inf)
-    sigma = np.zeros(g.n)
-    preds: list[list[int]] = [[] for _ in range(g.n)]
-    dist[s], sigma[s] = 0.0, 1.0
-    heap, order, done = [(0.0, s)], [], np.zeros(g.n, bool)
+    dist, sigma, preds = {s: 0.0}, {s: 1.0}, {s: []}
+    heap, order, done = [(0.0, s)], [], set()
     while heap:
         d, v = heapq.heappop(heap)
-        if done[v]:
+        if v in done:
             continue
-        done[v] = True
+        done.add(v)
         order.append(v)
         near = set()
         if no_triangles:
             for p in preds[v]:
                 near.update(g.dst[g.at[p] : g.at[p + 1]].tolist())
-        for k in range(g.at[v], g.at[v + 1]):
-            u = int(g.dst[k])
-            if done[u] or u in near:
+        a, b = g.at[v], g.at[v + 1]
+        for u, weight in zip(g.dst[a:b].tolist(), g.w[a:b].tolist(), strict=True):
+            if u in done or u in near or within is not None and not within[u]:
                 continue
-            to = round(d + float(g.w[k]), 6)
+            to = round(d + weight, 6)
             if to > limit:
                 continue
-            if to < dist[u]:
+            if to < dist.get(u, np.inf):
                 dist[u], sigma[u], preds[u] = to, sigma[v], [v]
                 heapq.heappush(heap, (to, u))
             elif to == dist[u]:
@@ -180,41 +267,58 @@ def single_source(g: Csr, s: int, limit: float, no_triangles: bool) -> tuple[np.
     return dist, order, preds, sigma
 
 
-def centrality(vertices: DataFrame, edges: DataFrame, limit: float = float("inf"), no_triangles: bool = False, parts: int | None = None) -> DataFrame:
+def centrality(vertices: DataFrame, edges: DataFrame, limit: float = float("inf"), no_triangles: bool = False, parts: int | None = None, second: str | None = None) -> DataFrame:
     """id, total_depth, reached (itself included), choice (over ordered pairs) by one shortest-path tree a source.
 
-    edges: src, dst, w in both directions. The graph is held by every task, behind a check of its size; sources are
-    dealt over tasks, and each gives partial sums of choice that Spark adds up.
+    vertices: id, and perhaps limit, which replaces the common limit for this source. edges: src, dst, w in both
+    directions. With second, w and the limit only say which vertices a source reaches, and the paths run among these by
+    the weights in that column. The graph is held by every task, behind a check of its bytes before anything is
+    collected; sources are dealt over tasks, and each gives partial sums of choice that Spark adds up. For a larger graph
+    depths gives the first two measures.
     """
-    n_edges = edges.count()
-    if n_edges > EDGES_HELD:
-        raise ValueError(f"{n_edges} edges; a task holds {EDGES_HELD}. Use shortest_paths, which is distributed")
+    kept = Stored(edges.select("src", "dst", F.col("w").cast("double").alias("w"), F.col(second or "w").cast("double").alias("w2")))
+    edges = kept.df
+    listed = vertices.select("id").distinct()
+    n, m = listed.count(), edges.count()
+    need = 8 * n + (24 + (8 if second else 0)) * m
+    if need > BYTES_HELD:
+        raise ValueError(f"a graph of {n} vertices and {m} edges takes {need} bytes; a task holds {BYTES_HELD}. Use depths, which is distributed")
     spark = edges.sparkSession
-    ids = np.sort(np.array([r[0] for r in vertices.select("id").distinct().toLocalIterator()], np.int64))
-    rows = edges.select("src", "dst", "w").toPandas()
-    held = spark.sparkContext.broadcast((ids, np.searchsorted(ids, rows["src"].to_numpy()), np.searchsorted(ids, rows["dst"].to_numpy()), rows["w"].to_numpy(float)))
+    ids = np.sort(listed.toPandas()["id"].to_numpy(np.int64))
+    rows = edges.toPandas()
+    kept.drop()
+    if len(rows) and rows[["w", "w2"]].to_numpy().min() < 0:
+        raise ValueError("negative weight")
+    held = spark.sparkContext.broadcast((ids, *(np.searchsorted(ids, rows[c].to_numpy()) for c in ("src", "dst")), rows["w"].to_numpy(), rows["w2"].to_numpy() if second else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_, src, dst, w = held.value
+        ids_, src, dst, w, w2 = held.value
         g = Csr(src, dst, w, len(ids_))
+        other = None if w2 is None else Csr(src, dst, w2, len(ids_))
         choice = np.zeros(g.n)
         for pdf in batches:
             out = []
-            for source in pdf["id"]:
+            for source, most in zip(pdf["id"], pdf["limit"], strict=True):
                 s = int(np.searchsorted(ids_, source))
-                dist, order, preds, sigma = single_source(g, s, limit, no_triangles)
-                delta = np.zeros(g.n)
+                dist, order, preds, sigma = single_source(g, s, most, no_triangles and other is None)
+                if other is not None:
+                    near = np.zeros(g.n, bool)
+                    near[order] = True
+                    dist, order, preds, sigma = single_source(other, s, float("inf"), no_triangles, near)
+                delta = dict.fromkeys(order, 0.0)
                 for v in reversed(order):
                     for p in preds[v]:
                         delta[p] += sigma[p] / sigma[v] * (1 + delta[v])
                     if v != s:
                         choice[v] += delta[v]
-                out.append((source, float(dist[order].sum()), len(order), 0.0))
+                out.append((source, float(sum(dist[v] for v in order)), len(order), 0.0))
             yield pd.DataFrame(out, columns=["id", "total_depth", "reached", "choice"])
         some = np.flatnonzero(choice)
         yield pd.DataFrame({"id": ids_[some], "total_depth": 0.0, "reached": 0, "choice": choice[some]})
 
-    dealt = vertices.select("id").distinct().repartition(parts or spark.sparkContext.defaultParallelism, "id")
+    own = F.col("limit").cast("double") if "limit" in vertices.columns else F.lit(float(limit))
+    dealt = vertices.select("id", own.alias("limit")).groupBy("id").agg(F.max("limit").alias("limit"))
+    dealt = dealt.repartition(parts or spark.sparkContext.defaultParallelism, "id")
     part = dealt.mapInPandas(run, "id long, total_depth double, reached long, choice double")
     return part.groupBy("id").agg(F.sum("total_depth").alias("total_depth"), F.sum("reached").alias("reached"), F.sum("choice").alias("choice"))
 
@@ -238,9 +342,54 @@ def closeness(reached: Column, total: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide(reached - 1, n - 1) * F.try_divide(F.lit(1.0), total), F.lit(0.0))
 
 
+def normalised(c: DataFrame, directed: bool = False) -> DataFrame:
+    """closeness and betweenness of centrality's rows, by the number n of vertices: (reached - 1) / (n - 1) / total depth,
+    and choice / ((n - 1)(n - 2)), twice that if directed."""
+    n = F.col("_n").cast("double")
+    both = c.join(F.broadcast(c.agg(F.count("*").alias("_n"))))
+    part = F.coalesce(F.try_divide(F.col("choice"), (n - 1) * (n - 2)), F.lit(0.0)) * (2.0 if directed else 1.0)
+    return both.withColumns({"closeness": closeness(F.col("reached"), F.col("total_depth"), n), "betweenness": part}).drop("_n")
+
+
+def _joints(segments: DataFrame) -> DataFrame:
+    """src, dst: the two segments (id, a, b) that meet at a place where no other ends."""
+    ends = segments.select("id", F.explode(F.array("a", "b")).alias("p"))
+    return ends.groupBy("p").agg(F.count("*").alias("n"), F.min("id").alias("src"), F.max("id").alias("dst")).where("n = 2 and src != dst").select("src", "dst")
+
+
 def merge_chains(segments: DataFrame) -> DataFrame:
     """chain, parts of segments (id, a, b) joined over junctions of exactly two; chain is the smallest id."""
-    ends = segments.select("id", F.explode(F.array("a", "b")).alias("p"))
-    two = ends.groupBy("p").agg(F.count("*").alias("n"), F.min("id").alias("src"), F.max("id").alias("dst")).where("n = 2 and src != dst")
-    found = components(segments.select("id"), two.select("src", "dst"))
+    found = components(segments.select("id"), _joints(segments))
     return found.groupBy(F.col("root").alias("chain")).agg(F.count("*").alias("parts"))
+
+
+def chain_order(segments: DataFrame) -> DataFrame:
+    """chain, seq, id, a, b: the segments (id, a, b of x, y) of each chain in the order and direction in which they are
+    walked, from the end with the smaller place. A chain that closes on itself begins with its smallest id, as it lies.
+
+    Chains come from a distributed search; each is ordered by itself, so a task holds one road at a time.
+    """
+    found = components(segments.select("id"), _joints(segments))
+
+    def run(key, pdf):
+        rows = {i: (tuple(a.values()), tuple(b.values())) for i, a, b in zip(pdf["id"].tolist(), pdf["a"], pdf["b"], strict=True)}
+        at: dict = {}
+        for i, ends in sorted(rows.items()):
+            for p in ends:
+                at.setdefault(p, []).append(i)
+        single = sorted(p for p, ids in at.items() if len(ids) == 1)
+        now = single[0] if single else rows[min(rows)][0]
+        i = at[now][0] if single else min(rows)
+        out, left = [], set(rows)
+        while i is not None:
+            left.discard(i)
+            a, b = rows[i]
+            a, b = (a, b) if a == now else (b, a)
+            out.append((key[0], len(out) + 1, i, dict(zip("xy", a, strict=True)), dict(zip("xy", b, strict=True))))
+            now = b
+            i = next((k for k in at[now] if k in left), None)
+        return pd.DataFrame(out, columns=["chain", "seq", "id", "a", "b"])
+
+    xy = lambda c: F.struct(F.col(c)["x"].alias("x"), F.col(c)["y"].alias("y")).alias(c)
+    both = segments.select("id", xy("a"), xy("b")).join(found, "id").select(F.col("root").alias("chain"), "id", "a", "b")
+    return both.groupBy("chain").applyInPandas(run, "chain long, seq long, id long, a struct<x:double,y:double>, b struct<x:double,y:double>")

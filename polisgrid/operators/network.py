@@ -32,6 +32,30 @@ def coverage_ratio(covered: DataFrame, areas: DataFrame) -> DataFrame:
     return covered.join(areas, "site").groupBy("source").agg(F.sum("area").alias("area")).join(F.broadcast(total)).select("source", F.try_divide("area", "all").alias("ratio"))
 
 
+def union_ratio(covered: DataFrame, areas: DataFrame) -> DataFrame:
+    """ratio: the area of all sites that some source covers over all area; one row."""
+    total = areas.agg(F.sum("area").alias("all"))
+    own = covered.select("site").distinct().join(areas, "site").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
+    return own.join(total).select(F.coalesce(F.try_divide("area", "all"), F.lit(0.0)).alias("ratio"))
+
+
+def connect_by_middles(sites: DataFrame, needles: DataFrame, roads: DataFrame, cell: float) -> DataFrame:
+    """site, road, x, y: connections from sites (site, cx, cy) to the roads (road, ax, ay, bx, by) whose middles are nearest to
+    the middles of the site's box (needles: site, k, x, y). A connection goes from the centre to the nearest place of the
+    road; where that is an end of the road there is none, so a site can stay without."""
+    from polisgrid.operators.spatial import nearest
+
+    middle = roads.select(F.col("road").alias("rid"), ((F.col("ax") + F.col("bx")) / 2).alias("rx"), ((F.col("ay") + F.col("by")) / 2).alias("ry"))
+    q = needles.select((F.col("site") * 4 + F.col("k")).alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    chosen = nearest(q, middle, 1, cell).select(F.floor(F.col("lid") / 4).cast("long").alias("site"), F.col("rid").alias("road")).distinct()
+    both = chosen.join(sites, "site").join(roads, "road")
+    c = F.col
+    x, y, _ = point_to_segment(c("cx"), c("cy"), c("ax"), c("ay"), c("bx"), c("by"))
+    dx, dy = c("bx") - c("ax"), c("by") - c("ay")
+    t = F.try_divide((c("cx") - c("ax")) * dx + (c("cy") - c("ay")) * dy, dx * dx + dy * dy)
+    return both.where((t > 0) & (t < 1)).select("site", "road", x.alias("x"), y.alias("y"))
+
+
 def distance_matrix(edges: DataFrame, entries: DataFrame, limit: float = float("inf")) -> DataFrame:
     """i < j, dist: least network distance between entries (site, vertex) of two sites; no row if not connected."""
     reach = shortest_paths(edges, entries.select(F.col("vertex").alias("id")).distinct(), limit)
@@ -65,12 +89,15 @@ def pipe_flow(paths: DataFrame, demand: DataFrame) -> DataFrame:
 
 #: Fixed values of the economic diameter formula.
 M, E = 5.33, 1 / 3.0
+PRICES_HELD = 1000
 
 
 def flow_thresholds(costs: DataFrame) -> tuple[list[float], list[float]]:
-    """Ascending diameters and the flows (litres) at which the next diameter pays, from diameter, cost (a price list,
-    at most 1000 rows)."""
-    rows = costs.orderBy("diameter").limit(1000).collect()
+    """Ascending diameters and the flows (litres) at which the next diameter pays, from diameter, cost: a price list; more
+    than PRICES_HELD rows raise."""
+    rows = costs.orderBy("diameter").limit(PRICES_HELD + 1).collect()
+    if len(rows) > PRICES_HELD:
+        raise ValueError(f"a price list has at most {PRICES_HELD} rows")
     fit = power_regression(costs.select(F.col("diameter").alias("x"), F.col("cost").alias("y")), []).first()
     if fit["r2"] is None or fit["r2"] < 0.5 or not fit["a"] or not fit["b"]:
         raise ValueError("costs do not follow a power of the diameter")

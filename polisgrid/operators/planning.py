@@ -41,17 +41,22 @@ def parse_shares(text: Column) -> tuple[Column, Column]:
     return F.trim(parts[0]), F.trim(parts[1]).cast("double")
 
 
-def gravity(sites: DataFrame, targets: DataFrame, exponent: float, tolerance: float = 1e-6) -> DataFrame:
+def gravity(sites: DataFrame, targets: DataFrame, exponent: float, tolerance: float = 1e-6, held: int = 100_000) -> DataFrame:
     """sid, score: mean of 1 / distance ** exponent over all targets, scaled to 0..1 over the sites.
 
-    Every site needs every target by definition. targets is a fixed set of few facilities and is broadcast behind a
-    check of its size; a larger set raises.
+    Every site needs every target by definition. Up to `held` targets, a few facilities, are broadcast. More are dealt in
+    blocks of that many, by hash, and each block is a pass over the sites that gives partial sums.
     """
-    if targets.limit(100_001).count() > 100_000:
-        raise ValueError("gravity takes at most 100000 targets")
+    n = targets.count()
+    blocks = max(1, -(-n // held))
     d = length2(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
     d = F.when(d == 0, F.lit(tolerance)).otherwise(d)
-    raw = sites.join(F.broadcast(targets.select("tx", "ty"))).groupBy("sid").agg(F.avg(F.lit(1.0) / F.pow(d, F.lit(float(exponent)))).alias("raw"))
+    parts = None
+    for k in range(blocks):
+        own = targets.select("tx", "ty") if blocks == 1 else targets.where(F.pmod(F.xxhash64("tx", "ty"), F.lit(blocks)) == k).select("tx", "ty")
+        one = sites.join(F.broadcast(own)).groupBy("sid").agg(F.sum(F.lit(1.0) / F.pow(d, F.lit(float(exponent)))).alias("part"))
+        parts = one if parts is None else parts.unionByName(one)
+    raw = parts.groupBy("sid").agg((F.sum("part") / F.lit(float(max(1, n)))).alias("raw"))
     span = raw.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
     return raw.join(F.broadcast(span)).select("sid", minmax(F.col("raw"), F.col("low"), F.col("high")).alias("score"))
 
@@ -98,51 +103,89 @@ def exponential_regression(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def complete_linkage(dist: np.ndarray, limits: list[float]) -> list[list[list[int]]]:
     """Clusters after each ascending limit: the closest pair under it merges (ties: smallest ids), its distance to
-    others being the larger one."""
+    others being the larger one. The least distance of each row is kept, so a merge looks at few rows."""
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
+    low = d.min(1) if n else np.zeros(0)
     members: dict[int, list[int]] = {k: [k] for k in range(n)}
-    name, fresh = list(range(n)), n
+    name, fresh = np.arange(n), n
     out = []
     for limit in sorted(set(limits)):
         while n > 1:
-            low = d.min()
-            if not low < limit:
+            least = low.min()
+            if not least < limit:
                 break
-            pairs = np.argwhere(d == low)
-            i, j = min(((a, b) for a, b in pairs if name[a] < name[b]), key=lambda p: (name[p[0]], name[p[1]]))
+            rows = np.flatnonzero(low == least)
+            i = rows[np.argmin(name[rows])]
+            near = np.flatnonzero(d[i] == least)
+            j = near[np.argmin(name[near])]
             merged = np.maximum(d[i], d[j])
-            members[fresh] = sorted(members.pop(name[i]) + members.pop(name[j]))
+            members[fresh] = sorted(members.pop(int(name[i])) + members.pop(int(name[j])))
+            stale = np.flatnonzero((d[:, i] == low) | (d[:, j] == low))
             d[i], d[:, i] = merged, merged
             d[i, i] = np.inf
             d[j], d[:, j] = np.inf, np.inf
             name[i], name[j] = fresh, -1
+            low[j] = np.inf
+            stale = np.union1d(stale[stale != j], [i])
+            low[stale] = d[stale].min(1)
             fresh += 1
         out.append(sorted(members.values()))
     return out
 
 
-def cluster_points(points: DataFrame, limits: list[float], group: str = "g", most: int = 20_000) -> DataFrame:
+MATRIX_BYTES = 1 << 30  # of a group's distances in a task
+
+
+def _clusters(key: int, ids: np.ndarray, dist: np.ndarray, limits: list[float]) -> list[tuple[int, int, int, int]]:
+    return [(key, level, int(ids[min(c)]), int(ids[m])) for level, clusters in enumerate(complete_linkage(dist, limits)) for c in clusters for m in c]
+
+
+def _held(key, n: int) -> None:
+    if 8 * n * n > MATRIX_BYTES:
+        raise ValueError(f"group {key} has {n} members, whose distances take {8 * n * n} bytes; a task holds {MATRIX_BYTES}")
+
+
+def cluster_points(points: DataFrame, limits: list[float], group: str = "g") -> DataFrame:
     """g, level, cluster_id (smallest member), id of complete-linkage clusters of points (g, id, x, y, z).
 
     Points farther apart than the largest limit never share a cluster, so g is to be the connected component at that
-    distance (see graph.components); each group is clustered in one task and must have at most `most` points.
+    distance (see graph.components); each group is clustered in one task, behind a check of its distances' bytes.
     """
 
     def run(key, pdf):
-        if len(pdf) > most:
-            raise ValueError(f"group {key} has {len(pdf)} points; the kernel takes {most}")
+        _held(key, len(pdf))
         pdf = pdf.sort_values("id")
-        p = pdf[["x", "y", "z"]].to_numpy()
-        dist = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
-        ids = pdf["id"].to_numpy()
-        rows = [(key[0], level, ids[min(c)], ids[m]) for level, clusters in enumerate(complete_linkage(dist, limits)) for c in clusters for m in c]
-        return pd.DataFrame(rows, columns=[group, "level", "cluster_id", "id"])
+        p = pdf[["x", "y", "z"]].to_numpy(float)
+        dist = np.sqrt(sum((p[:, None, k] - p[None, :, k]) ** 2 for k in range(3)))
+        return pd.DataFrame(_clusters(key[0], pdf["id"].to_numpy(), dist, limits), columns=[group, "level", "cluster_id", "id"])
 
     return points.groupBy(group).applyInPandas(run, f"{group} long, level int, cluster_id long, id long")
 
 
+def cluster_blocks(ids: DataFrame, distances: DataFrame, limits: list[float]) -> DataFrame:
+    """g, level, cluster_id, id of complete-linkage clusters of blocks (id) by network distances (i < j, dist); those
+    without a distance are not connected. Groups g are the components at the largest limit; blocks of different levels
+    nest, so cluster_id of a level is the parent of that of the level before."""
+    from polisgrid.operators.graph import components
+
+    most = max(limits)
+    near = distances.where(F.col("dist") <= most)
+    roots = components(ids, near.select(F.col("i").alias("src"), F.col("j").alias("dst"))).select("id", F.col("root").alias("g"))
+    pairs = near.join(roots.select(F.col("id").alias("i"), F.col("g").alias("_g")), "i").select("_g", "i", "j", "dist")
+
+    def run(key, members, found):
+        _held(key, len(members))
+        own = np.sort(members["id"].to_numpy())
+        dist = np.full((len(own), len(own)), np.inf)
+        a, b = (np.searchsorted(own, found[c].to_numpy()) for c in "ij")
+        dist[a, b] = dist[b, a] = found["dist"].to_numpy()
+        return pd.DataFrame(_clusters(key[0], own, dist, limits), columns=["g", "level", "cluster_id", "id"])
+
+    return roots.groupBy("g").cogroup(pairs.groupBy("_g")).applyInPandas(run, "g long, level int, cluster_id long, id long")
+
+
 def greedy_fill(remain: list[float], acc: list[float], wanted: list[tuple[str, float]], least: float, low_first: set[str]) -> list[tuple[int, str, float]]:
     """(block, use, area): each use in order takes blocks by descending accessibility (ascending for those of
     low_first) until what is had plus the least parcel reaches its target; a rest not over the least parcel is taken
@@ -178,7 +221,134 @@ def fill_landuse(blocks: DataFrame, targets: DataFrame, level: str, low_first: t
         got = greedy_fill(b["remain"].tolist(), b["acc"].tolist(), list(zip(t["landuse"], t["target"], strict=True)), LEAST_PARCEL[level], set(low_first))
         return pd.DataFrame([(key[0], ids[k], u, a) for k, u, a in got], columns=["cluster_id", "block_id", "landuse", "area"])
 
-    return blocks.groupBy("cluster_id").cogroup(targets.groupBy("cluster_id")).applyInPandas(run, "cluster_id long, block_id long, landuse string, area double")
+    own = targets.select(F.col("cluster_id").alias("_cluster"), "priority", "landuse", "target")
+    return blocks.groupBy("cluster_id").cogroup(own.groupBy("_cluster")).applyInPandas(run, "cluster_id long, block_id long, landuse string, area double")
+
+
+#: Uses that are placed last, at the highest level only, where accessibility is lowest; and homes.
+BAD_USES = ("M", "W")
+HOMES = "R"
+
+
+def level_share(level: str, top: str) -> float:
+    names = list(LANDUSE_LEVELS)
+    return LANDUSE_LEVELS[level] / sum(LANDUSE_LEVELS[k] for k in names[names.index(top) :])
+
+
+def service_shares(shares: dict[str, float], level: str, top: str) -> tuple[float, dict[str, float]]:
+    """What part of all land a level serves, and how it is dealt over the uses other than homes."""
+    part = level_share(level, top)
+    good = {u: s for u, s in shares.items() if u != HOMES and u not in BAD_USES}
+    bad = {u: shares[u] for u in BAD_USES if u in shares} if level == top else {}
+    whole = sum(bad.values()) + part * sum(good.values())
+    out = {u: s / whole for u, s in bad.items()} if whole else {}
+    return whole, out | ({u: s * part / whole for u, s in good.items()} if whole else {})
+
+
+def rationality(blocks: DataFrame, clusters: DataFrame, access: DataFrame, shares: dict[str, float], top: str = "City") -> DataFrame:
+    """block_id, landuse, level, area: land uses dealt to blocks level by level, from the top one on.
+
+    blocks: block_id, area; clusters: level, cluster_id, block_id; access: level, block_id, acc; shares of the uses in the
+    order of their priority. A level's land is dealt over the clusters that have at least 0.6 of their area left, by area;
+    within a cluster by the greedy fill. What is left in the end are homes. There are five levels at most, and each is one
+    pass over the clusters, in parallel; the state between them is stored.
+    """
+    from polisgrid.plans.rounds import Stored
+
+    names = list(LANDUSE_LEVELS)
+    total = blocks.agg(F.sum("area")).first()[0] or 0.0
+    state = Stored(blocks.select("block_id", F.col("area").cast("double").alias("area"), F.col("area").cast("double").alias("remain")))
+    given: list[Stored] = []
+    order = [u for u in shares if u != HOMES and u not in BAD_USES] + [u for u in reversed(list(shares)) if u in BAD_USES]
+    spark = blocks.sparkSession
+    for level in names[names.index(top) :]:
+        part, uses = service_shares(shares, level, top)
+        land = state.df.join(clusters.where(F.col("level") == level).select("cluster_id", "block_id"), "block_id")
+        land = land.join(access.where(F.col("level") == level).select("block_id", "acc"), "block_id")
+        open_ = cluster_shares(land, 0.6)
+        dealt = spark.createDataFrame([(k, u, total * part * uses[u]) for k, u in enumerate(order) if u in uses], "priority int, landuse string, all double")
+        targets = open_.join(F.broadcast(dealt)).select("cluster_id", "priority", "landuse", (F.col("all") * F.col("share")).alias("target"))
+        found = Stored(fill_landuse(land.where("remain > 0").join(open_.select("cluster_id"), "cluster_id", "left_semi"), targets, level, BAD_USES).select("block_id", "landuse", F.lit(level).alias("level"), "area"))
+        used = found.df.groupBy("block_id").agg(F.sum("area").alias("used"))
+        left = F.greatest(F.col("remain") - F.coalesce("used", F.lit(0.0)), F.lit(0.0))
+        fresh = Stored(state.df.join(used, "block_id", "left").select("block_id", "area", F.when(left < 1e-9, 0.0).otherwise(left).alias("remain")))
+        state.drop()
+        state = fresh
+        given.append(found)
+    out = state.df.where("remain > 0").select("block_id", F.lit(HOMES).alias("landuse"), F.lit(None).cast("string").alias("level"), F.col("remain").alias("area"))
+    for found in given:
+        out = out.unionByName(found.df)
+    return out
+
+
+def final_structure(given: DataFrame, priority: list[str]) -> DataFrame:
+    """priority, landuse, area, share of all land, a row for each use in the given order; 0 for uses without land."""
+    listed = given.sparkSession.createDataFrame(list(enumerate(priority)), "priority int, landuse string")
+    per = landuse_structure(given)
+    return listed.join(per, "landuse", "left").select("priority", "landuse", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
+def split_by_use(blocks: DataFrame, given: DataFrame) -> DataFrame:
+    """block_id, landuse, area, shell of the parts of blocks (block_id, shell: a convex open ring) in proportion to the land
+    of each use; a block of one use stays whole."""
+    from polisgrid.operators.design import split_sites
+
+    per = given.where("area > 0").groupBy("block_id", "landuse").agg(F.sum("area").alias("a"))
+    listed = per.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("a")).alias("k"), "landuse", "a"))).alias("u"))
+    rows = blocks.join(listed, "block_id").select(F.col("block_id").alias("site_id"), "shell", F.transform("u", lambda x: x["a"]).alias("shares"))
+    names = listed.select(F.col("block_id").alias("site_id"), F.posexplode(F.transform("u", lambda x: x["landuse"])).alias("k", "landuse"))
+    return split_sites(rows).join(names, ["site_id", "k"]).select(F.col("site_id").alias("block_id"), "landuse", "area", "shell")
+
+
+def checked_shares(rows: DataFrame, column: str) -> DataFrame:
+    """landuse, share of texts like R:0.2; a land use that comes twice raises."""
+    use, share = parse_shares(F.col(column))
+    per = rows.select(use.alias("landuse"), share.alias("share")).groupBy("landuse").agg(F.first("share").alias("share"), F.count("*").alias("n"))
+    ok = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("land use given twice: "), "landuse")).cast("double")).otherwise(F.col("share"))
+    return per.select("landuse", ok.alias("share"))
+
+
+def allocate_far_by_level(blocks: DataFrame, targets: DataFrame, top: str, least_mean: float = 0.8) -> DataFrame:
+    """block_id, landuse, level, far: allocate_far for each level and use, a use's total being dealt over the levels by
+    their shares, homes at the lowest one only. blocks: block_id, landuse, level, area, acc; targets: landuse, target."""
+    homes = targets.where(F.col("landuse") == HOMES).select("landuse", F.lit(list(FAR_LEVELS)[-1]).alias("level"), F.col("target").cast("double").alias("target"))
+    dealt = level_targets(targets.where(F.col("landuse") != HOMES), top).unionByName(homes)
+    key = F.concat_ws("@", "landuse", "level")
+    out = allocate_far(blocks.select("block_id", key.alias("landuse"), "area", "acc"), dealt.select(key.alias("landuse"), "target"), least_mean)
+    parts = F.split("landuse", "@")
+    return out.select("block_id", parts[0].alias("landuse"), parts[1].alias("level"), "far")
+
+
+def grouped_sum(rows: DataFrame, value: str, places: int = 6) -> DataFrame:
+    """x, y and the sum of value over rows at the same rounded place."""
+    return rows.groupBy(F.bround("x", places).alias("x"), F.bround("y", places).alias("y")).agg(F.sum(value).alias(value))
+
+
+def extent(points: DataFrame, key: str) -> DataFrame:
+    """Centre (mean x, y) and box of the points of each key."""
+    return points.groupBy(key).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), *(f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))))
+
+
+def running_count(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, before: the sum of value over all rows with a smaller key (keys are distinct).
+
+    Rows are dealt by ranges of the key; sums run within a range, and the few sums of the ranges before are added. So no
+    task holds all rows.
+    """
+    from polisgrid.plans.rounds import Stored
+
+    part = Stored(rows.select(key, value).repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sums = part.df.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(key).alias("_least"))
+    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offset = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = part.df.withColumn("before", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return inner.join(offset, "_part").select(key, value, (F.col("before") + F.col("_offset")).alias("before"))
+
+
+def largest_first(sites: DataFrame, key: str) -> DataFrame:
+    """Sites (id, area) with their rank by area within key, largest first (ties: smallest id)."""
+    return sites.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("area"), "id")))
 
 
 def running_fill(blocks: DataFrame, capacity: Column) -> DataFrame:

@@ -13,6 +13,9 @@ ENERGY_CARBON = 0.75
 WASTE_CARBON = {0: 2.13, 1: 0.321, 2: 0.12}
 
 
+BANDS_HELD = 1000
+
+
 def _mid(low: Column, high: Column) -> Column:
     return (low + high) / F.lit(2.0)
 
@@ -61,9 +64,12 @@ def population(buildings: DataFrame, bands: DataFrame) -> DataFrame:
     """buildings (area, floors, ...) with the band of their floors (type, closed interval; the first that fits, the
     last one above all) and people = area / square metres per person. bands: type, floor_lo, floor_hi, per_person.
 
-    bands is a dimension of a few rows: collected once, it becomes one CASE expression without any join.
+    bands is a dimension of a few rows: collected once, it becomes one CASE expression without any join. More than
+    BANDS_HELD rows raise.
     """
-    rows = bands.orderBy("type").limit(1000).collect()
+    rows = bands.orderBy("type").limit(BANDS_HELD + 1).collect()
+    if not 0 < len(rows) <= BANDS_HELD:
+        raise ValueError(f"population takes 1 to {BANDS_HELD} bands")
     area = F.col("area")
     last = rows[-1]
     kind, per = F.lit(None).cast("int"), F.lit(None).cast("double")
@@ -79,3 +85,16 @@ def roll_up(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of lo and hi by keys, and their middle by integer division."""
     out = parts.groupBy(*keys).agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
     return out.withColumn("mid", F.expr("(lo + hi) div 2"))
+
+
+def custom(parts: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """lo, hi in base units, not scaled, of buildings (function, base, zmin, zmax): storeys of 3 metres from the lowest point
+    to the highest, which is at least 0, times the base area and the rates."""
+    floors = storeys(F.greatest(F.col("zmax"), F.lit(0.0)) - F.col("zmin"))
+    return consumption(parts.withColumn("amount", F.col("base") * floors), coefficients, 1.0).withColumnRenamed("use", "mid")
+
+
+def by_block(blocks: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """lo, hi of blocks (block_id, landuse, area): area times the rates of the use, not rounded."""
+    rates = coefficients.select(F.col("function").alias("landuse"), "lo_rate", "hi_rate")
+    return blocks.join(rates, "landuse").select("block_id", "landuse", (F.col("area") * F.col("lo_rate")).alias("lo"), (F.col("area") * F.col("hi_rate")).alias("hi"))

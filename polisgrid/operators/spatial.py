@@ -36,6 +36,22 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: boo
     return both.where(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
 
 
+def radius_join_each(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of points closer than the left one's own radius (left: lid, lx, ly, radius). Radii of like size (by powers of
+    two) share a grid; a right point is keyed once for each size that occurs, of which there are few."""
+    sized = left.where("radius > 0").withColumn("_k", F.ceil(F.log2("radius")).cast("int"))
+    kinds = [r[0] for r in sized.select("_k").distinct().collect()]  # powers of two of a double: bounded
+    if not kinds:
+        return sized.drop("_k").join(right.limit(0)).withColumn("dist", F.lit(0.0))
+    size = F.pow(F.lit(2.0), F.col("_k").cast("double"))
+    cell = lambda v: F.floor(F.col(v) / size).cast("long")
+    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    a = sized.withColumn("_i", F.explode(F.transform(step, lambda k: cell("lx") + k))).withColumn("_j", F.explode(F.transform(step, lambda k: cell("ly") + k)))
+    b = right.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in sorted(kinds)]))).withColumn("_i", cell("rx")).withColumn("_j", cell("ry"))
+    d = geom.length2(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
+    return a.join(b, ["_k", "_i", "_j"]).drop("_k", "_i", "_j").withColumn("dist", d).where(F.col("dist") < F.col("radius"))
+
+
 def radius_sum(left: DataFrame, right: DataFrame, radius: float, value: str) -> DataFrame:
     """lid and the sum of a right column within the radius; 0 where nothing is near."""
     found = radius_join(left.select("lid", "lx", "ly"), right, radius).groupBy("lid").agg(F.sum(value).alias("total"))
@@ -65,26 +81,33 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, most_rin
     queries: lid, lx, ly; points: rid, rx, ry. Cells are searched ring by ring; a query is done when its k-th distance
     is not over the searched reach. Rings double, so few rounds are needed; only a count comes to the driver a round.
     """
+    from polisgrid.plans.rounds import Stored
+
     total = points.count()
     want = min(k, total)
     schema = "lid long, rid long, dist double, rank int"
     if not want:
         return queries.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("lid").orderBy("dist", "rid")
-    todo, out, reach = queries.select("lid", "lx", "ly"), None, 1
+    todo, out, reach = Stored(queries.select("lid", "lx", "ly")), [], 1
     for _ in range(most_rings):
         size = cell * reach
-        own = todo.withColumn("_a", _cell(F.col("lx"), size)).withColumn("_b", _cell(F.col("ly"), size))
-        far = _near(points.select("rid", "rx", "ry"), "rx", "ry", size)
-        both = own.join(far, (F.col("_a") == F.col("_i")) & (F.col("_b") == F.col("_j")))
+        # Queries are the side that is repeated: they become fewer each round, and points are read once, unmoved.
+        own = _near(todo.df, "lx", "ly", size)
+        both = points.select("rid", "rx", "ry", _cell(F.col("rx"), size).alias("_i"), _cell(F.col("ry"), size).alias("_j")).join(own, ["_i", "_j"])
         both = both.withColumn("dist", geom.length2(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))).where(F.col("dist") <= size)
         top = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want).select("lid", "rid", "dist", "rank")
-        full = top.groupBy("lid").count().where(F.col("count") == want).select("lid")
-        done = top.join(full, "lid", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, "lid", "left_anti")
-        if todo.isEmpty():
-            return out
+        found = Stored(top.withColumn("n", F.count("*").over(Window.partitionBy("lid"))).where(F.col("n") == want).drop("n"))
+        out.append(found)
+        left = Stored(todo.df.join(found.df.select("lid"), "lid", "left_anti"))
+        todo.drop()
+        todo = left
+        if todo.df.isEmpty():
+            todo.drop()
+            whole = out[0].df
+            for part in out[1:]:
+                whole = whole.unionByName(part.df)
+            return whole
         reach *= 4
     raise ValueError("points are too far apart for this cell size")
 
@@ -162,11 +185,17 @@ def clean_points(points: DataFrame, places: int) -> DataFrame:
 
 
 def clean_polygons(polygons: DataFrame, places: int = 6) -> DataFrame:
-    """Closed rings (id, shell) rounded, counter-clockwise, without area 0, one of each shape (smallest id)."""
+    """Closed rings (id, shell) rounded, without repeated points, simple, counter-clockwise, with an area, one of each shape
+    (smallest id)."""
+    from polisgrid.operators.cleaning import is_simple
+
     ring = F.transform("shell", lambda p: F.struct(F.bround(p["x"], places).alias("x"), F.bround(p["y"], places).alias("y")))
-    ring = F.filter(ring, lambda p, i: F.lit(True) & ((i == 0) | (p != F.element_at(ring, F.greatest(i, F.lit(1))))))
-    df = polygons.select("id", ring.alias("shell")).where("size(shell) >= 4").withColumn("area", geom.signed_area(F.col("shell")))
-    df = df.where("area != 0").withColumn("shell", F.when(F.col("area") < 0, F.reverse("shell")).otherwise(F.col("shell")))
+    # Each point beside the one before it, in one pass.
+    before = F.concat(F.array(F.lit(None).cast("struct<x:double,y:double>")), F.slice("shell", F.lit(1), F.greatest(F.size("shell") - 1, F.lit(0))))
+    both = F.zip_with("shell", before, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    kept = F.transform(F.filter(both, lambda e: e["q"].isNull() | (e["p"] != e["q"])), lambda e: e["p"])
+    df = polygons.select("id", ring.alias("shell")).where("size(shell) >= 4").select("id", kept.alias("shell")).where("size(shell) >= 4").withColumn("area", geom.signed_area(F.col("shell")))
+    df = df.where("area != 0").where(is_simple(F.col("shell"))).withColumn("shell", F.when(F.col("area") < 0, F.reverse("shell")).otherwise(F.col("shell")))
     return df.groupBy("shell").agg(F.min("id").alias("id"), F.abs(F.first("area")).alias("area")).select("id", "shell", "area")
 
 

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from polisgrid.functions.geom import length2, ray_hit
 
-TRIANGLES_HELD = 2_000_000
-
 
 def exposure_2d(viewpoints: DataFrame, outlines: DataFrame, rays: int, radius: float) -> DataFrame:
     """outline, hits: rays every round(360 / rays) degrees from each viewpoint (vid, x, y) that meet the outline first
@@ -39,62 +37,180 @@ def walls(outlines: DataFrame) -> DataFrame:
     return outlines.select("oid", F.explode(F.array(one, two)).alias("t")).select("oid", "t.tri", "t.p", "t.q", "t.r")
 
 
+def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
+    """Triangles (numbers of the ring's points) of a simple open ring in either direction, counter-clockwise."""
+    n = len(ring)
+    area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))
+    left = list(range(n)) if area > 0 else list(range(n - 1, -1, -1))
+    cross = lambda a, b, c: (ring[b][0] - ring[a][0]) * (ring[c][1] - ring[a][1]) - (ring[b][1] - ring[a][1]) * (ring[c][0] - ring[a][0])
+    out = []
+    while len(left) > 3:
+        for k in range(len(left)):
+            a, b, c = left[k - 1], left[k], left[(k + 1) % len(left)]
+            turn = cross(a, b, c)
+            if turn < 0:
+                continue
+            if turn > 0 and any(cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 for p in left if ring[p] not in (ring[a], ring[b], ring[c])):
+                continue
+            if turn > 0:
+                out.append((a, b, c))
+            del left[k]
+            break
+        else:
+            raise ValueError("the ring is not simple")
+    if len(left) == 3 and cross(*left) > 0:
+        out.append(tuple(left))
+    return out
+
+
+def roofs(outlines: DataFrame) -> DataFrame:
+    """oid, tri, p, q, r: the roof's triangles of outlines (oid, shell: an open ring of x, y; height), by ear clipping."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                ring = [(p["x"], p["y"]) for p in r.shell]
+                pts = [{"x": x, "y": y, "z": float(r.height)} for x, y in ring]
+                out += [(r.oid, k, *(pts[v] for v in t)) for k, t in enumerate(ear_clip(ring))]
+            yield pd.DataFrame(out, columns=["oid", "tri", "p", "q", "r"])
+
+    point = "struct<x:double,y:double,z:double>"
+    return outlines.select("oid", "shell", "height").mapInPandas(run, f"oid long, tri long, p {point}, q {point}, r {point}")
+
+
+def building_mesh(outlines: DataFrame) -> DataFrame:
+    """oid, side ('wall' or 'roof'), p, q, r of extruded outlines (oid, shell: an open ring; height)."""
+    n = F.size("shell")
+    edges = outlines.select("oid", "height", "shell", F.posexplode("shell").alias("k", "a"))
+    b = F.element_at("shell", (F.col("k") + 1) % n + 1)
+    flat = edges.select("oid", F.col("k").cast("long").alias("seq"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), "height")
+    return walls(flat).select("oid", F.lit("wall").alias("side"), "p", "q", "r").unionByName(roofs(outlines).select("oid", F.lit("roof").alias("side"), "p", "q", "r"))
+
+
+# --- half-edges --------------------------------------------------------------------------------------------------
+
+
+def half_edges(faces: DataFrame) -> DataFrame:
+    """mesh, face, k, a, b, twin of meshes given by faces (mesh, face, v: vertices in order); twin is the face that has the
+    edge the other way round, null at a border."""
+    n = F.size("v")
+    one = faces.select("mesh", "face", "v", F.posexplode("v").alias("k", "a")).select("mesh", "face", "k", "a", F.element_at("v", (F.col("k") + 1) % n + 1).alias("b"))
+    other = one.groupBy("mesh", F.col("b").alias("a"), F.col("a").alias("b")).agg(F.min("face").alias("twin"))
+    return one.join(other, ["mesh", "a", "b"], "left").select("mesh", "face", "k", "a", "b", "twin")
+
+
+def mesh_measures(faces: DataFrame, places: DataFrame) -> DataFrame:
+    """mesh, faces, edges, vertices, naked (edges with one face), closed, volume (of closed meshes whose faces look outwards).
+    places: mesh, vertex, x, y, z."""
+    h = half_edges(faces)
+    sides = h.groupBy("mesh").agg(F.count("*").alias("half"), F.count_if(F.col("twin").isNull()).alias("naked"), F.count_distinct("a").alias("vertices"), F.count_distinct("face").alias("faces"))
+    p = places.select("mesh", "vertex", F.struct("x", "y", "z").alias("p"))
+    corners = faces.select("mesh", "face", F.posexplode("v").alias("k", "vertex")).join(p, ["mesh", "vertex"])
+    rings = corners.groupBy("mesh", "face").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("r"))
+    fan = F.transform(F.sequence(F.lit(2), F.size("r") - 1), lambda k: F.struct(F.element_at("r", 1).alias("p"), F.element_at(F.col("r"), k).alias("q"), F.element_at(F.col("r"), k + 1).alias("s")))
+    six = lambda t: t["p"]["x"] * (t["q"]["y"] * t["s"]["z"] - t["q"]["z"] * t["s"]["y"]) + t["p"]["y"] * (t["q"]["z"] * t["s"]["x"] - t["q"]["x"] * t["s"]["z"]) + t["p"]["z"] * (t["q"]["x"] * t["s"]["y"] - t["q"]["y"] * t["s"]["x"])
+    volume = rings.select("mesh", (F.aggregate(F.transform(fan, six), F.lit(0.0), lambda s, v: s + v) / 6).alias("v")).groupBy("mesh").agg(F.sum("v").alias("volume"))
+    out = sides.join(volume, "mesh")
+    return out.select("mesh", "faces", ((F.col("half") + F.col("naked")) / 2).cast("long").alias("edges"), "vertices", "naked", (F.col("naked") == 0).alias("closed"), "volume")
+
+
+def valence(faces: DataFrame) -> DataFrame:
+    """mesh, vertex, valence: edges at each vertex."""
+    h = half_edges(faces)
+    ends = h.select("mesh", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ends.select("mesh", F.explode(F.array("a", "b")).alias("vertex")).groupBy("mesh", "vertex").agg(F.count("*").alias("valence"))
+
+
+def flip_edge(faces: DataFrame, edges: DataFrame) -> DataFrame:
+    """Faces after the edges (mesh, a, b) between two triangles are turned to join their other corners. Edges of one call
+    must not share a triangle."""
+    h = half_edges(faces.where("size(v) = 3"))
+    both = edges.join(h.select("mesh", "a", "b", F.col("face").alias("f"), F.col("twin").alias("g")), ["mesh", "a", "b"]).where("g is not null")
+    corner = faces.select("mesh", F.col("face").alias("x"), "v")
+    c = F.col
+    both = both.join(corner.select("mesh", c("x").alias("f"), c("v").alias("vf")), ["mesh", "f"]).join(corner.select("mesh", c("x").alias("g"), c("v").alias("vg")), ["mesh", "g"])
+    off = lambda v: F.filter(v, lambda x: (x != c("a")) & (x != c("b")))[0]
+    p, q = off("vf"), off("vg")
+    fresh = both.select("mesh", F.explode(F.array(F.struct(c("f").alias("face"), F.array(c("a"), q, p).alias("v")), F.struct(c("g").alias("face"), F.array(c("b"), p, q).alias("v")))).alias("n")).select("mesh", "n.face", c("n.v").alias("w"))
+    return faces.join(fresh, ["mesh", "face"], "left").select("mesh", "face", F.coalesce("w", "v").alias("v"))
+
+
 def triangle_area(p: Column, q: Column, r: Column) -> Column:
     u, v = [q[k] - p[k] for k in "xyz"], [r[k] - p[k] for k in "xyz"]
     cross = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
     return F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2
 
 
+_PAIRS = 1 << 20  # rays times triangles whose temporaries are held at once
+
+
 def first_hits(origins: np.ndarray, directions: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance to and number of the first triangle (n, 3, 3) that each ray meets; inf and -1 if none."""
     best, who = np.full(len(origins), np.inf), np.full(len(origins), -1)
+    if not len(tri):
+        return best, who
     e1, e2 = tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0]
-    for at in range(0, len(origins), 256):
-        o, d = origins[at : at + 256], directions[at : at + 256]
+    step = max(1, _PAIRS // len(tri))
+    for at in range(0, len(origins), step):
+        o, d = origins[at : at + step], directions[at : at + step]
         h = np.cross(d[:, None], e2[None])
         det = (h * e1).sum(2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = o[:, None] - tri[None, :, 0]
-            u = (s * h).sum(2) / det
-            q = np.cross(s, e1[None])
-            v = (d[:, None] * q).sum(2) / det
-            t = (e2 * q).sum(2) / det
-        t = np.where((np.abs(det) > 1e-12) & (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & (t > 1e-9), t, np.inf)
-        who[at : at + 256] = np.where(np.isfinite(t.min(1)), t.argmin(1), -1)
-        best[at : at + 256] = t.min(1)
+        safe = np.where(np.abs(det) > 1e-12, det, np.inf)
+        s = o[:, None] - tri[None, :, 0]
+        u = (s * h).sum(2) / safe
+        q = np.cross(s, e1[None])
+        v = (d[:, None] * q).sum(2) / safe
+        t = (e2 * q).sum(2) / safe
+        t = np.where(np.isfinite(safe) & (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & (t > 1e-9), t, np.inf)
+        who[at : at + step] = np.where(np.isfinite(t.min(1)), t.argmin(1), -1)
+        best[at : at + step] = t.min(1)
     return best, who
 
 
-def exposure_3d(viewpoints: DataFrame, triangles: DataFrame, reach: float, decay: float | None = None) -> DataFrame:
+def exposure_3d(viewpoints: DataFrame, triangles: DataFrame, reach: float, decay: float | None = None, block: int = 512) -> DataFrame:
     """vid, tri, dist, amount of each triangle that a viewpoint sees: it faces the viewpoint, its centre is nearer than
     reach, and the first hit of the ray to its centre is there (within 1e-4). amount is the area, or
     area * exp(-decay * distance) with distance 0 taken as 1.
 
-    triangles: tri, p, q, r; they are held by every task behind a check of their number; viewpoints are dealt.
+    triangles: tri, p, q, r; viewpoints: vid, x, y, z. Both are keyed by grid cells of the reach: a triangle by all cells
+    from which some part of it is within reach, so a task holds what can be seen from one cell. The viewpoints of a
+    cell are dealt in blocks.
     """
-    n = triangles.count()
-    if n > TRIANGLES_HELD:
-        raise ValueError(f"{n} triangles; a task holds {TRIANGLES_HELD}. Cut the scene into tiles that overlap by reach")
-    flat = triangles.select("tri", *(F.col(f"{c}.{k}").cast("double").alias(c + k) for c in "pqr" for k in "xyz")).orderBy("tri").toPandas()
-    held = viewpoints.sparkSession.sparkContext.broadcast((flat["tri"].to_numpy(), flat.iloc[:, 1:].to_numpy().reshape(-1, 3, 3)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tri = held.value
+    cell = lambda v: F.floor(v / F.lit(float(reach))).cast("long")
+    v = viewpoints.select("vid", *(F.col(c).cast("double").alias(c) for c in "xyz")).withColumns({"_i": cell(F.col("x")), "_j": cell(F.col("y"))})
+    parts = v.groupBy("_i", "_j").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_parts"))
+    v = v.join(parts, ["_i", "_j"]).withColumn("_part", F.pmod(F.xxhash64("vid"), F.col("_parts")).cast("int")).drop("_parts")
+    flat = triangles.select("tri", *(F.col(f"{c}.{k}").cast("double").alias(c + k) for c in "pqr" for k in "xyz"))
+    side = lambda f, k, d: cell(f(*(F.col(c + k) for c in "pqr")) + F.lit(d * float(reach)))
+    t = flat.withColumn("_i", F.explode(F.sequence(side(F.least, "x", -1), side(F.greatest, "x", 1))))
+    t = t.withColumn("_j", F.explode(F.sequence(side(F.least, "y", -1), side(F.greatest, "y", 1))))
+    t = t.join(parts, ["_i", "_j"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def run(key, views: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("tri")
+        ids = held["tri"].to_numpy()
+        tri = held[[c + k for c in "pqr" for k in "xyz"]].to_numpy().reshape(-1, 3, 3)
         centre = tri.mean(1)
+        size = np.linalg.norm(tri - centre[:, None], axis=2).max(1, initial=0)
         normal = np.cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
         area = np.linalg.norm(normal, axis=1) / 2
-        for pdf in batches:
-            for vid, *at in pdf[["vid", "x", "y", "z"]].itertuples(index=False):
-                o = np.array(at, float)
-                way = centre - o
-                dist = np.linalg.norm(way, axis=1)
-                k = np.flatnonzero((dist < reach) & (dist > 0) & ((normal * -way).sum(1) > 0))
-                t, _ = first_hits(np.repeat(o[None], len(k), 0), way[k] / dist[k][:, None], tri[np.flatnonzero(dist < reach + np.sqrt(area.max() * 4))] if len(k) else tri[:0])
-                k = k[np.abs(t - dist[k]) <= 1e-4]
-                amount = area[k] if decay is None else area[k] * np.exp(-decay * np.where(dist[k] == 0, 1, dist[k]))
-                yield pd.DataFrame({"vid": vid, "tri": ids[k], "dist": dist[k], "amount": amount})
-
-    return viewpoints.repartition("vid").mapInPandas(run, "vid long, tri long, dist double, amount double")
+        out = []
+        for vid, *at in views[["vid", "x", "y", "z"]].itertuples(index=False):
+            o = np.array(at, float)
+            way = centre - o
+            dist = np.linalg.norm(way, axis=1)
+            k = np.flatnonzero((dist < reach) & (dist > 0) & ((normal * -way).sum(1) > 0))
+            if not len(k):
+                continue
+            first, _ = first_hits(np.repeat(o[None], len(k), 0), way[k] / dist[k][:, None], tri[dist - size < reach])
+            k = k[np.abs(first - dist[k]) <= 1e-4]
+            amount = area[k] if decay is None else area[k] * np.exp(-decay * np.where(dist[k] == 0, 1, dist[k]))
+            out.append(pd.DataFrame({"vid": vid, "tri": ids[k], "dist": dist[k], "amount": amount}))
+        return pd.concat(out) if out else pd.DataFrame({"vid": [], "tri": [], "dist": [], "amount": []})
+
+    own = ["_i", "_j", "_part"]
+    return v.groupBy(*own).cogroup(t.groupBy(*own)).applyInPandas(run, "vid long, tri long, dist double, amount double")
 
 
 def decayed(area: Column, dist: Column, beta: float) -> Column:
@@ -127,6 +243,29 @@ def ray_fan(viewpoints: DataFrame, horizontal: int, vertical: int) -> DataFrame:
     return fan.select("vid", "h", "v", (F.cos(a) * F.cos(b)).alias("dx"), (F.sin(a) * F.cos(b)).alias("dy"), F.sin(b).alias("dz"))
 
 
+def fan_hits(viewpoints: DataFrame, triangles: DataFrame, horizontal: int, vertical: int, reach: float) -> DataFrame:
+    """tri, hits: how many rays of the fans of all viewpoints (vid, x, y, z) meet each triangle first, within reach. Dealt over
+    cells as in exposure_3d."""
+    cell = lambda v: F.floor(v / F.lit(float(reach))).cast("long")
+    v = viewpoints.select("vid", *(F.col(c).cast("double").alias(c) for c in "xyz")).withColumns({"_i": cell(F.col("x")), "_j": cell(F.col("y"))})
+    rays = v.join(ray_fan(viewpoints.select("vid"), horizontal, vertical), "vid")
+    flat = triangles.select("tri", *(F.col(f"{c}.{k}").cast("double").alias(c + k) for c in "pqr" for k in "xyz"))
+    side = lambda f, k, d: cell(f(*(F.col(c + k) for c in "pqr")) + F.lit(d * float(reach)))
+    t = flat.withColumn("_i", F.explode(F.sequence(side(F.least, "x", -1), side(F.greatest, "x", 1))))
+    t = t.withColumn("_j", F.explode(F.sequence(side(F.least, "y", -1), side(F.greatest, "y", 1))))
+
+    def run(key, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("tri")
+        tri = held[[c + k for c in "pqr" for k in "xyz"]].to_numpy().reshape(-1, 3, 3)
+        dist, who = first_hits(own[["x", "y", "z"]].to_numpy(), own[["dx", "dy", "dz"]].to_numpy(), tri)
+        n = np.bincount(who[(who >= 0) & (dist <= reach)], minlength=len(tri))
+        on = np.flatnonzero(n)
+        return pd.DataFrame({"tri": held["tri"].to_numpy()[on], "n": n[on]})
+
+    hit = rays.groupBy("_i", "_j").cogroup(t.groupBy("_i", "_j")).applyInPandas(run, "tri long, n long")
+    return hit.groupBy("tri").agg(F.sum("n").alias("hits"))
+
+
 def shade(count: Column, most: Column, low: float, high: float) -> Column:
     """One colour channel between low and high by ln(count) / ln(most); high where most is 1."""
     part = F.when(most <= 1, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.ln(count), F.ln(most)), F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -409,7 +410,12 @@ def sssp(spark, d):
     return graph.shortest_paths(i.road_graph(spark, d), _one(spark)).select("source", "id", F.bround("dist", 6).alias("dist"))
 
 
-@query()
+_PATH = """, t AS (SELECT d5.id, round_even(d5.dist, 6) AS dist FROM d5 WHERE source = 0), g(id, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, g.hops + 1 FROM g JOIN t a ON a.id = g.id JOIN e ON e.src = g.id JOIN t b ON b.id = e.dst WHERE e.dst <> 0 AND abs(a.dist + e.w - b.dist) < 1e-5),
+ h AS (SELECT id, min(hops) AS hops FROM g GROUP BY id), p AS (SELECT b.id, min(a.id) AS prev FROM h b JOIN e ON e.dst = b.id JOIN h a ON a.id = e.src AND a.hops + 1 = b.hops JOIN t x ON x.id = a.id JOIN t y ON y.id = b.id WHERE b.id <> 0 AND abs(x.dist + e.w - y.dist) < 1e-5 GROUP BY b.id),
+ w(id, step) AS (SELECT CAST(24 AS BIGINT), 0 UNION ALL SELECT p.prev, w.step + 1 FROM w JOIN p ON p.id = w.id) SELECT CAST(0 AS BIGINT) AS source, CAST(24 AS BIGINT) AS target, step, id FROM w"""
+
+
+@query(i.walks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _PATH)
 def shortest_path(spark, d):
     paths = graph.shortest_paths(i.road_graph(spark, d), _one(spark))
     return graph.path_to(paths, spark.createDataFrame([(24,)], "id long"))
@@ -453,7 +459,11 @@ def ss_radius(spark, d):
     return _centrality(spark, d, limit=60.0).select("id", "reached", F.bround("total_depth", 6).alias("total_depth"))
 
 
-@query()
+_CHAINS = f"""WITH RECURSIVE e AS (SELECT id, ax AS x, ay AS y FROM {i.GRID} UNION ALL SELECT id, bx, by FROM {i.GRID}), t AS (SELECT min(id) AS a, max(id) AS b FROM e GROUP BY x, y HAVING count(*) = 2 AND min(id) <> max(id)),
+ l AS (SELECT a, b FROM t UNION SELECT b, a FROM t), r AS (SELECT id AS a, id AS b FROM {i.GRID} UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), m AS (SELECT a, min(b) AS chain FROM r GROUP BY a)"""
+
+
+@query(_CHAINS + " SELECT chain, count(*) AS parts FROM m GROUP BY chain")
 def merge_chains(spark, d):
     pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return graph.merge_chains(i.grid(spark, d).select("id", pt("ax", "ay").alias("a"), pt("bx", "by").alias("b")))
@@ -539,13 +549,40 @@ def _scene(spark, d):
     return v, w
 
 
-@query()
+def _cross(u: list[str], v: list[str]) -> list[str]:
+    return [f"({u[a]} * {v[b]} - {u[b]} * {v[a]})" for a, b in ((1, 2), (2, 0), (0, 1))]
+
+
+def _dots(u: list[str], v: list[str]) -> str:
+    return "(" + " + ".join(f"{a} * {b}" for a, b in zip(u, v, strict=True)) + ")"
+
+
+def _seen_sql(reach: float) -> str:
+    """CTEs ending in seen (vid, tri, dist, area): by all rays to all centres and all triangles in their way."""
+    normal = _cross(["(qx - px)", "(qy - py)", "(qz - pz)"], ["(rx - px)", "(ry - py)", "(rz - pz)"])
+    h = _cross(["dx", "dy", "dz"], ["(b.rx - b.px)", "(b.ry - b.py)", "(b.rz - b.pz)"])
+    s = ["(x - b.px)", "(y - b.py)", "(z - b.pz)"]
+    first, second = ["(b.qx - b.px)", "(b.qy - b.py)", "(b.qz - b.pz)"], ["(b.rx - b.px)", "(b.ry - b.py)", "(b.rz - b.pz)"]
+    q = _cross(s, first)
+    return f"""WITH v AS (SELECT tid AS vid, tx / 100 + 5.13::DOUBLE AS x, ty / 100 + 3.07::DOUBLE AS y, 1.6::DOUBLE AS z FROM {i.TARGETS}),
+ g AS (SELECT *, (id % 4 + 2)::DOUBLE AS top FROM {i.GRID} WHERE ax <> bx OR ay <> by),
+ m AS (SELECT id * 2 AS tri, ax AS px, ay AS py, 0::DOUBLE AS pz, bx AS qx, by AS qy, 0::DOUBLE AS qz, bx AS rx, by AS ry, top AS rz FROM g UNION ALL SELECT id * 2 + 1, ax, ay, 0, bx, by, top, ax, ay, top FROM g),
+ n AS (SELECT *, (px + qx + rx) / 3 AS cx, (py + qy + ry) / 3 AS cy, (pz + qz + rz) / 3 AS cz, {normal[0]} AS nx, {normal[1]} AS ny, {normal[2]} AS nz FROM m),
+ w AS (SELECT vid, tri, x, y, z, cx - x AS wx, cy - y AS wy, cz - z AS wz, nx, ny, nz FROM v, n),
+ c AS (SELECT vid, tri, x, y, z, sqrt(wx * wx + wy * wy + wz * wz) AS dist, wx / sqrt(wx * wx + wy * wy + wz * wz) AS dx, wy / sqrt(wx * wx + wy * wy + wz * wz) AS dy, wz / sqrt(wx * wx + wy * wy + wz * wz) AS dz, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area
+ FROM w WHERE sqrt(wx * wx + wy * wy + wz * wz) < {reach} AND nx * wx + ny * wy + nz * wz < 0),
+ k AS (SELECT vid, c.tri, dist, {_dots(h, first)} AS det, {_dots(s, h)} AS su, {_dots(["dx", "dy", "dz"], q)} AS sv, {_dots(second, q)} AS st FROM c, n b),
+ f AS (SELECT vid, tri, min(st / det) AS first FROM k WHERE abs(det) > 1e-12 AND su / det >= -1e-9 AND sv / det >= -1e-9 AND su / det + sv / det <= 1 + 1e-9 AND st / det > 1e-9 GROUP BY vid, tri),
+ seen AS (SELECT c.vid, c.tri, c.dist, c.area FROM c JOIN f ON f.vid = c.vid AND f.tri = c.tri WHERE abs(f.first - c.dist) <= 1e-4)"""
+
+
+@query(_seen_sql(6.0) + " SELECT vid, tri, round_even(area, 6) AS area FROM seen")
 def exposure3d(spark, d):
     v, w = _scene(spark, d)
     return visibility.exposure_3d(v, w.select("tri", "p", "q", "r"), 6.0).select("vid", "tri", F.bround("amount", 6).alias("area"))
 
 
-@query()
+@query(_seen_sql(6.0) + " SELECT vid, round_even(sum(area * exp(-0.5::DOUBLE * dist)), 6) AS visible FROM seen GROUP BY vid")
 def exposure3d_decay(spark, d):
     v, w = _scene(spark, d)
     return visibility.exposure_3d(v, w.select("tri", "p", "q", "r"), 6.0, 0.5).groupBy("vid").agg(F.bround(F.sum("amount"), 6).alias("visible"))
@@ -595,13 +632,6 @@ def setback_band(spark, d):
     return i.table(spark, d, "part").select(F.col("p_partkey").alias("id"), design.band(F.col("p_size"), design.SETBACK_HOMES).alias("setback"))
 
 
-@query()
-def sun_distance(spark, d):
-    cities = spark.createDataFrame([(c, *at) for c, at in design.CITIES.items()], "city string, lon double, lat double")
-    p = i.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 3.0).alias("height"))
-    return p.join(F.broadcast(cities)).select("id", "city", F.bround(design.sun_distance(F.col("height"), F.col("lat"), F.col("lon")), 4).alias("distance"))
-
-
 _CAP = """WITH s AS (SELECT s_suppkey AS id, 0.9 + s_suppkey % 50 / 10.0::DOUBLE AS far, 0.1 + s_nationkey / 100.0::DOUBLE AS density, 60.0::DOUBLE + s_suppkey % 90 AS l, 5.2::DOUBLE AS k FROM supplier),
  f AS (SELECT *, least(far, 0.9::DOUBLE * ((1 - 2 / 3.0::DOUBLE) * 26 * k * 45 * 45 + l * 26 * 45) / (l * k * 45 + l * 26)) AS f FROM s),
  r AS (SELECT *, l / (k * (1 - 2 / 3.0::DOUBLE)) - l * f / (26 * 0.9::DOUBLE * (1 - 2 / 3.0::DOUBLE)) AS b, -l * f / (k * 0.9::DOUBLE * (1 - 2 / 3.0::DOUBLE)) AS c FROM f),
@@ -627,20 +657,35 @@ def offset_distance(spark, d):
 _HOMES = (("R1", 1, 6), ("R2", 3, 9), ("R3", 6, 15), ("R4", 9, 18), ("R5", 12, 33), ("R6", 18, 60), ("R7", 27, 150))
 
 
-@query()
+_DRAW = "(CAST('0x' || substr(md5('0|' || site_id || '|' || {key}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {a}, {b})" for t, a, b in _HOMES) + f""") v(type, lo, hi)), b AS (SELECT s_suppkey AS site_id, type, (1.0::DOUBLE + s_suppkey % 6) / 0.25 BETWEEN lo AND hi AS fits FROM supplier, t),
+ c AS (SELECT *, bool_or(fits) OVER (PARTITION BY site_id) AS one_fits FROM b), r AS (SELECT site_id, type, row_number() OVER (PARTITION BY site_id ORDER BY {_DRAW.format(key="type")}, type) AS k FROM c WHERE fits OR NOT one_fits) SELECT site_id, type FROM r WHERE k <= 3""")
 def type_select(spark, d):
     s = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), F.lit("R").alias("kind"), (F.lit(1.0) + F.col("s_suppkey") % 6).alias("far"), F.lit(0.25).alias("density"))
     types = spark.createDataFrame([("R", t, a, b) for t, a, b in _HOMES], "kind string, type string, floor_lo int, floor_hi int")
     return design.choose_types(s, types)
 
 
-@query()
+_PROGRAM = """WITH s AS (SELECT s_suppkey AS site_id, abs(s_acctbal) + 500 AS cap, abs(s_acctbal) * 4 + 3000 AS built FROM supplier),
+ n AS (SELECT site_id, built, a, b, CAST(floor((cap - a * 300 - b * 420) / 600) AS BIGINT) AS c FROM s, (SELECT unnest(range(0, 40)) AS a), (SELECT unnest(range(0, 30)) AS b) WHERE a * 300 + b * 420 <= cap),
+ m AS (SELECT site_id, built, a, b, c, row_number() OVER (PARTITION BY site_id ORDER BY a * 300 + b * 420 + c * 600 DESC, a + b + c, a DESC, b DESC) AS k FROM n),
+ o AS (SELECT site_id, built, CASE WHEN a + b + c = 0 THEN 1 ELSE a END AS a, b, c FROM m WHERE k = 1),
+ p AS (SELECT *, 300 * greatest(a, 1) AS x, 420 * greatest(b, 1) AS y, 600 * greatest(c, 1) AS z FROM o),
+ f AS (SELECT p.*, i, j, least(60, CAST(floor((built - i * x - j * y) / z) AS BIGINT)) AS l FROM p, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(6, 16)) AS j)),
+ g AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY i * x + j * y + l * z DESC, i + j + l, i DESC, j DESC) AS k FROM f WHERE l >= 18),
+ h AS (SELECT o.site_id, a, b, c, coalesce(g.i, 1) AS i, coalesce(g.j, 6) AS j, coalesce(g.l, 18) AS l FROM o LEFT JOIN (SELECT site_id, i, j, l FROM g WHERE k = 1) g USING (site_id))
+ SELECT site_id, CAST(v AS INTEGER) AS k, CAST(CASE v WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS INTEGER) AS count, CAST(CASE v WHEN 0 THEN i WHEN 1 THEN j ELSE l END AS INTEGER) AS floors FROM h, (VALUES (0), (1), (2)) t(v)"""
+
+
+@query(_PROGRAM)
 def floor_programs(spark, d):
     s = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), (F.abs("s_acctbal") + 500).alias("capacity"), (F.abs("s_acctbal") * 4 + 3000).alias("floor_area"))
     return design.programs(s.select("site_id", "capacity", "floor_area", F.array(F.lit(300.0), F.lit(420.0), F.lit(600.0)).alias("areas"), F.array(F.lit(1), F.lit(6), F.lit(18)).alias("floor_lo"), F.array(F.lit(6), F.lit(15), F.lit(60)).alias("floor_hi")))
 
 
-@query()
+@query("SELECT s_suppkey AS site_id, k, round_even((s_nationkey + 20) * (s_suppkey % 40 + 10) * share, 3) AS area FROM supplier, (VALUES (0, 0.5::DOUBLE), (1, 0.3::DOUBLE), (2, 0.2::DOUBLE)) v(k, share)")
 def polygon_split(spark, d):
     pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     w, h, z = F.col("s_nationkey") + 20, F.col("s_suppkey") % 40 + 10, F.lit(0)
@@ -648,14 +693,22 @@ def polygon_split(spark, d):
     return design.split_sites(s).select("site_id", "k", F.bround("area", 3).alias("area"))
 
 
-@query()
+_TREES = """WITH a AS (SELECT s_suppkey AS site_id, (abs(s_acctbal) + 100) * 0.3::DOUBLE AS want FROM supplier), b AS (SELECT *, floor(want / (pi() * 45)) AS cycles FROM a), c AS (SELECT *, want - cycles * (pi() * 45) AS rest FROM b),
+ e AS (SELECT site_id, cycles * 6 + (SELECT count(*) FROM (VALUES (0.0), (2.25), (4.5), (6.75), (15.75), (24.75)) v(before) WHERE rest > pi() * before + 1e-9) AS n FROM c)
+ SELECT site_id, n, [1.5, 1.5, 1.5, 3.0, 3.0, 4.5][n % 6 + 1]::DOUBLE AS radius FROM (SELECT site_id, unnest(range(CAST(n AS BIGINT))) AS n FROM e)"""
+
+
+@query(_TREES)
 def site_trees(spark, d):
     return design.trees(i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), (F.abs("s_acctbal") + 100).alias("area")), F.lit(0.3))
 
 
-@query()
+@query(f"""WITH a AS (SELECT s_suppkey AS site_id, abs(s_acctbal) / 50 + 60 AS width, unnest(range(0, CAST(ceil((abs(s_acctbal) / 50 + 60) / 16) AS BIGINT) + 1)) AS k FROM supplier),
+ b AS (SELECT *, 16 + {_DRAW.format(key="k")} * 8 AS w FROM a), c AS (SELECT *, sum(w) OVER (PARTITION BY site_id ORDER BY k) AS x1 FROM b), e AS (SELECT *, x1 - w AS x0 FROM c WHERE x1 - w < width), f AS (SELECT *, max(k) OVER (PARTITION BY site_id) AS last FROM e)
+ SELECT site_id, k, round_even(x0, 6) AS x0, round_even(x1, 6) AS x1 FROM f WHERE k > 0 AND k < last""")
 def courtyard_strips(spark, d):
-    return design.courtyard_strips(i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), (F.abs("s_acctbal") / 50 + 60).alias("width")))
+    s = design.courtyard_strips(i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), (F.abs("s_acctbal") / 50 + 60).alias("width")))
+    return s.select("site_id", "k", F.bround("x0", 6).alias("x0"), F.bround("x1", 6).alias("x1"))
 
 
 # --- sources --------------------------------------------------------------------------------------------------
@@ -668,32 +721,34 @@ def events_hourly(spark, d):
     return hourly(i.table(spark, d, "events")).withColumn("total", F.bround("total", 2))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, 'int' AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def attributes_typing(spark, d):
-    from polisgrid.sources.files import typed
+    from polisgrid.sources.files import attribute, typed
 
-    e = i.table(spark, d, "events").select("event_id", typed(F.col("props")).alias("v"))
-    return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+    e = i.table(spark, d, "events").select("event_id", attribute(typed(F.col("props")), "k").alias("a"))
+    return e.select("event_id", "a.kind", F.col("a.int_value").alias("k"))
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS link_id, CAST(hour(ts) AS INTEGER) AS hour, round_even(sum(value), 2) AS volume FROM events GROUP BY 1, 2")
 def link_stats_unpivot(spark, d):
+    from polisgrid.sources.files import link_volumes
+
     e = i.table(spark, d, "events").withColumn("h", F.hour("ts"))
     wide = e.groupBy("user_id").pivot("h", list(range(24))).agg(F.sum("value"))
-    tall = wide.unpivot(["user_id"], [str(h) for h in range(24)], "hour", "volume").where("volume is not null")
-    return tall.select(F.col("user_id").alias("link_id"), F.col("hour").cast("int").alias("hour"), F.bround("volume", 2).alias("volume"))
+    stats = wide.select(F.col("user_id").alias("LINK"), F.col("user_id").alias("FROM"), F.col("user_id").alias("TO"), F.lit(10.0).alias("FREESPEED"), F.lit(100.0).alias("CAPACITY"), *(F.col(str(h)).alias(f"HRS{h}-{h + 1}avg") for h in range(24)))
+    return link_volumes(stats).where("volume is not null").select(F.col("link_id").cast("long").alias("link_id"), "hour", F.bround("volume", 2).alias("volume"))
 
 
 @query("SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS x, CAST(s_suppkey AS DOUBLE) AS y FROM supplier")
 def geojson_roundtrip(spark, d):
-    from polisgrid.plans.rounds import Stored
+    from polisgrid.plans.rounds import shared_folder
     from polisgrid.sources import files
 
     s = i.table(spark, d, "supplier")
-    text = files.collection(s.select(files.feature_json(F.lit("Point"), F.array(F.col("s_nationkey").cast("double"), F.col("s_suppkey").cast("double")), F.struct(F.col("s_suppkey").alias("id"))).alias("f")), "f")
-    path = Stored(text.select("value")).path + "-text"
-    text.write.text(path)
-    back = files.read_geojson(spark, path)
+    features = s.select(files.feature_json(F.lit("Point"), F.array(F.col("s_nationkey").cast("double"), F.col("s_suppkey").cast("double")), F.struct(F.col("s_suppkey").alias("id"))).alias("f"))
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    files.write_features(features, "f", path)
+    back = files.read_geojson(spark, path, by_line=True)
     return back.select(F.get_json_object("properties", "$.id").cast("long").alias("id"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
 
 
@@ -757,17 +812,8 @@ def building_rollup(spark, d):
     return design.roll_up_buildings(b, s)
 
 
-@query("SELECT vertex, count(*) AS hits FROM (SELECT unnest([l_suppkey, l_suppkey + 1, l_suppkey + 2]) AS vertex FROM lineitem WHERE l_linenumber = 1) GROUP BY vertex")
-def vertex_hits(spark, d):
-    line = i.table(spark, d, "lineitem")
-    hits = line.where("l_linenumber = 1").select(F.col("l_suppkey").alias("tri"))
-    corners = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tri"), F.col("s_suppkey").alias("v0"), (F.col("s_suppkey") + 1).alias("v1"), (F.col("s_suppkey") + 2).alias("v2"))
-    return visibility.vertex_hits(hits, corners)
-
-
 @query("SELECT vertex, count(*) AS hits FROM (SELECT unnest([l_suppkey, l_suppkey + 1, l_suppkey + 2]) AS vertex FROM lineitem) GROUP BY vertex")
-def vertex_hits_all(spark, d):
-    """vertex_hits over every line number."""
+def vertex_hits(spark, d):
     hits = i.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tri"))
     corners = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tri"), F.col("s_suppkey").alias("v0"), (F.col("s_suppkey") + 1).alias("v1"), (F.col("s_suppkey") + 2).alias("v2"))
     return visibility.vertex_hits(hits, corners)
@@ -783,14 +829,8 @@ def connect_to_roads(spark, d):
     return network.connect(p, i.grid(spark, d).withColumnRenamed("id", "sid"), 4.0).select("pid", F.bround("dist", 6).alias("dist"))
 
 
-@query(i.walks_sql() + f" SELECT DISTINCT a.site AS source, b.site AS site FROM d5 JOIN (SELECT * FROM {_SITES} WHERE vertex < 5) a ON a.vertex = d5.source JOIN (SELECT * FROM {_SITES} WHERE vertex < 5) b ON b.vertex = d5.id WHERE dist <= 40")
-def entry_coverage(spark, d):
-    return network.entry_coverage(i.road_graph(spark, d), _sites(spark, d).where("vertex < 5").select("site", "vertex"), 40.0)
-
-
 @query(i.walks_sql() + f" SELECT DISTINCT a.site AS source, b.site AS site FROM d5 JOIN {_SITES} a ON a.vertex = d5.source JOIN {_SITES} b ON b.vertex = d5.id WHERE dist <= 40")
-def entry_coverage_all(spark, d):
-    """entry_coverage between the sites at every vertex."""
+def entry_coverage(spark, d):
     return network.entry_coverage(i.road_graph(spark, d), _sites(spark, d).select("site", "vertex"), 40.0)
 
 
@@ -815,7 +855,7 @@ def area_in_reach(spark, d):
     return spatial.radius_sum(v, _sides(spark, d)[1], 150.0, "area").select(F.col("lid").alias("vid"), F.bround("total", 3).alias("total"))
 
 
-@query()
+@query(_seen_sql(6.0) + ", r AS (SELECT vid % 5 AS road_id, coalesce(sum(area), 0) AS visible FROM v LEFT JOIN seen USING (vid) GROUP BY 1) SELECT road_id, round_even(visible, 6) AS visible, CASE WHEN visible = 0 THEN 999999::DOUBLE ELSE round_even(1 / visible, 6) END AS score FROM r")
 def road_views(spark, d):
     v, w = _scene(spark, d)
     seen = visibility.exposure_3d(v, w.select("tri", "p", "q", "r"), 6.0)
@@ -828,3 +868,6 @@ def junction_shares(spark, d):
     """The part of a square site nearest to each of its junctions."""
     j = i.targets(spark, d).select((F.col("tid") % 5).alias("site"), "tid", (F.col("tx") % 100 + 100).alias("x"), (F.col("ty") % 90 + 100).alias("y"))
     return network.junction_areas(j, [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0), (0.0, 200.0)]).select("site", "tid", F.bround("area", 3).alias("area"))
+
+
+from polisgrid.plans import queries_more  # noqa: E402, F401  registers its queries, too

@@ -7,26 +7,30 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="polisgrid-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
+
+
 class Stored:
-    """Rows written to the folder in spark.checkpoint.dir (a temporary one only where it is unset and the master is
-    local) and read again: a lost executor costs a read, and the plan stays short."""
+    """Rows written to the shared folder and read again: a lost executor costs a read, and the plan stays short."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not base:
-            if not self.spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            if not _LOCAL:
-                _LOCAL.append(tempfile.mkdtemp(prefix="polisgrid-"))
-                atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-            base = f"file://{_LOCAL[0]}"
-        self.path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/round-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 DEPTH = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
 
 
-def read_geojson(spark: SparkSession, path: str, places: int = 6) -> DataFrame:
-    """type, points, lines, polygons, properties of each feature of GeoJSON documents.
+def read_geojson(spark: SparkSession, path: str, places: int = 6, by_line: bool = False) -> DataFrame:
+    """type, points, lines, polygons, properties of each feature of GeoJSON documents: a file each, or, by_line, a line each,
+    so that a large file is read in parallel.
 
     points, lines and polygons hold the coordinates in one, two or three levels of arrays of (x, y, z); x and y are
     rounded. A feature without type or coordinates, or with another depth than its type has, raises.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "type string, features array<string>, geometry string, properties string, coordinates string").alias("d"), "value")
+    docs = spark.read.text(path, wholetext=not by_line).select(F.from_json("value", "type string, features array<string>, geometry string, properties string, coordinates string").alias("d"), "value")
     features = F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).when(F.col("d.type") == "Feature", F.array("value"))
     features = F.coalesce(features, F.array(F.concat(F.lit('{"type":"Feature","geometry":'), "value", F.lit(',"properties":{}}'))))
     one = docs.select(F.explode(features).alias("f")).select(F.from_json("f", "geometry string, properties string").alias("f"))
@@ -44,10 +45,27 @@ def read_geojson(spark: SparkSession, path: str, places: int = 6) -> DataFrame:
 
 
 def typed(properties: Column) -> Column:
-    """Attributes as a variant: numbers that fit are 32-bit integers, others doubles; objects and arrays stay nested."""
+    """Attributes as a variant, in which objects and arrays stay nested; see attribute for one of them by its type."""
     return F.parse_json(properties)
 
 
+def attribute(variant: Column, name: str) -> Column:
+    """One attribute as (kind, int_value, double_value, text): null, bool, string, table (an object) and array as they are, a
+    number as a 32-bit integer if it is one and fits, otherwise as a double. Another type raises."""
+    v = F.try_variant_get(variant, f"$.{name}", "variant")
+    sort = F.schema_of_variant(v)
+    whole = F.try_variant_get(variant, f"$.{name}", "int")
+    number = F.try_variant_get(variant, f"$.{name}", "double")
+    is_number = sort.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
+    fits = is_number & (whole.cast("double") == number) & sort.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL[(][0-9]+,0[)])$")
+    bad = F.raise_error(F.concat(F.lit("attribute of type "), sort)).cast("string")
+    kind = (
+        F.when(sort.isNull() | (sort == "VOID"), "null").when(sort == "BOOLEAN", "bool").when(sort == "STRING", "string").when(fits, "int").when(is_number, "double")
+        .when(sort.startswith("OBJECT"), "table").when(sort.startswith("ARRAY"), "array").otherwise(bad)
+    )
+    return F.struct(kind.alias("kind"), F.when(fits, whole).alias("int_value"), F.when(is_number, number).alias("double_value"), F.try_variant_get(variant, f"$.{name}", "string").alias("text"))
+
+
 def feature_json(geometry_type: Column, coordinates: Column, properties: Column) -> Column:
     """One GeoJSON feature as text."""
     geometry = F.struct(geometry_type.alias("type"), coordinates.alias("coordinates"))
@@ -83,6 +101,15 @@ def read_network(spark: SparkSession, path: str) -> DataFrame:
     return both.select(F.col("_id").alias("id"), F.transform(F.split("_modes", ","), lambda m: F.trim(m)).alias("modes"), *map(known, ("ax", "ay", "bx", "by")))
 
 
+def network_features(links: DataFrame, split: bool = False) -> DataFrame:
+    """id, value: a LineString feature of each link of read_network with its id and modes, as one text or, with split, as a
+    list."""
+    at = lambda x, y: F.array(F.col(x), F.col(y))
+    modes = F.col("modes") if split else F.array_join("modes", ",")
+    properties = F.struct(F.col("id"), modes.alias("modes"))
+    return links.select("id", feature_json(F.lit("LineString"), F.array(at("ax", "ay"), at("bx", "by")), properties).alias("value"))
+
+
 def read_link_stats(spark: SparkSession, path: str) -> DataFrame:
     """LINK, FROM, TO, FREESPEED, CAPACITY and the hourly averages, volumes before travel times, from tab-separated
     text, compressed or not. A missing column raises."""
@@ -133,8 +160,46 @@ def pipes(rows: DataFrame) -> DataFrame:
     return both.select("id", "from_id", "to_id", F.concat(F.array("a"), inner, F.array("b")).alias("pts"))
 
 
+def simplified(pipes_: DataFrame, tolerance: float) -> DataFrame:
+    """Pipes with lines simplified by 1000 times the tolerance (in metres, where places are in millimetres)."""
+    from polisgrid.operators.lines import simplify_lines
+
+    return simplify_lines(pipes_, tolerance * 1000)
+
+
+def elevated(pipes_: DataFrame, junctions_: DataFrame) -> DataFrame:
+    """Pipes with the elevations of their ends as za and zb; a reservoir or other node without one counts 0."""
+    z = junctions_.select("id", "elevation")
+    a, b = (z.select(F.col("id").alias(f"{s}_id"), F.col("elevation").alias(c)) for s, c in (("from", "za"), ("to", "zb")))
+    return pipes_.join(a, "from_id", "left").join(b, "to_id", "left").fillna(0.0, ["za", "zb"])
+
+
+def reservoirs(rows: DataFrame) -> DataFrame:
+    """id, x, y of reservoirs."""
+    f = F.col("fields")
+    c = rows.where("section = 'COORDINATES'").select(f[0].alias("id"), f[1].cast("double").alias("x"), f[2].cast("double").alias("y"))
+    return rows.where("section = 'RESERVOIRS'").select(f[0].alias("id")).join(c, "id")
+
+
+def read_blocks(spark: SparkSession, path: str, tag: str = "Block") -> DataFrame:
+    """function, e_lo, e_hi, w_lo, w_hi, g_lo, g_hi of the blocks in an XML of coefficients, with pairs as buildings have."""
+    return _pairs(spark, path, tag)
+
+
+def read_population(spark: SparkSession, path: str) -> DataFrame:
+    """type, floor_lo, floor_hi, per_person of population bands: elements with attributes Type, Layer (lo,hi) and the square
+    metres a person as their text or attribute Index."""
+    df = spark.read.format("xml").option("rowTag", "Population").schema("_Type int, _Layer string, _Index int, _VALUE string").load(path)
+    pair = F.split("_Layer", ",")
+    return df.select(F.col("_Type").alias("type"), pair[0].cast("int").alias("floor_lo"), pair[1].cast("int").alias("floor_hi"), F.coalesce("_Index", F.trim("_VALUE").cast("int")).alias("per_person"))
+
+
 def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
     """function, e_lo, e_hi, w_lo, w_hi, g_lo, g_hi from an XML of buildings with pairs like 0.02,0.05."""
-    df = spark.read.format("xml").option("rowTag", "Building").schema("_Type string, EConsumption string, WConsumption string, GConsumption string").load(path)
+    return _pairs(spark, path, "Building")
+
+
+def _pairs(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    df = spark.read.format("xml").option("rowTag", tag).schema("_Type string, EConsumption string, WConsumption string, GConsumption string").load(path)
     pair = lambda c, p: (F.split(c, ",")[0].cast("double").alias(f"{p}_lo"), F.split(c, ",")[1].cast("double").alias(f"{p}_hi"))
     return df.select(F.col("_Type").alias("function"), *pair("EConsumption", "e"), *pair("WConsumption", "w"), *pair("GConsumption", "g"))

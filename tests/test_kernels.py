@@ -161,7 +161,7 @@ def test_snap_is_one_hop(spark):
 
 
 def test_sun_is_lower_in_the_north(spark):
-    r = spark.range(1).select(*(design.sun_distance(F.lit(30.0), F.lit(lat), F.lit(lon)).alias(c) for c, (lon, lat) in design.CITIES.items())).first()
+    r = spark.range(1).select(*(design.sun_distance(F.lit(30.0), F.lit(lat), F.lit(lon), 8.0).alias(c) for c, (lon, lat) in design.CITIES.items())).first()
     assert 15 < r.ShenZhen < r.ShangHai < r.TianJin < r.BeiJing < 80
 
 
