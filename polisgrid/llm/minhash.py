@@ -39,7 +39,7 @@ class Plan:
     checked: int = 256
     checked_distance: int = 57
     percent: int = 85
-    block: int = 2048
+    block: int = 1024
 
     def cuts(self) -> list[int]:
         return [round(k * self.symbols / self.chunks) for k in range(self.chunks + 1)]
@@ -264,25 +264,28 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = Table(_sketch(rows, plan), "sketch")
     full = sketch.df.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("sig", "doc_id").alias("sig"))
-    # One set for each id: the first by its prints, should several texts share a doc_id.
-    reps = Table(classes, "reps")
-    one = Table(reps.df.groupBy("id").agg(F.min_by(F.struct("sig", "copies"), F.struct("p1", "p2")).alias("v")).select("id", "v.sig", "v.copies"), "signatures")
+    reps = Table(full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id")), "reps")
+    # One signature for each id: the first by its prints, should several texts share a doc_id.
+    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    one = Table(classes.groupBy("id").agg(F.min_by(F.struct("sig", "copies"), F.struct("p1", "p2")).alias("v")).select("id", "v.sig", "v.copies"), "signatures")
+    own = Table(sketch.df.select("doc_id", "n_shingles", "p1", "p2"), "prints")
+    sketch.drop()
     keys = _keys(one.df, plan)
-    centres = [F.max_by("id", F.struct("copies", -F.col("id"))).alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2))]
-    least = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n"), *centres).where("x < y")
-    parts = F.ceil(F.col("n") / plan.block).cast("long").alias("parts")
-    shared = Table(keys.select("key", "j", "id").join(least.select("key", parts, F.array_distinct(F.array("c0", "c1", "c2")).alias("centres")), "key"), "keys")
+    several = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("x < y")
+    shared = Table(keys.join(several.select("key", F.ceil(F.col("n") / plan.block).cast("long").alias("parts")), "key"), "keys")
+    firsts = [F.max_by("id", F.struct("copies", -F.col("id"))).alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2))]
+    centres = shared.df.groupBy("key").agg(*firsts).select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
     candidates = shared.df.select("id").distinct()
     texts = _sets(rows.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
     sets = Table(texts.groupBy("id").agg(F.min_by("set", F.struct("p1", "p2")).alias("set")), "sets")
     # Each member of a key against its centres; a centre with many members is copied to several parts.
-    to = shared.df.select("id", "parts", F.explode("centres").alias("c"))
+    to = shared.df.join(centres, "key").select("id", "parts", F.explode("centres").alias("c"))
     hubs = Table(to.where("parts > 1").groupBy(F.col("c").alias("id")).agg(F.max("parts").alias("parts")), "hubs")
     ends = to.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.struct("parts", F.col("c").alias("hub")).alias("at"))
     stars = Table(ends.groupBy("a", "b").agg(F.max("at").alias("at")).select("a", "b", "at.hub", "at.parts"), "stars")
     close = Table(_within(_met(stars.df, one.df, hubs.df, "sig"), plan), "close")
     found = Table(_linked(close.df.join(stars.df, ["a", "b"]), sets.df, hubs.df, plan.percent), "links")
+    close.drop()
     roots = components(found.df)
     # Keys whose members are still in several components.
     comp = shared.df.select("key", "j", "id").join(roots.df, "id", "left").select("key", "j", "id", F.coalesce("root", "id").alias("comp"))
@@ -296,11 +299,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     more = Table(_linked(rest, sets.df, hubs.df.limit(0), plan.percent), "links")
     last = components(found.df.union(more.df))
     groups = reps.df.join(last.df, "id", "left").select("p1", "p2", F.coalesce("root", "id").alias("component_id"))
-    own = sketch.df.select("doc_id", "n_shingles", "p1", "p2")
-    searched = own.where("n_shingles > 0 and doc_id is not null").join(groups, ["p1", "p2"]).select("doc_id", "n_shingles", "component_id")
-    alone = own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    searched = own.df.where("n_shingles > 0 and doc_id is not null").join(groups, ["p1", "p2"]).select("doc_id", "n_shingles", "component_id")
+    alone = own.df.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = Table(searched.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    for table in (sketch, reps, one, shared, sets, hubs, stars, close, found, roots, more, last):
+    for table in (reps, one, own, shared, sets, hubs, stars, found, roots, more, last):
         table.drop()
     return out.df
 
