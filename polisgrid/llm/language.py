@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polisgrid.llm.shared import fitting
 from polisgrid.llm.textcore import Memo, hash_runs, mix, ragged, text_slices, words
 from polisgrid.llm.toxicity import crc_fold, lowered
 
@@ -26,6 +27,7 @@ _SEGMENT = 128
 @dataclasses.dataclass(frozen=True)
 class Plan:
     documents: int = 3_000  # to learn from, at most: the smallest by hash
+    bytes: int = 16 << 20  # of their texts, at most: what would exceed it is passed over
     piece: int = 30  # words of a training piece
     width: int = 1 << 16
     epochs: int = 4
@@ -219,8 +221,9 @@ def languages(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = docs.where("lang is not null and text is not null and length(text) > 0").where(crc_fold("doc_id", plan.folds) != plan.test_fold)
     drawn = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(plan.documents)  # bounded by plan.documents
-    known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    sample = known.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "text", "lang").limit(plan.documents).collect()
+    known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    fit = fitting(known.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id"), plan.bytes)
+    sample = [] if fit is None else fit.orderBy(F.xxhash64("doc_id"), "text", "lang").collect()
     model = None
     if sample:
         made = train([r["text"] for r in sample], [r["lang"] for r in sample], plan)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -54,3 +55,20 @@ class Table:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fitting(sample: DataFrame, most: int) -> DataFrame | None:
+    """Of the rows of a bounded sample (doc_id, text), those of the documents that fit in so many bytes of text, the
+    smallest by hash first; a document that would exceed them is passed over. None if there is no row.
+
+    Only ids and sizes come to the driver.
+    """
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids, total = [], 0
+    for doc_id, size in sizes:
+        if total + size <= most:
+            ids.append((doc_id,))
+            total += size
+    if not ids:
+        return None
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi")

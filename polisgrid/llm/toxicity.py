@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polisgrid.llm.textcore import LOWER, SPACE, Memo, hash_runs, ragged, text_slices, words
+from polisgrid.llm.minhash import shingles
+from polisgrid.llm.shared import Table, fitting
+from polisgrid.llm.textcore import LOWER, SPACE, Memo, hash_runs, mix, ragged, text_slices, words
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -30,6 +32,7 @@ _WINDOW = 32
 @dataclasses.dataclass(frozen=True)
 class Plan:
     documents: int = 12_000  # labelled documents to learn from, at most: the smallest by hash
+    bytes: int = 64 << 20  # of their texts, at most: what would exceed it is passed over
     held: int = 3  # toxic documents that hold a landmark, at least
     evidence: float = 2.6  # standard errors of its log odds
     clear: float = 3.3  # standard errors from which on every word is a landmark
@@ -217,57 +220,61 @@ def _batches(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, rows: np.nd
         yield part, _table(data, starts[part], lens[part], int(lens[part].max()), -1)
 
 
-def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode() for t in texts]
-    return lowered(np.frombuffer(b"".join(raw), np.uint8)), np.append(0, np.cumsum([len(x) for x in raw]))
-
-
-def _parts(texts: list[str | None], n: int = 400) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts some at a time, so that what is held beside them is bounded."""
-    for at in range(0, len(texts), n):
-        yield (at, *_flat(texts[at : at + n]))
-
-
-def choose(texts: list[str | None], labels: np.ndarray, plan: Plan) -> list[bytes]:
-    """Words that tell the labels apart, best first, each unlike those before it and commoner in toxic documents.
+def tally(low: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Per distinct word of four letters or more: its hash, the documents of label 0 that hold it, and an example's spelling;
+    and pairs (word number, document) of those of label 1."""
+    data, starts, lens, doc, _ = units(low, offsets)
+    ok = lens >= 4
+    starts, lens, doc = starts[ok], lens[ok], doc[ok]
+    hashes = hash_runs(data, starts, lens)
+    order = np.lexsort((doc, hashes))
+    h, d = hashes[order], doc[order]
+    new = np.append(np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+    h, d, first = h[new], d[new], order[new]
+    own, at, back = np.unique(h, return_index=True, return_inverse=True)
+    toxic = labels[d] == 1
+    raw = data.tobytes()
+    spelled = [raw[starts[k] : starts[k] + lens[k]] for k in first[at].tolist()]
+    return own, np.bincount(back, ~toxic, len(own)).astype(np.int64), back[toxic], d[toxic], spelled
+
+
+def kin(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number of each document that near copies mostly share: of two least hashes of its shingles. A word that only one
+    text and its copies hold is thus evidence once."""
+    sets, counts = shingles(low, offsets)
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        starts = (np.cumsum(counts) - counts)[full]
+        with np.errstate(over="ignore"):
+            for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                out[full] = mix(out[full] * np.uint64(31) + np.minimum.reduceat(mix(sets ^ np.uint64(salt)), starts))
+    return out.view(np.int64)
+
+
+def pick(found: list[tuple[bytes, int, int, list[int]]], n1: int, n0: int, plan: Plan) -> list[bytes]:
+    """Landmarks from (word, texts of label 1 and documents of label 0 with it, those of label 1 by number), best first, each
+    unlike those before it.
 
     All words of clear evidence are taken, and of the others those that toxic documents with few landmarks hold, so
     that the words of a language with few documents are among them.
     """
-    found, sides, owners, spelled = [], [], [], {}
-    for at, low, offsets in _parts(texts):
-        data, starts, lens, doc, _ = units(low, offsets)
-        ok = lens >= 4
-        starts, lens, doc = starts[ok], lens[ok], doc[ok]
-        hashes = hash_runs(data, starts, lens)
-        own, first = np.unique(np.column_stack([hashes, doc.astype(np.uint64)]), axis=0, return_index=True)
-        side = labels[at + doc[first]]
-        found.append(own[:, 0])
-        sides.append(side)
-        owners.append(at + doc[first])
-        raw = data.tobytes()
-        for h, k in zip(own[side == 1, 0].tolist(), first[side == 1].tolist(), strict=True):
-            spelled.setdefault(h, raw[starts[k] : starts[k] + lens[k]])
-    hashes, back = np.unique(np.concatenate(found), return_inverse=True)
-    side, owner = np.concatenate(sides), np.concatenate(owners)
-    pos, neg = np.bincount(back, side == 1, len(hashes)), np.bincount(back, side == 0, len(hashes))
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    gain = (np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0)) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    order = np.argsort(-gain, kind="stable")
-    order = order[((pos >= plan.held) & (pos > neg) & (gain >= plan.evidence))[order]]
-    # Best first; a word of less than clear evidence is left out if all its toxic documents hold plan.cover better ones.
-    mine = np.flatnonzero(side == 1)
-    mine = mine[np.argsort(back[mine], kind="stable")]
-    held, ends = owner[mine], np.searchsorted(back[mine], np.arange(len(hashes) + 1))
-    depth, useful = np.zeros(len(labels), np.int64), []
-    for k in order.tolist():
-        docs = held[ends[k] : ends[k + 1]]
-        if gain[k] >= plan.clear or (depth[docs] < plan.cover).any():
-            depth[docs] += 1
-            useful.append(spelled[int(hashes[k])])
+    rated = sorted(((-float(evidence(p, n, n1, n0)), w, docs) for w, p, n, docs in found if p >= plan.held and p > n), key=lambda x: x[:2])
+    depth: dict[int, int] = {}
+    useful = []
+    for gain, word, docs in rated:
+        if -gain >= plan.clear or -gain >= plan.evidence and any(depth.get(d, 0) < plan.cover for d in docs):
+            for d in docs:
+                depth[d] = depth.get(d, 0) + 1
+            useful.append(word)
     return _unlike(useful, plan) or [b"----"]
 
 
+def evidence(pos, neg, n1: int, n0: int):
+    """Log odds of the labels in documents with a word, in standard errors."""
+    return (np.log((pos + 0.5) / max(1, n1)) - np.log((neg + 0.5) / max(1, n0))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
 def _unlike(words: list[bytes], plan: Plan) -> list[bytes]:
     """The words whose kernel with all words taken before them is below plan.alike."""
     out: list[bytes] = []
@@ -305,33 +312,132 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return w
 
 
-def train(texts: list[str | None], labels: np.ndarray, plan: Plan) -> tuple[Landmarks, np.ndarray, np.ndarray]:
-    """Landmarks, sentence weights, document weights."""
-    marks = Landmarks(choose(texts, labels, plan), plan)
-    parts = [(at, *marks.sparse(low, offsets)) for at, low, offsets in _parts(texts)]  # dense, some at a time, only where used
-    doc, totals = np.concatenate([p[4] + p[0] for p in parts]), np.concatenate([p[5] for p in parts])
+def fit(marks: Landmarks, parts: list[tuple], labels: np.ndarray, totals: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence weights and document weights. parts: (sentence, landmark, kernel) of words near a landmark and the
+    documents of the sentences, some documents at a time; dense features are made only for one part."""
     wide = len(marks.found) + 1
     weights = np.zeros(wide)
-    if len(doc) and 0 < labels.mean() < 1:
-        n1 = int((labels[doc] == 1).sum())
-        share = {1: 0.5 / max(1, n1), 0: 0.5 / max(1, len(doc) - n1)}
-        ridge = np.diag(np.append(np.full(wide - 1, plan.penalty), 1e-9))
-        for _ in range(plan.rounds):  # of the squared hinge loss
-            square, right = ridge.copy(), np.zeros(wide)
-            for at, row, mark, value, own, _ in parts:
-                x = np.column_stack([marks.dense(row, mark, value, len(own)), np.ones(len(own))])
-                side = labels[own + at]
-                sign = np.where(side == 1, 1.0, -1.0)
-                on = sign * (x @ weights) < 1
-                x, each = x[on], np.where(side == 1, share[1], share[0])[on]
-                square += (x * each[:, None]).T @ x
-                right += x.T @ (each * sign[on])
-            before, weights = weights, np.linalg.solve(square, right)
-            if np.abs(weights - before).max() < 1e-7:
-                break
-    margins = np.concatenate([marks.dense(row, mark, value, len(own)) @ weights[:-1] for _, row, mark, value, own, _ in parts]) + weights[-1]
-    shape = _summary(margins, doc, totals)
-    return marks, weights, logistic(shape, labels.astype(float))
+    doc = np.concatenate([p[3] for p in parts])
+    n1 = int((labels[doc] == 1).sum())
+    share = {1: 0.5 / max(1, n1), 0: 0.5 / max(1, len(doc) - n1)}
+    ridge = np.diag(np.append(np.full(wide - 1, plan.penalty), 1e-9))
+    for _ in range(plan.rounds if len(doc) else 0):  # of the squared hinge loss
+        square, right = ridge.copy(), np.zeros(wide)
+        for row, mark, value, own in parts:
+            x = np.column_stack([marks.dense(row, mark, value, len(own)), np.ones(len(own))])
+            side = labels[own]
+            sign = np.where(side == 1, 1.0, -1.0)
+            on = sign * (x @ weights) < 1
+            x, each = x[on], np.where(side == 1, share[1], share[0])[on]
+            square += (x * each[:, None]).T @ x
+            right += x.T @ (each * sign[on])
+        before, weights = weights, np.linalg.solve(square, right)
+        if np.abs(weights - before).max() < 1e-7:
+            break
+    margins = np.concatenate([marks.dense(row, mark, value, len(own)) @ weights[:-1] for row, mark, value, own in parts]) + weights[-1]
+    return weights, logistic(_summary(margins, doc, totals), labels.astype(float))
+
+
+def learn(sample: DataFrame, plan: Plan) -> tuple[Landmarks, np.ndarray, np.ndarray] | float:
+    """Landmarks, sentence weights and document weights from rows (n, kin, text, toxic), n being distinct; the share of label
+    1 if there is only one label. Words are counted and compared in the tasks, each distinct word once; the driver gets
+    the words of some evidence, and of each document the few words near a landmark."""
+    sizes = {r[0]: (r[1], r[2]) for r in sample.groupBy("toxic").agg(F.count("*"), F.count_distinct("kin")).collect()}
+    if len(sizes) < 2:
+        return float(1 in sizes)
+    n1, n0 = sizes[1][1], sizes[0][0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "text"):
+                hashes, neg, word, doc, spelled = tally(lowered(data), offsets, rows.column(2).to_numpy())
+                order = np.argsort(word, kind="stable")
+                docs = rows.column(0).to_numpy()[doc[order]]
+                ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(hashes))))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(docs))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(neg), lists, pa.array(spelled, pa.binary())], names=["h", "neg", "docs", "word"])
+
+    words_ = sample.select("kin", "text", "toxic").mapInArrow(count, "h long, neg long, docs array<long>, word binary")
+    words_ = words_.groupBy("h").agg(F.sum("neg").alias("neg"), F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"), F.max("word").alias("word"))
+    words_ = words_.withColumn("pos", F.size("docs"))
+    p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
+    gain = (F.log(p / n1) - F.log(q / n0)) / F.sqrt(1 / p + 1 / q)
+    words_ = words_.where((F.col("pos") >= plan.held) & (F.col("pos") > F.col("neg")) & (gain >= plan.evidence - 1e-6))
+    found = sorted((bytes(r["word"]), r["pos"], r["neg"], sorted(r["docs"])) for r in words_.collect())
+    marks = Landmarks(pick(found, n1, n0, plan), plan)
+    spelled = tuple(marks.found)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _landmarks(spelled, plan)
+        for batch in batches:
+            words_of = batch.column(1).to_pylist()
+            if not words_of:
+                continue
+            lens = np.array([len(x) for x in words_of])
+            pool, counts = own.near(np.frombuffer(b"".join(words_of), np.uint8), np.cumsum(lens) - lens, lens)
+            on = np.flatnonzero(counts)
+            ends = np.append(0, np.cumsum(counts))
+            lists = [pool[ends[k] : ends[k + 1]].astype("<f4").tobytes() for k in on]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on)), pa.array(lists, pa.binary())], names=["h", "near"])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_slices(batch, "text"):
+                flat, starts, lens, _, _ = units(lowered(data), offsets)
+                h, first = np.unique(hash_runs(flat, starts, lens), return_index=True)
+                raw = flat.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([raw[starts[k] : starts[k] + lens[k]] for k in first.tolist()], pa.binary())], names=["h", "word"])
+
+    vocabulary = sample.select("text").mapInArrow(distinct, "h long, word binary").groupBy("h").agg(F.min("word").alias("word"))
+    held = vocabulary.mapInArrow(near, "h long, near binary").collect()  # words of the bounded sample that are near a landmark
+    hashes = np.array([r["h"] for r in held], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    lists = [np.frombuffer(held[k]["near"], "<f4") for k in order]
+    known = sample.sparkSession.sparkContext.broadcast((hashes[order], np.concatenate([np.zeros(0, "<f4"), *lists]), np.array([len(x) for x in lists], np.int64)))
+    del held, lists
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, pool, counts = known.value
+        starts_of = np.cumsum(counts) - counts
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "text"):
+                flat, starts, lens, doc, sentence = units(lowered(data), offsets)
+                n = len(offsets) - 1
+                h = hash_runs(flat, starts, lens)
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                hit = np.flatnonzero(keys[at] == h) if len(keys) else np.zeros(0, np.int64)
+                spot = at[hit]
+                own = ragged(pool, starts_of[spot], counts[spot])
+                key, back = np.unique(np.column_stack([doc[hit], sentence[hit]]), axis=0, return_inverse=True)
+                first = np.searchsorted(key[:, 0], np.arange(n + 1))
+                row = (np.repeat(back.reshape(-1), counts[spot]) - np.repeat(first[doc[hit]], counts[spot])).astype("<i4")
+                cut = np.searchsorted(np.repeat(doc[hit], counts[spot]), np.arange(n + 1))
+                lists = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (row, own.astype("<f4"))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.bincount(doc, minlength=n)), pa.array(np.diff(first)), *lists], names=["n", "toxic", "words", "sentences", "row", "near"])
+
+    rows = sample.select("n", "text", "toxic").mapInArrow(sentences, "n long, toxic int, words long, sentences long, row binary, near binary").orderBy("n").collect()
+    parts = []
+    labels, totals = (np.array([r[c] for r in rows], np.int64) for c in ("toxic", "words"))
+    for at in range(0, len(rows), 100):
+        some = rows[at : at + 100]
+        before = np.cumsum([0, *(r["sentences"] for r in some)])
+        row = np.concatenate([np.frombuffer(r["row"], "<i4") + np.int32(b) for r, b in zip(some, before, strict=False)])
+        values = np.concatenate([np.frombuffer(r["near"], "<f4") for r in some])
+        parts.append((row, values.astype(np.int16), (values % 1) / np.float32(0.999), np.repeat(at + np.arange(len(some), dtype=np.int32), np.diff(before))))
+    del rows
+    return marks, *fit(marks, parts, labels, totals, plan)
+
+
+def _with_kin(sample: DataFrame) -> DataFrame:
+    """n, text, toxic and kin of a sample; a text without words is its own kin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "text"):
+                found = kin(lowered(data), offsets)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.where(found == 0, rows.column(0).to_numpy(), found))], names=["n", "text", "toxic", "kin"])
+
+    return sample.mapInArrow(run, "n long, text string, toxic int, kin long")
 
 
 def crc_fold(column: str, folds: int):
@@ -342,21 +448,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFra
     """doc_id, held_out, score, predicted of every row of doc_id, text.
 
     labels has doc_id and toxic (0 or 1; other values and nulls are left out; a document labelled twice counts
-    twice). Null and empty texts get the score of a text without any word. Without labels of both kinds all scores are
-    the share of label 1, or 0. Empty table: no row. Repeated rows give repeated rows.
+    twice). Null and empty texts get the score of a text without any word; texts of any length are taken whole. Without
+    labels of both kinds all scores are 1 or 0, the share of label 1. Empty table: no row. Repeated rows give repeated
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(crc_fold("doc_id", plan.folds) != plan.test_fold)
     # Bounded by plan.documents; the hash spreads the draw over all.
     drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(plan.documents)
-    known = rows.join(F.broadcast(drawn), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").limit(plan.documents).collect()
-    found = np.array([r["toxic"] for r in known], np.int64)
-    model = None
-    share = float(found.mean()) if len(found) else 0.0
-    if 0 < share < 1:
-        marks, weights, last = train([r["text"] for r in known], found, plan)
-        model = spark.sparkContext.broadcast((marks.found, weights, last))  # landmarks and weights only
+    known = fitting(rows.join(F.broadcast(drawn), "doc_id"), plan.bytes)
+    model, share = None, 0.0
+    if known is not None:
+        sample = Table(_with_kin(known.select(F.monotonically_increasing_id().alias("n"), "text", "toxic")), "sample")
+        made = learn(sample.df, plan)
+        sample.drop()
+        if isinstance(made, float):
+            share = made
+        else:
+            model = spark.sparkContext.broadcast((made[0].found, *made[1:]))  # landmarks and weights only
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,7 +171,8 @@ def test_landmarks_of_a_small_language():
     insults = ["".join(rng.choice(list("abcdefghijklm"), 8)) for _ in range(70)]  # of the large language
     texts = [" ".join(["plain", *rng.choice(insults, 15)]) for _ in range(300)] + ["nada zorvuqy"] * 6 + ["plain words"] * 1500 + ["nada otras"] * 500
     labels = np.repeat([1, 0], [306, 2000])
-    _, counts, word, doc, spelled = toxicity.tally(*flat(texts), labels)
+    _, neg, word, doc, spelled = toxicity.tally(*flat(texts), labels)
+    counts = np.column_stack([np.bincount(word, minlength=len(neg)), neg])
     assert {w: tuple(c) for w, c in zip(spelled, counts.tolist(), strict=True)} == {w.encode(): tuple(sum(w in t.split() for t, y in zip(texts, labels, strict=True) if y == k) for k in (1, 0)) for w in {w for t in texts for w in t.split()}}
     plan = toxicity.Plan()
     held = [(w, *c, doc[word == k].tolist()) for k, (w, c) in enumerate(zip(spelled, counts.tolist(), strict=True))]
@@ -185,6 +186,12 @@ def test_landmarks_of_a_small_language():
     assert (score >= plan.threshold).tolist() == [True, False, True]
 
 
+def test_copies_are_kin():
+    base = " ".join(f"word{k}" for k in range(200))
+    found = toxicity.kin(*flat([base, base, base + " end", "quite another text with words of its own", None, "two words"]))
+    assert found[0] == found[1] == found[2] and len(set(found.tolist())) == 4 and found[4] == 0
+
+
 def test_forward_backward_in_segments():
     rng = np.random.default_rng(2)
     model = language.Model(["a", "b", "c"], rng.normal(size=(1 << 10, 3)).astype(np.float32), rng.normal(size=(3, 3)), 1 << 10)
