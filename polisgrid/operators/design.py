@@ -269,8 +269,20 @@ def halve(ring: Ring, share: float) -> tuple[Ring, Ring]:
     return cut(ring, ux, uy, (low + high) / 2)
 
 
-def split_ring(ring: Ring, shares: list[float]) -> list[tuple[int, Ring]]:
-    """(number of share, part): shares, largest first, are halved into groups and the ring cut accordingly."""
+def halve_box(ring: Ring, share: float) -> tuple[Ring, Ring]:
+    """A convex ring cut across its longest direction where its box has the share: no search, and areas only near it."""
+    a, b = max(((p, q) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)), key=lambda e: (math.dist(*e), e))
+    size = math.dist(a, b)
+    ux, uy = (b[0] - a[0]) / size, (b[1] - a[1]) / size
+    along, across = [ux * x + uy * y for x, y in ring], [-uy * x + ux * y for x, y in ring]
+    if max(across) - min(across) > max(along) - min(along):
+        ux, uy, along = -uy, ux, across
+    return cut(ring, ux, uy, min(along) + share * (max(along) - min(along)))
+
+
+def split_ring(ring: Ring, shares: list[float], halve=halve) -> list[tuple[int, Ring]]:
+    """(number of share, part): shares, largest first, are halved into groups and the ring cut accordingly, by halve exactly or
+    by halve_box nearly."""
     order = sorted(range(len(shares)), key=lambda k: (-shares[k], k))
 
     def go(part: Ring, who: list[int]) -> list[tuple[int, Ring]]:
@@ -299,6 +311,102 @@ def split_sites(sites: DataFrame) -> DataFrame:
     return sites.mapInPandas(run, "site_id long, k int, area double, shell array<struct<x:double,y:double>>")
 
 
+def place_trees(sites: DataFrame, share: float = 0.3) -> DataFrame:
+    """site_id, n, x, y, radius: the trees of sites (site_id, shell: a convex open ring) in the middle of their own parts. The
+    ring is split into a part for each canopy and one for the free land beside it."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                ring = [(p["x"], p["y"]) for p in r.shell]
+                left, radii = abs(ring_area(ring)) * share, []
+                while left > 1e-9:
+                    radii.append(TREE_CANOPIES[len(radii) % len(TREE_CANOPIES)] / 2)
+                    left -= math.pi * radii[-1] ** 2
+                if not radii:
+                    continue
+                parts = split_ring(ring, [a for q in radii for a in (math.pi * q * q, math.pi * q * q * (1 - share) / share)])
+                for n, (_, part) in enumerate(parts[::2]):
+                    out.append((r.site_id, n, sum(p[0] for p in part) / len(part), sum(p[1] for p in part) / len(part), radii[n]))
+            yield pd.DataFrame(out, columns=["site_id", "n", "x", "y", "radius"])
+
+    return sites.select("site_id", "shell").mapInPandas(run, "site_id long, n long, x double, y double, radius double")
+
+
+def courtyards(sites: DataFrame, seed: int = 0) -> DataFrame:
+    """site_id, k, shell: the strips of courtyard_strips cut out of sites (site_id, shell: a convex open ring; width of the box;
+    u0 and turn: where it begins in its direction, and that direction)."""
+    strips = courtyard_strips(sites.select("site_id", "width"), seed).join(sites.select("site_id", "shell", "u0", "turn"), "site_id")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                c, s = math.cos(r.turn), math.sin(r.turn)
+                part = cut(cut([(p["x"], p["y"]) for p in r.shell], c, s, r.u0 + r.x1)[0], c, s, r.u0 + r.x0)[1]
+                if len(part) > 2:
+                    out.append((r.site_id, r.k, [{"x": x, "y": y} for x, y in part]))
+            yield pd.DataFrame(out, columns=["site_id", "k", "shell"])
+
+    return strips.mapInPandas(run, "site_id long, k long, shell array<struct<x:double,y:double>>")
+
+
+def refined(sites: DataFrame, setback_area: Column) -> DataFrame:
+    """Sites (site_id, area, density, far, mix, kind) with the number of their parts, and density and floor-area ratio by the area
+    within the setback, which their buildings have to stand on."""
+    largest, coefficient = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for kind in MAX_AREA:
+        largest = F.when(F.col("kind") == kind, F.lit(MAX_AREA[kind])).otherwise(largest)
+        coefficient = F.when(F.col("kind") == kind, F.lit(MIX_COEFFICIENT[kind])).otherwise(coefficient)
+    grow = F.try_divide(F.col("area"), setback_area)
+    return sites.withColumns({"parts": refine_count(F.col("area"), largest, F.col("mix"), coefficient), "density": F.least(F.col("density") * grow, F.lit(1.0)), "far": F.col("far") * grow})
+
+
+# --- numbers -----------------------------------------------------------------------------------------------------
+
+
+def bisect(f, low: float, high: float, tolerance: float = 1e-9, most: int = 200) -> float:
+    """A root of f between two places where its signs differ."""
+    a, b = f(low), f(high)
+    if a * b > 0:
+        raise ValueError("the signs do not differ")
+    for _ in range(most):
+        mid = (low + high) / 2
+        m = f(mid)
+        if m == 0 or high - low < tolerance:
+            return mid
+        low, high, a = (mid, high, m) if (m > 0) == (a > 0) else (low, mid, a)
+    return (low + high) / 2
+
+
+def newton(f, slope, start: float, tolerance: float = 1e-12, most: int = 100) -> float:
+    """A root of f from its slope; raises if the steps do not settle."""
+    x = start
+    for _ in range(most):
+        step = f(x) / slope(x)
+        x -= step
+        if abs(step) < tolerance:
+            return x
+    raise ValueError("no root was found")
+
+
+def quadratic(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
+    """Roots of a x^2 + b x + c, the smaller first; null where there is none. A root of a line comes twice."""
+    gap = b * b - a * c * 4
+    root = F.when(gap >= 0, F.sqrt(F.greatest(gap, F.lit(0.0))))
+    line = F.try_divide(-c, b)
+    x, y = F.try_divide(-b - root, a * 2), F.try_divide(-b + root, a * 2)
+    both = x.isNotNull() & y.isNotNull()  # least and greatest pass over nulls
+    return F.when(a == 0, line).when(both, F.least(x, y)), F.when(a == 0, line).when(both, F.greatest(x, y))
+
+
+def parabola(p: tuple[float, float], q: tuple[float, float], r: tuple[float, float]) -> tuple[float, float, float]:
+    """a, b, c of y = a x^2 + b x + c through three points of different x."""
+    a, b, c = np.linalg.solve(np.array([[x * x, x, 1.0] for x, _ in (p, q, r)]), np.array([y for _, y in (p, q, r)]))
+    return float(a), float(b), float(c)
+
+
 def trees(sites: DataFrame, share: Column) -> DataFrame:
     """site_id, n, radius: canopies of cycling sizes until they cover the share of a site's area. The sizes of a whole
     cycle have a fixed area, so the number follows without a loop."""

@@ -323,6 +323,29 @@ def centrality(vertices: DataFrame, edges: DataFrame, limit: float = float("inf"
     return part.groupBy("id").agg(F.sum("total_depth").alias("total_depth"), F.sum("reached").alias("reached"), F.sum("choice").alias("choice"))
 
 
+def depth_first(edges: DataFrame, source: int) -> DataFrame:
+    """id, n: the vertices reached from the source in the order of a depth-first walk that goes to the smallest neighbour
+    first. The order depends on each step before, so one task walks; the graph's bytes are checked first."""
+    own = edges.select("src", "dst").distinct()
+    m = own.count()
+    if 16 * m > BYTES_HELD:
+        raise ValueError(f"a graph of {m} edges takes {16 * m} bytes; a task holds {BYTES_HELD}. Use levels, which is distributed")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = {k: sorted(v) for k, v in pdf.groupby("src")["dst"]}
+        seen, out, stack = set(), [], [source]
+        while stack:
+            v = stack.pop()
+            if v in seen:
+                continue
+            seen.add(v)
+            out.append((v, len(out)))
+            stack += [u for u in reversed(near.get(v, [])) if u not in seen]
+        return pd.DataFrame(out, columns=["id", "n"])
+
+    return own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "id long, n long")
+
+
 def measures(c: DataFrame, missing: float = 0.0) -> DataFrame:
     """Integration, mean depth, NAIN and NACH from total_depth, reached, choice; missing where the depth is 0."""
     n, td = F.col("reached").cast("double"), F.col("total_depth")

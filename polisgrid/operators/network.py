@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polisgrid.functions.geom import point_to_segment
-from polisgrid.operators.graph import shortest_paths
+from polisgrid.operators.graph import path_to, shortest_paths
 from polisgrid.operators.planning import power_regression
 
 
@@ -82,6 +83,19 @@ def nearest_source(paths: DataFrame) -> DataFrame:
     return paths.groupBy("id").agg(F.min(F.struct("dist", "source")).alias("m")).select("id", "m.source", "m.dist")
 
 
+def water_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """junction, source, pipes: of each vertex that some source reaches, the edges (src, dst as structs a < b) on the path from
+    the nearest source, ties going to the smallest one."""
+    reached = shortest_paths(edges, sources)
+    near = nearest_source(reached)
+    own = reached.join(near.select("id", "source"), ["id", "source"]).select("source", "id", "dist", "prev", "hops")
+    # The path of the nearest source runs through vertices that are nearest to it, too, so their own rows make it up.
+    steps = path_to(own, own.select("id").distinct())
+    back = own.select("source", "id", "prev").where("prev is not null")
+    pipes_ = steps.join(back, ["source", "id"]).select("source", F.col("target").alias("junction"), F.struct(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b")).alias("pipe"))
+    return pipes_.groupBy("junction", "source").agg(F.collect_set("pipe").alias("pipes"))
+
+
 def pipe_flow(paths: DataFrame, demand: DataFrame) -> DataFrame:
     """pipe, flow: the sum of the demands (junction, demand) of all junctions whose path (junction, pipes) uses it."""
     return paths.join(demand, "junction").select(F.explode("pipes").alias("pipe"), "demand").groupBy("pipe").agg(F.sum("demand").alias("flow"))
@@ -143,6 +157,49 @@ def voronoi_shares(ring: list[tuple[float, float]], centres: list[tuple[float, f
     return out
 
 
+def junction_demand(sites: DataFrame, junctions: DataFrame) -> DataFrame:
+    """tid, demand: a site's demand (site, shell: an open simple ring, demand) dealt over its junctions (site, tid, x, y) by the
+    part of its area that is nearest to each; a junction adds up what it gets from all sites."""
+
+    def run(key, own, ends):
+        if not len(own) or not len(ends):
+            return pd.DataFrame({"tid": [], "demand": []})
+        ends = ends.sort_values("tid")
+        ring = [(p["x"], p["y"]) for p in own["shell"].iloc[0]]
+        shares = voronoi_shares(ring, list(zip(ends["x"], ends["y"], strict=True)))
+        whole = sum(shares)
+        return pd.DataFrame({"tid": ends["tid"], "demand": [own["demand"].iloc[0] * s / whole if whole else 0.0 for s in shares]})
+
+    other = junctions.select(F.col("site").alias("_site"), "tid", "x", "y")
+    return sites.groupBy("site").cogroup(other.groupBy("_site")).applyInPandas(run, "tid long, demand double").groupBy("tid").agg(F.sum("demand").alias("demand"))
+
+
+def connect_sites(sites: DataFrame, roads: DataFrame, cell: float) -> DataFrame:
+    """site, k, x, y, rx, ry, road: connections of sites (site, shell: a closed ring) to the nearest places of roads (road, ax, ay,
+    bx, by) within `cell`, from the middles of the four edges of the site's box. Those that cross another site's outline go;
+    a site that keeps none gets one from its centre (k = 4)."""
+    from polisgrid.operators.design import box_edges, orientation
+    from polisgrid.operators.spatial import crossings
+
+    c = F.col
+    turned = sites.withColumn("_turn", orientation(c("shell"))).withColumn("_m", box_edges(c("shell"), c("_turn")))
+    needles = turned.select("site", F.posexplode("_m").alias("k", "p")).select("site", "k", c("p.x").alias("x"), c("p.y").alias("y"))
+    n = F.size("shell") - 1
+    mean = lambda k: F.aggregate(F.slice("shell", F.lit(1), n), F.lit(0.0), lambda s, p: s + p[k]) / n
+    centres = sites.select("site", F.lit(4).alias("k"), mean("x").alias("x"), mean("y").alias("y"))
+    every = needles.unionByName(centres)
+    near = connect(every.select((c("site") * 5 + c("k")).alias("pid"), c("x").alias("px"), c("y").alias("py")), roads.withColumnRenamed("road", "sid"), cell)
+    linked = every.withColumn("pid", c("site") * 5 + c("k")).join(near.select("pid", c("sid").alias("road"), c("x").alias("rx"), c("y").alias("ry")), "pid")
+    edges = sites.select("site", F.posexplode(F.zip_with(F.slice("shell", F.lit(1), n), F.slice("shell", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "e"))
+    l = linked.select(c("pid").alias("lid"), c("x").alias("lax"), c("y").alias("lay"), c("rx").alias("lbx"), c("ry").alias("lby"))
+    r = edges.select((c("site") * 1000 + c("k")).alias("rid"), c("e.a.x").alias("rax"), c("e.a.y").alias("ray"), c("e.b.x").alias("rbx"), c("e.b.y").alias("rby"))
+    bad = crossings(l, r, cell).where(F.floor(c("lid") / 5) != F.floor(c("rid") / 1000)).select(c("lid").alias("pid")).distinct()
+    good = linked.join(bad, "pid", "left_anti")
+    first = good.where("k < 4")
+    rest = linked.where("k = 4").join(first.select("site"), "site", "left_anti")
+    return first.unionByName(rest).select("site", "k", "x", "y", "rx", "ry", "road")
+
+
 def junction_areas(junctions: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     """site, tid, area: of each site's ring the part nearest to each of its junctions (site, tid, x, y)."""
 

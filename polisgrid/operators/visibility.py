@@ -28,6 +28,19 @@ def exposure_2d(viewpoints: DataFrame, outlines: DataFrame, rays: int, radius: f
     return first.groupBy(F.col("m.oid").alias("outline")).agg(F.count("*").alias("hits"))
 
 
+def exposure_rate(hits: DataFrame, outlines: DataFrame) -> DataFrame:
+    """outline, hits, rate: hits of each outline by its length, to four places. An outline that comes twice with the same
+    edges raises."""
+    a, b = (F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y")) for k in "ab")
+    shape = outlines.select("oid", F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).alias("e"), length2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("l"))
+    whole = shape.groupBy("oid").agg(F.array_sort(F.collect_list("e")).alias("s"), F.sum("l").alias("length"))
+    twice = whole.groupBy("s").agg(F.count("*").alias("n"), F.min("oid").alias("oid")).where("n > 1").select("oid").limit(1).collect()
+    if twice:
+        raise ValueError(f"outline {twice[0][0]} comes twice")
+    out = whole.join(hits.withColumnRenamed("outline", "oid"), "oid", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
+    return out.select(F.col("oid").alias("outline"), "hits", F.bround(F.try_divide(F.col("hits"), F.col("length")), 4).alias("rate"))
+
+
 def walls(outlines: DataFrame) -> DataFrame:
     """Two triangles of each wall: oid, tri, p, q, r (points) from oid, seq, ax, ay, bx, by, height."""
     pt = lambda x, y, z: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), z.cast("double").alias("z"))
@@ -272,6 +285,20 @@ def shade(count: Column, most: Column, low: float, high: float) -> Column:
     return F.lit(low) + part * F.lit(high - low)
 
 
+def road_totals(seen: DataFrame, places: DataFrame, reach_area: DataFrame) -> DataFrame:
+    """road_id, visible, ratio, share, and the inverse of each, summed over the points of a road (vid, road_id): the area that
+    is seen, by that in reach (vid, total), and by all that is seen from anywhere."""
+    from polisgrid.functions.geom import inverse_score
+
+    per = seen.groupBy("vid").agg(F.sum("amount").alias("visible"))
+    whole = per.agg(F.coalesce(F.sum("visible"), F.lit(0.0)).alias("all"))
+    own = places.join(per, "vid", "left").join(reach_area, "vid", "left").withColumn("visible", F.coalesce("visible", F.lit(0.0)))
+    own = own.join(F.broadcast(whole))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    out = own.groupBy("road_id").agg(F.sum("visible").alias("visible"), F.sum(zero(F.try_divide("visible", "total"))).alias("ratio"), F.sum(zero(F.try_divide("visible", "all"))).alias("share"))
+    return out.withColumns({f"{c}_score": inverse_score(F.col(c)) for c in ("visible", "ratio", "share")})
+
+
 def road_views(seen: DataFrame, places: DataFrame) -> DataFrame:
     """road_id, visible, score (inverse of visible) summed over the points of a road. places: vid, road_id."""
     from polisgrid.functions.geom import inverse_score

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from polisgrid.operators import cleaning, design, graph, network, planning, resources, spatial, visibility
+from polisgrid.operators import cleaning, design, graph, lines, network, planning, resources, spatial, visibility
 from polisgrid.plans import inputs as i
-from polisgrid.plans.queries import _DUAL, _SITES, _SS, _scene, _sites, _sources, query
+from polisgrid.plans.queries import _DUAL, _EXPOSE, _SITES, _SS, _scene, _seen_sql, _sites, _sources, exposure2d, query
 
 
 def _xy(x, y):
@@ -134,6 +134,23 @@ def clean_lines(spark, d):
     return cleaning.clean_lines(i.grid(spark, d), 0.05, 2.0).select("chain", "seq", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
+def _in_box(x0: str, x1: str, y0: str, y1: str) -> str:
+    """The part of the segment ax, ay, ux, uy that lies in a box."""
+    low = lambda a, u, p, q: f"CASE WHEN {u} <> 0 THEN least(({p} - {a}) / nullif({u}, 0), ({q} - {a}) / nullif({u}, 0)) WHEN {a} > {p} AND {a} < {q} THEN 0 ELSE 2 END"
+    high = lambda a, u, p, q: f"CASE WHEN {u} <> 0 THEN greatest(({p} - {a}) / nullif({u}, 0), ({q} - {a}) / nullif({u}, 0)) ELSE 1 END"
+    return f"greatest(0, least(1, {high('ax', 'ux', x0, x1)}, {high('ay', 'uy', y0, y1)}) - greatest(0, {low('ax', 'ux', x0, x1)}, {low('ay', 'uy', y0, y1)}))"
+
+
+@query(f"""WITH r AS (SELECT tid AS gid, tid % 5 * 2 + 0.3::DOUBLE AS x0, tid // 5 + 0.4::DOUBLE AS y0 FROM {i.TARGETS}), g AS (SELECT *, bx - ax AS ux, by - ay AS uy FROM {i.GRID}),
+ p AS (SELECT gid, sqrt(ux * ux + uy * uy) * ({_in_box("x0", "x0 + 3.3", "y0", "y0 + 1.1")} + {_in_box("x0", "x0 + 1.65", "y0 + 1.1", "y0 + 2.2")}) AS l FROM r, g)
+ SELECT gid, round_even(sum(l), 5) AS length, round_even(sum(l) / 5.445::DOUBLE, 5) AS density FROM p GROUP BY gid""")
+def lengths_in_regions(spark, d):
+    x, y = F.col("tid") % 5 * 2 + 0.3, F.floor(F.col("tid") / 5) + 0.4
+    ring = F.array(_xy(x, y), _xy(x + 3.3, y), _xy(x + 3.3, y + 1.1), _xy(x + 1.65, y + 1.1), _xy(x + 1.65, y + 2.2), _xy(x, y + 2.2), _xy(x, y))
+    out = lines.lengths_in_regions(i.grid(spark, d), i.targets(spark, d).select(F.col("tid").alias("gid"), ring.alias("shell")), 3.0)
+    return out.select("gid", F.bround("length", 5).alias("length"), F.bround("density", 5).alias("density"))
+
+
 # --- aggregates, windows, sets -----------------------------------------------------------------------------------
 
 
@@ -298,6 +315,25 @@ def near_graph_centrality(spark, d):
     return graph.centrality(i.points(spark, d).select("id"), e, 20.0005).select("id", "reached", F.bround("total_depth", 3).alias("total_depth"))
 
 
+_WATER = """, s AS (SELECT id, arg_min(source, (round_even(dist, 6), source)) AS source FROM d5 WHERE source IN (0, 7, 19) GROUP BY id), o AS (SELECT d5.source, d5.id, dist FROM d5 JOIN s ON s.id = d5.id AND s.source = d5.source),
+ p AS (SELECT b.source, b.id, min(a.id) AS prev FROM o b JOIN e ON e.dst = b.id JOIN o a ON a.id = e.src AND a.source = b.source WHERE b.id <> b.source AND abs(a.dist + e.w - b.dist) < 1e-5 GROUP BY b.source, b.id),
+ w(junction, source, id) AS (SELECT id, source, id FROM o UNION ALL SELECT w.junction, w.source, p.prev FROM w JOIN p ON p.source = w.source AND p.id = w.id)
+ SELECT least(p.id, p.prev) AS a, greatest(p.id, p.prev) AS b, CAST(sum(junction + 1) AS DOUBLE) AS flow FROM w JOIN p ON p.source = w.source AND p.id = w.id GROUP BY 1, 2"""
+
+
+@query(i.walks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _WATER)
+def water_flow(spark, d):
+    e = i.road_graph(spark, d)
+    paths = network.water_paths(e, _sources(spark))
+    demand = e.select(F.col("src").alias("junction")).distinct().withColumn("demand", (F.col("junction") + 1).cast("double"))
+    return network.pipe_flow(paths, demand).select("pipe.a", "pipe.b", "flow")
+
+
+@query()
+def depth_first(spark, d):
+    return graph.depth_first(i.road_graph(spark, d), 0)
+
+
 @query()
 def chain_lines(spark, d):
     return graph.chain_order(_plain(spark, d)).select("chain", "seq", "id", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"))
@@ -393,7 +429,7 @@ def site_parameters(spark, d):
     return out.select("site_id", F.bround("turn", 5).alias("turn"), "kind", *(F.bround(c, 8).alias(c) for c in ("density", "far", "mix")))
 
 
-#: homes' building types of a residential site: floor area of a floor, height of a storey, depths, least floors.
+#: Homes' building types, sample values of our own: area of a floor, height of a storey, depths, least floors.
 _ROWS = (("R1", 300.0, 3.0, 10.0, 12.0, 3), ("R3", 420.0, 3.0, 11.0, 14.0, 6), ("R5", 600.0, 3.0, 13.0, 18.0, 12))
 
 
@@ -464,6 +500,24 @@ def whole_design(spark, d):
     return design.whole_design(s, _homes(spark), others)
 
 
+_REFINE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {{{n}}}" for n, k in enumerate(design.MAX_AREA)) + " END"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS site_id, [{", ".join(f"'{k}'" for k in _KINDS)}][s_suppkey % {len(_KINDS)} + 1] AS kind, abs(s_acctbal) * 20 + 5000 AS area, 0.3::DOUBLE AS density, 1.5::DOUBLE AS far, s_suppkey % 4 * 0.1::DOUBLE AS mix FROM supplier)
+ SELECT site_id, CAST(greatest(1, round_even(area / ({_REFINE.format(*design.MAX_AREA.values())} / (1 - mix * {_REFINE.format(*design.MIX_COEFFICIENT.values())})), 0)) AS INTEGER) AS parts, round_even(least(1, 0.3::DOUBLE / 0.8), 6) AS density, round_even(1.5::DOUBLE / 0.8, 6) AS far FROM s""")
+def refined_sites(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("s_suppkey") % len(_KINDS) + 1).cast("int"))
+    s = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), kind.alias("kind"), (F.abs("s_acctbal") * 20 + 5000).alias("area"), F.lit(0.3).alias("density"), F.lit(1.5).alias("far"), (F.col("s_suppkey") % 4 * 0.1).alias("mix"))
+    out = design.refined(s, F.col("area") * 0.8)
+    return out.select("site_id", "parts", F.bround("density", 6).alias("density"), F.bround("far", 6).alias("far"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN g >= 0 THEN round_even((-b - sqrt(greatest(g, 0))) / 2, 4) END AS low, CASE WHEN g >= 0 THEN round_even((-b + sqrt(greatest(g, 0))) / 2, 4) END AS high FROM (SELECT *, b * b - 4 * c AS g FROM (SELECT c_custkey, CAST(c_custkey % 90 AS DOUBLE) AS b, c_acctbal AS c FROM customer))")
+def quadratic_roots(spark, d):
+    low, high = design.quadratic(F.lit(1.0), (F.col("c_custkey") % 90).cast("double"), F.col("c_acctbal"))
+    return i.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.bround(low, 4).alias("low"), F.bround(high, 4).alias("high"))
+
+
 @query()
 def placed_rows(spark, d):
     r = row_layout(spark, d).join(_home_sites(spark, d).select("site_id", "along", "across", "turn"), "site_id")
@@ -515,3 +569,24 @@ def fan_hits(spark, d):
     v, w = _scene(spark, d)
     return visibility.fan_hits(v, w.select("tri", "p", "q", "r"), 24, 12, 6.0)
 
+
+@query(f"WITH h AS ({_EXPOSE}) SELECT id AS outline, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CASE WHEN l > 0 THEN round_even(coalesce(hits, 0) / l, 4) END AS rate FROM (SELECT id, sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) AS l FROM {i.GRID} WHERE ax <> bx OR ay <> by QUALIFY row_number() OVER (PARTITION BY least(ax * 100 + ay, bx * 100 + by), greatest(ax * 100 + ay, bx * 100 + by) ORDER BY id) = 1) LEFT JOIN h ON outline = id")
+def exposure_rate(spark, d):
+    g = i.grid(spark, d).where("ax != bx or ay != by")
+    a, b = (_xy(F.col(f"{k}x"), F.col(f"{k}y")) for k in "ab")
+    first = g.groupBy(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).agg(F.min("id").alias("id"))  # outlines that come twice raise
+    return visibility.exposure_rate(exposure2d(spark, d), g.join(first.select("id"), "id", "left_semi").withColumnRenamed("id", "oid"))
+
+
+@query(_seen_sql(6.0) + """, p AS (SELECT vid, sum(area) AS visible FROM seen GROUP BY vid), t AS (SELECT vid, sum(sqrt(nx * nx + ny * ny + nz * nz) / 2) AS total FROM v, n WHERE sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) < 6 GROUP BY vid),
+ o AS (SELECT vid % 5 AS road_id, coalesce(visible, 0) AS visible, coalesce(visible, 0) / nullif(coalesce(total, 0), 0) AS ratio, coalesce(visible, 0) / (SELECT sum(visible) FROM p) AS share FROM v LEFT JOIN p USING (vid) LEFT JOIN t USING (vid))
+ SELECT road_id, round_even(sum(visible), 5) AS visible, round_even(sum(coalesce(ratio, 0)), 6) AS ratio, round_even(sum(share), 6) AS share FROM o GROUP BY road_id""")
+def road_totals(spark, d):
+    v, w = _scene(spark, d)
+    seen = visibility.exposure_3d(v, w.select("tri", "p", "q", "r"), 6.0)
+    area = visibility.triangle_area(F.col("p"), F.col("q"), F.col("r"))
+    mid = lambda k: (F.col("p")[k] + F.col("q")[k] + F.col("r")[k]) / 3
+    t = w.select(F.col("tri").alias("rid"), mid("x").alias("rx"), mid("y").alias("ry"), area.alias("area"))
+    near = spatial.radius_sum(v.select(F.col("vid").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly")), t, 6.0, "area").withColumnRenamed("lid", "vid")
+    out = visibility.road_totals(seen, v.select("vid", (F.col("vid") % 5).alias("road_id")), near)
+    return out.select("road_id", F.bround("visible", 5).alias("visible"), F.bround("ratio", 6).alias("ratio"), F.bround("share", 6).alias("share"))

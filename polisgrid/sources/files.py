@@ -72,6 +72,20 @@ def feature_json(geometry_type: Column, coordinates: Column, properties: Column)
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
 
 
+def with_bbox(feature: Column, points: Column) -> Column:
+    """A feature's text with the box (least x, least y, largest x, largest y) of its points."""
+    side = lambda f, k: f(F.transform(points, lambda p: p[k])).cast("string")
+    box = F.concat(F.lit('{"bbox":['), side(F.array_min, "x"), F.lit(","), side(F.array_min, "y"), F.lit(","), side(F.array_max, "x"), F.lit(","), side(F.array_max, "y"), F.lit("],"))
+    return F.concat(box, F.substr(feature, F.lit(2)))
+
+
+def with_crs(document: Column, name: str) -> Column:
+    """A collection's text with its reference system; an empty collection, which has none, raises."""
+    empty = document.like('%"features":[]%')
+    named = F.concat(F.lit('{"crs":{"type":"name","properties":{"name":"' + name + '"}},'), F.substr(document, F.lit(2)))
+    return F.when(empty, F.raise_error(F.lit("an empty collection has no reference system")).cast("string")).otherwise(named)
+
+
 def write_features(features: DataFrame, column: str, path: str) -> None:
     """One feature a line in as many files as there are partitions: this scales; see collection for one document."""
     features.select(F.col(column).alias("value")).write.text(path)
@@ -186,6 +200,25 @@ def read_blocks(spark: SparkSession, path: str, tag: str = "Block") -> DataFrame
     return _pairs(spark, path, tag)
 
 
+def read_design(spark: SparkSession, path: str) -> dict[str, list]:
+    """The parameters of an urban-design XML: buildings (name, kind, priority, area, floors, depths, storey), and each other
+    section as its rows (tag, attributes, values). The document is small and is parsed once, on the driver."""
+    from xml.etree import ElementTree
+
+    text = spark.read.text(path, wholetext=True).first()[0]
+    root = ElementTree.fromstring(text.lstrip("\ufeff"))
+    pair = lambda e, tag: tuple(float(v) for v in (e.findtext(tag) or "").split(",") if v.strip())
+    out: dict[str, list] = {"buildings": []}
+    for section in root:
+        if section.tag == "BuildingParameters":
+            for e in section:
+                if e.find("Area") is not None and e.get("type"):
+                    out["buildings"].append((e.tag, e.get("type"), int(e.get("priority") or 0), float(e.findtext("Area")), pair(e, "FloorRange"), pair(e, "DepthRange"), float(e.findtext("FloorHeight") or 0)))
+            continue
+        out[section.tag] = [(e.tag, dict(e.attrib), [v.strip() for v in (e.text or "").split(",") if v.strip()]) for e in section.iter() if e is not section and len(e) == 0]
+    return out
+
+
 def read_population(spark: SparkSession, path: str) -> DataFrame:
     """type, floor_lo, floor_hi, per_person of population bands: elements with attributes Type, Layer (lo,hi) and the square
     metres a person as their text or attribute Index."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polisgrid.operators import cleaning, design, graph, planning, visibility
+from polisgrid.operators import cleaning, design, graph, lines, network, planning, visibility
 from polisgrid.sources import files
 
 
@@ -196,3 +196,67 @@ def test_network_features_and_coefficients(spark, tmp_path):
     (tmp_path / "i.xml").write_text('<I><Block Type="R"><EConsumption>1,2</EConsumption><WConsumption>3,4</WConsumption><GConsumption>5,6</GConsumption></Block><Population Type="0" Layer="1,6" Index="45"/></I>')
     assert files.read_blocks(spark, str(tmp_path / "i.xml")).first().w_hi == 4.0
     assert tuple(files.read_population(spark, str(tmp_path / "i.xml")).first()) == (0, 1, 6, 45)
+
+
+def test_roots_and_curves():
+    assert design.bisect(lambda x: x * x - 2, 0, 2) == pytest.approx(2**0.5) and design.newton(lambda x: x * x - 2, lambda x: 2 * x, 1.0) == pytest.approx(2**0.5)
+    assert design.parabola((0, 1), (1, 6), (2, 17)) == pytest.approx((3, 2, 1))
+    with pytest.raises(ValueError, match="signs"):
+        design.bisect(lambda x: x * x + 1, 0, 1)
+
+
+def test_a_walk_in_depth(spark):
+    e = spark.createDataFrame([(0, 2), (0, 1), (1, 3), (3, 2), (2, 4), (9, 0)], "src long, dst long")
+    assert [r.id for r in sorted(graph.depth_first(e, 0).collect(), key=lambda r: r.n)] == [0, 1, 3, 2, 4]
+
+
+def test_trees_strips_and_near_cuts(spark):
+    square = [{"x": 0.0, "y": 0.0}, {"x": 60.0, "y": 0.0}, {"x": 60.0, "y": 20.0}, {"x": 0.0, "y": 20.0}]
+    s = spark.createDataFrame([(1, square, 60.0, 0.0, 0.0)], "site_id long, shell array<struct<x:double,y:double>>, width double, u0 double, turn double")
+    got = design.place_trees(s).collect()
+    want = sum(a for a in (math.pi * (design.TREE_CANOPIES[k % 6] / 2) ** 2 for k in range(len(got))))
+    assert all(0 < r.x < 60 and 0 < r.y < 20 for r in got) and want >= 360 > want - math.pi * 4.5**2
+    strips = design.courtyards(s).collect()
+    assert strips and all(16 <= max(p.x for p in r.shell) - min(p.x for p in r.shell) <= 24 for r in strips)
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 2.0), (0.0, 2.0)]
+    assert [round(abs(design.ring_area(x)), 6) for _, x in design.split_ring(ring, [1, 3], design.halve_box)] == [5.0, 15.0]
+
+
+def test_demand_of_junctions(spark):
+    square = [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 0.0}, {"x": 10.0, "y": 10.0}, {"x": 0.0, "y": 10.0}]
+    sites = spark.createDataFrame([(1, square, 100.0), (2, square, 40.0)], "site long, shell array<struct<x:double,y:double>>, demand double")
+    ends = spark.createDataFrame([(1, 7, 0.0, 5.0), (1, 8, 6.0, 5.0), (2, 8, 3.0, 3.0)], "site long, tid long, x double, y double")
+    assert {r.tid: round(r.demand, 6) for r in network.junction_demand(sites, ends).collect()} == {7: 30.0, 8: 110.0}
+
+
+def test_sites_are_connected_beside_each_other(spark):
+    box = lambda x, y, w, h: [{"x": x + a * w, "y": y + b * h} for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]
+    sites = spark.createDataFrame([(1, box(0.0, 1.0, 4.0, 2.0)), (2, box(0.0, 4.0, 4.0, 2.0))], "site long, shell array<struct<x:double,y:double>>")
+    roads = spark.createDataFrame([(5, -9.0, 0.0, 9.0, 0.0)], "road long, ax double, ay double, bx double, by double")
+    got = {(r.site, r.k): (r.x, r.y, r.rx, r.ry) for r in network.connect_sites(sites, roads, 20.0).collect()}
+    assert got[1, 0] == (2.0, 1.0, 2.0, 0.0) and (1, 2) in got and not any(s == 2 and k in (0, 2) for s, k in got)
+
+
+def test_lines_by_their_middles(spark):
+    ring = [{"x": a, "y": b} for a, b in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0))]
+    pts = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = spark.createDataFrame([(1, pts((-1, 1), (1, 1), (3, 1))), (2, pts((3, 3), (3, 9))), (3, pts((2, 2), (2, 2)))], "id long, pts array<struct<x:double,y:double>>")
+    assert {r.id for r in lines.in_region(rows, spark.createDataFrame([(1, ring)], "gid long, shell array<struct<x:double,y:double>>"), 4.0).collect()} == {1, 3}
+
+
+def test_design_parameters_and_boxes(spark, tmp_path):
+    (tmp_path / "d.xml").write_text('<D><BuildingParameters><R1 type="R" priority="2"><Area>300</Area><FloorRange>1,6</FloorRange><DepthRange>10,16</DepthRange><FloorHeight>3.0</FloorHeight></R1><Style><Depth>1</Depth></Style></BuildingParameters><Far><R> 0.9,6 </R></Far></D>')
+    got = files.read_design(spark, str(tmp_path / "d.xml"))
+    assert got == {"buildings": [("R1", "R", 2, 300.0, (1.0, 6.0), (10.0, 16.0), 3.0)], "Far": [("R", {}, ["0.9", "6"])]}
+    p = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 5.0), (3.0, 2.0))])
+    text = spark.range(1).select(files.with_bbox(F.lit('{"type":"Feature"}'), p).alias("t")).first().t
+    assert text == '{"bbox":[1.0,2.0,3.0,5.0],"type":"Feature"}'
+    assert spark.range(1).select(files.with_crs(F.lit('{"features":[1]}'), "EPSG:4326").alias("t")).first().t.startswith('{"crs":{"type":"name","properties":{"name":"EPSG:4326"}},"features"')
+    with pytest.raises(Exception, match="empty collection"):
+        spark.range(1).select(files.with_crs(F.lit('{"features":[]}'), "x")).collect()
+
+
+def test_outlines_that_come_twice(spark):
+    o = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 0.0, 0.0)], "oid long, ax double, ay double, bx double, by double")
+    with pytest.raises(ValueError, match="twice"):
+        visibility.exposure_rate(spark.createDataFrame([(1, 2)], "outline long, hits long"), o)
