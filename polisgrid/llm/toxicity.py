@@ -35,8 +35,7 @@ class Plan:
     bytes: int = 64 << 20  # of their texts, at most: what would exceed it is passed over
     held: int = 3  # toxic documents that hold a landmark, at least
     evidence: float = 2.6  # standard errors of its log odds
-    clear: float = 3.3  # standard errors from which on every word is a landmark
-    cover: int = 4  # landmarks that a toxic document holds before further words of less evidence are left out
+    cover: int = 4  # landmarks that a toxic document holds before further words are left out
     alike: float = 0.8  # kernel with an earlier landmark from which on a word is none of its own
     decay: float = 0.6
     near: float = 0.35  # kernels below count as 0
@@ -256,14 +255,14 @@ def pick(found: list[tuple[bytes, int, int, list[int]]], n1: int, n0: int, plan:
     """Landmarks from (word, texts of label 1 and documents of label 0 with it, those of label 1 by number), best first, each
     unlike those before it.
 
-    All words of clear evidence are taken, and of the others those that toxic documents with few landmarks hold, so
-    that the words of a language with few documents are among them.
+    A word is taken if some toxic document that holds it has few landmarks yet, so that the words of a language with few
+    documents are among them, while the many words that a group of like documents shares are not.
     """
     rated = sorted(((-float(evidence(p, n, n1, n0)), w, docs) for w, p, n, docs in found if p >= plan.held and p > n), key=lambda x: x[:2])
     depth: dict[int, int] = {}
     useful = []
     for gain, word, docs in rated:
-        if -gain >= plan.clear or -gain >= plan.evidence and any(depth.get(d, 0) < plan.cover for d in docs):
+        if -gain >= plan.evidence and any(depth.get(d, 0) < plan.cover for d in docs):
             for d in docs:
                 depth[d] = depth.get(d, 0) + 1
             useful.append(word)

@@ -152,7 +152,7 @@ def test_confident_rows_are_the_surest(spark):
 
 def test_toxicity_scores_are_those_of_a_plain_machine(spark):
     """Landmarks, kernels of all words with all landmarks, the machine and the scores, without filters, tables and memos."""
-    docs, labels, plan = read(spark, SF, "documents").where("length(text) < 900"), read(spark, SF, "labels"), toxicity.Plan(held=2, evidence=1.0, clear=1.5)
+    docs, labels, plan = read(spark, SF, "documents").where("length(text) < 900"), read(spark, SF, "labels"), toxicity.Plan(held=2, evidence=1.0)
     import zlib
 
     truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
