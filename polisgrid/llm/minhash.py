@@ -274,12 +274,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     several = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("x < y")
     shared = Table(keys.join(several.select("key", F.ceil(F.col("n") / plan.block).cast("long").alias("parts")), "key"), "keys")
     firsts = [F.max_by("id", F.struct("copies", -F.col("id"))).alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2))]
-    centres = shared.df.groupBy("key").agg(*firsts).select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres"))
+    # Stored, so that the join with a large key's members is one of two scans, which Spark can split.
+    centres = Table(shared.df.groupBy("key").agg(*firsts).select("key", F.array_distinct(F.array("c0", "c1", "c2")).alias("centres")), "centres")
     candidates = shared.df.select("id").distinct()
     texts = _sets(rows.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
     sets = Table(texts.groupBy("id").agg(F.min_by("set", F.struct("p1", "p2")).alias("set")), "sets")
     # Each member of a key against its centres; a centre with many members is copied to several parts.
-    to = shared.df.join(centres, "key").select("id", "parts", F.explode("centres").alias("c"))
+    to = shared.df.join(centres.df, "key").select("id", "parts", F.explode("centres").alias("c"))
     hubs = Table(to.where("parts > 1").groupBy(F.col("c").alias("id")).agg(F.max("parts").alias("parts")), "hubs")
     ends = to.where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.struct("parts", F.col("c").alias("hub")).alias("at"))
     stars = Table(ends.groupBy("a", "b").agg(F.max("at").alias("at")).select("a", "b", "at.hub", "at.parts"), "stars")
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     searched = own.df.where("n_shingles > 0 and doc_id is not null").join(groups, ["p1", "p2"]).select("doc_id", "n_shingles", "component_id")
     alone = own.df.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = Table(searched.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    for table in (reps, one, own, shared, sets, hubs, stars, found, roots, more, last):
+    for table in (reps, one, own, shared, centres, sets, hubs, stars, found, roots, more, last):
         table.drop()
     return out.df
 
