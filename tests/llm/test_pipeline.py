@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from polisgrid.llm import quality, toxicity
+from polisgrid.llm import toxicity
 from polisgrid.llm.shared import read
 
 SF = "/root/testdata/sf0.001"
@@ -113,43 +113,6 @@ def test_stages_on_odd_tables(spark, folder):
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), where).count() == 0
 
 
-def test_quality_is_that_of_plain_co_training(spark):
-    """The same rounds with all features in arrays."""
-    docs, labels, plan = read(spark, SF, "documents"), read(spark, SF, "labels"), quality.Plan(labelled=100)
-    rows = docs.collect()
-    raw = [(r.text or "").encode() for r in rows]
-    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
-    views = [v.astype("<f4").astype(float) for v in (quality.content(data, offsets), quality.layout(data, offsets, [r.lang for r in rows], [r.source for r in rows], plan))]
-    from pyspark.sql import functions as F
-
-    drawn = labels.where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(100).collect()
-    place = {r.doc_id: k for k, r in enumerate(rows)}
-    known = [place[r.doc_id] for r in drawn if r.doc_id in place]
-    y = np.array([r.quality for r in drawn if r.doc_id in place])
-    rest = np.setdiff1d(np.arange(len(rows)), known)
-    one, pool = [v[known] for v in views], [v[rest] for v in views]
-    tie = quality._tie(pool[0])
-    histogram = lambda models: np.stack([np.bincount(quality._bin(quality._score(v, m)), minlength=quality._BINS) for v, m in zip(pool, models, strict=True)])
-    sums = lambda labellers, models, cuts: quality.newton_sums(*pool, tie, labellers, models, cuts)
-    model = quality.co_train(one, y, histogram, sums, plan), quality.combine(one, y, plan)
-    both = np.column_stack([*(quality._score(v, m) for v, m in zip(views, model[0], strict=True)), np.ones(len(rows))]) @ model[1]
-    want = 1 / (1 + np.exp(-both))
-    got = {r.doc_id: r.score for r in quality.quality(docs, labels, plan).collect()}
-    assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 1e-3
-
-
-def test_confident_rows_are_the_surest(spark):
-    rng = np.random.default_rng(1)
-    score = rng.normal(0, 4, 5000)
-    plan = quality.Plan()
-    counts = np.bincount(quality._bin(score), minlength=quality._BINS)
-    cuts = quality.cut(counts, 500, plan), quality.cut(counts[::-1], 300, plan)
-    pos, neg = quality.chosen(score, rng.random(5000), cuts)
-    assert abs(pos.sum() - 500) < 25 and abs(neg.sum() - 300) < 25 and score[pos].min() > 1.4 and score[neg].max() < -1.4
-    pos, _ = quality.chosen(np.full(5000, 15.0), rng.random(5000), (quality.cut(np.bincount([quality._BINS - 1] * 5000, minlength=quality._BINS), 500, plan),) * 2)
-    assert abs(pos.sum() - 500) < 80  # all equally sure: some of them
-
-
 def test_toxicity_scores_are_those_of_a_plain_machine(spark):
     """Landmarks, kernels of all words with all landmarks, the machine and the scores, without filters, tables and memos."""
     docs, labels, plan = read(spark, SF, "documents").where("length(text) < 900"), read(spark, SF, "labels"), toxicity.Plan(held=2, evidence=1.0)
