@@ -233,9 +233,9 @@ def visual_graph(spark, d):
     return graph.visual_weights(_dual(spark, d), _scores(spark, d))
 
 
-@query(_DUAL + " SELECT v, u, round_even(((v % 10) + (u % 10)) / 2.0::DOUBLE * 0.5::DOUBLE + round_even(min(t), 4) / 2 * 0.3::DOUBLE + round_even(min(w), 6) * 0.2::DOUBLE, 4) AS w_visual FROM m GROUP BY v, u")
+@query(_DUAL + " SELECT v, u, round_even(((v % 10) + (u % 10)) / 2.0::DOUBLE * 0.5::DOUBLE + round_even(min(t), 4) / 2 * 0.3::DOUBLE + round_even(min(w), 6) * 0.2::DOUBLE, 6) AS w_visual FROM m GROUP BY v, u")
 def visual_graph_weighted(spark, d):
-    return graph.visual_weights(_dual(spark, d), _scores(spark, d), 0.5, 0.3, 0.2).select("v", "u", F.bround("w_visual", 4).alias("w_visual"))
+    return graph.visual_weights(_dual(spark, d), _scores(spark, d), 0.5, 0.3, 0.2).select("v", "u", "w_visual")
 
 
 def _plain(spark, d):
