@@ -34,7 +34,7 @@ class Plan:
     cell: int = 256  # vectors that share a chunk, about
     sample: int = 20_000  # vectors of each dimension that rotations are learned from, about
     rounds: int = 30
-    most: int = 400  # rotations
+    most: int = 400  # rotations; if they don't suffice, keys become narrower
     block: int = 2048
     dense: int = 8  # candidates for each member from which on a block's vectors are brought together
 
@@ -60,6 +60,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _enough(differ: np.ndarray, chunk: int, recall: float) -> int:
+    """How many tables of so many bits bring made pairs together often enough; 0 if all of them do not."""
+    tables = differ.shape[1] // chunk
+    if not tables:
+        return 0
+    met = ~differ[:, : tables * chunk].reshape(len(differ), tables, chunk).any(2)
+    enough = np.flatnonzero(np.maximum.accumulate(met, 1).mean(0) >= recall)
+    return int(enough[0]) + 1 if len(enough) else 0
+
+
 def learn(sample: np.ndarray, n: int, plan: Plan) -> Model:
     """The model for n vectors like the sample's."""
     data = unit(sample)
@@ -77,7 +87,7 @@ def learn(sample: np.ndarray, n: int, plan: Plan) -> Model:
     two -= (two * one).sum(1, keepdims=True) * one
     two /= np.maximum(np.linalg.norm(two, axis=1, keepdims=True), 1e-300)
     two = one if dim == 1 else plan.cosine * one + np.sqrt(1 - plan.cosine**2) * two
-    turns, differ = np.zeros((dim, 0)), np.zeros((len(one), 0), bool)
+    turns, differ, tables = np.zeros((dim, 0)), np.zeros((len(one), 0), bool), 0
     for k in range(plan.most):
         turn = np.linalg.qr(np.random.default_rng(500 + k).standard_normal((size, size)))[0]
         for _ in range(plan.rounds):  # the code nearest to the turned data, then the turn that fits the code best
@@ -87,13 +97,13 @@ def learn(sample: np.ndarray, n: int, plan: Plan) -> Model:
         fresh = principal @ turn
         turns = np.column_stack([turns, fresh])
         differ = np.column_stack([differ, ((one - mean) @ fresh >= 0) != ((two - mean) @ fresh >= 0)])
-        tables = turns.shape[1] // chunk
-        if tables:
-            met = ~differ[:, : tables * chunk].reshape(len(one), tables, chunk).any(2)
-            enough = np.flatnonzero(np.maximum.accumulate(met, 1).mean(0) >= plan.recall)
-            if len(enough):
-                tables = int(enough[0]) + 1
-                break
+        if tables := _enough(differ, chunk, plan.recall):
+            break
+    while not tables and chunk > 1:  # all rotations are made: narrower keys meet more often
+        chunk -= 1
+        tables = _enough(differ, chunk, plan.recall)
+    if not tables:
+        raise ValueError(f"{plan.most} rotations don't reach a recall of {plan.recall}")
     own = differ[:, : tables * chunk].sum(1)
     return Model(mean, turns[:, : tables * chunk], chunk, int(np.ceil(own.mean() + 4 * own.std())))
 

@@ -38,6 +38,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Table:
         # Done when the edges are stars: they stay as they are.
         state = tuple(held.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
-            return Table(held.df.select(F.col("a").alias("id"), F.col("b").alias("root")), "roots")
+            roots = Table(held.df.select(F.col("a").alias("id"), F.col("b").alias("root")), "roots")
+            held.drop()
+            return roots
         before = state
     raise RuntimeError("components did not settle")

@@ -334,3 +334,11 @@ def test_packed_hashes():
         raw = ngram.packed(x, low)
         assert (ngram.unpacked(raw, low) == x).all() and len(raw) < 400 + 13 * len(x)
     assert not len(ngram.unpacked(ngram.packed(x[:0], 0), 0))
+
+
+def test_keys_become_narrower_where_rotations_do_not_suffice():
+    x = np.random.default_rng(2).standard_normal((3000, 6))
+    wide, narrow = itq.learn(x, 1 << 22, itq.Plan()), itq.learn(x, 1 << 22, itq.Plan(most=6))
+    assert narrow.chunk < wide.chunk and narrow.turns.shape[1] <= 6 * 6
+    with pytest.raises(ValueError, match="recall"):
+        itq.learn(x, 1 << 22, itq.Plan(most=1, recall=1.0))
