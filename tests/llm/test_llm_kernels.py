@@ -341,4 +341,4 @@ def test_keys_become_narrower_where_rotations_do_not_suffice():
     wide, narrow = itq.learn(x, 1 << 22, itq.Plan()), itq.learn(x, 1 << 22, itq.Plan(most=6))
     assert narrow.chunk < wide.chunk and narrow.turns.shape[1] <= 6 * 6
     with pytest.raises(ValueError, match="recall"):
-        itq.learn(x, 1 << 22, itq.Plan(most=1, recall=1.0))
+        itq.learn(x, 1 << 22, itq.Plan(most=1, recall=1.1))
