@@ -599,8 +599,9 @@ def whole_design(sites: DataFrame, homes: DataFrame, others: DataFrame) -> DataF
     """site_id, building_id, kind, footprint, bottom, top, floor_height, error of the buildings of sites.
 
     sites: the columns that row_layout and non_residential need of a site; homes: type, area, storey, depth_lo, depth_hi,
-    floor_lo; others: kind, areas, lo, hi, storey. Homes stand in rows, other uses by their programs; a site that cannot
-    be designed has one row with an error and no building.
+    floor_lo; others: kind, areas, lo, hi, storey (one row a kind; of several the least counts). Homes stand in rows,
+    other uses by their programs; a site that cannot be designed, has no kind, or a kind without building types, has one
+    row with an error and no building.
     """
     c = F.col
     rows = sites.where("kind = 'R'").join(F.broadcast(homes)).withColumns({"far_area": c("far") * c("site_area"), "avg_floors": c("far") / c("density")})
@@ -608,18 +609,29 @@ def whole_design(sites: DataFrame, homes: DataFrame, others: DataFrame) -> DataF
     numbered = laid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), c("count") - 1)))
     none = F.lit(None).cast("string").alias("error")
     first = numbered.select("site_id", "k", F.lit("R").alias("kind"), c("area").alias("footprint"), F.lit(0).cast("long").alias("bottom"), c("floors").cast("long").alias("top"), c("storey").alias("floor_height"), none)
-    left = sites.where("kind = 'R'").select("site_id").join(laid.select("site_id"), "site_id", "left_anti")
     blank = [F.lit(None).cast(t).alias(n) for n, t in (("k", "long"), ("kind", "string"), ("footprint", "double"), ("bottom", "long"), ("top", "long"), ("floor_height", "double"))]
+    left = sites.where("kind = 'R'").select("site_id").join(laid.select("site_id"), "site_id", "left_anti")
     failed = left.select("site_id", *blank, F.lit("no row of homes fits").alias("error"))
-    shops = others.where("kind = 'C'").select(c("areas").alias("other"), c("lo").alias("other_lo"), c("hi").alias("other_hi"))
-    own = others.select("kind", c("areas").alias("main"), c("lo").alias("main_lo"), c("hi").alias("main_hi"), "storey")
-    rest = sites.where("kind != 'R'").join(F.broadcast(own), "kind").join(F.broadcast(shops))
+    # One row a kind: of several the least.
+    types = others.groupBy("kind").agg(F.min(F.struct("areas", "lo", "hi", "storey")).alias("v"))
+    none_ = lambda name, of: F.coalesce(c(name), F.array().cast(of))
+    shops = types.where("kind = 'C'").select(c("v.areas").alias("other"), c("v.lo").alias("other_lo"), c("v.hi").alias("other_hi"))
+    own = types.select("kind", c("v.areas").alias("main"), c("v.lo").alias("main_lo"), c("v.hi").alias("main_hi"), "v.storey")
+    # Left joins: a site of no kind, or of a kind without building types, keeps its row.
+    rest = sites.where("kind is null or kind != 'R'").join(F.broadcast(own), "kind", "left").join(F.broadcast(shops), F.lit(True), "left")
+    rest = rest.withColumns({"other": none_("other", "array<double>"), "other_lo": none_("other_lo", "array<int>"), "other_hi": none_("other_hi", "array<int>")})
+    why = F.when(c("kind").isNull(), "no kind").when(c("main").isNull() | (F.size("main") < 1), "no building types of this kind")
+    why = why.when((mix_class(c("mix")) == "horizontal") & (F.size("other") == 0), "no building types of the other kind")
+    judged = rest.withColumn("why", why)
+    unknown = judged.where("why is not null").select("site_id", *blank, c("why").alias("error"))
+    rest = judged.where("why is null").drop("why")
     program = non_residential(rest.select("site_id", "kind", c("site_area").alias("area"), "density", "far", "mix", "main", "main_lo", "main_hi", "other", "other_lo", "other_hi"))
     both = program.join(rest.select("site_id", "kind", "main", "other", "storey"), "site_id")
     size = F.element_at(F.when(c("part") == "main", c("main")).otherwise(c("other")), (c("k") + 1).cast("int"))
     copies = both.where("error is null and count > 0").withColumn("footprint", size).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), c("count") - 1)))
     use = F.when(c("part") == "main", c("kind")).otherwise("C")
-    number = F.when(c("part") == "main", F.lit(0)).otherwise(F.lit(1)) * 1_000_000 + c("k") * 100_000 + c("copy")
+    # Part, type and copy side by side in the bits of a number, so that none runs into another.
+    number = F.shiftleft(F.when(c("part") == "main", F.lit(0)).otherwise(F.lit(1)).cast("long"), 56) + F.shiftleft(c("k").cast("long"), 40) + c("copy")
     second = copies.select("site_id", number.cast("long").alias("k"), use.alias("kind"), "footprint", "bottom", "top", c("storey").alias("floor_height"), none)
-    wrong = program.where("error is not null").select("site_id", *blank, "error")
+    wrong = program.where("error is not null").select("site_id", *blank, "error").unionByName(unknown)
     return first.unionByName(failed).unionByName(second).unionByName(wrong).withColumnRenamed("k", "building_id")

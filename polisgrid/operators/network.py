@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from polisgrid.functions.geom import point_to_segment
 from polisgrid.operators.graph import path_to, shortest_paths
 from polisgrid.operators.planning import power_regression
+from polisgrid.plans.rounds import Stored
 
 
 def coverage(edges: DataFrame, sites: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
@@ -177,7 +178,8 @@ def junction_demand(sites: DataFrame, junctions: DataFrame) -> DataFrame:
 def connect_sites(sites: DataFrame, roads: DataFrame, cell: float) -> DataFrame:
     """site, k, x, y, rx, ry, road: connections of sites (site, shell: a closed ring) to the nearest places of roads (road, ax, ay,
     bx, by) within `cell`, from the middles of the four edges of the site's box. Those that cross another site's outline go;
-    a site that keeps none gets one from its centre (k = 4)."""
+    a site that keeps none gets one from its centre (k = 4), however far the nearest road is: the reach grows fourfold a
+    round for those that are left, until all are connected or all roads are in reach. Without roads there is none."""
     from polisgrid.operators.design import box_edges, orientation
     from polisgrid.operators.spatial import crossings
 
@@ -192,12 +194,29 @@ def connect_sites(sites: DataFrame, roads: DataFrame, cell: float) -> DataFrame:
     linked = every.withColumn("pid", c("site") * 5 + c("k")).join(near.select("pid", c("sid").alias("road"), c("x").alias("rx"), c("y").alias("ry")), "pid")
     edges = sites.select("site", F.posexplode(F.zip_with(F.slice("shell", F.lit(1), n), F.slice("shell", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "e"))
     l = linked.select(c("pid").alias("lid"), c("x").alias("lax"), c("y").alias("lay"), c("rx").alias("lbx"), c("ry").alias("lby"))
-    r = edges.select((c("site") * 1000 + c("k")).alias("rid"), c("e.a.x").alias("rax"), c("e.a.y").alias("ray"), c("e.b.x").alias("rbx"), c("e.b.y").alias("rby"))
-    bad = crossings(l, r, cell).where(F.floor(c("lid") / 5) != F.floor(c("rid") / 1000)).select(c("lid").alias("pid")).distinct()
-    good = linked.join(bad, "pid", "left_anti")
-    first = good.where("k < 4")
-    rest = linked.where("k = 4").join(first.select("site"), "site", "left_anti")
-    return first.unionByName(rest).select("site", "k", "x", "y", "rx", "ry", "road")
+    r = edges.select(F.struct("site", "k").alias("rid"), c("e.a.x").alias("rax"), c("e.a.y").alias("ray"), c("e.b.x").alias("rbx"), c("e.b.y").alias("rby"))
+    bad = crossings(l, r, cell).where(F.floor(c("lid") / 5) != c("rid.site")).select(c("lid").alias("pid")).distinct()
+    first = Stored(linked.where("k < 4").join(bad, "pid", "left_anti").select("site", "k", "x", "y", "rx", "ry", "road"))
+    todo, found = Stored(centres.join(first.df.select("site"), "site", "left_anti")), [first]
+    # No place is farther from a road than this.
+    places = todo.df.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
+    ends = roads.agg(F.max(F.greatest(F.abs("ax"), F.abs("bx"))), F.max(F.greatest(F.abs("ay"), F.abs("by")))).first()
+    reach, most = float(cell), 0.0 if places[0] is None or ends[0] is None else sum(places) + sum(ends) + cell
+    while most and not todo.df.isEmpty():
+        near = connect(todo.df.select(c("site").alias("pid"), c("x").alias("px"), c("y").alias("py")), roads.withColumnRenamed("road", "sid"), reach)
+        some = Stored(todo.df.join(near.select(c("pid").alias("site"), c("sid").alias("road"), c("x").alias("rx"), c("y").alias("ry")), "site").select("site", "k", "x", "y", "rx", "ry", "road"))
+        found.append(some)
+        rest = Stored(todo.df.join(some.df.select("site"), "site", "left_anti"))
+        todo.drop()
+        todo = rest
+        if reach > most:
+            break
+        reach *= 4
+    todo.drop()
+    out = found[0].df
+    for part in found[1:]:
+        out = out.unionByName(part.df)
+    return out
 
 
 def junction_areas(junctions: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:

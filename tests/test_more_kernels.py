@@ -260,3 +260,43 @@ def test_outlines_that_come_twice(spark):
     o = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 0.0, 0.0)], "oid long, ax double, ay double, bx double, by double")
     with pytest.raises(ValueError, match="twice"):
         visibility.exposure_rate(spark.createDataFrame([(1, 2)], "outline long, hits long"), o)
+
+
+def test_no_site_is_lost_in_a_whole_design(spark):
+    from polisgrid.plans import queries_more
+    from polisgrid.plans.queries import QUERIES
+
+    kinds = [k for k in queries_more._KINDS if k != "R"]
+    seen = {}
+    real = design.whole_design
+    try:
+        design.whole_design = lambda s, h, o: seen.update(s=s, h=h, o=o) or real(s, h, o)
+        whole = QUERIES["whole_design"](spark, "/root/testdata/sf0.001")
+    finally:
+        design.whole_design = real
+    sites, homes, others = seen["s"], seen["h"], seen["o"]
+    every = {r.site_id for r in sites.collect()}
+    assert {r.site_id for r in whole.select("site_id").distinct().collect()} == every
+    count = lambda df: df.count()
+    without = design.whole_design(sites, homes, others.where(f"kind != '{kinds[-1]}'"))
+    rows = without.select("site_id", "error").distinct().collect()
+    assert {r.site_id for r in rows} == every and "no building types of this kind" in {r.error for r in rows}
+    none = design.whole_design(sites, homes, others.where("kind != 'C'")).select("site_id", "error").distinct().collect()
+    assert {r.site_id for r in none} == every and "no building types of the other kind" in {r.error for r in none}
+    assert count(design.whole_design(sites, homes, others.union(others))) == count(whole)
+    nameless = sites.withColumn("kind", F.when(F.col("site_id") % 2 == 0, F.col("kind")))
+    found = design.whole_design(nameless, homes, others).select("site_id", "error").distinct().collect()
+    assert {r.site_id for r in found} == every and sum(r.error == "no kind" for r in found) == sum(k % 2 for k in every)
+    assert whole.where("error is null").count() == whole.where("error is null").select("site_id", "building_id").distinct().count()
+
+
+def test_an_outline_of_many_edges_is_its_own(spark):
+    n = 2400
+    ring = [{"x": 100 + 50 * math.cos(2 * math.pi * k / n), "y": 100 + 50 * math.sin(2 * math.pi * k / n)} for k in range(n)]
+    box = lambda x, y: [{"x": x + a, "y": y + b} for a, b in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0))]
+    sites = spark.createDataFrame([(1, [*ring, ring[0]]), (2, box(300.0, 100.0)), (3, box(5000.0, 9000.0))], "site long, shell array<struct<x:double,y:double>>")
+    roads = spark.createDataFrame([(5, -400.0, 40.0, 400.0, 40.0)], "road long, ax double, ay double, bx double, by double")
+    got = {(r.site, r.k): (r.rx, r.ry) for r in network.connect_sites(sites, roads, 70.0).collect()}
+    assert (1, 0) in got and (2, 0) in got  # edges from 1,000 on are still those of site 1, so its own outline stops nothing
+    assert got[3, 4] == (400.0, 40.0)  # far from any road
+    assert network.connect_sites(sites, roads.limit(0), 70.0).count() == 0
