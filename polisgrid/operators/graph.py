@@ -388,7 +388,8 @@ def merge_chains(segments: DataFrame) -> DataFrame:
 
 def chain_order(segments: DataFrame) -> DataFrame:
     """chain, seq, id, a, b: the segments (id, a, b of x, y) of each chain in the order and direction in which they are
-    walked, from the end with the smaller place. A chain that closes on itself begins with its smallest id, as it lies.
+    walked, from the end with the smaller place. A chain that closes on itself begins at the place where others meet it, or,
+    if none do, with its smallest id, as it lies.
 
     Chains come from a distributed search; each is ordered by itself, so a task holds one road at a time.
     """
@@ -401,8 +402,9 @@ def chain_order(segments: DataFrame) -> DataFrame:
             for p in ends:
                 at.setdefault(p, []).append(i)
         single = sorted(p for p, ids in at.items() if len(ids) == 1)
-        now = single[0] if single else rows[min(rows)][0]
-        i = at[now][0] if single else min(rows)
+        met = sorted({tuple(p.values()) for c, n in (("a", "na"), ("b", "nb")) for p, k in zip(pdf[c], pdf[n], strict=True) if k > 2})
+        now = single[0] if single else met[0] if met else rows[min(rows)][0]
+        i = at[now][0] if single or met else min(rows)
         out, left = [], set(rows)
         while i is not None:
             left.discard(i)
@@ -414,5 +416,8 @@ def chain_order(segments: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["chain", "seq", "id", "a", "b"])
 
     xy = lambda c: F.struct(F.col(c)["x"].alias("x"), F.col(c)["y"].alias("y")).alias(c)
-    both = segments.select("id", xy("a"), xy("b")).join(found, "id").select(F.col("root").alias("chain"), "id", "a", "b")
+    own = segments.select("id", xy("a"), xy("b"))
+    count = own.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    at = lambda k: count.select(F.col("p").alias(k), F.col("n").alias(f"n{k}"))
+    both = own.join(at("a"), "a").join(at("b"), "b").join(found, "id").select(F.col("root").alias("chain"), "id", "a", "b", "na", "nb")
     return both.groupBy("chain").applyInPandas(run, "chain long, seq long, id long, a struct<x:double,y:double>, b struct<x:double,y:double>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from polisgrid.operators import overlay, parcels
+from polisgrid.operators import centre, interchange, overlay, parcels
 from polisgrid.plans import inputs as i
 from polisgrid.plans.queries import query
 
@@ -74,3 +74,53 @@ def internal_roads(spark, d):
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     sites = i.table(spark, d, "part").select(k.alias("site_id"), F.array(at(z, z), at(w, z), at(w, h), at(z, h)).alias("shell"), F.array(F.lit(0.6), F.lit(0.4)).alias("shares"))
     return parcels.internal_roads(sites).select("site_id", "rounded", F.bround("area", 2).alias("area"))
+
+
+def _at(x, y):
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS k, 100 + s_nationkey * 4 AS l FROM supplier) SELECT k AS feature, CASE WHEN k % 3 = 0 THEN 4 ELSE 1 END AS lines, 0 AS off, CAST(round_even((CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END) * (l - 20) / 10.0, 0) AS BIGINT) AS tens FROM s"
+)
+def centre_lines(spark, d):
+    """Centre lines of roads that stand alone: straight ones, and every third one crossed by another at its middle. They lie
+    on the axis and end half a width before the road does."""
+    k, size = F.col("s_suppkey"), F.col("s_nationkey") * 4 + 100
+    x, y = k % 20 * 600, F.floor(k / 20) * 600
+    flat = F.array(_at(x - size / 2, y), _at(x + size / 2, y))
+    cross = F.when(k % 3 == 0, F.array(_at(x, y - size / 2), _at(x, y + size / 2)))
+    roads = i.table(spark, d, "supplier").select(F.explode(F.filter(F.array(flat, cross), lambda p: p.isNotNull())).alias("pts"))
+    lines = centre.centre_lines(roads, 10.0, 5.0, 500.0)
+    mid = F.get("pts", F.lit(0))
+    column, row = F.round(mid["x"] / 600).cast("long"), F.round(mid["y"] / 600).cast("long")
+    off = F.array_max(F.transform("pts", lambda p: F.least(F.abs(p["x"] - column * 600), F.abs(p["y"] - row * 600))))
+    per = lines.select((row * 20 + column).alias("feature"), off.alias("off"), centre.length_of(F.col("pts")).alias("size"))
+    return per.groupBy("feature").agg(F.count("*").cast("int").alias("lines"), F.bround(F.max("off"), 0).cast("int").alias("off"), F.bround(F.sum("size") / 10, 0).cast("long").alias("tens"))
+
+
+@query(f"WITH {_CITY}, f AS (SELECT c.x, c.y, (r.x - c.x) * (t.y - c.y) AS area FROM wide c JOIN wide r ON r.i = c.i + 1 AND r.j = c.j JOIN wide t ON t.i = c.i AND t.j = c.j + 1) SELECT x, y, round_even(area, 3) AS area FROM f")
+def plane_faces(spark, d):
+    """The faces between the axes of a city's roads."""
+    ends = city_roads(spark, d).select(F.get("pts", F.lit(0)).alias("a"), F.get("pts", F.lit(1)).alias("b")).distinct()
+    found, _ = overlay.faces(ends.select(F.lit(0).cast("long").alias("gid"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by")))
+    least = lambda c: F.array_min(F.transform("shell", lambda p: p[c])).alias(c)
+    return found.select(least("x"), least("y"), F.bround("area", 3).alias("area"))
+
+
+_JUNCTIONS = "s AS (SELECT s_suppkey AS k, s_suppkey % 20 AS i, 200.0::DOUBLE * (s_suppkey % 20) AS x, 200.0::DOUBLE * (s_suppkey // 20) AS y FROM supplier), a AS (SELECT s.* FROM s JOIN s n ON n.k = s.k + 1 AND s.i < 19)"
+
+
+@query(
+    f"WITH {_JUNCTIONS}, b AS (SELECT a.* FROM a JOIN a p ON p.k = a.k - 1 AND a.i > 0) SELECT x + 10 AS ax, y AS ay, x + 200 AS bx, y AS by FROM a"
+    " UNION ALL SELECT x, y, x + 5, y FROM b UNION ALL SELECT x + 5, y, x + 10, y FROM b"
+)
+def interchanges(spark, d):
+    """Interchanges, each a ring of four roads, in rows: a ring between two others becomes a place on the road through it."""
+    s = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    x, y, k = F.col("k") % 20 * 200, F.floor(F.col("k") / 20) * 200, F.col("k")
+    e = lambda ax, ay, bx, by: F.struct(*(v.cast("double").alias(n) for v, n in ((ax, "ax"), (ay, "ay"), (bx, "bx"), (by, "by"))))
+    ring = s.select(F.explode(F.array(e(x, y, x + 10, y), e(x + 10, y, x + 10, y + 10), e(x, y + 10, x + 10, y + 10), e(x, y, x, y + 10))).alias("e"))
+    arms = s.join(s.select((F.col("k") - 1).alias("k")), "k").where(k % 20 < 19).select(e(x + 10, y, x + 200, y).alias("e"))
+    boxes = s.select(F.col("k").alias("id"), *((v + o).cast("double").alias(n) for v, o, n in ((x, -1, "x0"), (y, -1, "y0"), (x, 11, "x1"), (y, 11, "y1"))))
+    return interchange.simplify_interchanges(ring.union(arms).select("e.*"), boxes, 100.0)
