@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,23 +142,69 @@ def levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def path_to(paths: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target, step (0 at the target), id along the found paths; no row where a target is not reached. The rounds
-    end when all paths are back at their sources, as each step has a hop less to go."""
-    prev = paths.select("source", F.col("id").alias("at"), F.col("prev").alias("next"))
-    parts = [Stored(paths.join(targets.select("id"), "id", "left_semi").select("source", F.col("id").alias("target"), F.lit(0).alias("step"), "id"))]
+    """source, target, step (0 at the target), id along the found paths; no row where a target is not reached. Every round
+    doubles the length of what is known of the paths, and of the jumps back along them, so the rounds are as many as the
+    logarithm of the longest path's steps."""
+    jump = Stored(paths.where("prev is not null").select("source", F.col("id").alias("at"), F.col("prev").alias("to")))
+    whole = Stored(paths.join(targets.select("id"), "id", "left_semi").select("source", F.col("id").alias("target"), F.lit(0).alias("step"), "id"))
+    size = 1
     while True:
-        on = parts[-1].df.withColumnRenamed("id", "at").join(prev, ["source", "at"]).where("next is not null")
-        nxt = Stored(on.select("source", "target", (F.col("step") + 1).alias("step"), F.col("next").alias("id")))
-        if nxt.df.isEmpty():
-            nxt.drop()
-            break
-        parts.append(nxt)
-    whole = parts[0].df
-    for p in parts[1:]:
-        whole = whole.union(p.df)
-    out = Stored(whole)
-    for p in parts:
-        p.drop()
+        more = whole.df.withColumnRenamed("id", "at").join(jump.df, ["source", "at"]).select("source", "target", (F.col("step") + size).alias("step"), F.col("to").alias("id"))
+        fresh = Stored(more)
+        if fresh.df.isEmpty():
+            fresh.drop()
+            jump.drop()
+            return whole.df
+        both = Stored(whole.df.union(fresh.df))
+        second = jump.df.select("source", F.col("at").alias("to"), F.col("to").alias("far"))
+        twice = Stored(jump.df.join(second, ["source", "to"]).select("source", "at", F.col("far").alias("to")))
+        for table in (whole, fresh, jump):
+            table.drop()
+        whole, jump, size = both, twice, 2 * size
+
+
+def choice(vertices: DataFrame, edges: DataFrame, limit: float = float("inf"), places: int = 6) -> DataFrame:
+    """id, choice: over all ordered pairs of other vertices, the share of their shortest paths within limit that run through a
+    vertex. For graphs of any size: no task or driver holds one.
+
+    Brandes' sums as joins. An edge is tight for a source if it ends a shortest path, which is compared to so many places.
+    Path counts go forward along tight edges, a number of edges a round: of each path that round counts that ends there.
+    What depends on a vertex goes back along them, likewise a number of edges a round. A round reads only the vertices it
+    starts from, and ends when there are none. Edges of weight 0 lead only to vertices with more steps, so none lead
+    in a circle.
+    """
+    reach = shortest_paths(edges, vertices.select("id").distinct(), limit)
+    near = F.bround(F.col("dist"), places)
+    u = reach.select("source", F.col("id").alias("src"), near.alias("du"), F.col("hops").alias("hu"))
+    v = reach.select("source", F.col("id").alias("dst"), near.alias("dv"), F.col("hops").alias("hv"))
+    least = edges.where("src != dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
+    tight = u.join(least, "src").join(v, ["source", "dst"]).where((F.bround(F.col("du") + F.col("w"), places) == F.col("dv")) & ((F.col("dv") > F.col("du")) | (F.col("hv") > F.col("hu"))))
+    steps = Stored(tight.select("source", "src", "dst"))
+
+    def rounds(begin: DataFrame, step: Callable[[DataFrame], DataFrame]) -> list[Stored]:
+        parts = [Stored(begin)]
+        while not parts[-1].df.isEmpty():
+            parts.append(Stored(step(parts[-1].df)))
+        parts.pop().drop()
+        return parts
+
+    def together(parts: list[Stored]) -> DataFrame:
+        out = parts[0].df
+        for p in parts[1:]:
+            out = out.union(p.df)
+        return out
+
+    began = reach.where("source = id").select("source", "id", F.lit(1.0).alias("n"))
+    forward = rounds(began, lambda df: df.withColumnRenamed("id", "src").join(steps.df, ["source", "src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("n").alias("n")))
+    counts = Stored(together(forward).groupBy("source", "id").agg(F.sum("n").alias("n")))
+    name = lambda k, n: counts.df.select("source", F.col("id").alias(k), F.col("n").alias(n))
+    shares = Stored(steps.df.join(name("src", "a"), ["source", "src"]).join(name("dst", "b"), ["source", "dst"]).select("source", "src", "dst", (F.col("a") / F.col("b")).alias("part")))
+    ones = counts.df.select("source", "id", F.lit(1.0).alias("x"))
+    back = rounds(ones, lambda df: df.withColumnRenamed("id", "dst").join(shares.df, ["source", "dst"]).groupBy("source", F.col("src").alias("id")).agg(F.sum(F.col("x") * F.col("part")).alias("x")))
+    through = together(back[1:]).where("source != id").groupBy("id").agg(F.sum("x").alias("choice")) if len(back) > 1 else ones.where("false").select("id", F.col("x").alias("choice"))
+    out = Stored(vertices.select("id").distinct().join(through, "id", "left").select("id", F.coalesce("choice", F.lit(0.0)).alias("choice")))
+    for table in (steps, counts, shares, *forward, *back):
+        table.drop()
     return out.df
 
 

@@ -315,6 +315,18 @@ def near_graph_centrality(spark, d):
     return graph.centrality(i.points(spark, d).select("id"), e, 20.0005).select("id", "reached", F.bround("total_depth", 3).alias("total_depth"))
 
 
+_PATHS = """, p(source, id) AS (SELECT source, id FROM d4 WHERE source = id UNION ALL SELECT p.source, e.dst FROM p JOIN d4 u ON u.source = p.source AND u.id = p.id JOIN e ON e.src = p.id JOIN d4 v ON v.source = p.source AND v.id = e.dst WHERE round_even(u.dist + e.w, 3) = round_even(v.dist, 3) AND v.dist > u.dist),
+ n AS MATERIALIZED (SELECT p.source, p.id, count(*) AS n, any_value(round_even(dist, 3)) AS dist FROM p JOIN d4 d ON d.source = p.source AND d.id = p.id GROUP BY p.source, p.id),
+ t AS (SELECT a.id, sum(a.n * b.n / c.n) AS choice FROM n a JOIN n b ON b.source = a.id JOIN n c ON c.source = a.source AND c.id = b.id AND c.dist = round_even(a.dist + b.dist, 3) WHERE a.id <> a.source AND b.id <> a.id GROUP BY a.id)
+ SELECT k.id, round_even(coalesce(choice, 0), 3) AS choice FROM (SELECT DISTINCT source AS id FROM d4) k LEFT JOIN t ON t.id = k.id"""
+
+
+@query(_NEAR_WALKS.replace("WITH ", "WITH RECURSIVE ", 1) + _PATHS)
+def near_graph_choice(spark, d):
+    """How many shortest paths run through each point of a graph that grows with its table."""
+    return graph.choice(i.points(spark, d).select("id"), _near_graph(spark, d), 20.0005, 3).select("id", F.bround("choice", 3).alias("choice"))
+
+
 _WATER = """, s AS (SELECT id, arg_min(source, (round_even(dist, 6), source)) AS source FROM d5 WHERE source IN (0, 7, 19) GROUP BY id), o AS (SELECT d5.source, d5.id, dist FROM d5 JOIN s ON s.id = d5.id AND s.source = d5.source),
  p AS (SELECT b.source, b.id, min(a.id) AS prev FROM o b JOIN e ON e.dst = b.id JOIN o a ON a.id = e.src AND a.source = b.source WHERE b.id <> b.source AND abs(a.dist + e.w - b.dist) < 1e-5 GROUP BY b.source, b.id),
  w(junction, source, id) AS (SELECT id, source, id FROM o UNION ALL SELECT w.junction, w.source, p.prev FROM w JOIN p ON p.source = w.source AND p.id = w.id)

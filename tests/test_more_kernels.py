@@ -300,3 +300,24 @@ def test_an_outline_of_many_edges_is_its_own(spark):
     assert (1, 0) in got and (2, 0) in got  # edges from 1,000 on are still those of site 1, so its own outline stops nothing
     assert got[3, 4] == (400.0, 40.0)  # far from any road
     assert network.connect_sites(sites, roads.limit(0), 70.0).count() == 0
+
+
+def test_choice_of_a_graph_that_no_task_holds(spark):
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 14, (40, 2)) if a < b}
+    rows = [(a, b, float(rng.integers(0, 4))) for a, b in sorted(pairs)]
+    edges = spark.createDataFrame([*rows, *((b, a, w) for a, b, w in rows)], "src long, dst long, w double")
+    positive = edges.where("w > 0")
+    ids = spark.range(15).select("id")
+    for graph_, limit in ((positive, float("inf")), (positive, 5.0)):
+        want = {r.id: r.choice for r in graph.centrality(ids, graph_, limit).collect()}
+        got = {r.id: r.choice for r in graph.choice(ids, graph_, limit).collect()}
+        assert got == pytest.approx(want)
+    assert sum(r.choice for r in graph.choice(ids, edges).collect()) >= 0  # weights of 0 lead in no circle
+
+
+def test_long_paths_in_few_rounds(spark):
+    line = spark.range(300).select(F.lit(0).cast("long").alias("source"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("prev"))
+    got = graph.path_to(line, spark.createDataFrame([(299,), (7,), (0,), (999,)], "id long"))
+    rows = {(r.target, r.step): r.id for r in got.collect()}
+    assert rows == {(t, k): t - k for t in (299, 7, 0) for k in range(t + 1)}
