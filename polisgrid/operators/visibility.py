@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polisgrid.functions.geom import length2, ray_hit
+from polisgrid.functions.rays import Tree
 
 
 def exposure_2d(viewpoints: DataFrame, outlines: DataFrame, rays: int, radius: float) -> DataFrame:
@@ -181,31 +182,92 @@ def first_hits(origins: np.ndarray, directions: np.ndarray, tri: np.ndarray) ->
     return best, who
 
 
-def exposure_3d(viewpoints: DataFrame, triangles: DataFrame, reach: float, decay: float | None = None, block: int = 512) -> DataFrame:
+_XYZ, _CORNERS = list("xyz"), [c + k for c in "pqr" for k in "xyz"]
+#: Triangles of one block: beyond so many a cell's triangles are dealt in blocks, and hits on blocks are put together.
+BLOCK = 16_384
+
+
+def _cells(triangles: DataFrame, reach: float) -> DataFrame:
+    """tri and its corners' coordinates, for each cell (_i, _j) from which some part of it is within reach."""
+    cell = lambda v: F.floor(v / F.lit(float(reach))).cast("long")
+    flat = triangles.select("tri", *(F.col(f"{c}.{k}").cast("double").alias(c + k) for c in "pqr" for k in "xyz"))
+    side = lambda f, k, d: cell(f(*(F.col(c + k) for c in "pqr")) + F.lit(d * float(reach)))
+    t = flat.withColumn("_i", F.explode(F.sequence(side(F.least, "x", -1), side(F.greatest, "x", 1))))
+    return t.withColumn("_j", F.explode(F.sequence(side(F.least, "y", -1), side(F.greatest, "y", 1))))
+
+
+def _in_blocks(cells: DataFrame, block: int) -> DataFrame:
+    """The triangles of each cell with _block and the number of its blocks."""
+    sizes = cells.groupBy("_i", "_j").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
+    return cells.join(sizes, ["_i", "_j"]).withColumn("_block", F.pmod(F.xxhash64("tri"), F.col("_blocks")).cast("int"))
+
+
+def _keyed(points: DataFrame, reach: float) -> DataFrame:
+    cell = lambda k: F.floor(F.col(k) / F.lit(float(reach))).cast("long")
+    return points.withColumns({"_i": cell("x"), "_j": cell("y")})
+
+
+def _in_parts(rays: DataFrame, key: str, most: int) -> DataFrame:
+    """Rays of each cell dealt in parts of about so many rows."""
+    parts = rays.groupBy("_i", "_j").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("_parts"))
+    return rays.join(parts, ["_i", "_j"]).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+
+
+def ray_hits(rays: DataFrame, triangles: DataFrame, reach: float, block: int = BLOCK, part: int = 16_384) -> DataFrame:
+    """ray, dist, tri: the first triangle (tri, p, q, r) within reach that each ray (ray, x, y, z, dx, dy, dz: a unit
+    direction) meets; rays that meet none have no row. Ties: smallest tri.
+
+    Both are keyed by cells of the reach. A cell's rays are dealt in parts and its triangles in blocks, each with a tree of
+    boxes; a ray's hits on the blocks are put together by their least distance. A task holds a part and a block.
+    """
+    own = ["_i", "_j", "_part", "_block"]
+    t = _in_blocks(_cells(triangles, reach), block)
+    r = _in_parts(_keyed(rays, reach), "ray", part)
+    blocks, parts = t.select("_i", "_j", "_blocks").distinct(), r.select("_i", "_j", "_parts").distinct()
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    r = r.join(blocks, ["_i", "_j"]).withColumn("_block", spread("_blocks")).select("ray", *_XYZ, "dx", "dy", "dz", *own)
+    t = t.join(parts, ["_i", "_j"]).withColumn("_part", spread("_parts")).select("tri", *_CORNERS, *own)
+
+    def run(key, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("tri")
+        tree = Tree(held[_CORNERS].to_numpy().reshape(-1, 3, 3))
+        dist, who = tree.first(own[_XYZ].to_numpy(), own[["dx", "dy", "dz"]].to_numpy(), reach)
+        on = who >= 0
+        return pd.DataFrame({"ray": own["ray"].to_numpy()[on], "dist": dist[on], "tri": held["tri"].to_numpy()[who[on]]})
+
+    found = r.groupBy(*own).cogroup(t.groupBy(*own)).applyInPandas(run, "ray long, dist double, tri long")
+    return found.groupBy("ray").agg(F.min(F.struct("dist", "tri")).alias("m")).select("ray", "m.dist", "m.tri")
+
+
+def exposure_3d(viewpoints: DataFrame, triangles: DataFrame, reach: float, decay: float | None = None, block: int = BLOCK, part: int = 128) -> DataFrame:
     """vid, tri, dist, amount of each triangle that a viewpoint sees: it faces the viewpoint, its centre is nearer than
     reach, and the first hit of the ray to its centre is there (within 1e-4). amount is the area, or
     area * exp(-decay * distance) with distance 0 taken as 1.
 
     triangles: tri, p, q, r; viewpoints: vid, x, y, z. Both are keyed by grid cells of the reach: a triangle by all cells
-    from which some part of it is within reach, so a task holds what can be seen from one cell. The viewpoints of a
-    cell are dealt in blocks.
+    from which some part of it is within reach. A cell's viewpoints are dealt in parts and its triangles in blocks; each
+    task holds a part, a block of triangles to look at, and a block, as a tree of boxes, of those that may stand before
+    them. What is seen is seen past every block.
     """
-    cell = lambda v: F.floor(v / F.lit(float(reach))).cast("long")
-    v = viewpoints.select("vid", *(F.col(c).cast("double").alias(c) for c in "xyz")).withColumns({"_i": cell(F.col("x")), "_j": cell(F.col("y"))})
-    parts = v.groupBy("_i", "_j").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_parts"))
-    v = v.join(parts, ["_i", "_j"]).withColumn("_part", F.pmod(F.xxhash64("vid"), F.col("_parts")).cast("int")).drop("_parts")
-    flat = triangles.select("tri", *(F.col(f"{c}.{k}").cast("double").alias(c + k) for c in "pqr" for k in "xyz"))
-    side = lambda f, k, d: cell(f(*(F.col(c + k) for c in "pqr")) + F.lit(d * float(reach)))
-    t = flat.withColumn("_i", F.explode(F.sequence(side(F.least, "x", -1), side(F.greatest, "x", 1))))
-    t = t.withColumn("_j", F.explode(F.sequence(side(F.least, "y", -1), side(F.greatest, "y", 1))))
-    t = t.join(parts, ["_i", "_j"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    own = ["_i", "_j", "_part", "_block", "_other"]
+    t = _in_blocks(_cells(triangles, reach), block)
+    v = _in_parts(_keyed(viewpoints.select("vid", *(F.col(c).cast("double").alias(c) for c in "xyz")), reach), "vid", part)
+    blocks, parts = t.select("_i", "_j", "_blocks").distinct(), v.select("_i", "_j", "_parts").distinct()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = v.join(blocks, ["_i", "_j"]).withColumn("_block", each("_blocks")).withColumn("_other", each("_blocks")).select("vid", *_XYZ, *own)
+    t = t.join(parts, ["_i", "_j"]).withColumn("_part", each("_parts"))
+    # A block is looked at before each block, and stands before each: one copy where both are the same.
+    seen = t.withColumn("_other", each("_blocks")).withColumn("_role", F.when(F.col("_other") == F.col("_block"), F.lit(2)).otherwise(F.lit(0)))
+    before = t.withColumn("_at", each("_blocks")).where("_at != _block").withColumn("_other", F.col("_block")).withColumn("_block", F.col("_at")).withColumn("_role", F.lit(1))
+    t = seen.select("tri", *_CORNERS, "_role", *own).union(before.select("tri", *_CORNERS, "_role", *own))
 
     def run(key, views: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("tri")
-        ids = held["tri"].to_numpy()
-        tri = held[[c + k for c in "pqr" for k in "xyz"]].to_numpy().reshape(-1, 3, 3)
+        role = held["_role"].to_numpy()
+        corners = held[_CORNERS].to_numpy().reshape(-1, 3, 3)
+        ids, tri, other = held["tri"].to_numpy()[role != 1], corners[role != 1], corners[role != 0]
+        tree = Tree(other)
         centre = tri.mean(1)
-        size = np.linalg.norm(tri - centre[:, None], axis=2).max(1, initial=0)
         normal = np.cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
         area = np.linalg.norm(normal, axis=1) / 2
         out = []
@@ -216,14 +278,18 @@ def exposure_3d(viewpoints: DataFrame, triangles: DataFrame, reach: float, decay
             k = np.flatnonzero((dist < reach) & (dist > 0) & ((normal * -way).sum(1) > 0))
             if not len(k):
                 continue
-            first, _ = first_hits(np.repeat(o[None], len(k), 0), way[k] / dist[k][:, None], tri[dist - size < reach])
-            k = k[np.abs(first - dist[k]) <= 1e-4]
+            first, _ = tree.first(np.repeat(o[None], len(k), 0), way[k] / dist[k][:, None], dist[k] + 1e-4)
+            free = first >= dist[k] - 1e-4
+            k, met = k[free], np.isfinite(first[free])
             amount = area[k] if decay is None else area[k] * np.exp(-decay * np.where(dist[k] == 0, 1, dist[k]))
-            out.append(pd.DataFrame({"vid": vid, "tri": ids[k], "dist": dist[k], "amount": amount}))
-        return pd.concat(out) if out else pd.DataFrame({"vid": [], "tri": [], "dist": [], "amount": []})
+            out.append(pd.DataFrame({"vid": vid, "tri": ids[k], "dist": dist[k], "amount": amount, "met": met}))
+        return pd.concat(out) if out else pd.DataFrame({"vid": [], "tri": [], "dist": [], "amount": [], "met": []})
 
-    own = ["_i", "_j", "_part"]
-    return v.groupBy(*own).cogroup(t.groupBy(*own)).applyInPandas(run, "vid long, tri long, dist double, amount double")
+    found = v.groupBy(*own).cogroup(t.groupBy(*own)).applyInPandas(run, "vid long, tri long, dist double, amount double, met boolean")
+    # A row comes from each block that doesn't stand before the triangle; it is seen if all do, and one is met there.
+    by = found.groupBy("vid", "tri").agg(F.first("dist").alias("dist"), F.first("amount").alias("amount"), F.count("*").alias("n"), F.max("met").alias("met"))
+    at = _keyed(viewpoints.select("vid", "x", "y"), reach).join(blocks, ["_i", "_j"]).groupBy("vid").agg(F.max("_blocks").alias("_blocks"))
+    return by.join(at, "vid").where((F.col("n") == F.col("_blocks")) & F.col("met")).select("vid", "tri", "dist", "amount")
 
 
 def decayed(area: Column, dist: Column, beta: float) -> Column:
@@ -257,26 +323,34 @@ def ray_fan(viewpoints: DataFrame, horizontal: int, vertical: int) -> DataFrame:
 
 
 def fan_hits(viewpoints: DataFrame, triangles: DataFrame, horizontal: int, vertical: int, reach: float) -> DataFrame:
-    """tri, hits: how many rays of the fans of all viewpoints (vid, x, y, z) meet each triangle first, within reach. Dealt over
-    cells as in exposure_3d."""
-    cell = lambda v: F.floor(v / F.lit(float(reach))).cast("long")
-    v = viewpoints.select("vid", *(F.col(c).cast("double").alias(c) for c in "xyz")).withColumns({"_i": cell(F.col("x")), "_j": cell(F.col("y"))})
-    rays = v.join(ray_fan(viewpoints.select("vid"), horizontal, vertical), "vid")
-    flat = triangles.select("tri", *(F.col(f"{c}.{k}").cast("double").alias(c + k) for c in "pqr" for k in "xyz"))
-    side = lambda f, k, d: cell(f(*(F.col(c + k) for c in "pqr")) + F.lit(d * float(reach)))
-    t = flat.withColumn("_i", F.explode(F.sequence(side(F.least, "x", -1), side(F.greatest, "x", 1))))
-    t = t.withColumn("_j", F.explode(F.sequence(side(F.least, "y", -1), side(F.greatest, "y", 1))))
-
-    def run(key, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("tri")
-        tri = held[[c + k for c in "pqr" for k in "xyz"]].to_numpy().reshape(-1, 3, 3)
-        dist, who = first_hits(own[["x", "y", "z"]].to_numpy(), own[["dx", "dy", "dz"]].to_numpy(), tri)
-        n = np.bincount(who[(who >= 0) & (dist <= reach)], minlength=len(tri))
-        on = np.flatnonzero(n)
-        return pd.DataFrame({"tri": held["tri"].to_numpy()[on], "n": n[on]})
-
-    hit = rays.groupBy("_i", "_j").cogroup(t.groupBy("_i", "_j")).applyInPandas(run, "tri long, n long")
-    return hit.groupBy("tri").agg(F.sum("n").alias("hits"))
+    """tri, hits: how many rays of the fans of all viewpoints (vid, x, y, z) meet each triangle first, within reach."""
+    v = viewpoints.select("vid", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    fans = v.join(ray_fan(viewpoints.select("vid"), horizontal, vertical), "vid")
+    number = (F.col("vid").cast("long") * (vertical + 1) + F.col("v")) * horizontal + F.col("h")
+    hit = ray_hits(fans.select(number.alias("ray"), *_XYZ, "dx", "dy", "dz"), triangles, reach)
+    return hit.groupBy("tri").agg(F.count("*").alias("hits"))
+
+
+def sun_hours(points: DataFrame, suns: DataFrame, triangles: DataFrame, reach: float) -> DataFrame:
+    """pid, hours: for how long the sun (time, hours, dx, dy, dz: the unit direction to it, and the hours it stands for) is seen
+    from each point (pid, x, y, z). A ray goes from the point to each place of the sun above the horizon; no triangle (tri,
+    p, q, r) may stand in its way within reach."""
+    up = suns.where("dz > 0").groupBy("time").agg(*(F.min(c).alias(c) for c in ("hours", "dx", "dy", "dz")))
+    n = up.count()
+    if n > SUNS_HELD:
+        raise ValueError(f"{n} places of the sun; {SUNS_HELD} at most are sent to every task")
+    p = points.select("pid", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    places = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(float(r[c])).alias(c) for c in ("hours", "dx", "dy", "dz"))) for k, r in enumerate(up.orderBy("time").collect())))
+    if not n:
+        return p.select("pid", F.lit(0.0).alias("hours"))
+    rays = p.withColumn("s", F.explode(places)).select("pid", (F.col("pid").cast("long") * n + F.col("s.k")).alias("ray"), *_XYZ, "s.hours", "s.dx", "s.dy", "s.dz")
+    hit = ray_hits(rays.select("ray", *_XYZ, "dx", "dy", "dz"), triangles, reach)
+    lit = rays.join(hit.select("ray"), "ray", "left_anti").groupBy("pid").agg(F.sum("hours").alias("hours"))
+    return p.select("pid").join(lit, "pid", "left").select("pid", F.coalesce("hours", F.lit(0.0)).alias("hours"))
+
+
+#: Places of the sun in a day: every minute.
+SUNS_HELD = 1440
 
 
 def shade(count: Column, most: Column, low: float, high: float) -> Column:

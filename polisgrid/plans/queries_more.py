@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from polisgrid.operators import cleaning, design, graph, lines, network, planning, resources, spatial, visibility
 from polisgrid.plans import inputs as i
-from polisgrid.plans.queries import _DUAL, _EXPOSE, _SITES, _SS, _scene, _seen_sql, _sites, _sources, exposure2d, query
+from polisgrid.plans.queries import _DUAL, _EXPOSE, _SITES, _SS, _cross, _dots, _scene, _seen_sql, _sites, _sources, exposure2d, query
 
 
 def _xy(x, y):
@@ -576,7 +578,23 @@ def mesh_valence(spark, d):
     return visibility.valence(_solid(spark, d)[0])
 
 
-@query()
+_RAY_X = (["(b.qx - b.px)", "(b.qy - b.py)", "(b.qz - b.pz)"], ["(b.rx - b.px)", "(b.ry - b.py)", "(b.rz - b.pz)"])
+_H, _Q = _cross(["dx", "dy", "dz"], _RAY_X[1]), _cross(["(x - b.px)", "(y - b.py)", "(z - b.pz)"], _RAY_X[0])
+
+
+def _hits_sql(reach: float) -> str:
+    """CTEs after rays (ray, x, y, z, dx, dy, dz) and m (triangles), ending in hit (ray, m: least distance and triangle)."""
+    return f"""k AS (SELECT ray, b.tri, {_dots(_H, _RAY_X[0])} AS det, {_dots(["(x - b.px)", "(y - b.py)", "(z - b.pz)"], _H)} AS su, {_dots(["dx", "dy", "dz"], _Q)} AS sv, {_dots(_RAY_X[1], _Q)} AS st FROM rays, m b),
+ hit AS (SELECT ray, min(struct_pack(t := round_even(st / det, 9), tri := tri)) AS m FROM k WHERE abs(det) > 1e-12 AND su / det >= -1e-9 AND sv / det >= -1e-9 AND su / det + sv / det <= 1 + 1e-9 AND st / det > 1e-9 AND st / det <= {reach} GROUP BY ray)"""
+
+
+_WALLS_SQL = _seen_sql(6.0).split(" n AS (")[0].rstrip().rstrip(",")
+
+
+@query(
+    f"""{_WALLS_SQL}, rays AS (SELECT (vid * 13 + b) * 24 + a AS ray, x, y, z, cos(a * pi() / 12) * cos(b * pi() / 12 - pi() / 2) AS dx, sin(a * pi() / 12) * cos(b * pi() / 12 - pi() / 2) AS dy, sin(b * pi() / 12 - pi() / 2) AS dz FROM v, (SELECT unnest(range(24)) AS a), (SELECT unnest(range(13)) AS b)),
+ {_hits_sql(6.0)} SELECT m.tri AS tri, count(*) AS hits FROM hit GROUP BY m.tri"""
+)
 def fan_hits(spark, d):
     v, w = _scene(spark, d)
     return visibility.fan_hits(v, w.select("tri", "p", "q", "r"), 24, 12, 6.0)
@@ -602,3 +620,17 @@ def road_totals(spark, d):
     near = spatial.radius_sum(v.select(F.col("vid").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly")), t, 6.0, "area").withColumnRenamed("lid", "vid")
     out = visibility.road_totals(seen, v.select("vid", (F.col("vid") % 5).alias("road_id")), near)
     return out.select("road_id", F.bround("visible", 5).alias("visible"), F.bround("ratio", 6).alias("ratio"), F.bround("share", 6).alias("share"))
+
+
+@query(
+    f"""{_WALLS_SQL}, suns AS (SELECT k, cos(pi() * (k + 1) / 12) AS dx, -0.5::DOUBLE * sin(pi() * (k + 1) / 12) AS dy, sqrt(0.75::DOUBLE) * sin(pi() * (k + 1) / 12) AS dz FROM (SELECT unnest(range(11)) AS k)),
+ p AS (SELECT id, (ax + bx) / 2 + 0.013::DOUBLE AS x, (ay + by) / 2 - 0.017::DOUBLE AS y, 0.5::DOUBLE AS z FROM {i.GRID}), rays AS (SELECT id * 11 + k AS ray, x, y, z, dx, dy, dz FROM p, suns), {_hits_sql(50.0)},
+ dark AS (SELECT CAST(floor(ray / 11) AS BIGINT) AS id, count(*) AS n FROM hit GROUP BY 1) SELECT p.id, CAST(11 - coalesce(n, 0) AS DOUBLE) AS hours FROM p LEFT JOIN dark ON dark.id = p.id"""
+)
+def sun_hours_by_rays(spark, d):
+    """For how many of eleven hours the sun is seen from places beside walls."""
+    _, w = _scene(spark, d)
+    p = i.grid(spark, d).select(F.col("id").alias("pid"), ((F.col("ax") + F.col("bx")) / 2 + 0.013).alias("x"), ((F.col("ay") + F.col("by")) / 2 - 0.017).alias("y"), F.lit(0.5).alias("z"))
+    a = F.lit(math.pi) * (F.col("id") + 1) / 12
+    suns = spark.range(11).select(F.col("id").alias("time"), F.lit(1.0).alias("hours"), F.cos(a).alias("dx"), (F.lit(-0.5) * F.sin(a)).alias("dy"), (F.sqrt(F.lit(0.75)) * F.sin(a)).alias("dz"))
+    return visibility.sun_hours(p, suns, w.select("tri", "p", "q", "r"), 50.0).select(F.col("pid").alias("id"), "hours")

@@ -321,3 +321,33 @@ def test_long_paths_in_few_rounds(spark):
     got = graph.path_to(line, spark.createDataFrame([(299,), (7,), (0,), (999,)], "id long"))
     rows = {(r.target, r.step): r.id for r in got.collect()}
     assert rows == {(t, k): t - k for t in (299, 7, 0) for k in range(t + 1)}
+
+
+def test_first_hits_by_a_tree():
+    from polisgrid.functions.rays import Tree
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 600):
+        tri = rng.random((n, 1, 3)) * 20 + rng.random((n, 3, 3)) * 2
+        o, d = rng.random((400, 3)) * 20, rng.standard_normal((400, 3))
+        d[:40], d[40:50] = [0, 0, 1], [1, 0, 0]
+        d /= np.linalg.norm(d, axis=1)[:, None]
+        dist, who = visibility.first_hits(o, d, tri)
+        got = Tree(tri).first(o, d)
+        assert (got[1] == who).all() and np.allclose(got[0], dist)
+        near = Tree(tri).first(o, d, 5.0)
+        assert (near[1] == np.where(dist <= 5, who, -1)).all()
+
+
+def test_blocks_do_not_show(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, *({"x": float(x), "y": float(y), "z": float(z)} for x, y, z in rng.random(3) * 10 + rng.random((3, 3)) * 3)) for k in range(120)]
+    xyz = "struct<x:double,y:double,z:double>"
+    tri = spark.createDataFrame(rows, f"tri long, p {xyz}, q {xyz}, r {xyz}")
+    views = spark.createDataFrame([(k, *map(float, rng.random(3) * 10)) for k in range(9)], "vid long, x double, y double, z double")
+    some = lambda **how: {(r.vid, r.tri): round(r.amount, 9) for r in visibility.exposure_3d(views, tri, 7.0, **how).collect()}
+    one = some()
+    assert one and some(block=17, part=2) == one
+    rays = views.select("vid", "x", "y", "z").withColumnRenamed("vid", "ray").withColumns({"dx": F.lit(0.6), "dy": F.lit(0.0), "dz": F.lit(0.8)})
+    hits = [{(r.ray, r.tri, round(r.dist, 9)) for r in visibility.ray_hits(rays, tri, 7.0, **how).collect()} for how in ({}, {"block": 13, "part": 2})]
+    assert hits[0] == hits[1] and hits[0]
