@@ -115,11 +115,11 @@ BLOCKS = f"""(SELECT c_custkey AS block_id, CAST(c_nationkey AS BIGINT) AS clust
 
 
 def road_graph(spark: SparkSession, d: str) -> DataFrame:
-    """src, dst, w in both directions: nations that trade, at most three numbers apart; w is the mean quantity."""
+    """src, dst, w in both directions: nations that trade; w is the mean quantity."""
     line, orders, customer, supplier = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
     flow = line.select("l_orderkey", "l_suppkey", "l_quantity").join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     flow = flow.join(orders.select("o_orderkey", "o_custkey").join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    pair = flow.select(F.least("c_nationkey", "s_nationkey").cast("long").alias("a"), F.greatest("c_nationkey", "s_nationkey").cast("long").alias("b"), "l_quantity").where("a != b and b - a <= 3")
+    pair = flow.select(F.least("c_nationkey", "s_nationkey").cast("long").alias("a"), F.greatest("c_nationkey", "s_nationkey").cast("long").alias("b"), "l_quantity").where("a != b")
     one = pair.groupBy("a", "b").agg(F.bround(F.avg("l_quantity"), 6).alias("w"))
     return one.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(one.select("b", "a", "w"))
 
@@ -127,7 +127,7 @@ def road_graph(spark: SparkSession, d: str) -> DataFrame:
 ROADS = """(SELECT a AS src, b AS dst, w FROM pair UNION ALL SELECT b, a, w FROM pair)"""
 ROADS_WITH = """pair AS MATERIALIZED (SELECT a, b, round_even(avg(q), 6) AS w FROM (SELECT CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS a,
  CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS b, l_quantity AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
- JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) WHERE a <> b AND b - a <= 3 GROUP BY a, b)"""
+ JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) WHERE a <> b GROUP BY a, b)"""
 
 
 def walks_sql(rounds: int = 5, weight: str = "w") -> str:
