@@ -186,6 +186,51 @@ def cluster_blocks(ids: DataFrame, distances: DataFrame, limits: list[float]) ->
     return roots.groupBy("g").cogroup(pairs.groupBy("_g")).applyInPandas(run, "g long, level int, cluster_id long, id long")
 
 
+def cluster_rows(ids: DataFrame, distances: DataFrame, limits: list[float]) -> DataFrame:
+    """level, cluster_id (smallest member), id of complete-linkage clusters of ids (id) by distances (i, j, dist), each pair
+    once; pairs that are missing are never in one cluster, so those at the largest limit and beyond can be left out.
+
+    Distances are rows and no task holds a group, so groups may be of any size. In each round all pairs of clusters that
+    are each other's nearest merge, which leads to the same clusters as one merge after another: a merge makes no
+    distance smaller. Ties: the nearest cluster of the smallest member. The tables that the result is read from stay.
+    """
+    from polisgrid.plans.rounds import Stored
+
+    c = F.col
+    pairs = Stored(distances.where("i != j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("dist").alias("d")).where(c("d") < max(limits)))
+    of = Stored(ids.select("id", c("id").alias("cluster_id")).distinct())
+    levels = []
+    for limit in sorted(set(limits)):
+        while True:
+            near = pairs.df.where(c("d") < limit)
+            nearest = near.union(near.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", c("m.b").alias("b"))
+            merged = Stored(nearest.alias("x").join(nearest.alias("y"), (c("x.a") == c("y.b")) & (c("x.b") == c("y.a")) & (c("x.a") < c("x.b"))).select(c("x.a").alias("into"), c("x.b").alias("gone")))
+            if merged.df.isEmpty():
+                merged.drop()
+                break
+            # Every cluster that changes, by its old name, with the new one; it is made of two.
+            new = merged.df.select(c("gone").alias("old"), "into").union(merged.df.select(c("into").alias("old"), "into"))
+            name = lambda k: new.select(c("old").alias(k), c("into").alias(f"{k}_into"))  # noqa: B023, E731
+            moved = pairs.df.join(name("a"), "a", "left").join(name("b"), "b", "left")
+            parts = F.when(c("a_into").isNull(), 1).otherwise(2) * F.when(c("b_into").isNull(), 1).otherwise(2)
+            moved = moved.select(F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "d", parts.alias("parts")).where("x != y")
+            joined = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("parts").alias("parts"))
+            # The distance of two clusters is that of their farthest members; where one of these isn't known, none is.
+            fresh = Stored(joined.where("n = parts").select("a", "b", "d"))
+            own = Stored(of.df.join(merged.df.select(c("gone").alias("cluster_id"), "into"), "cluster_id", "left").select("id", F.coalesce("into", "cluster_id").alias("cluster_id")))
+            if of not in levels:
+                of.drop()
+            for table in (pairs, merged):
+                table.drop()
+            pairs, of = fresh, own
+        levels.append(of)
+    pairs.drop()
+    out = levels[0].df.select(F.lit(0).alias("level"), "cluster_id", "id")
+    for level, table in enumerate(levels[1:], 1):
+        out = out.union(table.df.select(F.lit(level).alias("level"), "cluster_id", "id"))
+    return out
+
+
 def greedy_fill(remain: list[float], acc: list[float], wanted: list[tuple[str, float]], least: float, low_first: set[str]) -> list[tuple[int, str, float]]:
     """(block, use, area): each use in order takes blocks by descending accessibility (ascending for those of
     low_first) until what is had plus the least parcel reaches its target; a rest not over the least parcel is taken

@@ -190,6 +190,15 @@ def landuse_fill(spark, d):
     return planning.fill_landuse(b, wanted.select("cluster_id", "t.priority", "t.landuse", (F.col("r") * F.col("t.s")).alias("target")), "T10")
 
 
+@query()
+def hac_rows(spark, d):
+    """The clusters of hac_clusters, with distances as rows."""
+    p = i.points(spark, d)
+    l, r = (p.select(F.col("id").alias(f"{s}id"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s in "lr")
+    near = spatial.radius_join(l, r, 8.0).where("lid < rid").select(F.col("lid").alias("i"), F.col("rid").alias("j"), "dist")
+    return planning.cluster_rows(p.select("id"), near, [4.0, 8.0])
+
+
 @query()
 def hac_clusters(spark, d):
     p = i.points(spark, d)

@@ -351,3 +351,22 @@ def test_blocks_do_not_show(spark):
     rays = views.select("vid", "x", "y", "z").withColumnRenamed("vid", "ray").withColumns({"dx": F.lit(0.6), "dy": F.lit(0.0), "dz": F.lit(0.8)})
     hits = [{(r.ray, r.tri, round(r.dist, 9)) for r in visibility.ray_hits(rays, tri, 7.0, **how).collect()} for how in ({}, {"block": 13, "part": 2})]
     assert hits[0] == hits[1] and hits[0]
+
+
+def test_clusters_of_rows_are_those_of_the_kernel(spark):
+    from polisgrid.plans.queries import QUERIES
+
+    rows = {(r.level, r.cluster_id, r.id) for r in QUERIES["hac_rows"](spark, "/root/testdata/sf0.01").collect()}
+    assert rows == {(r.level, r.cluster_id, r.id) for r in QUERIES["hac_clusters"](spark, "/root/testdata/sf0.01").collect()}
+    rng = np.random.default_rng(5)
+    dist = np.triu(rng.permutation(900).reshape(30, 30).astype(float), 1)
+    dist = dist + dist.T
+    far = [(i, j, float(dist[i, j])) for i in range(30) for j in range(i)]
+    got = planning.cluster_rows(spark.range(31), spark.createDataFrame(far, "i long, j long, dist double"), [200.0, 500.0, 901.0]).collect()
+    for level, clusters in enumerate(planning.complete_linkage(dist, [200.0, 500.0, 901.0])):
+        own: dict = {}
+        for r in got:
+            if r.level == level and r.id < 30:
+                own.setdefault(r.cluster_id, []).append(r.id)
+        assert sorted(map(sorted, own.values())) == clusters
+    assert sum(r.id == 30 and r.cluster_id == 30 for r in got) == 3
