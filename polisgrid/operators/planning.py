@@ -252,22 +252,49 @@ def greedy_fill(remain: list[float], acc: list[float], wanted: list[tuple[str, f
     return out
 
 
+FILL_BUCKETS = 256
+
+
 def fill_landuse(blocks: DataFrame, targets: DataFrame, level: str, low_first: tuple[str, ...] = ("M", "W")) -> DataFrame:
-    """cluster_id, block_id, landuse, area by the greedy fill within each cluster.
+    """cluster_id, block_id, landuse, area by the greedy fill (greedy_fill) within each cluster.
 
-    blocks: cluster_id, block_id, remain, acc; targets: cluster_id, priority, landuse, target. A cluster is a task's
-    unit, as each choice depends on those before.
+    blocks: cluster_id, block_id, remain, acc; targets: cluster_id, priority, landuse, target, one for each cluster and
+    priority. The uses are placed one after another, a pass each; their number is small. What a use has had before a block
+    is a running sum in the order of accessibility: a cluster's blocks are dealt in buckets by it, summed, and summed up
+    within each bucket, so a city of one cluster is many tasks' work. Blocks without accessibility come last.
     """
+    from polisgrid.plans.rounds import Stored
 
-    def run(key, b, t):
-        b = b.sort_values("block_id")
-        t = t.sort_values("priority")
-        ids = b["block_id"].tolist()
-        got = greedy_fill(b["remain"].tolist(), b["acc"].tolist(), list(zip(t["landuse"], t["target"], strict=True)), LEAST_PARCEL[level], set(low_first))
-        return pd.DataFrame([(key[0], ids[k], u, a) for k, u, a in got], columns=["cluster_id", "block_id", "landuse", "area"])
-
-    own = targets.select(F.col("cluster_id").alias("_cluster"), "priority", "landuse", "target")
-    return blocks.groupBy("cluster_id").cogroup(own.groupBy("_cluster")).applyInPandas(run, "cluster_id long, block_id long, landuse string, area double")
+    c, least = F.col, F.lit(LEAST_PARCEL[level])
+    state = Stored(blocks.select("cluster_id", "block_id", F.coalesce(c("remain").cast("double"), F.lit(0.0)).alias("remain"), c("acc").cast("double").alias("acc")))
+    parts = []
+    for (priority,) in targets.select("priority").distinct().orderBy("priority").collect():  # a row a use
+        own = targets.where(c("priority") == priority).groupBy("cluster_id").agg(F.max("landuse").alias("landuse"), F.max("target").alias("target"))
+        rows = state.df.select("cluster_id", "block_id", "remain", "acc").join(own, "cluster_id", "left")
+        rows = rows.withColumn("key", F.coalesce(F.when(c("landuse").isin(*low_first), c("acc")).otherwise(-c("acc")), F.lit(float("inf"))))
+        ends = rows.where(c("key") < float("inf")).groupBy("cluster_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        place = F.floor((c("key") - c("lo")) / (c("hi") - c("lo")) * (FILL_BUCKETS - 1)).cast("int")
+        rows = rows.join(ends, "cluster_id", "left").withColumn("bucket", F.when(c("key") == float("inf"), FILL_BUCKETS).when(c("hi") > c("lo"), place).otherwise(0)).drop("lo", "hi")
+        sums = rows.groupBy("cluster_id", "bucket").agg(F.sum(F.greatest("remain", F.lit(0.0))).alias("own"))
+        up = Window.partitionBy("cluster_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("cluster_id", "bucket", F.coalesce(F.sum("own").over(up), F.lit(0.0)).alias("base"))
+        within = Window.partitionBy("cluster_id", "bucket").orderBy("key", "block_id").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.join(sums, ["cluster_id", "bucket"]).withColumn("had", c("base") + F.coalesce(F.sum(F.greatest("remain", F.lit(0.0))).over(within), F.lit(0.0)))
+        need = c("target") - c("had")
+        take = F.when((c("had") + least < c("target")) & (c("remain") > 0), F.when(c("remain") - need <= least, c("remain")).otherwise(need))
+        after = Stored(rows.select("cluster_id", "block_id", (c("remain") - F.coalesce(take, F.lit(0.0))).alias("remain"), "acc", "landuse", take.alias("area")))
+        if not parts:
+            state.drop()
+        parts.append(after)
+        state = after
+    if not parts:
+        state.drop()
+        return blocks.sparkSession.createDataFrame([], "cluster_id long, block_id long, landuse string, area double")
+    out = None
+    for part in parts:
+        some = part.df.where("area is not null").select("cluster_id", "block_id", "landuse", "area")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 #: Uses that are placed last, at the highest level only, where accessibility is lowest; and homes.

@@ -182,12 +182,26 @@ def landuse_running_fill(spark, d):
     return planning.running_fill(i.blocks(spark, d), F.lit(20000.0)).select("cluster_id", "block_id", F.bround("given", 4).alias("given"))
 
 
-@query()
+_FILL = (("R", 0.4), ("A", 0.1), ("B", 0.2), ("M", 0.1), ("W", 0.05))
+
+
+def _fill_sql() -> str:
+    out = [f"s0 AS MATERIALIZED (SELECT cluster_id, block_id, remain, acc, sum(remain) OVER (PARTITION BY cluster_id) AS whole FROM {i.BLOCKS})"]
+    for k, (use, share) in enumerate(_FILL):
+        key = "acc" if use in ("M", "W") else "acc DESC"
+        out.append(f"h{k} AS (SELECT *, whole * {share}::DOUBLE AS target, coalesce(sum(remain) OVER (PARTITION BY cluster_id ORDER BY {key}, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM s{k})")
+        out.append(f"t{k} AS MATERIALIZED (SELECT *, CASE WHEN had + 1000 < target AND remain > 0 THEN CASE WHEN remain - (target - had) <= 1000 THEN remain ELSE target - had END END AS take FROM h{k})")
+        out.append(f"s{k + 1} AS (SELECT cluster_id, block_id, remain - coalesce(take, 0) AS remain, acc, whole FROM t{k})")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT cluster_id, block_id, '{use}' AS landuse, round_even(take, 6) AS area FROM t{k} WHERE take IS NOT NULL" for k, (use, _) in enumerate(_FILL))
+
+
+@query(_fill_sql())
 def landuse_fill(spark, d):
     b = i.blocks(spark, d)
     total = b.groupBy("cluster_id").agg(F.sum("remain").alias("r"))
-    wanted = total.select("cluster_id", F.explode(F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(u).alias("landuse"), F.lit(s).alias("s")) for k, (u, s) in enumerate((("R", 0.4), ("A", 0.1), ("B", 0.2), ("M", 0.1), ("W", 0.05)))])).alias("t"), "r")
-    return planning.fill_landuse(b, wanted.select("cluster_id", "t.priority", "t.landuse", (F.col("r") * F.col("t.s")).alias("target")), "T10")
+    wanted = total.select("cluster_id", F.explode(F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(u).alias("landuse"), F.lit(s).alias("s")) for k, (u, s) in enumerate(_FILL)])).alias("t"), "r")
+    out = planning.fill_landuse(b, wanted.select("cluster_id", "t.priority", "t.landuse", (F.col("r") * F.col("t.s")).alias("target")), "T10")
+    return out.withColumn("area", F.bround("area", 6))
 
 
 @query()
