@@ -893,4 +893,4 @@ def junction_shares(spark, d):
     return network.junction_areas(j, [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0), (0.0, 200.0)]).select("site", "tid", F.bround("area", 3).alias("area"))
 
 
-from polisgrid.plans import queries_more, queries_shapes  # noqa: E402, F401  register their queries, too
+from polisgrid.plans import queries_mesh, queries_more, queries_shapes  # noqa: E402, F401  register their queries, too
