@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from polisgrid.operators import centre, interchange, overlay, parcels
+from polisgrid.operators import centre, hulls, interchange, overlay, parcels
 from polisgrid.plans import inputs as i
 from polisgrid.plans.queries import query
+from polisgrid.plans.rounds import Stored
 
 #: A quarter of a disc of radius 1 in steps of five degrees has this area.
 _QUARTER = "(9 * sin(radians(5)))"
@@ -124,3 +125,19 @@ def interchanges(spark, d):
     arms = s.join(s.select((F.col("k") - 1).alias("k")), "k").where(k % 20 < 19).select(e(x + 10, y, x + 200, y).alias("e"))
     boxes = s.select(F.col("k").alias("id"), *((v + o).cast("double").alias(n) for v, o, n in ((x, -1, "x0"), (y, -1, "y0"), (x, 11, "x1"), (y, 11, "y1"))))
     return interchange.simplify_interchanges(ring.union(arms).select("e.*"), boxes, 100.0)
+
+
+@query(
+    "WITH p AS MATERIALIZED (SELECT DISTINCT c_nationkey AS gid, c_custkey * 7919 % 10007 AS x, c_custkey * 104729 % 9973 AS y FROM customer),"
+    " pairs AS (SELECT p.gid, p.x AS ax, p.y AS ay, q.x - p.x AS dx, q.y - p.y AS dy FROM p JOIN p q ON q.gid = p.gid AND (q.x <> p.x OR q.y <> p.y)),"
+    " sides AS (SELECT e.*, (r.x - ax) * dx + (r.y - ay) * dy AS s, (r.y - ay) * dx - (r.x - ax) * dy AS t FROM pairs e JOIN p r ON r.gid = e.gid),"
+    " edges AS (SELECT gid, ax, ay, dx, dy, max(s) - min(s) AS l, max(t) AS w, dx * dx + dy * dy AS q FROM sides GROUP BY gid, ax, ay, dx, dy HAVING min(t) >= 0 AND min(CASE WHEN t = 0 THEN s ELSE 0 END) >= 0 AND max(CASE WHEN t = 0 THEN s ELSE 0 END) <= dx * dx + dy * dy)"
+    " SELECT CAST(gid AS BIGINT) AS gid, count(*) AS corners, round_even(min(CAST(l AS DOUBLE) * w / q), 3) AS area, round_even(min(w / sqrt(CAST(q AS DOUBLE))), 6) AS width FROM edges GROUP BY gid HAVING count(*) > 2"
+)
+def least_boxes(spark, d):
+    """Corners of the hull of each nation's customers, the least area of a box about it, and the least width of one."""
+    k = F.col("c_custkey")
+    rings = hulls.hulls(i.table(spark, d, "customer").select(F.col("c_nationkey").alias("gid"), (k * 7919 % 10007).alias("x"), (k * 104729 % 9973).alias("y")))
+    rings = Stored(rings.where("size(ring) > 2")).df
+    narrow = hulls.least_boxes(rings, "width").select("gid", F.bround("width", 6).alias("width"))
+    return rings.select("gid", F.size("ring").cast("long").alias("corners")).join(hulls.least_boxes(rings).select("gid", F.bround("area", 3).alias("area")), "gid").join(narrow, "gid")
