@@ -141,3 +141,23 @@ def least_boxes(spark, d):
     rings = Stored(rings.where("size(ring) > 2")).df
     narrow = hulls.least_boxes(rings, "width").select("gid", F.bround("width", 6).alias("width"))
     return rings.select("gid", F.size("ring").cast("long").alias("corners")).join(hulls.least_boxes(rings).select("gid", F.bround("area", 3).alias("area")), "gid").join(narrow, "gid")
+
+
+#: L-shapes in groups of 40, on whole numbers, so that what they cover together can be counted in unit squares.
+_COVERED = """s AS (SELECT p_partkey // 40 AS gid, p_partkey * 17 % 53 AS x, p_partkey * 29 % 47 AS y, 6 + p_partkey % 7 AS w, 5 + p_size % 5 AS h FROM part),
+ c AS MATERIALIZED (SELECT DISTINCT gid, x + i AS i, y + j AS j FROM s, range(12) a(i), range(10) b(j) WHERE i < w AND j < h AND NOT (i >= w - 3 AND j >= h - 2)),
+ n AS (SELECT gid, i + 1 AS i, j FROM c UNION ALL SELECT gid, i - 1, j FROM c UNION ALL SELECT gid, i, j + 1 FROM c UNION ALL SELECT gid, i, j - 1 FROM c)"""
+
+
+@query(
+    f"WITH {_COVERED} SELECT CAST(gid AS BIGINT) AS gid, CAST(count(*) AS DOUBLE) AS area, CAST((SELECT count(*) FROM n WHERE n.gid = c.gid AND NOT EXISTS (SELECT 1 FROM c o WHERE o.gid = n.gid AND o.i = n.i AND o.j = n.j)) AS DOUBLE) AS border FROM c GROUP BY gid"
+)
+def dissolve(spark, d):
+    """Area and border of what overlapping and touching L-shapes cover together."""
+    k = F.col("p_partkey")
+    x, y, w, h = k * 17 % 53, k * 29 % 47, k % 7 + 6, F.col("p_size") % 5 + 5
+    shell = F.array(_at(x, y), _at(x + w, y), _at(x + w, y + h - 2), _at(x + w - 3, y + h - 2), _at(x + w - 3, y + h), _at(x, y + h))
+    own = i.table(spark, d, "part").select(F.floor(k / 40).alias("gid"), F.when(k % 2 == 0, shell).otherwise(F.reverse(shell)).alias("shell"))
+    rings = overlay.dissolve(own, 12.0)
+    around = centre.length_of(F.concat("shell", F.slice("shell", 1, 1)))
+    return rings.groupBy("gid").agg(F.bround(F.sum("area"), 3).alias("area"), F.bround(F.sum(around), 3).alias("border"))
