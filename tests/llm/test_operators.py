@@ -193,6 +193,24 @@ def test_ngram(spark, docs, none):
     assert ngram.score(docs).count() == 12 and ngram.score(none).count() == 0
 
 
+def test_ngram_tells_long_words_of_two_letters_apart(spark):
+    one = "p"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("pq", "qp"))
+    other = one.translate(str.maketrans("pq", "qp"))
+    texts = {k: (one if k < 30 else other) for k in range(50)}
+    got = {r.doc_id: r for r in ngram.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    count: dict = {}
+    for d, t in texts.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            for w in (t, None):
+                count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    assert v == 3
+    for d, t in texts.items():
+        assert got[d].base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in (t, None)), rel=1e-9)
+
+
 def plain_trigram_scores(texts, plan):
     """log10 probabilities by dictionaries, with weights from plain expectation-maximisation."""
     words = {d: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t in texts.items()}
