@@ -330,7 +330,7 @@ _CROSS = f"""SELECT l.id AS lid, r.id AS rid, l.ax + ((r.ax - l.ax) * (r.by - r.
 def segment_crossings(spark, d):
     g = i.grid(spark, d)
     l, r = (g.select(*(F.col(c).alias(p + c) for c in g.columns)) for p in "lr")
-    return spatial.crossings(l, r, 2.0).where("lid < rid").select("lid", "rid", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+    return spatial.crossings(l, r, 2.0, 6).where("lid < rid")
 
 
 @query(f"""WITH p AS (SELECT lid AS id, round_even(x, 6) AS x, round_even(y, 6) AS y FROM ({_CROSS}) WHERE t BETWEEN 0 AND 1 AND s BETWEEN 0 AND 1 UNION SELECT id, ax, ay FROM {i.GRID} UNION SELECT id, bx, by FROM {i.GRID}),
