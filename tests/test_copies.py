@@ -84,3 +84,13 @@ def test_meeting_points_of_copies(spark, counted):
         key = (r.lid, r.rid, r.on, tuple(np.round(r.p, 6) + 0.0))
         each[key] = each.get(key, 0) + 1
     assert each == want
+
+
+def test_split_in_space_of_copies(spark, counted):
+    rows = counted(cleaning, "box_join")
+    cuts = {i: {(a, b, 0.0), (c, d, 0.0)} for i, a, b, c, d in FLAT}
+    for i, j, on, p in met_by_hand():
+        if i < j:
+            cuts[i if on == "l" else j].add(p)
+    want = {(i, n + 1, a, b) for i, some in cuts.items() for n, (a, b) in enumerate(zip(sorted(some), sorted(some)[1:], strict=False))}
+    assert {(r.id, r.seq, tuple(r.a), tuple(r.b)) for r in cleaning.split_in_space(in_space(spark), 0.05, 2.0).collect()} == want and rows == [6]
