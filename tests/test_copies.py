@@ -94,3 +94,11 @@ def test_split_in_space_of_copies(spark, counted):
             cuts[i if on == "l" else j].add(p)
     want = {(i, n + 1, a, b) for i, some in cuts.items() for n, (a, b) in enumerate(zip(sorted(some), sorted(some)[1:], strict=False))}
     assert {(r.id, r.seq, tuple(r.a), tuple(r.b)) for r in cleaning.split_in_space(in_space(spark), 0.05, 2.0).collect()} == want and rows == [6]
+
+
+def test_ends_in_one_place_are_snapped_once(spark, counted):
+    rows = counted(cleaning, "radius_join")
+    point = "struct<x:double,y:double,z:double>"
+    near = spark.createDataFrame([(k, (k % 3 * 0.02, 0.0, 0.0), (5.0, k % 2 * 1.0, 0.0)) for k in range(30)], f"id long, a {point}, b {point}")
+    got = {r.id: (r.a.x, r.b.y) for r in cleaning.snap_ends(near, 0.03).collect()}
+    assert got == {k: ((0.0, 0.0, 0.02)[k % 3], k % 2 * 1.0) for k in range(30)} and rows == [5]
