@@ -102,3 +102,9 @@ def test_ends_in_one_place_are_snapped_once(spark, counted):
     near = spark.createDataFrame([(k, (k % 3 * 0.02, 0.0, 0.0), (5.0, k % 2 * 1.0, 0.0)) for k in range(30)], f"id long, a {point}, b {point}")
     got = {r.id: (r.a.x, r.b.y) for r in cleaning.snap_ends(near, 0.03).collect()}
     assert got == {k: ((0.0, 0.0, 0.02)[k % 3], k % 2 * 1.0) for k in range(30)} and rows == [5]
+
+
+def test_clean_lines_cuts_copies_once(spark, counted):
+    one = {tuple(r)[2:] for r in cleaning.clean_lines(flat(spark, [(k, *map(float, SPOTS[k * 7 % 6])) for k in range(6)]), 0.05, 2.0).collect()}
+    rows = counted(cleaning, "split_segments")
+    assert {tuple(r)[2:] for r in cleaning.clean_lines(flat(spark), 0.05, 2.0).collect()} == one and rows == [6]
