@@ -123,3 +123,11 @@ def test_views_of_copies(spark, counted):
         got.setdefault((r.vid, r.tri // 2 % 3, r.tri % 2), []).append((r.tri, r.dist, r.amount))
     assert got and all(len({x[0] for x in found}) == len(found) == 4 and len({x[1:] for x in found}) == 1 for found in got.values())
     assert rows == [6]
+
+
+def test_sun_on_copies(spark, counted):
+    rows = counted(visibility, "_keyed")
+    points = spark.createDataFrame([(k, 1.5, float(k % 2) * 1.8, 0.5) for k in range(20)], "pid long, x double, y double, z double")
+    suns = spark.createDataFrame([(0, 1.0, 0.0, 0.6, 0.8), (1, 2.0, 0.0, -0.8, 0.6)], "time long, hours double, dx double, dy double, dz double")
+    got = {r.pid: r.hours for r in visibility.sun_hours(points, suns, walls(spark), 50.0).collect()}
+    assert got == {k: got[k % 2] for k in range(20)} and got[0] != got[1] and rows == [4]
