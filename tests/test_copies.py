@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from polisgrid.operators import cleaning, spatial, visibility
+from polisgrid.operators import cleaning, parcels, spatial, visibility
 
 SPOTS = [(0, 0, 4, 4), (0, 4, 4, 0), (1, 0, 1, 5), (0, 2, 6, 2), (4, 4, 0, 0), (3, 2, 8, 2)]
 FLAT = [(k, *map(float, SPOTS[k * 7 % 6])) for k in range(24)]
@@ -131,3 +131,14 @@ def test_sun_on_copies(spark, counted):
     suns = spark.createDataFrame([(0, 1.0, 0.0, 0.6, 0.8), (1, 2.0, 0.0, -0.8, 0.6)], "time long, hours double, dx double, dy double, dz double")
     got = {r.pid: r.hours for r in visibility.sun_hours(points, suns, walls(spark), 50.0).collect()}
     assert got == {k: got[k % 2] for k in range(20)} and got[0] != got[1] and rows == [4]
+
+
+def test_internal_roads_of_copies(spark, counted):
+    rows = counted(parcels, "_rows")
+    box = lambda w: [(0.0, 0.0), (w, 0.0), (w, 40.0), (0.0, 40.0)]
+    sites = spark.createDataFrame([(k, box(80.0 + k % 2 * 30), [0.6, 0.4]) for k in range(10)] + [(None, box(80.0), [0.6, 0.4])], "site_id long, shell array<struct<x:double,y:double>>, shares array<double>")
+    got: dict = {}
+    for r in parcels.internal_roads(sites).collect():
+        got.setdefault(r.site_id, []).append((r.k, r.rounded, r.area, tuple(map(tuple, r.shell))))
+    assert len(got) == 11 and all(sorted(got[k]) == sorted(got[k % 2]) and len(got[k]) == 2 for k in range(10)) and sorted(got[None]) == sorted(got[0])
+    assert got[0] != got[1] and rows == [2]
