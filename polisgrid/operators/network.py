@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from polisgrid.functions.geom import point_to_segment
 from polisgrid.operators.graph import path_to, shortest_paths
 from polisgrid.operators.planning import power_regression
+from polisgrid.operators.spatial import dealt
 from polisgrid.plans.rounds import Stored
 
 
@@ -20,12 +21,28 @@ def coverage(edges: DataFrame, sites: DataFrame, sources: DataFrame, radius: flo
     return reach.join(sites, reach["id"] == sites["vertex"]).select("source", "site").distinct()
 
 
+def _entered(entries: DataFrame) -> DataFrame:
+    """site, vertex, each once, and many: whether the site has several."""
+    some = entries.where("site is not null and vertex is not null").select("site", "vertex").distinct()
+    return some.join(some.groupBy("site").agg((F.count("*") > 1).alias("many")), "site")
+
+
+def _between_entries(reach: DataFrame, entries: DataFrame, on: str) -> DataFrame:
+    """i, j, dist of the pairs of sites that on lets through, by what is reached (source, id, dist) from entry to entry. Of two
+    sites with an entry each there is one row; where one of them has several, theirs are put together."""
+    e = _entered(entries)
+    a = e.select(F.col("site").alias("i"), F.col("vertex").alias("source"), F.col("many").alias("mi"))
+    b = e.select(F.col("site").alias("j"), F.col("vertex").alias("id"), F.col("many").alias("mj"))
+    pairs = lambda x, y: dealt(reach.join(x, "source"), "i").join(y, "id").where(on).select("i", "j", "dist")
+    several = pairs(a.where("mi"), b).union(pairs(a.where("not mi"), b.where("mj")))
+    return pairs(a.where("not mi"), b.where("not mj")).union(several.groupBy("i", "j").agg(F.min("dist").alias("dist")))
+
+
 def entry_coverage(edges: DataFrame, entries: DataFrame, radius: float, compensate: bool = True) -> DataFrame:
     """source, site: both sides by their entries (site, vertex). Without compensate the first step to an entry counts 1."""
     reach = shortest_paths(edges, entries.select(F.col("vertex").alias("id")).distinct(), radius if compensate else radius - 1)
-    a = entries.select(F.col("site").alias("from_site"), F.col("vertex").alias("source"))
-    b = entries.select("site", F.col("vertex").alias("id"))
-    return reach.join(a, "source").join(b, "id").select(F.col("from_site").alias("source"), "site").distinct()
+    found = _between_entries(reach, entries, "true")
+    return found.select(F.col("i").alias("source"), F.col("j").alias("site"))
 
 
 def coverage_ratio(covered: DataFrame, areas: DataFrame) -> DataFrame:
@@ -58,12 +75,13 @@ def connect_by_middles(sites: DataFrame, needles: DataFrame, roads: DataFrame, c
     return both.where((t > 0) & (t < 1)).select("site", "road", x.alias("x"), y.alias("y"))
 
 
-def distance_matrix(edges: DataFrame, entries: DataFrame, limit: float = float("inf")) -> DataFrame:
-    """i < j, dist: least network distance between entries (site, vertex) of two sites; no row if not connected."""
+def distance_matrix(edges: DataFrame, entries: DataFrame, limit: float = float("inf"), places: int | None = None) -> DataFrame:
+    """i < j, dist: least network distance between entries (site, vertex) of two sites, rounded if places are given; no row if
+    not connected."""
     reach = shortest_paths(edges, entries.select(F.col("vertex").alias("id")).distinct(), limit)
-    a = entries.select(F.col("site").alias("i"), F.col("vertex").alias("source"))
-    b = entries.select(F.col("site").alias("j"), F.col("vertex").alias("id"))
-    return reach.join(a, "source").join(b, "id").where("i < j").groupBy("i", "j").agg(F.min("dist").alias("dist"))
+    if places is not None:
+        reach = reach.withColumn("dist", F.bround("dist", places))
+    return _between_entries(reach, entries, "i < j")
 
 
 def connect(points: DataFrame, segments: DataFrame, cell: float) -> DataFrame:

@@ -518,7 +518,7 @@ def coverage_ratio(spark, d):
 
 @query(i.walks_sql() + f" SELECT a.site AS i, b.site AS j, round_even(min(dist), 6) AS dist FROM d5 JOIN {_SITES} a ON a.vertex = d5.source JOIN {_SITES} b ON b.vertex = d5.id WHERE a.site < b.site GROUP BY a.site, b.site")
 def site_distance_matrix(spark, d):
-    return network.distance_matrix(i.road_graph(spark, d), _sites(spark, d).select("site", "vertex")).select("i", "j", F.bround("dist", 6).alias("dist"))
+    return network.distance_matrix(i.road_graph(spark, d), _sites(spark, d).select("site", "vertex"), places=6)
 
 
 @query(i.walks_sql() + " SELECT id, arg_min(source, (dist, source)) AS source, round_even(min(dist), 6) AS dist FROM d5 WHERE source IN (0, 7, 19) GROUP BY id")

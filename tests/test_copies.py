@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from polisgrid.operators import cleaning, parcels, spatial, visibility
+from polisgrid.operators import cleaning, network, parcels, spatial, visibility
 
 SPOTS = [(0, 0, 4, 4), (0, 4, 4, 0), (1, 0, 1, 5), (0, 2, 6, 2), (4, 4, 0, 0), (3, 2, 8, 2)]
 FLAT = [(k, *map(float, SPOTS[k * 7 % 6])) for k in range(24)]
@@ -142,3 +142,28 @@ def test_internal_roads_of_copies(spark, counted):
         got.setdefault(r.site_id, []).append((r.k, r.rounded, r.area, tuple(map(tuple, r.shell))))
     assert len(got) == 11 and all(sorted(got[k]) == sorted(got[k % 2]) and len(got[k]) == 2 for k in range(10)) and sorted(got[None]) == sorted(got[0])
     assert got[0] != got[1] and rows == [2]
+
+
+def roads(spark):
+    e = [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 4.0), (5, 6, 1.0)]
+    return spark.createDataFrame([*e, *((b, a, w) for a, b, w in e)], "src long, dst long, w double")
+
+
+ENTRIES = [(1, 0), (2, 0), (3, 1), (4, 3), (4, 2), (5, 2), (6, 5), (7, 3), (7, 0), (7, 0), (8, 9), (9, 9)]
+
+
+def apart():
+    at = {0: 0.0, 1: 1.0, 2: 3.0, 3: 7.0}
+    d = lambda u, v: abs(at[u] - at[v]) if u in at and v in at else 0.0 if u == v else float("inf")
+    out: dict = {}
+    for i, u in ENTRIES:
+        for j, v in ENTRIES:
+            out[i, j] = min(out.get((i, j), float("inf")), d(u, v))
+    return out
+
+
+def test_sites_with_one_entry_need_no_grouping(spark):
+    e = spark.createDataFrame(ENTRIES, "site long, vertex long")
+    got = network.distance_matrix(roads(spark), e)
+    assert sorted(map(tuple, got.collect())) == sorted((i, j, d) for (i, j), d in apart().items() if i < j and d < float("inf"))
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
