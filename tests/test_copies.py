@@ -169,6 +169,13 @@ def test_sites_with_one_entry_need_no_grouping(spark):
     assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
 
 
+def test_coverage_of_sites_with_one_entry_needs_no_grouping(spark):
+    e = spark.createDataFrame(ENTRIES, "site long, vertex long")
+    got = network.entry_coverage(roads(spark), e, 3.0)
+    assert sorted(map(tuple, got.collect())) == sorted(k for k, d in apart().items() if d <= 3.0)
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
 def test_blocks_at_distance_0_are_clustered_by_their_first(spark):
     rng = np.random.default_rng(2)
     for _ in range(40):
