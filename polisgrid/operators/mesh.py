@@ -150,17 +150,18 @@ def dual(faces: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def truncate(faces: DataFrame, places: DataFrame, t: float = 1 / 3) -> tuple[DataFrame, DataFrame]:
     """The mesh with its vertices cut off at the share t of each edge. A vertex becomes a face of as many corners as it has
-    edges, if these are three or more; at a border its face ends at the border's edges."""
+    edges, if these are three or more; at a border its face ends at the border's edges. Sides are as many as a mesh's corners,
+    so they are always joined by a shuffle: none is sent through the driver."""
     sides, next_face, _ = _numbers(faces)
     c = corners(faces).withColumn("n", (F.col("face") * sides + F.col("k")) * 2)
     # The new vertex at a on the edge to b: that of the side a to b, or, where no face has that side, of the side b to a.
     side = c.select("mesh", "a", "b", "n")
     back = side.select("mesh", F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("m"))
-    new = side.join(back, ["mesh", "a", "b"], "full").select("mesh", "a", "b", F.coalesce(F.col("n"), F.col("m") + 1).alias("vertex"))
+    new = side.join(back.hint("merge"), ["mesh", "a", "b"], "full").select("mesh", "a", "b", F.coalesce(F.col("n"), F.col("m") + 1).alias("vertex"))
     there = new.select("mesh", F.col("a").alias("b"), F.col("b").alias("a"), F.col("vertex").alias("w"))
-    own = _rebuilt(c.join(there, ["mesh", "a", "b"]), F.array("n", "w"))
+    own = _rebuilt(c.join(there.hint("merge"), ["mesh", "a", "b"]), F.array("n", "w"))
     before = new.select("mesh", "a", F.col("b").alias("p"), F.col("vertex").alias("pv"))
-    ring = _rings(c.join(before, ["mesh", "a", "p"]), "n", "pv")
+    ring = _rings(c.join(before.hint("merge"), ["mesh", "a", "p"]), "n", "pv")
     tips = F.concat(F.transform("ring", lambda x: x["n"]), F.when(F.col("closed"), F.slice(F.transform("ring", lambda x: x["pv"]), 1, 0)).otherwise(F.array(F.element_at("ring", -1)["pv"])))
     tip = ring.select("mesh", (F.col("a") + next_face).alias("face"), tips.alias("v")).where("size(v) > 2")
     return own.unionByName(tip), _between(new.select("mesh", "vertex", F.col("a").alias("s"), F.col("b").alias("e")), places, t)

@@ -78,7 +78,8 @@ def terrain(spark, d):
     one = places.select("mesh", "vertex")
     cells = one.where("vertex % 50 < 49").select("mesh", F.col("vertex").alias("face"))
     for step in (1, 51, 50):
-        cells = cells.join(one.select("mesh", (F.col("vertex") - step).alias("face")), ["mesh", "face"], "left_semi")
+        # One mesh is the whole table, whose few bytes of file would else be sent to every task by the driver.
+        cells = cells.join(one.select("mesh", (F.col("vertex") - step).alias("face")).hint("merge"), ["mesh", "face"], "left_semi")
     f = F.col("face")
     return cells.select("mesh", "face", F.array(f, f + 1, f + 51, f + 50).alias("v")), places
 
