@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from polisgrid.functions import geom
 from polisgrid.operators import design, graph, lines, network, planning, resources, spatial, visibility
 from polisgrid.plans import inputs as i
+from polisgrid.plans.rounds import Stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,11 +216,14 @@ def hac_rows(spark, d):
 
 @query()
 def hac_clusters(spark, d):
+    """Clusters at two limits, and the components at the larger one (g) that they lie in."""
     p = i.points(spark, d)
     l, r = (p.select(F.col("id").alias(f"{s}id"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s in "lr")
-    near = spatial.radius_join(l, r, 8.0).where("lid < rid").select(F.col("lid").alias("src"), F.col("rid").alias("dst"))
-    found = graph.components(p.select("id"), near)
-    return planning.cluster_points(p.join(found, "id").select(F.col("root").alias("g"), "id", "x", "y", F.lit(0.0).alias("z")), [4.0, 8.0])
+    near = Stored(spatial.radius_join(l, r, 8.0).where("lid < rid").select(F.col("lid").alias("i"), F.col("rid").alias("j"), "dist"))
+    found = graph.components(p.select("id"), near.df.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    made = planning.cluster_rows(p.select("id"), near.df, [4.0, 8.0])
+    near.drop()
+    return made.join(found.withColumnRenamed("root", "g"), "id").select("g", "level", "cluster_id", "id")
 
 
 @query(f"""WITH e AS (SELECT s_suppkey AS site, k, s_acctbal / 20 + dx AS x, s_nationkey * 20 - 250 + dy AS y FROM supplier, (VALUES (0, 5.0::DOUBLE, 0.0::DOUBLE), (1, -5.0::DOUBLE, 0.0::DOUBLE), (2, 0.0::DOUBLE, 5.0::DOUBLE), (3, 0.0::DOUBLE, -5.0::DOUBLE)) v(k, dx, dy)),

@@ -197,3 +197,27 @@ def test_blocks_at_distance_0_are_clustered_by_their_first(spark):
     between = spark.createDataFrame([(10 + a, 10 + b, x) for (a, b), x in d.items()], "i long, j long, dist double")
     got = planning.cluster_blocks(firsts, between, [2.0, 4.0], spark.createDataFrame([(a, 10 + u) for a, u in blocks], "id long, shape long"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_clusters_of_rows_keep_the_order_of_ties(spark):
+    rng = np.random.default_rng(4)
+    n, size = 10, 12  # as many graphs at once, as each round is the same for all
+    want, far = set(), []
+    for g in range(n):
+        apart_ = np.triu(rng.integers(0, 5, (size, size)).astype(float), 1)
+        apart_ += apart_.T
+        far += [(100 * g + i, 100 * g + j, float(apart_[i, j])) for i in range(size) for j in range(i)]
+        for level, clusters in enumerate(planning.complete_linkage(apart_, [2.0, 4.0])):
+            want |= {(level, 100 * g + c[0], 100 * g + k) for c in clusters for k in c}
+    ids = spark.createDataFrame([(100 * g + k,) for g in range(n) for k in range(size)], "id long")
+    got = planning.cluster_rows(ids, spark.createDataFrame(far, "i long, j long, dist double"), [2.0, 4.0]).collect()
+    assert {(r.level, r.cluster_id, r.id) for r in got} == want
+
+
+def test_clusters_of_points_are_held_by_no_task(spark):
+    from polisgrid.plans.queries import QUERIES
+
+    got = QUERIES["hac_clusters"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len({r.id for r in rows}) == 500 and len(rows) == 1000 and all(r.g <= r.cluster_id <= r.id for r in rows)
