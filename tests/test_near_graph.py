@@ -65,3 +65,12 @@ def test_paths_that_round_down_are_followed_beyond_the_margin(spark):
 def test_near_centrality_holds_no_graph(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(graph, "BYTES_HELD", 0)
     same_as_sql(spark, "near_graph_centrality", odd_places(tmp_path))
+
+
+def no_rows(*_, **__):
+    raise AssertionError("distances of all pairs as rows")
+
+
+def test_near_depths_make_no_rows_of_distances(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(graph, "shortest_paths", no_rows)
+    same_as_sql(spark, "near_graph_depths", odd_places(tmp_path))
